@@ -1,0 +1,750 @@
+"""The registered queries over the driver tables, each next to its DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as T
+from ..functions.vectors import cosine
+from ..operators import embedding, graph, hierarchy, memory, profile, references, retrieval, trace, traversal
+from ..sources import documents as documents_io
+from ..sources import pages as pages_io
+from . import bindings as B
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, items: bool = True) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = B.over_items(sql) if items else sql
+        return f
+
+    return register
+
+
+def _joined(column: str) -> Column:
+    return F.array_join(column, ",")
+
+
+# --- identifiers ------------------------------------------------------------------------------------------------
+
+_ROMAN_SQL = """(['','M','MM','MMM'])[{n} // 1000 + 1] || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[{n} // 100 % 10 + 1]
+  || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[{n} // 10 % 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[{n} % 10 + 1]"""
+
+
+@query(
+    f"""SELECT p_partkey, n, r AS roman, n AS back, 'Art.' || n AS article, 'EU.Annex.' || r AS annex, 'EU.Annex.' || r || '.Sect.B' AS section,
+       'EU.Annex.' || r || '.Sect.B.3' AS paragraph, 'Rec.' || n AS recital, 'Chapt' || r AS chapter, 'Chapt' || r || '.Sect-2' AS chapter_section, '3' AS last
+    FROM (SELECT *, {_ROMAN_SQL.format(n="n")} AS r FROM (SELECT p_partkey, (p_partkey * 37 % 3999 + 1)::INT AS n FROM part))"""
+)
+def i01_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, eu = F.col("n"), F.lit("EU")
+    paragraph = ids.annex_paragraph_id(n, F.lit(3), F.lit("B"), eu)
+    return B.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 3999 + 1).cast("int").alias("n")).select(
+        "p_partkey", "n", ids.to_roman(n).alias("roman"), ids.from_roman(F.lower(ids.to_roman(n))).alias("back"), ids.article_id(n).alias("article"),
+        ids.annex_id(n, eu).alias("annex"), ids.annex_section_id(n, F.lit("B"), eu).alias("section"), paragraph.alias("paragraph"),
+        ids.recital_id(n).alias("recital"), ids.chapter_id(ids.to_roman(n)).alias("chapter"),
+        ids.chapter_section_id(ids.to_roman(n), F.lit(2)).alias("chapter_section"), ids.number_of(paragraph).alias("last"),
+    )
+
+
+# --- pages and blocks ---------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT c_custkey, title, CASE c_custkey % 4 WHEN 0 THEN 'Article' WHEN 1 THEN 'Recital' WHEN 2 THEN 'Annex' END AS content_type,
+       CASE WHEN c_custkey % 4 < 3 THEN n END AS number
+    FROM (SELECT c_custkey, n, CASE c_custkey % 4 WHEN 0 THEN 'ARTICLE ' || n || ': x' WHEN 1 THEN 'recital ' || n
+        WHEN 2 THEN 'Annex ' || CASE WHEN n % 2 = 0 THEN n::VARCHAR ELSE {_ROMAN_SQL.format(n="n")} END ELSE 'Page ' || n END AS title
+      FROM (SELECT c_custkey, (c_custkey % 38 + 1)::INT AS n FROM customer))"""
+)
+def e02_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey") % 4, F.col("n")
+    name = F.when(n % 2 == 0, n.cast("string")).otherwise(ids.to_roman(n))
+    title = (
+        F.when(k == 0, B.text_id("ARTICLE ", n, ": x")).when(k == 1, B.text_id("recital ", n)).when(k == 2, F.concat(F.lit("Annex "), name))
+        .otherwise(B.text_id("Page ", n))
+    )
+    rows = B.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 38 + 1).cast("int").alias("n")).select("c_custkey", title.alias("title"))
+    return rows.select("c_custkey", "title", T.content_type(F.col("title")).alias("content_type"), T.title_number(F.col("title")).alias("number"))
+
+
+@query(
+    f"""SELECT n_nationkey, {_ROMAN_SQL.format(n="(n_regionkey + 1)")} AS chapter, n_name AS chapter_name,
+       CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR END AS section, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END AS level FROM nation"""
+)
+def e04_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    chapter = T.chapter_meta(F.concat(F.lit("Chapter "), ids.to_roman(F.col("n_regionkey") + 1), F.lit(": "), "n_name"))
+    section = T.section_meta(F.when(n % 2 == 0, B.text_id("Section ", n, ": Part")).otherwise(F.lit("none")))
+    style = F.when(n % 3 == 0, B.text_id("margin: 0; padding-left: ", n * 40 + 39, "px"))
+    return B.table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.get(chapter, F.lit(0)).alias("chapter"), F.get(chapter, F.lit(1)).alias("chapter_name"),
+        F.get(section, F.lit(0)).alias("section"), T.indent_level(style).alias("level"),
+    )
+
+
+@query()
+def e01_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_io.extract_blocks(B.table(spark, sf_dir, "pages")).select("doc_id", "pos", "tag", "text", F.size("links").alias("n_links"))
+
+
+@query("""SELECT page_id AS doc_id, regexp_extract(html, '<title>(.*?)</title>', 1) <> '' AS has_title FROM pages""")
+def e05_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pages_io.read_pages(spark, f"{sf_dir}/pages.parquet")
+    heads = pages_io.page_headers(pages_io.extract_blocks(pages))
+    return pages.join(heads, pages["page_id"] == heads["doc_id"], "left").select(F.col("page_id").alias("doc_id"), F.coalesce(F.col("name") != "", F.lit(False)).alias("has_title"))
+
+
+@query(
+    f"""WITH {B.LINES_SQL} SELECT doc_id, pos, text, nullif(coalesce(nullif(regexp_extract(h, '^(\\d+)\\.', 1), ''), nullif(regexp_extract(h, '^\\((\\d+)\\)', 1), ''),
+       nullif(regexp_extract(h, '^\\(([a-z])\\)', 1), ''), nullif(regexp_extract(h, '^\\(([ivxlcdm]+)\\)', 1), '')), '') AS marker
+    FROM (SELECT *, left(text, 5) AS h FROM lines WHERE text <> '' AND NOT starts_with(text, '[*]') AND NOT starts_with(text, '[58]'))"""
+)
+def e07_noise_and_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hierarchy.filter_noise(B.lines(spark, sf_dir))
+    return rows.select("doc_id", "pos", "text", T.paragraph_marker(F.col("text")).alias("marker"))
+
+
+@query(
+    f"""WITH RECURSIVE {B.BLOCKS_SQL}, tree AS (
+      SELECT doc_id, pos, level, parent_pos, 'O.' || doc_id AS parent_id, 'O.' || doc_id || '.' || marker AS id, text FROM marked WHERE parent_pos IS NULL
+      UNION ALL SELECT m.doc_id, m.pos, m.level, m.parent_pos, t.id, t.id || '.' || m.marker, m.text FROM marked m JOIN tree t ON m.doc_id = t.doc_id AND m.parent_pos = t.pos)
+    SELECT doc_id, pos, level, parent_pos, parent_id, id, text FROM tree"""
+)
+def e10_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.assemble_hierarchy(B.indented_blocks(spark, sf_dir), B.text_id("O.", F.col("doc_id")), max_level=3)
+
+
+@query(
+    f"""WITH RECURSIVE {B.BLOCKS_SQL}, tree AS (
+      SELECT doc_id, pos, level, parent_pos, 'O.' || doc_id || '.' || marker AS id, text FROM marked WHERE parent_pos IS NULL
+      UNION ALL SELECT m.doc_id, m.pos, m.level, m.parent_pos, t.id || '.' || m.marker, m.text FROM marked m JOIN tree t ON m.doc_id = t.doc_id AND m.parent_pos = t.pos),
+    flagged AS (SELECT *, CASE WHEN id = lag(id) OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM tree),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) AS island FROM flagged)
+    SELECT doc_id, min(id) AS id, min(pos) AS pos, string_agg(text, ' ' ORDER BY pos) AS text, count(*) AS n_merged FROM islands GROUP BY doc_id, parent_pos, island"""
+)
+def e11_merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hierarchy.assemble_hierarchy(B.indented_blocks(spark, sf_dir), B.text_id("O.", F.col("doc_id")), max_level=3)
+    return hierarchy.merge_same_id(rows).select("doc_id", "id", "pos", "text", "n_merged")
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_linenumber * 7 + l_partkey) % 3 AS level, l_partkey % 3 = 0 AS related FROM lineitem),
+    i AS (SELECT * FROM b WHERE level > 0)
+    SELECT doc_id, pos, to_pos FROM (
+      SELECT a.doc_id, a.pos, (SELECT max(x.pos) FROM i x WHERE x.doc_id = a.doc_id AND x.level = a.level AND x.pos < a.pos AND NOT x.related) AS to_pos
+      FROM i a WHERE a.related) WHERE to_pos IS NOT NULL"""
+)
+def e12_related_recitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.regexp_extract("text", r"item (\d+)", 1).cast("long")
+    rows = B.indented_blocks(spark, sf_dir).withColumn("text", F.when(item % 3 == 0, F.concat(F.lit("Related: "), "text")).otherwise(F.col("text")))
+    return hierarchy.attach_related_recitals(rows)[1]
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey % 4 = 0 AS heading, 'Section ' || chr(65 + (l_suppkey % 5)::INT) || ' title' AS text FROM lineitem),
+    n AS (SELECT *, greatest(sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS no, sum(heading::INT) OVER (PARTITION BY doc_id) AS all_headings FROM b),
+    k AS (SELECT *, max(CASE WHEN heading THEN text END) OVER (PARTITION BY doc_id, no) AS name FROM n)
+    SELECT doc_id, pos, text, CASE WHEN all_headings > 0 THEN no::BIGINT END AS section_no,
+      CASE WHEN all_headings > 0 THEN string_split(name, ' ')[2] END AS section_key FROM k WHERE NOT heading"""
+)
+def e13_annex_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.char((F.lit(65) + F.col("l_suppkey") % 5).cast("long"))
+    blocks = B.items(spark, sf_dir).select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_partkey") % 4 == 0, "h3").otherwise("p").alias("tag"),
+        F.concat(F.lit("Section "), letter, F.lit(" title")).alias("text"),
+    )
+    return hierarchy.split_sections(blocks).select("doc_id", "pos", "text", "section_no", "section_key")
+
+
+@query(
+    f"""WITH {B.LINES_SQL} SELECT doc_id, 'recital' || doc_id || '_p' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS id, pos, text
+    FROM lines WHERE text <> '' AND NOT regexp_matches(text, '^\\[\\d+\\]')"""
+)
+def e14_recital_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.number_recital_paragraphs(B.lines(spark, sf_dir).withColumn("tag", F.lit("p")), F.col("doc_id"))
+
+
+@query(
+    f"""WITH {B.LINKS_SQL}, p AS (SELECT l_orderkey AS doc_id, count(*) AS n_paragraphs, sum(((l_linenumber * 7 + l_partkey) % 3 = 0)::BIGINT)::BIGINT AS n_top FROM lineitem GROUP BY 1),
+    k AS (SELECT doc_id, count(*) FILTER (kind = 'article') AS a, count(*) FILTER (kind = 'chapter') AS c, count(*) FILTER (kind = 'annex') AS x, count(*) FILTER (kind = 'recital') AS r FROM links GROUP BY 1)
+    SELECT p.doc_id, n_paragraphs, n_top, a AS n_article_refs, c AS n_chapter_refs, x AS n_annex_refs, r AS n_recital_refs FROM p JOIN k USING (doc_id)"""
+)
+def e15_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paragraphs = hierarchy.with_levels(B.indented_blocks(spark, sf_dir))
+    refs = B.links(spark, sf_dir).select("doc_id", T.link_kind(F.col("href")).alias("kind"))
+    return hierarchy.extraction_stats(paragraphs, refs)
+
+
+# --- references ---------------------------------------------------------------------------------------------------
+
+
+_CITATION_SQL = T.CITATION.replace("'", "''")
+
+
+@query(
+    f"""WITH {B.CITATIONS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(context, '{_CITATION_SQL}')) AS tok,
+        generate_subscripts(regexp_extract_all(context, '{_CITATION_SQL}'), 1) AS i FROM contexts),
+    u AS (SELECT id, i, tok, list_transform(regexp_extract_all(tok, '\\d+'), lambda x: x::INT) AS n, regexp_extract_all(tok, '(?i)\\(([a-z])\\)', 1) AS l,
+        regexp_matches(tok, '(?i)(\\d\\s*\\)\\s*to\\s*\\()|(\\d\\s*(?:to|-|–)\\s*\\d)') AS is_range, regexp_matches(tok, '\\(\\s*\\d+\\s*\\)') AS para FROM t),
+    v AS (SELECT *, CASE WHEN is_range THEN range(least(n[1], n[2]), greatest(n[1], n[2]) + 1) ELSE n END AS full_n FROM u)
+    SELECT id, count(*) AS n, string_agg(coalesce(paragraph::VARCHAR, '-') || ':' || coalesce(points, '-'), ';' ORDER BY i, paragraph) AS cited FROM (
+      SELECT id, i, unnest(full_n)::INT AS paragraph, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS points FROM v WHERE para
+      UNION ALL SELECT id, i, NULL, array_to_string(CASE WHEN len(n) > 0 THEN list_transform(full_n, lambda x: x::VARCHAR) ELSE l END, ',') FROM v WHERE NOT para) GROUP BY id"""
+)
+def r06_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda c: F.concat(F.coalesce(c["paragraph"].cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.array_join(c["points"], ","), F.lit("-")))
+    rows = B.citation_texts(spark, sf_dir).select("id", T.citations(F.col("context")).alias("c")).where(F.size("c") > 0)
+    return rows.select("id", F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", one), ";").alias("cited"))
+
+
+@query(
+    f"""WITH {B.LINKS_SQL} SELECT src_id, ord, kind, CASE WHEN kind <> 'section' THEN n ELSE NULL END::INT AS number FROM links"""
+)
+def r03_link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    href = F.col("href")
+    number = F.coalesce(*[F.when(T.link_kind(href) == k, T.url_number(href, k)) for k in ("article", "chapter", "annex", "recital")])
+    return B.links(spark, sf_dir).select("src_id", "ord", T.link_kind(href).alias("kind"), number.alias("number"))
+
+
+@query(
+    f"""WITH {B.LINKS_SQL}, a AS (SELECT src_id, ord, n::INT AS number, CASE WHEN sup % 3 = 0 THEN ord::INT END AS paragraph, CASE WHEN sup % 3 = 0 THEN 'a' END AS points
+      FROM links WHERE kind = 'article')
+    SELECT src_id, min(ord) AS ord, number, paragraph, points FROM a GROUP BY ALL"""
+)
+def r09_article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = references.article_refs(B.links(spark, sf_dir))
+    return rows.select("src_id", "ord", "number", "paragraph", F.array_join("points", ",").alias("points"))
+
+
+@query(
+    f"""WITH {B.LINKS_SQL}, c AS (SELECT src_id, ord, n::INT AS number, unnest(CASE WHEN sup % 3 = 0 THEN [NULL] ELSE ['1', '2', '3'] END) AS section FROM links WHERE kind = 'chapter')
+    SELECT src_id, min(ord) AS ord, number, section, section IS NOT NULL AS is_section FROM c GROUP BY src_id, number, section"""
+)
+def r11_chapter_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.chapter_refs(B.links(spark, sf_dir)).select("src_id", "ord", "number", "section", "is_section")
+
+
+@query(
+    f"""WITH {B.LINKS_SQL}, a AS (SELECT src_id, n, text, CASE WHEN sup % 3 = 0 THEN ord::INT END AS paragraph, CASE WHEN sup % 3 = 0 THEN 'a' END AS points FROM links WHERE kind = 'article'),
+    -- a reference pairs with every link whose anchor its context starts with: "Article 1" is also the start of "Article 12"
+    m AS (SELECT l.src_id, 'article' AS kind, r.n::VARCHAR AS number, r.paragraph, r.points FROM (SELECT DISTINCT src_id, text FROM links WHERE kind = 'article') l
+      JOIN a r ON l.src_id = r.src_id AND (starts_with(r.text, l.text))),
+    s AS (SELECT l.src_id, CASE WHEN r.section IS NOT NULL THEN 'section' ELSE 'chapter' END AS kind,
+        CASE WHEN r.section IS NOT NULL THEN l.n || '.' || r.section ELSE r.n::VARCHAR END AS number, NULL::INT AS paragraph, NULL AS points
+      FROM (SELECT DISTINCT src_id, n, text FROM links WHERE kind = 'chapter') l JOIN (
+        SELECT src_id, n, text, unnest(CASE WHEN sup % 3 = 0 THEN [NULL] ELSE ['1', '2', '3'] END) AS section FROM links WHERE kind = 'chapter') r
+      ON l.src_id = r.src_id AND starts_with(r.text, l.text)),
+    o AS (SELECT src_id, kind, n::VARCHAR AS number, NULL::INT, NULL FROM links WHERE kind = 'recital' UNION ALL SELECT src_id, kind, n || '.' || n, NULL, NULL FROM links WHERE kind = 'section')
+    SELECT DISTINCT src_id, kind, number, paragraph, points FROM (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT * FROM o)"""
+)
+def r15_element_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = references.element_references(B.links(spark, sf_dir))
+    return rows.select("src_id", "kind", "number", "paragraph", F.array_join("points", ",").alias("points"))
+
+
+@query(
+    f"""WITH {B.LINKS_SQL}, cited AS (SELECT DISTINCT doc_id, n FROM links WHERE kind = 'article' AND ord = 1)
+    SELECT l.doc_id, l.kind, l.n::VARCHAR AS number, min(l.ord) AS ord FROM links l LEFT JOIN cited c ON l.doc_id = c.doc_id AND l.n = c.n AND l.kind = 'article'
+    WHERE l.kind IN ('article', 'annex', 'recital') AND c.n IS NULL AND (l.kind = 'article' OR l.doc_id % 3 <> 0) GROUP BY 1, 2, 3"""
+)
+def r16_document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = B.links(spark, sf_dir)
+    types = links.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "Recital").otherwise("Article").alias("content_type")).distinct()
+    cited = links.where("ord = 1").select("doc_id", T.link_kind(F.col("href")).alias("kind"), T.url_number(F.col("href"), "article").cast("string").alias("number"))
+    return references.document_references(links, types, cited.where("kind = 'article'")).select("doc_id", "kind", "number", "ord")
+
+
+# --- graph build ------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT 'P.' || l_partkey AS id, CASE WHEN l_linestatus = 'O' THEN l_returnflag || l_quantity::INT END AS name, l_linenumber AS sub_level, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+    SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_min(sub_level, seq)::INT AS sub_level, min(seq) AS load_seq FROM r GROUP BY 1""",
+    items=False,
+)
+def g01_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = B.table(spark, sf_dir, "lineitem").select(
+        B.text_id("P.", c("l_partkey")).alias("id"), F.when(c("l_linestatus") == "O", F.concat("l_returnflag", c("l_quantity").cast("int").cast("string"))).alias("name"),
+        c("l_linenumber").alias("sub_level"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("load_seq"),
+    )
+    return graph.merge_nodes(graph.build_nodes(rows, "Paragraph")).select("id", "name", "sub_level", "load_seq")
+
+
+def _article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as articles; nation and region as their section and chapter."""
+    c = F.col
+    nations = F.broadcast(B.table(spark, sf_dir, "nation").join(B.table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey")))
+    return B.table(spark, sf_dir, "customer").join(nations, c("c_nationkey") == c("n_nationkey")).select(
+        ids.article_id(c("c_custkey")).alias("id"), c("c_name").alias("name"), c("c_custkey").alias("number"), c("c_custkey").alias("load_seq"),
+        F.array(ids.to_roman(c("n_regionkey") + 1), c("r_name")).alias("chapter"),
+        F.when(c("n_nationkey") % 3 > 0, F.array(c("n_nationkey").cast("string"), c("n_name"))).alias("section"),
+    )
+
+
+@query(
+    f"""WITH a AS (SELECT c_custkey, c_name, n_nationkey, n_name, r_name, {_ROMAN_SQL.format(n="(n_regionkey + 1)")} AS ch FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT DISTINCT 'Chapt' || ch AS id, 'Chapter' AS label, r_name AS name, ch AS number FROM a
+    UNION ALL SELECT DISTINCT 'Chapt' || ch || '.Sect-' || n_nationkey, 'Chapter_Section', n_name, n_nationkey::VARCHAR FROM a WHERE n_nationkey % 3 > 0
+    UNION ALL SELECT 'Art.' || c_custkey, 'Article', c_name, c_custkey::VARCHAR FROM a"""
+)
+def g02_container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = _article_metadata(spark, sf_dir)
+    rows = graph.chapters(articles).unionByName(graph.chapter_sections(articles)).unionByName(graph.titled_nodes(articles, "Article"))
+    return rows.select("id", F.get("labels", F.lit(0)).alias("label"), "name", "number")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 'O.' || o_orderkey || '.' || l_linenumber AS id, 'O.' || o_orderkey AS parent_id, 0 AS level FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    UNION ALL SELECT o_orderkey, 'O.' || o_orderkey || '.' || l_linenumber || '.a', 'O.' || o_orderkey || '.' || l_linenumber, 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 2 = 0"""
+)
+def g04_flatten_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    own = B.text_id("O.", c("l_orderkey"), ".", c("l_linenumber"))
+    sub = F.struct(F.concat(own, F.lit(".a")).alias("id"), F.lit("sub").alias("text"))
+    below = F.when(c("l_partkey") % 2 == 0, F.array(sub)).otherwise(F.array().cast("array<struct<id:string,text:string>>"))
+    nested = B.items(spark, sf_dir).groupBy(c("l_orderkey").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(F.struct(own.alias("id"), c("l_returnflag").alias("text"), below.alias("totalSubParagraphs")))).alias("paragraphs")
+    )
+    return graph.flatten_paragraphs(nested.withColumn("id", B.text_id("O.", c("doc_id")))).select("doc_id", "id", "parent_id", "level")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'S.' ELSE 'P.' END || o_orderkey || '.' || l_linenumber AS id, 'A.' || o_orderkey AS parent_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Annex_Section' ELSE 'Paragraph' END AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    UNION ALL SELECT o_orderkey, 'S.' || o_orderkey || '.' || l_linenumber || '.1', 'S.' || o_orderkey || '.' || l_linenumber, 'Paragraph' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0"""
+)
+def g05_annex_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    even = c("l_orderkey") % 2 == 0
+    own = F.concat(F.when(even, "S.").otherwise("P."), B.text_id(c("l_orderkey"), ".", c("l_linenumber")))
+    inner = F.array(F.struct(F.concat(own, F.lit(".1")).alias("id"), F.lit("t").alias("text")))
+    item = F.struct(
+        c("l_linenumber").alias("n"), F.when(even, "Section").otherwise("Paragraph").alias("type"), own.alias("id"), F.lit("name").alias("name"), F.lit("text").alias("text"),
+        F.when(even, inner).alias("paragraphs"),
+    )
+    annexes = B.items(spark, sf_dir).groupBy(c("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("content"))
+    return graph.annex_layout(annexes.withColumn("id", B.text_id("A.", c("doc_id")))).select("doc_id", "id", "parent_id", "kind")
+
+
+@query(
+    f"""WITH {B.NODES_SQL}, {B.PAIRS_SQL} SELECT DISTINCT parent AS src, 'CONTAINS' AS type, child AS dst FROM pairs JOIN nodes p ON p.id = parent JOIN nodes c ON c.id = child
+    WHERE c.label <> 'Paragraph' OR p.label IN ('Article', 'Paragraph')"""
+)
+def g06_contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.contains_edges(B.contains_pairs(spark, sf_dir), B.hierarchy_nodes(spark, sf_dir)).select("src", "type", "dst")
+
+
+@query(
+    """SELECT 'C.' || a.c_custkey AS src, 'C.' || b.c_custkey AS dst FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND a.c_mktsegment = b.c_mktsegment
+    UNION ALL SELECT 'R.' || a.r_regionkey, 'R.' || b.r_regionkey FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1"""
+)
+def g07_next_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    customers = B.table(spark, sf_dir, "customer").select(c("c_mktsegment").alias("scope"), c("c_custkey").cast("long").alias("number"), B.text_id("C.", c("c_custkey")).alias("id"))
+    regions = B.table(spark, sf_dir, "region").select(F.lit("chapters").alias("scope"), c("r_regionkey").cast("long").alias("number"), B.text_id("R.", c("r_regionkey")).alias("id"))
+    return graph.next_edges_by_number(customers.unionByName(regions)).select("src", "dst")
+
+
+@query(
+    """SELECT src, dst FROM (SELECT 'L.' || l_orderkey || '.' || l_linenumber AS src, 'L.' || l_orderkey || '.' || lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS dst FROM lineitem)
+    WHERE dst IS NOT NULL"""
+)
+def g08_next_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = B.items(spark, sf_dir).select(c("l_orderkey").alias("parent"), c("l_linenumber").alias("idx"), B.text_id("L.", c("l_orderkey"), ".", c("l_linenumber")).alias("id"))
+    return graph.next_edges_by_position(rows).select("src", "dst")
+
+
+def _cited_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_id, kind, number, paragraph, points, text): line items that cite customers; one in four a paragraph, one in four a point."""
+    c = F.col
+    form = c("l_partkey") % 4
+    return B.items(spark, sf_dir).select(
+        B.text_id("Art.", c("l_orderkey") % 400).alias("src_id"), F.lit("article").alias("kind"), (c("l_partkey") % 300).cast("string").alias("number"),
+        F.when(form == 1, c("l_linenumber")).alias("paragraph"), F.when(form == 2, F.array(F.lit("b"))).alias("points"), F.lit("Article").alias("text"),
+    )
+
+
+def _cited_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, number, idx, text): each customer's paragraphs: two numbered, one lettered."""
+    texts = F.array(F.lit("1. one"), F.lit("3. three"), F.lit("(b) letter"), F.lit("3. again"))
+    return B.table(spark, sf_dir, "customer").select(F.lit("article").alias("kind"), F.col("c_custkey").cast("string").alias("number"), F.posexplode(texts).alias("idx", "text"))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT 'Art.' || (l_orderkey % 400) AS src, l_partkey % 300 AS n, l_partkey % 4 AS form, CASE WHEN l_partkey % 4 = 1 THEN l_linenumber END AS p FROM lineitem),
+    t AS (SELECT src, n, CASE form WHEN 1 THEN 'articles_paragraph' WHEN 2 THEN 'articles_point' ELSE 'articles' END AS ref_kind,
+        CASE form WHEN 1 THEN CASE p WHEN 1 THEN 'Art.' || n || '.1' WHEN 3 THEN 'Art.' || n || '.2' END WHEN 2 THEN 'Art.' || n || '.3' ELSE 'Art.' || n END AS dst FROM r),
+    nodes AS (SELECT c_custkey AS k FROM customer)
+    SELECT DISTINCT src, dst, ref_kind FROM t WHERE dst IS NOT NULL AND n IN (SELECT k FROM nodes) AND src IN (SELECT 'Art.' || k FROM nodes)"""
+)
+def g09_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = B.table(spark, sf_dir, "customer").select(ids.article_id(F.col("c_custkey")).alias("id"))
+    paragraphs = _cited_paragraphs(spark, sf_dir)
+    inner = paragraphs.select(F.concat_ws(".", ids.article_id(F.col("number")), (F.col("idx") + 1).cast("string")).alias("id"))
+    nodes = graph.build_nodes(articles, "Article").unionByName(graph.build_nodes(inner, "Paragraph"))
+    return graph.reference_edges(_cited_refs(spark, sf_dir), paragraphs, nodes).select("src", "dst", "ref_kind")
+
+
+@query(f"""WITH {B.PAIRS_SQL} SELECT child AS src, 'PART_OF' AS type, parent AS dst FROM pairs""")
+def g10_inverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = B.hierarchy_edges(spark, sf_dir)
+    return graph.inverse_edges(edges).select("src", "type", "dst")
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text || ' ' || doc_id || '  ', '[ \\t\\n\\x0B\\f\\r]+$', ''), '', '') AS text FROM documents""")
+def g12_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    said = F.concat("text", F.lit(" "), n, F.lit(" Related: Recitals "), n, F.lit(", 2, and 3  "))
+    return B.table(spark, sf_dir, "documents").select("doc_id", T.clean_text(said).alias("text"))
+
+
+@query(
+    f"""WITH {B.NODES_SQL}, {B.PAIRS_SQL}, p AS (SELECT n.id, n.text, q.parent FROM nodes n JOIN pairs q ON q.child = n.id WHERE n.label = 'Paragraph')
+    SELECT p.id, CASE WHEN a.text IS NULL THEN p.text ELSE a.text || chr(10) || chr(10) || p.text END AS embed_text FROM p LEFT JOIN nodes a ON a.id = p.parent AND a.label = 'Paragraph'"""
+)
+def g13_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paragraphs = B.hierarchy_nodes(spark, sf_dir).where(F.array_contains("labels", "Paragraph"))
+    pairs = B.contains_pairs(spark, sf_dir).select(F.col("child").alias("id"), F.col("parent").alias("parent_id"))
+    return graph.embedding_text(paragraphs.join(pairs, "id").select("id", "parent_id", "text"))
+
+
+@query()
+def g14_embed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = embedding.embed_distinct(texts, embedding.hashing_embedder(16))
+    return rows.select("doc_id", F.size("embed").alias("dims"), F.round(F.aggregate("embed", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = B.table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("embed"))
+    return queries, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("embed"), "label")
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
+    SELECT query_id, id, rank, round(c, 3) AS similarity FROM r WHERE rank <= 12"""
+)
+def v01_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, nodes = _vectors(spark, sf_dir)
+    return retrieval.vector_topk(queries, nodes).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 3).alias("similarity"))
+
+
+@query(
+    """SELECT a.vec_id, round(CASE WHEN b.embedding IS NULL THEN 0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS similarity
+    FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+)
+def v02_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(other, "vec_id", "left").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
+    SELECT query_id, rank, id, CASE WHEN id % 2 = 0 THEN 'text ' || id ELSE 'name ' || id END AS text, 'L' || label AS label, round(c, 3) AS similarity FROM r WHERE rank <= 10"""
+)
+def v03_project_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, nodes = _vectors(spark, sf_dir)
+    n = F.col("id")
+    full = nodes.select(
+        n, F.when(n % 2 == 0, B.text_id("text ", n)).alias("text"), B.text_id("name ", n).alias("name"), n.cast("string").alias("number"),
+        F.lit(0).alias("sub_level"), F.array(B.text_id("L", F.col("label"))).alias("labels"),
+    )
+    hits = retrieval.project_hits(retrieval.vector_topk(queries, nodes, 10), full)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "text", F.get("labels", F.lit(0)).alias("label"), "similarity")
+
+
+_WANTED_SQL = "wanted AS (SELECT 'C.' || c_custkey AS id FROM customer UNION ALL SELECT 'X.' || r_regionkey FROM region)"
+
+
+@query(f"""WITH {B.NODES_SQL}, {_WANTED_SQL} SELECT w.id, n.label, n.name, n.number FROM wanted w LEFT JOIN nodes n USING (id)""")
+def v04_lookup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    wanted = known.unionByName(B.table(spark, sf_dir, "region").select(B.text_id("X.", F.col("r_regionkey")).alias("id")))
+    return retrieval.lookup_nodes(wanted, B.hierarchy_nodes(spark, sf_dir)).select("id", "label", "name", "number")
+
+
+# --- traversal ----------------------------------------------------------------------------------------------------
+
+
+def _line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    lines = B.items(spark, sf_dir).join(B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
+    return lines.select(B.text_id("C.", c("o_custkey"), ".", c("o_orderkey"), ".", c("l_linenumber")).alias("id"))
+
+
+@query("""SELECT 'C.' || o_custkey || '.' || o_orderkey || '.' || l_linenumber AS id, 'C.' || o_custkey || '.' || o_orderkey AS top FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def t01_top_level_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.top_level_paragraph(_line_ids(spark, sf_dir), B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+
+
+@query(f"""WITH {B.PAIRS_SQL} SELECT parent AS id, child, row_number() OVER (PARTITION BY parent ORDER BY ord, child) AS place FROM pairs""")
+def t02_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = traversal.children(B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+    return rows.select("id", "child", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    f"""WITH RECURSIVE {B.PAIRS_SQL}, walk AS (SELECT DISTINCT 'C.' || c_custkey AS root, 'C.' || c_custkey AS id, 'C.' || c_custkey AS path FROM customer
+      UNION ALL SELECT root, child, path || ',' || child FROM walk JOIN pairs ON parent = id)
+    SELECT root, path, id FROM walk"""
+)
+def t03_contains_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    return traversal.contains_paths(roots, B.hierarchy_edges(spark, sf_dir)).select("root", _joined("path").alias("path"), "id")
+
+
+_TREE_TEXT_SQL = f"""{B.NODES_SQL}, {B.PAIRS_SQL}, o AS (SELECT 'C.' || o_custkey AS c, o_orderkey AS k, o_orderstatus || ' ' || o_orderpriority AS t FROM orders),
+    l AS (SELECT l_orderkey AS k, string_agg(l_returnflag || l_linestatus || ' part ' || l_partkey, chr(10) ORDER BY l_linenumber) AS t FROM lineitem GROUP BY 1),
+    b AS (SELECT c, o.k, o.t || coalesce(chr(10) || l.t, '') AS t FROM o LEFT JOIN l USING (k)),
+    order_text AS (SELECT c || '.' || k AS id, t FROM b),
+    customer_text AS (SELECT 'C.' || c_custkey AS id, c_name || coalesce(chr(10) || x.t, '') AS t FROM customer
+      LEFT JOIN (SELECT c, string_agg(t, chr(10) ORDER BY k) AS t FROM b GROUP BY 1) x ON x.c = 'C.' || c_custkey)"""
+
+
+@query(f"""WITH {_TREE_TEXT_SQL} SELECT id AS root, t AS text FROM customer_text""")
+def t05_assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    paths = traversal.contains_paths(roots, B.hierarchy_edges(spark, sf_dir))
+    return traversal.assemble_text(paths, B.hierarchy_nodes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {B.REFS_SQL}, d AS (SELECT src AS id, dst AS ref, 'outgoing' AS w FROM refs UNION SELECT dst, src, 'incoming' FROM refs)
+    SELECT id, ref, string_agg(w, ',' ORDER BY w) AS directions FROM d WHERE id IN (SELECT 'C.' || c_custkey FROM customer) OR id IN (SELECT src FROM refs) GROUP BY 1, 2"""
+)
+def t06_reference_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = traversal.reference_neighbours(B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+    return rows.select("id", "ref", _joined("directions").alias("directions"))
+
+
+@query(
+    f"""WITH {_TREE_TEXT_SQL}, {B.REFS_SQL}, s AS (SELECT 'C.' || o_custkey || '.' || o_orderkey || '.1' AS id, 'C.' || o_custkey || '.' || o_orderkey AS top, o_orderkey AS k FROM orders
+      WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) UNION ALL SELECT 'C.' || o_custkey || '.' || o_orderkey, 'C.' || o_custkey || '.' || o_orderkey, o_orderkey FROM orders
+      UNION ALL SELECT 'X.' || r_regionkey, NULL, NULL FROM region),
+    n AS (SELECT DISTINCT r.src AS id, r.dst AS ref FROM refs r),
+    q AS (SELECT n.id, string_agg(n.ref || '=' || c.t, ';') AS refs FROM n JOIN customer_text c ON c.id = n.ref GROUP BY 1)
+    SELECT s.id, CASE WHEN s.top IS NULL THEN 'Node not found' END AS error, o.t AS text, CASE WHEN s.top IS NOT NULL THEN coalesce(q.refs, '') END AS refs,
+      CASE WHEN s.top IS NOT NULL THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = s.k) END AS n_children
+    FROM s LEFT JOIN order_text o ON o.id = s.top LEFT JOIN q ON q.id = s.id"""
+)
+def t08_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _line_ids(spark, sf_dir).where(F.col("id").endswith(".1"))
+    starts = lines.unionByName(B.order_references(spark, sf_dir).select(F.col("src").alias("id"))).unionByName(B.table(spark, sf_dir, "region").select(B.text_id("X.", F.col("r_regionkey")).alias("id")))
+    rows = traversal.traverse(starts, B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+    refs = F.array_join(F.transform("references", lambda r: F.concat(r["id"], F.lit("="), r["text"])), ";")
+    return rows.select("id", "error", "text", refs.alias("refs"), F.size("children").cast("long").alias("n_children"))
+
+
+@query(
+    f"""WITH {B.PAIRS_SQL}, {B.REFS_SQL}, s AS (SELECT 'C.' || c_custkey AS start FROM customer)
+    SELECT start, start AS src, 'CONTAINS' AS type, child AS dst FROM s JOIN pairs ON parent = start
+    UNION SELECT start, src, 'REFERENCES', dst FROM s JOIN refs ON src = start OR dst = start"""
+)
+def t09_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    return traversal.subgraph(starts, B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))[1]
+
+
+# --- profile --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {B.NODES_SQL}, l AS (SELECT label, name, text, number, sub_level, id FROM nodes UNION ALL SELECT 'EmbeddingNode', name, text, number, sub_level, id FROM nodes)
+    SELECT label, property, types, n FROM (
+      SELECT label, 'id' AS property, 'str' AS types, count(id) AS n FROM l GROUP BY 1 UNION ALL SELECT label, 'name', 'str', count(name) FROM l GROUP BY 1
+      UNION ALL SELECT label, 'text', 'str', count(text) FROM l GROUP BY 1 UNION ALL SELECT label, 'number', 'str', count(number) FROM l GROUP BY 1
+      UNION ALL SELECT label, 'sub_level', 'int', count(sub_level) FROM l GROUP BY 1) WHERE n > 0"""
+)
+def p01_node_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.node_property_types(B.hierarchy_nodes(spark, sf_dir)).select("label", "property", _joined("types").alias("types"), "n")
+
+
+@query(
+    f"""WITH {B.PAIRS_SQL}, {B.REFS_SQL} SELECT 'CONTAINS' AS type, 'ord' AS property, 'int' AS types, count(*) AS n FROM pairs
+    UNION ALL SELECT 'REFERENCES', 'ref_kind', 'str', count(*) FROM refs"""
+)
+def p02_edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.edge_property_types(B.hierarchy_edges(spark, sf_dir)).select("type", "property", _joined("types").alias("types"), "n")
+
+
+_PATTERN_SQL = f"""{B.NODES_SQL}, {B.PAIRS_SQL}, {B.REFS_SQL}, e AS (SELECT parent AS src, 'CONTAINS' AS type, child AS dst FROM pairs UNION ALL SELECT src, 'REFERENCES', dst FROM refs),
+    two AS (SELECT id, label FROM nodes UNION ALL SELECT id, 'EmbeddingNode' FROM nodes),
+    p AS (SELECT a.label AS start_label, type, b.label AS end_label, count(*) AS n FROM e JOIN two a ON a.id = src JOIN two b ON b.id = dst GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_PATTERN_SQL} SELECT start_label, type, end_label, n FROM p""")
+def p03_relationship_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.relationship_patterns(B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {B.NODES_SQL}, c AS (SELECT array_to_string(list_sort([label, 'EmbeddingNode']), ' + ') AS labels, * FROM nodes)
+    SELECT labels, 'id' AS property, count(id) AS n FROM c GROUP BY 1 UNION ALL SELECT labels, 'name', count(name) FROM c GROUP BY 1 UNION ALL SELECT labels, 'text', count(text) FROM c GROUP BY 1
+    UNION ALL SELECT labels, 'number', count(number) FROM c GROUP BY 1 UNION ALL SELECT labels, 'sub_level', count(sub_level) FROM c GROUP BY 1 UNION ALL SELECT labels, 'embed', 0 FROM c GROUP BY 1"""
+)
+def p04_property_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.index_summary(B.hierarchy_nodes(spark, sf_dir))
+
+
+@query()
+def p05_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.render_schema(B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
+
+
+# --- conversation memory ---------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {B.MESSAGES_SQL}, r AS (SELECT session_id, turn, role, count(*) FILTER (role IN ('user', 'assistant')) OVER (PARTITION BY session_id ORDER BY turn) AS turns FROM messages)
+    SELECT session_id, turn, turns FROM r WHERE role IN ('user', 'assistant') AND turns % 6 = 0"""
+)
+def m02_reflection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.reflection_points(B.messages(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {B.MESSAGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY session_id) AS m FROM messages),
+    f AS (SELECT session_id, 0::BIGINT AS i, m, 0::BIGINT AS size, 0::BIGINT AS turns, 0::BIGINT AS reflections FROM o WHERE i = 1
+      UNION ALL SELECT f.session_id, o.i, f.m,
+        CASE WHEN o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32) THEN f.size + 1 - greatest(1, (f.size + 1) // 2) ELSE f.size + 1 END,
+        f.turns + (o.role IN ('user', 'assistant'))::BIGINT,
+        f.reflections + (o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32))::BIGINT
+      FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)
+    SELECT session_id, turns, reflections, size AS n_buffer FROM f WHERE i = m"""
+)
+def m03_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memory.reflect(B.messages(spark, sf_dir))
+    return rows.select("session_id", "turns", "reflections", F.size("buffer").cast("long").alias("n_buffer"))
+
+
+_DOC_NOW = 3_000_000.0
+
+
+@query(
+    f"""WITH {B.MESSAGES_SQL}, q AS (SELECT session_id, arg_min(content, turn) AS query FROM messages GROUP BY 1),
+    t AS (SELECT m.*, list_filter(regexp_split_to_array(lower(q.query), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS qt, list_filter(regexp_split_to_array(lower(m.content), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ct FROM messages m JOIN q USING (session_id))
+    SELECT session_id, id, greatest(1, len(ct))::INT AS tokens, round(CASE WHEN len(qt) > 0 AND len(ct) > 0 THEN len(list_intersect(list_distinct(qt), ct)) / len(list_distinct(qt)) ELSE 0 END, 6) AS relevance,
+      round(exp(-ln(2) * ({_DOC_NOW} - ts) / 1800000.0), 6) AS recency FROM t"""
+)
+def m07_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.messages(spark, sf_dir)
+    first = rows.groupBy("session_id").agg(F.min_by("content", "turn").alias("query"))
+    return rows.join(first, "session_id").select(
+        "session_id", "id", T.rough_token_count(F.col("content")).alias("tokens"), F.round(T.keyword_relevance(F.col("query"), F.col("content")), 6).alias("relevance"),
+        F.round(memory.recency_score(F.lit(_DOC_NOW) - F.col("ts"), 1_800_000.0), 6).alias("recency"),
+    )
+
+
+def _session_memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = B.messages(spark, sf_dir)
+    queries = rows.groupBy("session_id").agg(F.max_by("content", "turn").alias("query")).withColumn("query_id", F.lit(1))
+    return memory.reflect(rows), queries
+
+
+@query()
+def m09_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, queries = _session_memory(spark, sf_dir)
+    scored = memory.score_candidates(state, queries, F.lit(_DOC_NOW))
+    packed = memory.ensure_last_user(memory.pack_budget(scored, 400), state, 400)
+    return packed.select("session_id", "query_id", "used", F.size("packed").alias("n"), F.array_join(F.transform("packed", lambda p: p["kind"]), ",").alias("kinds"))
+
+
+@query(
+    f"""WITH RECURSIVE {B.MESSAGES_SQL}, c AS (SELECT session_id, turn, greatest(1, len(list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')))::INT AS tokens,
+        row_number() OVER (PARTITION BY session_id ORDER BY turn % 7 DESC, turn) AS i, count(*) OVER (PARTITION BY session_id) AS m FROM messages),
+    f AS (SELECT session_id, 0::BIGINT AS i, m, 0 AS used, 0::BIGINT AS n FROM c WHERE i = 1
+      UNION ALL SELECT f.session_id, c.i, f.m, CASE WHEN f.used + tokens <= 300 THEN f.used + tokens ELSE f.used END, f.n + (f.used + tokens <= 300)::BIGINT FROM f JOIN c ON c.session_id = f.session_id AND c.i = f.i + 1)
+    SELECT session_id, used, n FROM f WHERE i = m"""
+)
+def m10_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.messages(spark, sf_dir).select(
+        "session_id", F.lit(1).alias("query_id"), F.col("turn").cast("int").alias("place"), F.lit("msg").alias("kind"), F.col("content").alias("text"),
+        T.rough_token_count(F.col("content")).alias("tokens"), (F.col("turn") % 7).cast("double").alias("score"),
+    )
+    return memory.pack_budget(rows, 300).select("session_id", "used", F.size("packed").cast("long").alias("n"))
+
+
+@query()
+def m12_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = memory.reflect(B.messages(spark, sf_dir)).withColumn("metadata", F.create_map(F.lit("lang"), F.lit("en")))
+    rows = memory.prompt_window(state, "You answer from the graph.", max_turns=4)
+    return rows.select("session_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+    n AS (SELECT user_id, sum(CASE WHEN p IS NULL OR t - p > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS life FROM e)
+    SELECT user_id, life::BIGINT AS life, count(*) AS n FROM n GROUP BY 1, 2"""
+)
+def m13_session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("ts"))
+    return memory.session_expiry(rows, "user_id").groupBy("user_id", "life").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {B.MESSAGES_SQL}, s AS (SELECT session_id, count(*) AS n FROM messages GROUP BY 1)
+    SELECT session_id, n AS n_buffer FROM s UNION ALL SELECT 'new', 0"""
+)
+def s05_session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = memory.reflect(B.messages(spark, sf_dir), buffer_limit=1 << 30, every=1 << 30)
+    saved = documents_io.save_sessions(whole)
+    wanted = whole.select("session_id").unionByName(spark.range(1).select(F.lit("new").alias("session_id")))
+    return documents_io.load_sessions(wanted, saved).select("session_id", F.size("buffer").cast("long").alias("n_buffer"))
+
+
+# --- traces --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN trim(text) WHEN 1 THEN 'Thought. final answer ' || text ELSE 'Thought.' END AS answer
+    FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)"""
+)
+def a01_final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, said = F.col("turn") % 3, F.replace("text", F.lit("\n"), F.lit(" "))
+    content = F.when(k == 0, F.concat(F.lit("Thought.\nFinal:\n "), said)).when(k == 1, F.concat(F.lit("Thought. final answer "), said)).otherwise(F.lit("Thought."))
+    rows = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"))
+    return trace.answers(rows).select("conv_id", "turn", "answer")
+
+
+@query(
+    """SELECT user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step,
+       CASE event_id % 3 WHEN 0 THEN 'node_retrieval' WHEN 1 THEN 'Agent step' ELSE event_type END AS label,
+       CASE WHEN event_id % 2 = 0 THEN len(json_keys(props))::INT ELSE 1 END AS n_arguments, CASE WHEN event_id % 3 = 2 THEN 'Unknown tool ''' || event_type || '''.' END AS error FROM events"""
+)
+def a03_trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = B.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), e.alias("step"), F.when(e % 3 == 0, "node_retrieval").when(e % 3 == 2, F.col("event_type")).alias("name"),
+        F.when(e % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("text "), "props")).alias("arguments"), F.lit("").alias("output"),
+    )
+    steps = trace.flatten_trace(rows)
+    return steps.select("session_id", F.col("step").cast("long").alias("step"), "label", F.size("arguments").alias("n_arguments"), "error")
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
+    SELECT query_id, 'The query returned these nodes ' || string_agg(id::VARCHAR, ', ' ORDER BY rank) || '.' AS summary FROM r WHERE rank <= 5 GROUP BY 1"""
+)
+def a04_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, nodes = _vectors(spark, sf_dir)
+    return trace.summarize_hits(retrieval.vector_topk(queries, nodes, 5))
