@@ -13,6 +13,7 @@ from ..functions.vectors import cosine
 from ..operators import embedding, graph, hierarchy, memory, profile, references, retrieval, trace, traversal
 from ..sources import documents as documents_io
 from ..sources import pages as pages_io
+from ..streaming import runs, sessions
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -748,3 +749,43 @@ def a03_trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a04_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, nodes = _vectors(spark, sf_dir)
     return trace.summarize_hits(retrieval.vector_topk(queries, nodes, 5))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files; a table of one file is picked out of the folder that holds it."""
+    table = B.table(spark, sf_dir, name)
+    reader = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(
+    ORACLE_SQL["m03_reflect"].replace("SELECT session_id, turns, reflections, size AS n_buffer", "SELECT session_id, turns, reflections, size::INT AS n_buffer")
+)
+def st01_stream_session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("conv_id") * 100 + F.col("turn")
+    seconds = F.lit(1_000_000) + ((F.col("conv_id") % 8) * 10 + F.col("turn")) * 60  # ten minutes between conversations
+    rows = _stream(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 8).cast("string").alias("session_id"), at.alias("turn"), B.text_id("m", at).alias("id"), "role",
+        F.col("text").alias("content"), F.timestamp_seconds(seconds).alias("ts"),
+    )
+    last = runs.available_now(sessions.stream_session_memory(rows), "update")
+    newest = F.max_by(F.struct("turns", "reflections", "n_buffer"), "batch").alias("s")
+    return last.groupBy("session_id").agg(newest).select("session_id", "s.*")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+    n AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS life FROM e),
+    s AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM n GROUP BY user_id, life)
+    SELECT user_id, epoch_us(first_ts) AS start_us, epoch_us(last_ts + INTERVAL 1 HOUR) AS end_us, n FROM s
+    WHERE last_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+)
+def st02_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closed = runs.available_now(sessions.stream_sessions(rows, "user_id"), "append")
+    return closed.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
