@@ -176,7 +176,7 @@ def indented_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS_SQL = """blocks AS (
-  SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_linenumber * 7 + l_partkey) % 3 AS level,
+  SELECT l_orderkey AS doc_id, l_linenumber AS pos, ((l_linenumber * 7 + l_partkey) % 3)::INT AS level,
     CASE l_partkey % 4 WHEN 0 THEN '(a) item ' || l_partkey WHEN 1 THEN l_linenumber || '. item ' || l_partkey ELSE 'item ' || l_partkey END AS text,
     CASE l_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN l_linenumber::VARCHAR END AS own
   FROM lineitem),
