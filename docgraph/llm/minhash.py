@@ -8,10 +8,15 @@ bucket), compares them exactly with the members of *other* components, links wha
 retires the hubs. A bucket ends as soon as all that is left in it is one component, so a group of
 thousands of copies costs one comparison a member. The number of hubs grows from round to round,
 so few rounds remain where a bucket holds many unlike texts; none of their links is lost.
+
+Texts that share a frequent passage can fill a bucket without being alike. After the first round, the
+members of buckets with more than ``SMALL`` texts and several components are sketched anew with longer
+bands, which unlike texts rarely share, and meet in those buckets instead.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 from .shingles import mix64, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
+#: Bands for texts from crowded buckets: a pair at 0.75 is missed with probability (1 - 0.75^10)^160 = 9e-5.
+LONG_BANDS, LONG_ROWS, SMALL = 160, 10, 32
+#: Tables of ids with at most so many rows (a few MB) are broadcast; larger ones are shuffled.
+FEW = 200_000
 _BLOCK = 1 << 15
 
 
@@ -110,12 +119,48 @@ def _linked(percent: int):
     return verify
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges of one task."""
+    root: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        path = []
+        while root.setdefault(v, v) != v:
+            path.append(v)
+            v = root[v]
+        for x in path:
+            root[x] = v
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    ids = list(root)
+    tops = [top(v) for v in ids]
+    weight = Counter(tops)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(tops, pa.int64()), pa.array([weight[t] for t in tops], pa.int64())], names=["id", "component", "weight"]
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the vertices of (a, b): the smallest id each can reach.
+    """(id, component, weight) of the vertices of (a, b): the smallest id each can reach, and how many reach it.
 
-    Alternates large-star and small-star steps: each edge moves towards the smallest neighbour of
-    one end, so chains halve and a hub's edges stay one row each.
+    At most ``FEW`` edges are joined up in one task. More of them take alternating large-star and
+    small-star steps: each edge moves towards the smallest neighbour of one end, so chains halve and a hub's
+    edges stay one row each.
     """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if edges.limit(FEW + 1).count() <= FEW:
+        return edges.coalesce(1).mapInArrow(_forest, "id long, component long, weight long")
+    found = _stars(edges)
+    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
+    return found.join(weights, "component").select("id", "component", "weight")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(id, component) by large-star and small-star steps, until no edge moves."""
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long"))).first())
@@ -124,13 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = neighbours.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         return neighbours.join(low, "a")
 
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = mark(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small = least(large)
+        small = least(large.where("a <> b"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         edges = cut(small.where("a <> b").distinct())
         before, now = now, mark(edges)
@@ -141,18 +184,74 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(roots.join(leaves.select("id"), "id", "left_anti"))
 
 
-def _label(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("c", F.col("v"))
-    return members.join(labels.select(F.col("id").alias("v"), "component"), "v", "left").select(
-        "bucket", "v", F.coalesce("component", "v").alias("c")
-    )
-
+def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, v, n, c, weight, size): the members of buckets that hold more than one component.
 
-def _several(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    open_buckets = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    return members.join(open_buckets.select("bucket"), "bucket")
+    c is the member's component and weight the number of texts in it; size is the number of the bucket's members.
+    """
+    if labels is None:
+        own = members.select("bucket", "v", "n", F.col("v").alias("c"), F.lit(1).cast("long").alias("weight"))
+    else:
+        known = broadcast_if_small(labels.select(F.col("id").alias("v"), "component", "weight"), FEW)
+        own = members.join(known, "v", "left").select("bucket", "v", "n", F.coalesce("component", "v").alias("c"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    open_buckets = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+    return own.join(open_buckets.where("lo <> hi").select("bucket", "size"), "bucket").select("bucket", "v", "n", "c", "weight", "size")
+
+
+def _members(sketch: DataFrame) -> DataFrame:
+    """(bucket, v, n): a row for each band of each sketch."""
+    return sketch.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"))
+
+
+def _hubs(members: DataFrame, most: int) -> DataFrame:
+    """(bucket, hub, hub_n, hub_c): the first members of each bucket; those of the largest components come first, so
+    that stragglers meet what they probably belong to, and not the other way round."""
+    if most == 1:
+        least = members.groupBy("bucket").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.min_by("c", "v").alias("hub_c"))
+        return least
+    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "v")
+    ranked = members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    return ranked.select("bucket", F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+
+
+def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: hubs and members of their buckets, of other components and of sizes that allow a link."""
+    sizes = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
+    met = members.alias("m").join(hubs.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & (F.col("c") != F.col("hub_c")) & sizes)
+    return met.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(percent), "a long, b long")
+
+
+def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """(component, id, weight) of all representatives that are linked with others; None if there are none."""
+    members = cut(_several(_members(reps), None))
+    if members.isEmpty():
+        return None
+    needed = members.select(F.col("v").alias("doc_id")).distinct()  # only these texts move
+    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id").dropDuplicates(["doc_id"]))
+    labels, tried, most = None, None, 1
+    while not members.isEmpty():
+        hubs = cut(_hubs(members, most))
+        pairs = _pairs(members, hubs, percent)
+        pairs = cut(pairs if tried is None else pairs.join(broadcast_if_small(tried, FEW), ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _verified(pairs, texts, percent)
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        labels = cut(components(found))
+        rest = members.join(broadcast_if_small(hubs.select("bucket", F.col("hub").alias("v")), FEW), ["bucket", "v"], "left_anti").select("bucket", "v", "n")
+        members = cut(_several(rest, labels))
+        if most == 1:
+            crowded = members.where(F.col("size") > SMALL)
+            again = texts.join(crowded.select(F.col("v").alias("doc_id")).distinct(), "doc_id")
+            long = _several(_members(sketches(again, LONG_BANDS, LONG_ROWS)), labels)
+            members = cut(members.where(F.col("size") <= SMALL).unionByName(long))
+        most *= SMALL
+    return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,50 +272,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     reps = full.join(classes, same).where("doc_id = class_id").dropDuplicates(["doc_id"])
-    member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("v")).distinct()
-    members = cut(_several(_label(member, None)).select("bucket", "v"))
-
-    texts, tried, links, labels, hubs = None, None, None, None, 1
-    while True:
-        if labels is not None:
-            members = cut(_several(_label(members, labels)).select("bucket", "v"))
-        if not members.limit(1).count():
-            break
-        if texts is None:  # what may be compared; only these texts move
-            needed = members.select(F.col("v").alias("doc_id")).distinct()
-            texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id").dropDuplicates(["doc_id"])
-            texts = cut(texts)
-        if hubs == 1:
-            hub = members.groupBy("bucket").agg(F.min("v").alias("hub"))
-        else:
-            first = Window.partitionBy("bucket").orderBy("v")
-            hub = members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs)
-            hub = hub.select("bucket", F.col("v").alias("hub"))
-        hub = cut(hub)
-        pairs = members.join(hub, "bucket").where("v > hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-        if labels is not None:
-            of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            pairs = pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
-        found = (
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_linked(percent), "a long, b long")
-        )
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
-        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        members = members.join(hub.select("bucket", F.col("hub").alias("v")), ["bucket", "v"], "left_anti")
-        hubs *= 8
-
+    labels = _links(reps, docs, percent)
     out = sketch.select("doc_id", *same).join(classes, same, "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    else:
+    if labels is None:
         out = out.withColumn("component", F.lit(None).cast("long"))
+    else:
+        out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return out.select(
         "doc_id",

@@ -73,10 +73,13 @@ def test_near_duplicates_of_a_crowded_family(spark):
     assert {r.doc_id: r.component_id for r in got} == near_groups(own)
 
 
-def test_chain_components(spark):
+@pytest.mark.parametrize("few", [minhash.FEW, 0])
+def test_chain_components(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+    assert {r.weight for r in minhash.components(edges).collect()} == {41, 3}
 
 
 def test_decontamination(spark, docs, texts):
