@@ -1,15 +1,17 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go.
 
 Two lines are within one edit exactly if they are equal, or one without one character is the other,
-or both without the character at the same place are equal. So a line's variants are itself, itself
-without each of its characters, and the latter together with the place. Variants travel as hashes; each
-group of equal variants sends only its earliest line to its members, never all pairs, and the edit
-distance of what meets is verified on the texts.
-
-Emitting a variant for each character of a corpus would be many times its size, so lines without any
-possible partner are left out first: of two lines within one edit, either the first or the last h
-characters agree, where h is the power of two up to half of the shorter length. Only lines
-that share such a half with another line emit variants. This loses no pair.
+or both without the character at the same place are equal. So a line's variants are itself and itself
+without each of its characters. Variants travel as hashes; within a group of equal variants each line
+meets only the earliest one that can be within an edit, never all of them, and the edit distance of
+what meets is verified on the texts.
+
+A variant for each character of a corpus would be many times its size, so two filters, which lose no
+pair, come first. Of two lines within one edit, the first or the last h characters agree, where h is the
+power of two up to half of the shorter length m: lines that share neither half with another line are
+done. The others are cut into 16 to 31 steps of equal length from either end; for an edit in some step, the
+steps before it and those after it agree but for two. Only lines that share all but two steps with another
+line emit variants, and only for the characters in between.
 """
 
 from __future__ import annotations
@@ -18,75 +20,213 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
-from .shingles import _BASE, _BASE_INV, _power, mix64, slices
+from .common import broadcast_if_small, cut
+from .shingles import mix64, power, slices
 
 #: Shorter lines are compared exactly only: one edit may change what they say.
 LEAST_CHARS = 20
+#: Hashes that may be broadcast (16 MB); beyond that the lines are shuffled to them.
+_BROADCAST_ROWS = 1_000_000
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_SALT = np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+
 
+class Lines:
+    """The normalised non-blank lines of many texts, and hashes of any of their parts.
 
-def line_array(text: Column) -> Column:
-    """The normalised lines of a text: A-Z lower-cased, white space in a row made one space, trimmed."""
-    flat = F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
+    A-Z is lower-cased, white space in a row becomes one space, and lines are trimmed.
+    """
 
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le"), np.uint32).copy()
+        upper = (points >= 65) & (points <= 90)
+        points[upper] += np.uint32(32)
+        ends = np.flatnonzero(points == 10)
+        space = (points == 32) | ((points >= 9) & (points <= 13) & (points != 10))
+        points[space] = 32
+        solid = np.flatnonzero(~space)
+        before = np.concatenate(([10], points[:-1])) if len(points) else points
+        keep = ~space
+        run = np.flatnonzero(space & (before != 32) & (before != 10))
+        if len(run):
+            keep[run[points[solid[np.searchsorted(solid, run)]] != 10]] = True
+        self.points = points[keep]
+        place = np.cumsum(keep)
+        stop = place[ends] - 1 if len(ends) else ends
+        start = np.concatenate(([0], stop[:-1] + 1)) if len(ends) else ends
+        doc = np.searchsorted(np.cumsum(sizes), ends, "right")
+        first = np.searchsorted(doc, np.arange(len(texts)))
+        number = np.arange(len(ends)) - first[doc] if len(ends) else ends
+        full = stop > start
+        self.start, self.stop, self.doc, self.number = start[full], stop[full], doc[full], number[full]
+        code = mix64(self.points.astype(np.uint64) + np.uint64(1))
+        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * power(b, len(code))[: len(code)], dtype=np.uint64))) for b in _BASES]
 
-def _line_id(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("id_lo"), F.xxhash64(line, F.lit("second")).alias("id_hi")]
+    def hash(self, start: np.ndarray, stop: np.ndarray, base: int = 0) -> np.ndarray:
+        """The hash of the characters from start to stop, wherever they are."""
+        back = power(np.uint64(pow(int(_BASES[base]), -1, 2**64)), len(self.points) + 1)
+        return (self.sums[base][stop] - self.sums[base][start]) * back[start]
 
+    def ids(self) -> list[np.ndarray]:
+        n = (self.stop - self.start).astype(np.uint64)
+        return [mix64(self.hash(self.start, self.stop, k) + n * _SALT[k]) for k in (0, 1)]
+
+    def text(self, i: int) -> str:
+        return self.points[self.start[i] : self.stop[i]].tobytes().decode("utf-32-le")
+
+
+def _log2(n: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
 
-def _halves(line: Column) -> Column:
-    """Hashes of the first and last h characters, for the lengths that a partner may have."""
-    n = F.char_length(line)
-    half = lambda m: F.pow(F.lit(2.0), F.floor(F.log2(m / F.lit(2.0)))).cast("int")
-    ends = lambda h: F.array(
-        F.xxhash64(F.left(line, h), h, F.lit("first")), F.xxhash64(F.right(line, h), h, F.lit("last"))
-    )
-    both = F.when(half(n) == half(n - 1), ends(half(n))).otherwise(F.concat(ends(half(n)), ends(half(n - 1))))
-    return F.when(n >= LEAST_CHARS - 1, both).otherwise(F.array().cast("array<long>"))
 
+def _halves(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the first and last h characters, for the lengths m that a pair may have."""
+    n = lines.stop - lines.start
+    rows, keys = [], []
+    for m in (n, n - 1):
+        own = np.flatnonzero((n >= LEAST_CHARS - 1) & ((m == n) | (_log2(m) != _log2(n))))
+        h = np.int64(1) << (_log2(m[own]) - 1)
+        for salt, start in ((2, lines.start[own]), (3, lines.stop[own] - h)):
+            rows.append(own)
+            keys.append(mix64(lines.hash(start, start + h) + h.astype(np.uint64) * _SALT[salt]))
+    return np.concatenate(rows), np.concatenate(keys)
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, kind, ...) for each variant; polynomial prefix sums make it linear in the text."""
+
+def _steps(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash, from, to): for each length m that a pair may have and each step, the hash of all that lies before and after,
+    and the characters in between."""
+    n = lines.stop - lines.start
+    parts = []
+    for m in (n, n - 1):
+        h_n, h = np.int64(1) << np.maximum(_log2(n) - 4, 0), np.int64(1) << np.maximum(_log2(m) - 4, 0)
+        own = np.flatnonzero((m == n) | (h != h_n) | (m // h != n // h))
+        count = np.maximum(m[own] // h[own] - 1, 1)
+        row = np.repeat(own, count)
+        a = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        step = h[row]
+        low, high = a * step, n[row] - (np.repeat(count, count) - 1 - a) * step
+        head = lines.hash(lines.start[row], lines.start[row] + low)
+        tail = lines.hash(lines.start[row] + high, lines.stop[row])
+        shape = (a + step * 64 + np.repeat(count, count) * (1 << 40)).astype(np.uint64)
+        parts.append((row, mix64(mix64(head + shape * _SALT[4]) + tail), low, high))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _each(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
     for whole in batches:
-        for batch in slices(whole, "line", 1 << 16):
-            rows, keys, kinds = [], [], []
-            for i, line in enumerate(batch.column("line").to_pylist()):
-                points = mix64(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-                n = len(points)
-                before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * _power(_BASE, n, "up")[:n], dtype=np.uint64)))
-                without = before[:-1] + (before[-1] - before[1:]) * _BASE_INV
-                placed = mix64(without) + np.arange(1, n + 1, dtype=np.uint64)
-                keys += [mix64(before[-1:] + np.uint64(n)), mix64(without + np.uint64(n - 1)), mix64(placed * _BASE + np.uint64(n))]
-                kinds.append(np.repeat(np.array([0, 1, 2], np.int32), [1, n, n]))
-                rows.append(np.full(2 * n + 1, i))
-            if rows:
-                own = batch.select(["doc_id", "line_no"]).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), *own.columns],
-                    names=["key", "kind", "doc_id", "line_no"],
-                )
-
-
-def _partners(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, to_doc, to_line): each line's earliest line within one edit, if earlier than it.
-
-    lines: (line, doc_id, line_no), distinct lines with their first places.
-    """
-    at = F.struct("doc_id", "line_no")
-    emitted = lines.mapInArrow(_variants, "key long, kind int, doc_id long, line_no int")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, at)).alias(f"least_{kind}")
-    groups = emitted.groupBy("key").agg(F.count("*").alias("n"), least(0), least(1), least(2)).where("n > 1")
-    met = emitted.join(groups, "key")
-    to = F.when(F.col("kind") == 0, F.col("least_1")).when(F.col("kind") == 1, F.col("least_0")).otherwise(F.col("least_2"))
-    pairs = met.select("doc_id", "line_no", to.alias("to")).where(F.col("to") < at).distinct()
-    pairs = pairs.select("doc_id", "line_no", F.col("to.doc_id").alias("to_doc"), F.col("to.line_no").alias("to_line"))
+        for batch in slices(whole, column, most):
+            yield batch, Lines(batch.column(column).to_pylist())
+
+
+def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, lines in _each(batches, "text", 2 << 20):
+        row, key = _halves(lines)
+        yield _table({"half": pa.array(key.view(np.int64)), "id_lo": pa.array(lines.ids()[0][row].view(np.int64))})
+
+
+def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, lines in _each(batches, "text", 2 << 20):
+        lo, hi = lines.ids()
+        yield _table(
+            {
+                "id_lo": pa.array(lo.view(np.int64)), "id_hi": pa.array(hi.view(np.int64)),
+                "doc_id": batch.column("doc_id").take(pa.array(lines.doc)), "line_no": pa.array(lines.number.astype(np.int32)),
+            }
+        )
+
+
+def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, lines in _each(batches, "text", 1 << 20):
+        row, key = _halves(lines)
+        lo = lines.ids()[0]
+        texts = pa.array([lines.text(i) for i in range(len(lo))], pa.string())
+        own = pa.array(row)
+        yield _table(
+            {
+                "half": pa.array(key.view(np.int64)), "id_lo": pa.array(lo[row].view(np.int64)), "line": texts.take(own),
+                "doc_id": batch.column("doc_id").take(pa.array(lines.doc[row])), "line_no": pa.array(lines.number[row].astype(np.int32)),
+            }
+        )
+
+
+def _emit_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, lines in _each(batches, "line", 1 << 18):
+        row, key, low, high = _steps(lines)
+        own = pa.array(lines.doc[row])
+        yield _table(
+            {
+                "step": pa.array(key.view(np.int64)), "doc_id": batch.column("doc_id").take(own), "line_no": batch.column("line_no").take(own),
+                "id_lo": batch.column("id_lo").take(own), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32)),
+            }
+        )
+
+
+def _emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, at, ...): the line itself (at -1) and the line without each character of its ranges."""
+    for batch, lines in _each(batches, "line", 1 << 17):
+        rows, spots = [], []
+        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+            spot = np.unique(np.concatenate([np.arange(r["low"], r["high"]) for r in ranges]))
+            spots += [np.array([-1]), spot]
+            rows.append(np.full(len(spot) + 1, i))
+        if not rows:
+            continue
+        row, spot = np.concatenate(rows), np.concatenate(spots)
+        start, stop = lines.start[row], lines.stop[row]
+        n = (stop - start).astype(np.uint64)
+        cut_at = np.where(spot < 0, stop, start + spot)
+        rest = np.where(spot < 0, stop, start + spot + 1)
+        head = lines.hash(start, cut_at)
+        # What follows the character moves one place to the front, behind the head.
+        tail = lines.hash(rest, stop) * power(_BASES[0], int(n.max(initial=1)) + 1)[np.maximum(cut_at - start, 0)]
+        key = mix64(head + tail + (n - (spot >= 0).astype(np.uint64)) * _SALT[5])
+        own = pa.array(row)
+        yield _table(
+            {
+                "key": pa.array(key.view(np.int64)), "spot": pa.array(spot.astype(np.int32)),
+                "doc_id": batch.column("doc_id").take(own), "line_no": batch.column("line_no").take(own),
+            }
+        )
+
+
+def _partners(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, to): each line's earliest line within one edit, if earlier than it; lines by their first places."""
+    lo_hi = (F.min("id_lo").alias("lo"), F.max("id_lo").alias("hi"))
+    halves = docs.select("text").mapInArrow(_emit_halves, "half long, id_lo long")
+    shared = cut(halves.groupBy("half").agg(*lo_hi).where("lo <> hi").select("half"))
+    lines = docs.mapInArrow(_emit_lines, "half long, id_lo long, line string, doc_id long, line_no int")
+    lines = lines.join(broadcast_if_small(shared, _BROADCAST_ROWS), "half")
+    lines = cut(lines.groupBy("id_lo", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("id_lo", "line", "at.doc_id", "at.line_no"))
+
+    steps = lines.mapInArrow(_emit_steps, "step long, doc_id long, line_no int, id_lo long, low int, high int")
+    both = cut(steps.groupBy("step").agg(*lo_hi).where("lo <> hi").select("step"))
+    ranges = steps.join(broadcast_if_small(both, _BROADCAST_ROWS), "step").groupBy("doc_id", "line_no")
+    ranges = ranges.agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    narrowed = lines.select("doc_id", "line_no", "line").join(ranges, ["doc_id", "line_no"])
+    variants = narrowed.mapInArrow(_emit_variants, "key long, spot int, doc_id long, line_no int")
+
+    # Distinct lines that share a variant differ in one character at most, so these groups are small.
+    at, whole = F.struct("doc_id", "line_no"), F.col("spot") < 0
+    same, same_spot = Window.partitionBy("key"), Window.partitionBy("key", "spot")
+    met = variants.select(
+        at.alias("at"),
+        F.when(whole, F.min(F.when(~whole, at)).over(same)).otherwise(F.min(F.when(whole, at)).over(same)).alias("added"),
+        F.when(~whole, F.min(at).over(same_spot)).alias("changed"),
+    )
+    pairs = met.select("at", F.explode(F.array("added", "changed")).alias("to")).where("to < at").distinct()
+    pairs = pairs.select("at.doc_id", "at.line_no", F.col("to.doc_id").alias("to_doc"), F.col("to.line_no").alias("to_line"))
     other = lines.select(F.col("line").alias("to_text"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
-    checked = pairs.join(lines, ["doc_id", "line_no"]).join(other, ["to_doc", "to_line"])
-    checked = checked.where(F.levenshtein("line", "to_text", 1) == 1)
+    checked = pairs.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"]).join(other, ["to_doc", "to_line"])
+    enough = F.greatest(F.char_length("line"), F.char_length("to_text")) >= LEAST_CHARS
+    checked = checked.where(enough & (F.levenshtein("line", "to_text", 1) == 1))
     return checked.groupBy("doc_id", "line_no").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
 
 
@@ -94,40 +234,27 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """The lines of (doc_id, text, ...) that go, each with the earliest line within the edit bound.
 
     Rows: doc_id, line_no (from 0), keep_doc_id, keep_line_no, distance (0 or 1). A line goes if an earlier
-    line (by doc_id, then line_no) is equal to it, or within one edit where both have 20 characters or more
-    (one of them may have 19); keep_* is the earliest such line, whether or not that one
-    goes itself. Blank lines never go. Lines are compared after white space is collapsed and A-Z
-    lower-cased; equal means equal in a 128-bit hash. Null text has no lines; rows with a null doc_id are left
-    alone. Rows that repeat a doc_id stay or go line by line with their like, and never on each other's account.
-    Other columns are ignored. An empty table gives an empty result.
+    line (by doc_id, then line_no) is equal to it, or within one edit where one of the two has 20 characters or
+    more; keep_* is the earliest such line, whether or not that one goes itself. Blank lines never go. Lines are
+    compared after white space is collapsed and A-Z lower-cased; equal means equal in a 128-bit hash. Null text has
+    no lines; rows with a null doc_id are left alone. Rows that repeat a doc_id stay or go line by line with their like, and
+    never on each other's account. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    lines = docs.select("doc_id", F.posexplode(line_array(F.col("text"))).alias("line_no", "line")).where("line <> ''")
-    places = lines.select(*_line_id(F.col("line")), "doc_id", "line_no", _halves(F.col("line")).alias("halves"))
-    at = F.struct("doc_id", "line_no")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    partners = cut(_partners(docs))
+    places = docs.mapInArrow(_emit_places, "id_lo long, id_hi long, doc_id long, line_no int")
     line_id = ["id_lo", "id_hi"]
-    halves = places.select(*line_id, at.alias("at"), F.explode("halves").alias("half"))
-    halves = halves.groupBy("half", *line_id).agg(F.min("at").alias("at"))
-    # The smallest and the largest id tell whether a half has several lines.
-    shared = halves.groupBy("half").agg(F.min("id_lo").alias("lo"), F.max("id_lo").alias("hi")).where("lo <> hi").select("half")
-    lone = halves.join(shared, "half").select("id_lo", "id_hi", "at.doc_id", "at.line_no").distinct()
-    wanted = lone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id_lo")).alias("wanted"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", line_array(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
-    texts = texts.select("doc_id", "w.line_no", F.get("lines", F.col("w.line_no")).alias("line"), "w.id_lo")
-    texts = texts.where(F.xxhash64("line") == F.col("id_lo")).select("line", "doc_id", "line_no").distinct()
-    partners = _partners(cut(texts))
-
-    firsts = places.groupBy(*line_id).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    firsts = places.groupBy(*line_id).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.select(*line_id, "first.doc_id", "first.line_no", "n")
-    keep = firsts.join(partners, ["doc_id", "line_no"], "left").where("n > 1 or to is not null")
+    keep = firsts.join(broadcast_if_small(partners, _BROADCAST_ROWS // 4), ["doc_id", "line_no"], "left").where("n > 1 or to is not null")
     keep = keep.select(
         *line_id,
         F.coalesce("to.to_doc", "doc_id").alias("keep_doc_id"),
         F.coalesce("to.to_line", "line_no").alias("keep_line_no"),
         F.when(F.col("to").isNull(), 0).otherwise(1).alias("distance"),
     )
-    dropped = places.select(*line_id, "doc_id", "line_no").join(keep, line_id)
-    return dropped.where("doc_id <> keep_doc_id or line_no <> keep_line_no").select(
+    dropped = places.join(keep, line_id).where("doc_id <> keep_doc_id or line_no <> keep_line_no")
+    return dropped.select(
         "doc_id", F.col("line_no").cast("long"), "keep_doc_id", F.col("keep_line_no").cast("long").alias("keep_line_no"), "distance"
     )
 

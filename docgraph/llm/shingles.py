@@ -20,15 +20,16 @@ _BYTE[_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a base, at least, modulo 2^64."""
+    have = _powers.get(int(base))
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 20), base, np.uint64)
         have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
+        _powers[int(base)] = have = np.multiply.accumulate(have)
     return have
 
 
@@ -72,8 +73,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(first & ~space)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    value = _BYTE[data] * _power(_BASE, len(data), "up")[: len(data)]
-    hashes = mix64(np.add.reduceat(value, starts) * _power(_BASE_INV, len(data), "down")[starts])
+    value = _BYTE[data] * power(_BASE, len(data))[: len(data)]
+    hashes = mix64(np.add.reduceat(value, starts) * power(_BASE_INV, len(data))[starts])
     return hashes, np.searchsorted(starts, bounds)
 
 
