@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import cut, words
 
 BLOCK, SHARD_WORDS, SEED = 128, 1 << 24, 17
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2
@@ -48,14 +48,18 @@ def source_sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def positions(docs: DataFrame, docs_per_bucket: int = 4096, seed: int = SEED) -> DataFrame:
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of each row: the texts are read and split once, whatever follows."""
+    return cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
+
+
+def positions(sized: DataFrame, docs_per_bucket: int = 4096, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, bucket, place, start): each document's first word in its source's stream.
 
     The running sum is taken in hashed buckets of bounded size and over the bucket totals, so that
     no source's documents meet in one task.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    many = docs.agg(F.ceil(F.count("*") / docs_per_bucket).alias("n")).scalar()
+    many = sized.agg(F.ceil(F.count("*") / docs_per_bucket).alias("n")).scalar()
     # Rows that repeat a doc_id are told apart by their size, so that none of them gathers.
     bucket = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.greatest(many, F.lit(1)))
     sized = sized.withColumn("bucket", bucket)
@@ -98,7 +102,7 @@ def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed_segments(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix: one row for each slot and each document that its block covers, joined by block index."""
     return (
-        segments(placed, block).alias("s")
+        segments(placed, block).hint("merge").alias("s")
         .join(drawn.alias("d"), F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.block") == F.col("d.block")))
         .select("s.doc_id", "s.source", "s.bucket", "s.place", "d.shard", "d.slot", "s.block", "s.start", "s.first_word", "s.n_words")
     )
@@ -109,8 +113,8 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
 
     doc_ids must be unique here. An empty block is not written.
     """
-    placed = positions(docs, seed=seed)
-    mix = mixed_segments(placed, slots(source_sizes(placed), block, seed), block).drop("source")
+    sized = sized_documents(docs)
+    mix = mixed_segments(positions(sized, seed=seed), slots(source_sizes(sized), block, seed), block).drop("source")
     own = docs.select("doc_id", "source", words(F.col("text")).alias("words"))
     piece = F.array_join(F.slice("words", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     pieces = mix.join(own, "doc_id").select("shard", "source", "slot", "start", piece.alias("piece"))
@@ -126,13 +130,14 @@ def mix_digest(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     taken are 0. Null source is a source of its own, last in order. Rows that repeat a doc_id are documents of
     their own. Other columns are ignored. An empty table gives an empty result.
     """
-    placed = positions(docs, seed=seed)
-    sizes = source_sizes(placed)
+    sized = sized_documents(docs)
+    placed, sizes = positions(sized, seed=seed), source_sizes(sized)
     times = slots(sizes, block, seed).groupBy("source", "block").agg(F.count("*").alias("times"))
-    cuts = segments(placed, block).select("source", "bucket", "place", "block", "n_words")
+    # Spark takes unfolded rows for few; the hints keep it from broadcasting what grows with the corpus.
+    cuts = segments(placed, block).select("source", "bucket", "place", "block", "n_words").hint("merge")
     drawn = cuts.alias("s").join(times.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.block") == F.col("t.block")))
     drawn = drawn.groupBy("s.source", "bucket", "place").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    with_taken = placed.alias("p").join(
+    with_taken = placed.hint("merge").alias("p").join(
         drawn.alias("k"),
         F.col("p.source").eqNullSafe(F.col("k.source")) & (F.col("p.bucket") == F.col("k.bucket")) & (F.col("p.place") == F.col("k.place")),
         "left",
