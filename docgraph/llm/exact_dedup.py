@@ -73,7 +73,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     null keep_id, and they are kept. Rows that repeat a doc_id and its text count each, and are
     kept or not together. Other columns are ignored. An empty table gives an empty result.
     """
-    lists = recipes(docs)
+    lists = cut(recipes(docs))
     groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return lists.join(groups, "recipe").select(
         "doc_id",
