@@ -63,17 +63,24 @@ class Lines:
         number = np.arange(len(ends)) - first[doc] if len(ends) else ends
         full = stop > start
         self.start, self.stop, self.doc, self.number = start[full], stop[full], doc[full], number[full]
-        code = mix64(self.points.astype(np.uint64) + np.uint64(1))
-        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * power(b, len(code))[: len(code)], dtype=np.uint64))) for b in _BASES]
+        self._sums: dict[int, np.ndarray] = {}
+
+    def sums(self, base: int) -> np.ndarray:
+        """The hashes of all prefixes, one after the other, for one of the bases."""
+        if base not in self._sums:
+            code = mix64(self.points.astype(np.uint64) + np.uint64(1))
+            code *= power(_BASES[base], len(code))[: len(code)]
+            self._sums[base] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
+        return self._sums[base]
 
     def hash(self, start: np.ndarray, stop: np.ndarray, base: int = 0) -> np.ndarray:
         """The hash of the characters from start to stop, wherever they are."""
         back = power(np.uint64(pow(int(_BASES[base]), -1, 2**64)), len(self.points) + 1)
-        return (self.sums[base][stop] - self.sums[base][start]) * back[start]
+        return (self.sums(base)[stop] - self.sums(base)[start]) * back[start]
 
-    def ids(self) -> list[np.ndarray]:
+    def ids(self, base: int = 0) -> np.ndarray:
         n = (self.stop - self.start).astype(np.uint64)
-        return [mix64(self.hash(self.start, self.stop, k) + n * _SALT[k]) for k in (0, 1)]
+        return mix64(self.hash(self.start, self.stop, base) + n * _SALT[base])
 
     def text(self, i: int) -> str:
         return self.points[self.start[i] : self.stop[i]].tobytes().decode("utf-32-le")
@@ -127,14 +134,14 @@ def _each(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator
 
 
 def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, lines in _each(batches, "text", 2 << 20):
+    for _, lines in _each(batches, "text", 1 << 20):
         row, key = _halves(lines)
-        yield _table({"half": pa.array(key.view(np.int64)), "id_lo": pa.array(lines.ids()[0][row].view(np.int64))})
+        yield _table({"half": pa.array(key.view(np.int64)), "id_lo": pa.array(lines.ids()[row].view(np.int64))})
 
 
 def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lines in _each(batches, "text", 2 << 20):
-        lo, hi = lines.ids()
+    for batch, lines in _each(batches, "text", 1 << 20):
+        lo, hi = lines.ids(0), lines.ids(1)
         yield _table(
             {
                 "id_lo": pa.array(lo.view(np.int64)), "id_hi": pa.array(hi.view(np.int64)),
@@ -146,7 +153,7 @@ def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, lines in _each(batches, "text", 1 << 20):
         row, key = _halves(lines)
-        lo = lines.ids()[0]
+        lo = lines.ids()
         texts = pa.array([lines.text(i) for i in range(len(lo))], pa.string())
         own = pa.array(row)
         yield _table(
@@ -242,7 +249,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     partners = cut(_partners(docs))
-    places = docs.mapInArrow(_emit_places, "id_lo long, id_hi long, doc_id long, line_no int")
+    places = cut(docs.mapInArrow(_emit_places, "id_lo long, id_hi long, doc_id long, line_no int"))
     line_id = ["id_lo", "id_hi"]
     firsts = places.groupBy(*line_id).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.select(*line_id, "first.doc_id", "first.line_no", "n")
