@@ -2,8 +2,9 @@
 
 A candidate is a long token near a word that announces a secret. Its marginal compressed size is what
 zstandard needs for the text around it with the candidate, less what it needs without it, where the
-compressor is primed with common identifiers of code and with the text around the candidate. Words, paths,
-names and repeats cost next to nothing; keys and hashes cost what their letters hold.
+compressor is primed with common identifiers of code and with the text around the candidate, without other
+copies of the candidate. Words, paths and names cost next to nothing; keys and hashes cost what their letters hold, however
+often they are repeated.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 
-#: A candidate has this many characters, two character kinds, and one of the words up to REACH before it.
+#: A candidate has this many characters, two character kinds, and up to REACH before it one of the words or another secret; or
+#: only separators lie between it and a candidate with such a context, or it stands in the block of a private key.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
 _SENSITIVE = re.compile(
     r"passw|passwd|pwd|secret|token|api[_-]?key|apikey|credential|private[_ -]?key|auth|bearer|signature|access[_ -]?key|encryption", re.I | re.A
 )
 REACH, AROUND = 48, 2048
+_KEY_BEGIN, _KEY_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----"), "-----END"
+_KEY_TAIL = re.compile(r"(?:\s|\\[nr])*+([A-Za-z0-9+/=]{1,15})(?:\s|\\[nr])*-----END")
+_SEPARATORS = re.compile(r"(?:\\[nrt]|[^A-Za-z0-9\\])*+")
+#: A run of half the candidate's characters, and of this many at least and at most, is a copy of it.
+LEAST_COPY, MOST_COPY = 12, 64
 #: Reported from this many marginal bytes for each 10 characters. A random base64 letter holds 7.5 of 10.
 LEAST_PER_10 = 6.0
 IDENTIFIERS = (
@@ -54,16 +61,45 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _without_copies(text: str, low: int, high: int, first: int, last: int, own: str) -> str:
+    """text[low:high] without the runs that ``own`` has too; ``first`` and ``last`` bound the search for copies that an end cuts."""
+    width = max(LEAST_COPY, min(MOST_COPY, len(own) // 2))
+    first, last = max(first, low - width), min(last, high + width)
+    places: dict[str, list[int]] = {}
+    for i in range(first, last - width + 1):
+        places.setdefault(text[i : i + width], []).append(i)
+    shared = sorted({i for k in range(len(own) - width + 1) for i in places.pop(own[k : k + width], ())})
+    out, at = [], low
+    for i in shared:
+        if i > at:
+            out.append(text[at : min(i, high)])
+        at = max(at, i + width)
+    return "".join(out) + text[at:high]
+
+
 def marginal_bytes(text: str, start: int, end: int) -> int:
-    """What the span adds to the compressed size of the text just before it."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    """What the span adds to the compressed size of the text just before it, where no other copy of the span is known."""
+    own = text[start:end]
+    before = _without_copies(text, max(0, start - AROUND), start, 0, start, own)
+    after = _without_copies(text, end, min(len(text), end + AROUND), end, len(text), own)
     primer = IDENTIFIERS + (after + " " + before).encode()
     coder = zstandard.ZstdCompressor(
         level=19, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
         write_content_size=False, write_dict_id=False,
     )
     lead = before[-64:].encode()
-    return len(coder.compress(lead + text[start:end].encode())) - len(coder.compress(lead))
+    return len(coder.compress(lead + own.encode())) - len(coder.compress(lead))
+
+
+def _key_blocks(text: str) -> list[tuple[int, int]]:
+    """The places between the begin and end lines of private keys."""
+    found, at = [], 0
+    while begin := _KEY_BEGIN.search(text, at):
+        at = text.find(_KEY_END, begin.end())
+        if at < 0:
+            break
+        found.append((begin.end(), at))
+    return found
 
 
 def novel_spans(text: str, known: list[Span]) -> list[Span]:
@@ -71,13 +107,33 @@ def novel_spans(text: str, known: list[Span]) -> list[Span]:
     found: list[Span] = []
     if not _SENSITIVE.search(text):
         return found
+    blocks, patterns = _key_blocks(text), sorted((s for s in known if s[0] != "hex"), key=lambda s: s[2])
+    block = pattern = 0
+    adjacent = secret = -1  # the ends of the last candidate with a sensitive context, and of the last secret
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
+        while block < len(blocks) and blocks[block][1] <= start:
+            block += 1
+        while pattern < len(patterns) and patterns[pattern][2] <= start:
+            secret = max(secret, patterns[pattern][2])
+            pattern += 1
         kinds = (any(c.isdigit() for c in m[0])) + (any(c.isupper() for c in m[0])) + (any(c.islower() for c in m[0]))
-        if kinds < 2 or overlaps(start, end, known) or not _SENSITIVE.search(text, max(0, start - REACH), start):
+        if kinds < 2:
+            continue
+        in_block = block < len(blocks) and blocks[block][0] <= start
+        carried = 0 <= secret >= start - REACH or adjacent >= 0 and _SEPARATORS.fullmatch(text, adjacent, start) is not None
+        if not in_block and not carried and not _SENSITIVE.search(text, max(0, start - REACH), start):
+            continue
+        adjacent = end
+        if overlaps(start, end, known):
+            secret = end
             continue
         if 10 * marginal_bytes(text, start, end) >= LEAST_PER_10 * (end - start):
             found.append(("novel", start, end))
+            secret = end
+            tail = _KEY_TAIL.match(text, end) if in_block else None
+            if tail and not overlaps(*tail.span(1), known):
+                found.append(("novel", *tail.span(1)))
     return found
 
 
