@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and candidates that boosted trees judge by format and context.
 
 High-recall generators propose overlapping spans. Gradient-boosted trees, trained here with Spark ML on the
-candidates of a bounded sample of documents, learn from those that a pattern with its check confirms
-(positive) or that no pattern touches (negative) what format and context tell. A threshold calibrated on
-candidates kept out of the fit selects the spans that are added; pattern spans always stay.
+candidates of a bounded sample of documents, learn what format and context tell from those that a pattern with
+its check confirms (positive), and from those that fail a check or stand in a contrary context (negative). All
+others are open: they are no training rows, and they alone are scored. What only patterns have ('+', '@', the
+country code, the separators) is hidden from the trees, so that an open form can look like a confirmed one. A threshold
+calibrated on the labelled candidates of all documents outside the fit selects the spans that are added; pattern spans always stay.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ _GENERATORS = (
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z.])")),
 )
 _CONTEXT = re.compile(r"phone|tel|call|mobile|fax|mail|contact|card|visa|credit|account|addr|host|server|write|reach|\bip\b", re.I | re.A)
+_CONTRARY = re.compile(r"order|invoice|isbn|issn|version|serial|ticket|article|page|part|sku|price|total|amount|date|\bno\b", re.I | re.A)
+_CARD_CONTEXT = re.compile(r"card|visa|credit|amex|payment", re.I | re.A)
+_PHONE_CONTEXT = re.compile(r"phone|tel|call|mobile|fax|contact|reach", re.I | re.A)
+_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9])")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_AT = re.compile(r"\x20?[\[(]at[\])]\x20?")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?=\(|[0-9])")
 REACH = 40
 #: Documents whose candidates the trees are trained on, at most.
 MOST_SAMPLED, TREES, DEPTH, PRECISION = 20_000, 20, 3, 0.98
@@ -88,20 +97,54 @@ def candidates(text: str) -> list[Span]:
     return found
 
 
+def verdict(text: str, span: Span, base: list[Span]) -> bool | None:
+    """True if a pattern of its kind confirms the candidate, False if a check or the context speaks against it, else None."""
+    kind, start, end = span
+    if overlaps(start, end, [s for s in base if s[0] == kind]):
+        return True
+    if overlaps(start, end, base) or kind == "ip":
+        return False
+    own, before = text[start:end], text[max(0, start - REACH) : start]
+    digits = "".join(_DIGITS.findall(own))
+    if kind == "email":
+        at = _AT.search(own)
+        return None if at and own[at.start() - 1] in _LOCAL_SET and _DOMAIN.match(own, at.end()) else False
+    if kind == "card":
+        bare = own.isdigit() and len(digits) < 16 and not _CARD_CONTEXT.search(before)
+        return False if bare or not 13 <= len(digits) <= 19 or not luhn(digits) else None
+    announced = _PHONE_CONTEXT.search(before) is not None
+    if not 7 <= len(digits) <= 15 or _DATE.match(own) or _DOTTED.fullmatch(own):
+        return False
+    return None if announced or not own.isdigit() and not _CONTRARY.search(before) else False
+
+
+def _hidden(text: str, span: Span) -> list[str]:
+    """The candidate without what only a pattern has; a phone with a country code also without that."""
+    kind, start, end = span
+    own = text[start:end]
+    if kind == "email":
+        return [_AT.sub("@", own)]
+    if kind == "phone":
+        forms = [own.lstrip("+")] + [own[m.end() :] for m in [_COUNTRY.match(own)] if m]
+        return [x.replace(".", "-") for x in forms]
+    return [own.replace(".", "-") if kind == "card" else own]
+
+
 FEATURES = (
-    "kind", "length", "digits", "letters", "separators", "dots", "at", "plus", "parenthesis", "runs", "longest_run", "luhn", "small_parts",
+    "kind", "length", "digits", "letters", "separators", "dots", "parenthesis", "runs", "longest_run", "luhn", "small_parts",
     "context", "space_before", "space_after", "distinct_digits",
 )
 
 
-def features(text: str, span: Span) -> list[float]:
+def features(text: str, span: Span, form: str | None = None) -> list[float]:
+    """The features of a candidate, of its first hidden form if none is given."""
     kind, start, end = span
-    own = text[start:end]
+    own = _hidden(text, span)[0] if form is None else form
     runs = re.findall(r"[0-9]+", own)
     digits = "".join(runs)
     return [
         float(KINDS.index(kind)), float(len(own)), float(len(digits)), float(sum(c.isalpha() for c in own)), float(sum(c in " -/" for c in own)),
-        float(own.count(".")), float("@" in own), float(own[0] == "+"), float("(" in own), float(len(runs)), float(max(map(len, runs), default=0)),
+        float(own.count(".")), float("(" in own), float(len(runs)), float(max(map(len, runs), default=0)),
         float(bool(digits) and luhn(digits)), float(all(len(r) <= 3 and int(r) <= 255 for r in runs)),
         float(_CONTEXT.search(text, max(0, start - REACH), start) is not None),
         float(start == 0 or text[start - 1].isspace()), float(end == len(text) or text[end].isspace() or text[end] in ".,;"), float(len(set(digits))),
@@ -140,33 +183,51 @@ def _nodes(node, out: list) -> int:
     return at
 
 
+def _examples(text: str) -> Iterator[tuple[list[float], float]]:
+    """(features, label) of the candidates that are not open, in every hidden form."""
+    base = base_spans(text)
+    for span in candidates(text):
+        label = verdict(text, span, base)
+        if label is not None:
+            for form in _hidden(text, span):
+                yield features(text, span, form), float(label)
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, labels, part = [], [], []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-            base = base_spans(text)
-            for span in candidates(text):
-                same = [s for s in base if s[0] == span[0]]
-                confirmed = overlaps(span[1], span[2], same)
-                if confirmed or not overlaps(span[1], span[2], base):
-                    rows.append(features(text, span))
-                    labels.append(float(confirmed))
-                    part.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(labels, pa.float64()), pa.array(part, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "part", "x"]
-        )
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = [x for text in batch.column("text").to_pylist() for x in _examples(text)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([y for _, y in found], pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.float64()))], names=["label", "x"]
+            )
+
+
+def _banded(shared):
+    """(band, positive, n): the labelled candidates of a batch by their chance in steps of 1/50."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [x for text in batch.column("text").to_pylist() for x in _examples(text)]
+                if found:
+                    band = np.floor(shared.value.score(np.array([x for x, _ in found])) * 50).astype(np.int64)
+                    n, positive = np.bincount(band), np.bincount(band, [y for _, y in found])
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(positive[some]), pa.array(n[some], pa.int64())], names=["band", "positive", "n"])
+
+    return count
 
 
 def train(docs: DataFrame, most_sampled: int = MOST_SAMPLED) -> Trees | None:
-    """The trees, trained on candidates of at most about ``most_sampled`` documents; None without two kinds of label.
+    """The trees, trained on candidates of at most about ``most_sampled`` documents and calibrated on those of all others; None
+    without two kinds of label.
 
     The sample is by a hash of doc_id: the same rows give the same trees.
     """
     share = min(1.0, most_sampled / max(1, docs.count()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
-    sample = docs.where("text is not null").select("text", (place % 4).alias("part"), place.alias("place")).where(F.col("place") < share * (1 << 30))
-    rows = cut(sample.mapInArrow(_labelled, "label double, part long, x array<double>").select("label", "part", array_to_vector("x").alias("features")))
-    fit, rest = rows.where("part > 0"), rows.where("part = 0")
+    given = docs.where("text is not null").select("text", ((place % 4 > 0) & (place < share * (1 << 30))).alias("fitted"))
+    fit = cut(given.where("fitted").select("text").mapInArrow(_labelled, "label double, x array<double>").select("label", array_to_vector("x").alias("features")))
     if fit.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, cacheNodeIds=False).fit(fit)
@@ -174,8 +235,8 @@ def train(docs: DataFrame, most_sampled: int = MOST_SAMPLED) -> Trees | None:
     for tree, weight in zip(model.trees, model.treeWeights, strict=True):
         _nodes(tree._java_obj.rootNode(), nodes := [])
         trees.append((float(weight), nodes))
-    chance = vector_to_array("probability")[1]
-    bands = model.transform(rest).groupBy(F.floor(chance * 50).alias("band")).agg(F.sum("label"), F.count("*"))
+    shared = docs.sparkSession.sparkContext.broadcast(Trees(trees, 1.0))
+    bands = given.where("not fitted").select("text").mapInArrow(_banded(shared), "band long, positive double, n long").groupBy("band").agg(F.sum("positive"), F.sum("n"))
     return Trees(trees, _threshold(sorted(map(tuple, bands.collect()), reverse=True)))  # 51 rows at most
 
 
@@ -208,11 +269,11 @@ def _scanner(shared):
 
 
 def added_spans(texts: list[str], base: list[list[Span]], trees: Trees | None) -> list[list[Span]]:
-    """The candidates that the trees select and that overlap no pattern span, nor a likelier candidate."""
+    """The open candidates that the trees select and that overlap no likelier candidate."""
     out: list[list[Span]] = [[] for _ in texts]
     if trees is None:
         return out
-    found = [(i, span) for i, text in enumerate(texts) for span in candidates(text) if not overlaps(span[1], span[2], base[i])]
+    found = [(i, span) for i, text in enumerate(texts) for span in candidates(text) if verdict(text, span, base[i]) is None]
     if not found:
         return out
     chance = trees.score(np.array([features(texts[i], span) for i, span in found]))

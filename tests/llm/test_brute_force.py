@@ -272,6 +272,31 @@ def test_trees_score_like_spark(spark, docs):
         assert (trees.score(__import__("numpy").array(rows)) > 0.5).all()
 
 
+def test_open_forms_of_personal_data_are_added(spark):
+    rng = random.Random(5)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(valid):
+        own = "4" + d(14)
+        return own + next(c for c in "0123456789" if pii.luhn(own + c) == valid)
+
+    make = [
+        lambda: f"phone +1 ({d(3)}) {d(3)}-{d(4)} here", lambda: f"ask at +1 ({d(3)}) {d(3)}-{d(4)} now", lambda: f"mail ann.{d(3)}@mail{d(1)}.example.com now",
+        lambda: f"host 10.{rng.randrange(256)}.7.{rng.randrange(256)} is up", lambda: f"card {card(True)} is used", lambda: f"the number {card(False)} is none",
+        lambda: f"on 20{d(2)}-0{rng.randint(1, 9)}-1{d(1)} it rained", lambda: f"order {d(4)}-{d(5)} came", lambda: f"run {d(3)}.999.{d(1)}.{d(1)} of it",
+        lambda: f"see me{d(2)}@local there", lambda: f"the count {d(10)} is large", lambda: f"we met (at) place{d(2)} again",
+    ]
+    given = [f() for f in make for _ in range(60)]
+    national = [f"please call ({d(3)}) {d(3)}-{d(4)} today" for _ in range(200)]
+    masked = [f"write to ann.{d(3)} [at] mail{d(1)}.example.com today" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(given + national + masked)), "doc_id long, text string")
+    spans = dict(map(tuple, pii.scan_personal_data(docs).select("doc_id", "spans").collect()))
+    added = [[(k, text[int(s) : int(e)]) for k, s, e in (x.split(":") for x in spans[i].split(",") if x) if k.startswith("likely_")] for i, text in enumerate(given + national + masked)]
+    assert not any(added[: len(given)])
+    assert added[len(given) : -len(masked)] == [[("likely_phone", x[12:-6])] for x in national]
+    assert added[-len(masked) :] == [[("likely_email", x[9:-6])] for x in masked]
+
+
 @pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<div id=content><section>{}</section></div>"])
 def test_main_text(outer):
     body = (
