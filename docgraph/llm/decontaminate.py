@@ -126,20 +126,23 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
 
 def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """Windows of ``docs`` (doc_id, tokens) like ``items`` (item_id, tokens), on shingles of ``width`` words."""
-    items = items.select("item_id", F.size("tokens").alias("n_words"), shingle_hashes(F.col("tokens"), width).alias("item"))
+    """Windows of ``docs`` (doc_id, tokens) like ``items`` (item_id, tokens), on shingles of ``width`` words.
+
+    Ids may be null or repeated: items go by a hash of id and words, windows by id, place and a hash of their shingles.
+    """
+    items = items.select("item_id", F.xxhash64("item_id", "tokens").alias("key"), F.size("tokens").alias("n_words"), shingle_hashes(F.col("tokens"), width).alias("item"))
     items = cut(items.withColumn("item_print", simhash(F.col("item"))))
     windows = _windows(docs, items, width).withColumn("print", simhash(F.col("window")))
 
     near = F.array(*[F.lit(x) for x in _near_values()])
-    index = items.select("item_id", "n_words", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
+    index = items.select("key", "n_words", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
     values = F.transform(near, lambda x: F.col("b.value").bitwiseXOR(x))
-    index = cut(index.select("item_id", "n_words", "item_print", "b.block", F.explode(values).alias("value")))
+    index = cut(index.select("key", "n_words", "item_print", "b.block", F.explode(values).alias("value")))
     probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     found = probes.join(broadcast_if_small(index, _BROADCAST_ROWS), ["n_words", "block", "value"])
     found = found.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
-    found = found.select("doc_id", "start", "item_id", "hamming", "window").dropDuplicates(["doc_id", "start", "item_id"])
-    found = found.join(broadcast_if_small(items.select("item_id", "n_words", "item"), _BROADCAST_ROWS // 16), "item_id")
+    found = found.select("doc_id", "start", "key", "hamming", "window", F.xxhash64("window").alias("own")).dropDuplicates(["doc_id", "start", "key", "own"])
+    found = found.join(broadcast_if_small(items.select("key", "item_id", "n_words", "item"), _BROADCAST_ROWS // 16), "key")
     found = found.withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
     return found.where(F.col("similarity") >= THRESHOLD).select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docgraph.llm import decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, pii, quality, secret_scan, warc
 
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(30_000))
@@ -72,6 +73,21 @@ def test_decontamination(docs, none, benchmark):
     assert {x[0] for x in got} == {1, 5, 6, 7, 8}
 
 
+def test_null_and_repeated_ids_through_the_stages(spark, tmp_path):
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    items = [(None, passage), (3, "red green blue black white grey"), (3, "one small step for a man on the moon")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, passage), (None, "a clean text without any id at all"), (7, "red green blue black white grey"), (7, "another clean text of the same id"), (8, "Left alone."), (7, "LEFT alone.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_words, r.similarity) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(None, None, 8, 1.0), (7, 3, 6, 1.0)}
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert {tuple(r) for r in left.collect()} == set(rows) - {rows[0], rows[2]} and left.schema == docs.schema
+    left = corpus_pipeline.drop_exact_copies(spark, docs.unionByName(docs.limit(0)).union(spark.createDataFrame([(None, "left ALONE.")], docs.schema)), "")
+    assert {tuple(r) for r in left.collect()} == set(rows) - {rows[5]}
+
+
 def test_quality(docs, none, labels):
     assert quality.classify(none, labels).count() == 0
     for marked in (labels, labels.where("false"), labels.where("quality = 1")):
