@@ -36,10 +36,8 @@ def embed_text(texts: DataFrame, embedder: Embedder | None, column: str = "text"
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             known = batch.notna()
-            vectors = embedder(batch[known].tolist()) if known.any() else []
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            out[known] = list(vectors)
-            yield out
+            vectors = iter(embedder(batch[known].tolist()) if known.any() else ())
+            yield pd.Series([next(vectors) if own else None for own in known], index=batch.index, dtype=object)
 
     return texts.withColumn("embed", F.pandas_udf(run, "array<float>")(F.col(column)))
 

@@ -6,6 +6,7 @@ Nodes: (id, labels, name, text, number, sub_level, embed, load_seq). Edges: (src
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,11 +80,11 @@ def paragraph_nodes(paragraphs: DataFrame) -> DataFrame:
     return merge_nodes(build_nodes(rows, "Paragraph"))
 
 
-def flatten_paragraphs(documents: DataFrame, depth: int = 4) -> DataFrame:
-    """(doc_id, id, parent_id, idx, level, text) from (doc_id, id, paragraphs) with nested totalSubParagraphs."""
+def flatten_paragraphs(documents: DataFrame) -> DataFrame:
+    """(doc_id, id, parent_id, idx, level, text) from (doc_id, id, paragraphs) with nested totalSubParagraphs, as deep as the schema."""
     level = documents.select("doc_id", F.col("id").alias("parent_id"), F.posexplode("paragraphs").alias("idx", "p"))
     levels = []
-    for k in range(depth):
+    for k in count():
         levels.append(level.select("doc_id", F.col("p.id").alias("id"), "parent_id", "idx", F.lit(k).alias("level"), F.col("p.text").alias("text")))
         nested = {f.name for f in level.schema["p"].dataType.fields}
         if "totalSubParagraphs" not in nested:

@@ -75,19 +75,36 @@ def assemble_hierarchy(blocks: DataFrame, root: Column, max_level: int = MAX_LEV
     )
 
 
-def merge_same_id(paragraphs: DataFrame) -> DataFrame:
-    """Adjacent siblings with one id become one: texts joined by a space; (doc_id, id, parent_id, level, pos, text, n_merged)."""
+def _islands(paragraphs: DataFrame) -> DataFrame:
+    """Adds _island: adjacent siblings with one id share it."""
     siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
-    starts = F.coalesce((F.col("id") != F.lag("id").over(siblings)).cast("int"), F.lit(1))
-    rows = paragraphs.withColumn("_new", starts)
-    rows = rows.withColumn("_island", F.sum("_new").over(siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = paragraphs.withColumn("_new", F.coalesce((F.col("id") != F.lag("id").over(siblings)).cast("int"), F.lit(1)))
+    return rows.withColumn("_island", F.sum("_new").over(siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+
+
+def merge_same_id(paragraphs: DataFrame) -> DataFrame:
+    """Adjacent siblings with one id become one: texts joined by a space; (doc_id, id, parent_id, level, pos, text, n_merged).
+
+    Their children are joined by that already, as those carry the id as parent_id.
+    """
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("doc_id", "parent_pos", "_island").agg(
+    return _islands(paragraphs).groupBy("doc_id", "parent_pos", "_island").agg(
         F.min("id").alias("id"), F.min("parent_id").alias("parent_id"), F.min("level").alias("level"),
         F.min("pos").alias("pos"), joined.alias("text"), F.count("*").alias("n_merged"),
     ).drop("parent_pos", "_island")
 
 
+def merge_references(paragraphs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, id, kind, number, paragraph, points, text, url, ord): the references (doc_id, pos, kind, ..., ord) of blocks as those
+    of the paragraphs that ``merge_same_id`` makes of them; of like references of one paragraph the first stays."""
+    what = ["kind", "number", "paragraph", "points", "text", "url"]
+    rows = _islands(paragraphs).select("doc_id", "pos", "parent_pos", "_island", "id").join(refs.select("doc_id", "pos", *what, "ord"), ["doc_id", "pos"])
+    first = F.min(F.struct("pos", "ord")).alias("at")
+    merged = rows.groupBy("doc_id", "parent_pos", "_island", "id", *what).agg(first)
+    order = Window.partitionBy("doc_id", "parent_pos", "_island").orderBy("at")
+    return merged.select("doc_id", "id", *what, F.row_number().over(order).alias("ord"))
+
+
 def attach_related_recitals(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks without "Related:" lines, (doc_id, pos, to_pos) of the indented ones).
 
@@ -133,10 +150,14 @@ def number_recital_paragraphs(blocks: DataFrame, number: Column) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit("recital"), F.col("_n").cast("string"), F.lit("_p"), i.cast("string")).alias("id"), "pos", "text")
 
 
-def extraction_stats(paragraphs: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per document: its paragraphs, top-level paragraphs and references by kind."""
+def extraction_stats(paragraphs: DataFrame, refs: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Per document: its paragraphs, top-level paragraphs, sections of (doc_id, section_no), and references by kind."""
     count = lambda test: F.coalesce(F.sum(F.when(test, 1)), F.lit(0)).cast("long")
-    own = paragraphs.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), count(F.col("level") == 0).alias("n_top"))
+    out = paragraphs.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), count(F.col("level") == 0).alias("n_top"))
+    if sections is None:
+        out = out.withColumn("n_sections", F.lit(0).cast("long"))
+    else:
+        out = out.join(sections.groupBy("doc_id").agg(F.count_distinct("section_no").alias("n_sections")), "doc_id", "left")
     kinds = refs.groupBy("doc_id").agg(*[count(F.col("kind") == k).alias(f"n_{k}_refs") for k in ("article", "chapter", "annex", "recital")])
-    names = kinds.columns[1:]
-    return own.join(kinds, "doc_id", "left").select("doc_id", "n_paragraphs", "n_top", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    names = ["n_sections", *kinds.columns[1:]]
+    return out.join(kinds, "doc_id", "left").select("doc_id", "n_paragraphs", "n_top", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])

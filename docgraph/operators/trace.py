@@ -36,6 +36,29 @@ def flatten_trace(trace: DataFrame, tools: tuple[str, ...] = TOOLS) -> DataFrame
     )
 
 
+#: What the tools answer: hits of a search, a node with its children and references, or a node alone.
+_OUTPUT = "struct<results:array<struct<id:string,similarity:double>>,children:array<struct<id:string>>,references:array<struct<id:string>>,node:struct<id:string>>"
+
+
+def tool_results(steps: DataFrame) -> DataFrame:
+    """(session_id, step, label, kind, place, id, similarity): what the outputs of the steps of ``flatten_trace`` list, a row each.
+
+    kind is hit (similarity to 3 digits, as text), child, reference or node. An output that is no JSON object lists nothing.
+    """
+    parsed = F.when(F.try_parse_json("output").isNotNull(), F.from_json("output", _OUTPUT))
+    rows = steps.where("error is null").select("session_id", "step", "label", parsed.alias("o"))
+    listed = lambda kind, ids, similarity=None: F.transform(
+        ids, lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("place"), x["id"].alias("id"), (F.format_number(x["similarity"], 3) if similarity else F.lit(None).cast("string")).alias("similarity"))
+    )
+    none = F.array().cast("array<struct<kind:string,place:int,id:string,similarity:string>>")
+    parts = [
+        listed("hit", F.col("o.results"), True), listed("child", F.col("o.children")), listed("reference", F.col("o.references")),
+        listed("node", F.when(F.col("o.node").isNotNull(), F.array("o.node"))),
+    ]
+    found = F.concat(*[F.coalesce(p, none) for p in parts])
+    return rows.select("session_id", "step", "label", F.explode(found).alias("r")).select("session_id", "step", "label", "r.*")
+
+
 def retrieval_lines(hits: DataFrame) -> DataFrame:
     """(query_id, rank, line): hits as "- id (similarity: 0.123)"."""
     return hits.select("query_id", "rank", F.concat(F.lit("- "), "id", F.lit(" (similarity: "), F.format_number("similarity", 3), F.lit(")")).alias("line"))

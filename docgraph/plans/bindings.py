@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import to_roman
 from ..operators.graph import build_edges, build_nodes
 
 
@@ -78,7 +79,7 @@ def contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         pair(t("region"), F.lit("ROOT"), text_id("R.", c("r_regionkey")), c("r_regionkey")),
         pair(nations, text_id("R.", c("n_regionkey")), nation_id, c("n_nationkey")),
-        pair(t("customer").join(F.broadcast(nations), c("c_nationkey") == c("n_nationkey")), nation_id, text_id("C.", c("c_custkey")), c("c_custkey")),
+        pair(t("customer").join(nations, c("c_nationkey") == c("n_nationkey")), nation_id, text_id("C.", c("c_custkey")), c("c_custkey")),
         pair(t("orders"), text_id("C.", c("o_custkey")), order_id, c("o_orderkey")),
         pair(lines, order_id, F.concat(order_id, F.lit("."), c("l_linenumber").cast("string")), c("l_linenumber")),
     ]
@@ -134,16 +135,6 @@ def citation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select(text_id(F.col("l_orderkey"), ".", n).alias("id"), form.alias("context"))
 
 
-CITATIONS_SQL = """contexts AS (
-  SELECT l_orderkey || '.' || l_linenumber AS id, CASE l_orderkey % 5
-    WHEN 0 THEN ' (' || l_linenumber || ') to (' || (l_linenumber + l_suppkey % 4) || '), points (a), (b) and (c)'
-    WHEN 1 THEN ' referred to in points ' || l_linenumber || ' to ' || (l_linenumber + 3) || '; point ' || (l_partkey % 9)
-    WHEN 2 THEN ' points ' || l_linenumber || ', ' || (l_linenumber + 1) || ' and ' || (l_linenumber + 2) || ' or (' || (l_partkey % 5) || ')(d)'
-    WHEN 3 THEN ' of ' || l_partkey
-    ELSE ' (' || (l_linenumber + 4) || ') to (' || l_linenumber || '), point (' || (l_suppkey % 7) || ') and points (x)' END AS context
-  FROM lineitem)"""
-
-
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, src_id, ord, href, text, before, after): a link for each line item, five kinds, some repeated in an order."""
     n = (F.col("l_partkey") % 12 + 1).cast("string")
@@ -185,6 +176,56 @@ parented AS (
 marked AS (
   SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, parent_pos ORDER BY pos ROWS UNBOUNDED PRECEDING), '0') AS marker FROM parented)"""
 
+# --- pages of a corpus, from orders, line items and nations ------------------------------------------------------
+
+_SITE = "https://x.example"
+
+
+def _link(kind: str, number: Column, text: Column) -> Column:
+    return F.concat(F.lit(f'<a href="{_SITE}/{kind}/'), number.cast("string"), F.lit('/">'), text, F.lit("</a>"))
+
+
+def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): orders as articles and recitals with a paragraph a line item, nations as annexes with two sections."""
+    k, n, p, s = (F.col(c) for c in ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    numbered = lambda name, x: text_id(name, x)
+    target, annex, chapter, recital = p % 50 + 1, p % 25 + 1, p % 7 + 1, p % 50 * 5
+    forms = [
+        F.concat(F.lit(" see "), _link("article", target, numbered("Article ", target)), text_id(" (", n, ")(a), (b) and so on.")),
+        F.concat(F.lit(" see "), _link("annex", annex, F.concat(F.lit("Annex "), to_roman(annex))), F.lit(" for it.")),
+        F.concat(F.lit(" see Sections 1 and 2 of "), _link("chapter", chapter, F.concat(F.lit("Chapter "), to_roman(chapter))), F.lit(", all.")),
+        F.concat(F.lit(" see "), _link("recital", recital, numbered("Recital ", recital)), F.lit(".")),
+        F.concat(F.lit(" see "), _link("article", target, numbered("Article ", target)), text_id(" (", n, ") to (", n + 1, ").")),
+        F.lit(""),
+    ]
+    body = text_id("<p>", n, ". item ", p)
+    for f, form in enumerate(forms):
+        body = F.concat(body, F.when(p % 6 == f, form).otherwise(F.lit("")))
+    other = s % 50 * 5
+    indented = '<p style="padding-left: 40px">'
+    sub = F.concat(F.lit(f"</p>{indented}(a) sub "), s.cast("string"), F.lit(f"</p>{indented}Related: "), _link("recital", other, numbered("Recital ", other)), F.lit("</p>"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items(spark, sf_dir), F.col("l_orderkey") == k)
+    rows = rows.select(k, n, F.concat(body, F.when((s % 4 == 0) & (k % 5 > 0), sub).otherwise(F.lit("</p>"))).alias("block"))
+    blocks = rows.groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "block"))), lambda x: x["block"]), "\n").alias("blocks"))
+    c, q = k % 7 + 1, k % 3 + 1
+    meta = F.concat(
+        F.lit('<p class="meta">'), _link("chapter", c, F.concat(F.lit("Chapter "), to_roman(c), F.lit(": Part "), c.cast("string"))),
+        F.when(k % 2 == 0, _link("section", q, text_id("Section ", q, ": Piece"))).otherwise(F.lit("")), F.lit("</p>"),
+    )
+    title = F.when(k % 5 == 0, numbered("Recital ", k)).otherwise(numbered("Article ", k))
+    lettered = F.when((k % 3 == 0) & (k % 5 > 0), F.lit("<p>(a) letter text</p>")).otherwise(F.lit(""))
+    page = F.concat(F.lit("<html><body><nav>Home</nav><article><h1>"), title, F.lit("</h1>"), F.when(k % 5 > 0, meta).otherwise(F.lit("")), lettered, "blocks", F.lit("</article></body></html>"))
+    orders = blocks.select(k.alias("page_id"), text_id(f"{_SITE}/page/", k).alias("url"), page.alias("html"))
+    m = F.col("n_nationkey")
+    annexes = table(spark, sf_dir, "nation").select(
+        (-1 - m).alias("page_id"), text_id(f"{_SITE}/annex/", m + 1).alias("url"),
+        F.concat(
+            F.lit("<article><h1>Annex "), to_roman(m + 1), F.lit("</h1><h3>Section A first</h3><p>1. of "), "n_name", F.lit("</p><p>more</p><h3>Section B second</h3><p>1. last</p></article>")
+        ).alias("html"),
+    )
+    return orders.unionByName(annexes)
+
+
 # --- lines of documents, and sessions ---------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from ..sources import documents as documents_io
 from ..sources import pages as pages_io
 from ..streaming import runs, sessions
 from . import bindings as B
+from .corpus import corpus_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,20 +152,26 @@ def e12_related_recitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.attach_related_recitals(rows)[1]
 
 
+_HEADED_SQL = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey % 4 = 0 AS heading, 'Section ' || chr(65 + (l_suppkey % 5)::INT) || ' title' AS text FROM lineitem),
+    n AS (SELECT *, greatest(sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS no, sum(heading::INT) OVER (PARTITION BY doc_id) AS all_headings FROM b)"""
+
+
+def _headed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.char((F.lit(65) + F.col("l_suppkey") % 5).cast("long"))
+    return B.items(spark, sf_dir).select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_partkey") % 4 == 0, "h3").otherwise("p").alias("tag"),
+        F.concat(F.lit("Section "), letter, F.lit(" title")).alias("text"),
+    )
+
+
 @query(
-    """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey % 4 = 0 AS heading, 'Section ' || chr(65 + (l_suppkey % 5)::INT) || ' title' AS text FROM lineitem),
-    n AS (SELECT *, greatest(sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS no, sum(heading::INT) OVER (PARTITION BY doc_id) AS all_headings FROM b),
+    f"""WITH {_HEADED_SQL},
     k AS (SELECT *, max(CASE WHEN heading THEN text END) OVER (PARTITION BY doc_id, no) AS name FROM n)
     SELECT doc_id, pos, text, CASE WHEN all_headings > 0 THEN no::BIGINT END AS section_no,
       CASE WHEN all_headings > 0 THEN string_split(name, ' ')[2] END AS section_key FROM k WHERE NOT heading"""
 )
 def e13_annex_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letter = F.char((F.lit(65) + F.col("l_suppkey") % 5).cast("long"))
-    blocks = B.items(spark, sf_dir).select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_partkey") % 4 == 0, "h3").otherwise("p").alias("tag"),
-        F.concat(F.lit("Section "), letter, F.lit(" title")).alias("text"),
-    )
-    return hierarchy.split_sections(blocks).select("doc_id", "pos", "text", "section_no", "section_key")
+    return hierarchy.split_sections(_headed_blocks(spark, sf_dir)).select("doc_id", "pos", "text", "section_no", "section_key")
 
 
 @query(
@@ -176,31 +183,35 @@ def e14_recital_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.LINKS_SQL}, p AS (SELECT l_orderkey AS doc_id, count(*) AS n_paragraphs, sum(((l_linenumber * 7 + l_partkey) % 3 = 0)::BIGINT)::BIGINT AS n_top FROM lineitem GROUP BY 1),
+    f"""WITH {B.LINKS_SQL}, {_HEADED_SQL}, p AS (SELECT l_orderkey AS doc_id, count(*) AS n_paragraphs, sum(((l_linenumber * 7 + l_partkey) % 3 = 0)::BIGINT)::BIGINT AS n_top FROM lineitem GROUP BY 1),
     k AS (SELECT doc_id, count(*) FILTER (kind = 'article') AS a, count(*) FILTER (kind = 'chapter') AS c, count(*) FILTER (kind = 'annex') AS x, count(*) FILTER (kind = 'recital') AS r FROM links GROUP BY 1)
-    SELECT p.doc_id, n_paragraphs, n_top, a AS n_article_refs, c AS n_chapter_refs, x AS n_annex_refs, r AS n_recital_refs FROM p JOIN k USING (doc_id)"""
+    SELECT p.doc_id, n_paragraphs, n_top, coalesce(n_sections, 0) AS n_sections, a AS n_article_refs, c AS n_chapter_refs, x AS n_annex_refs, r AS n_recital_refs FROM p JOIN k USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(DISTINCT no) AS n_sections FROM n WHERE NOT heading AND all_headings > 0 GROUP BY 1) z USING (doc_id)"""
 )
 def e15_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = hierarchy.with_levels(B.indented_blocks(spark, sf_dir))
     refs = B.links(spark, sf_dir).select("doc_id", T.link_kind(F.col("href")).alias("kind"))
-    return hierarchy.extraction_stats(paragraphs, refs)
+    return hierarchy.extraction_stats(paragraphs, refs, hierarchy.split_sections(_headed_blocks(spark, sf_dir)).where("section_no is not null"))
 
 
 # --- references ---------------------------------------------------------------------------------------------------
 
 
-_CITATION_SQL = T.CITATION.replace("'", "''")
+_FORM_SQL = "SELECT l_orderkey || '.' || l_linenumber AS id, l_linenumber::INT AS n, l_partkey AS p, l_suppkey AS s, l_orderkey % 5 AS form FROM lineitem"
 
 
 @query(
-    f"""WITH {B.CITATIONS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(context, '{_CITATION_SQL}')) AS tok,
-        generate_subscripts(regexp_extract_all(context, '{_CITATION_SQL}'), 1) AS i FROM contexts),
-    u AS (SELECT id, i, tok, list_transform(regexp_extract_all(tok, '\\d+'), lambda x: x::INT) AS n, regexp_extract_all(tok, '(?i)\\(([a-z])\\)', 1) AS l,
-        regexp_matches(tok, '(?i)(\\d\\s*\\)\\s*to\\s*\\()|(\\d\\s*(?:to|-|–)\\s*\\d)') AS is_range, regexp_matches(tok, '\\(\\s*\\d+\\s*\\)') AS para FROM t),
-    v AS (SELECT *, CASE WHEN is_range THEN range(least(n[1], n[2]), greatest(n[1], n[2]) + 1) ELSE n END AS full_n FROM u)
-    SELECT id, count(*) AS n, string_agg(coalesce(paragraph::VARCHAR, '-') || ':' || coalesce(points, '-'), ';' ORDER BY i, paragraph) AS cited FROM (
-      SELECT id, i, unnest(full_n)::INT AS paragraph, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS points FROM v WHERE para
-      UNION ALL SELECT id, i, NULL, array_to_string(CASE WHEN len(n) > 0 THEN list_transform(full_n, lambda x: x::VARCHAR) ELSE l END, ',') FROM v WHERE NOT para) GROUP BY id"""
+    f"""WITH f AS ({_FORM_SQL}), c AS (
+      SELECT id, 0 AS i, unnest(range(n, (n + s % 4 + 1)::INT)) AS paragraph, NULL AS points FROM f WHERE form = 0
+      UNION ALL SELECT id, 1, NULL, 'a,b,c' FROM f WHERE form = 0
+      UNION ALL SELECT id, 0, NULL, array_to_string(range(n, n + 4), ',') FROM f WHERE form = 1
+      UNION ALL SELECT id, 1, NULL, (p % 9)::VARCHAR FROM f WHERE form = 1
+      UNION ALL SELECT id, 0, NULL, array_to_string(range(n, n + 3), ',') FROM f WHERE form = 2
+      UNION ALL SELECT id, 1, p % 5, 'd' FROM f WHERE form = 2
+      UNION ALL SELECT id, 0, unnest(range(n, n + 5)), NULL FROM f WHERE form = 4
+      UNION ALL SELECT id, 1, s % 7, NULL FROM f WHERE form = 4
+      UNION ALL SELECT id, 2, NULL, 'x' FROM f WHERE form = 4)
+    SELECT id, count(*) AS n, string_agg(coalesce(paragraph::VARCHAR, '-') || ':' || coalesce(points, '-'), ';' ORDER BY i, paragraph) AS cited FROM c GROUP BY id"""
 )
 def r06_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c: F.concat(F.coalesce(c["paragraph"].cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.array_join(c["points"], ","), F.lit("-")))
@@ -412,8 +423,9 @@ def g12_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.NODES_SQL}, {B.PAIRS_SQL}, p AS (SELECT n.id, n.text, q.parent FROM nodes n JOIN pairs q ON q.child = n.id WHERE n.label = 'Paragraph')
-    SELECT p.id, CASE WHEN a.text IS NULL THEN p.text ELSE a.text || chr(10) || chr(10) || p.text END AS embed_text FROM p LEFT JOIN nodes a ON a.id = p.parent AND a.label = 'Paragraph'"""
+    """WITH o AS (SELECT o_orderkey AS k, 'C.' || o_custkey || '.' || o_orderkey AS id, o_orderstatus || ' ' || o_orderpriority AS text FROM orders)
+    SELECT id, text AS embed_text FROM o
+    UNION ALL SELECT o.id || '.' || l_linenumber, o.text || chr(10) || chr(10) || l_returnflag || l_linestatus || ' part ' || l_partkey FROM lineitem JOIN o ON l_orderkey = o.k"""
 )
 def g13_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = B.hierarchy_nodes(spark, sf_dir).where(F.array_contains("labels", "Paragraph"))
@@ -421,24 +433,70 @@ def g13_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.embedding_text(paragraphs.join(pairs, "id").select("id", "parent_id", "text"))
 
 
-@query()
+@query(
+    """SELECT doc_id, 16 AS dims, CASE WHEN regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM documents"""
+)
 def g14_embed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = embedding.embed_distinct(texts, embedding.hashing_embedder(16))
+    rows = embedding.embed_distinct(texts, embedding.hashing_embedder(16))  # no text of these tables has words that cancel out
     return rows.select("doc_id", F.size("embed").alias("dims"), F.round(F.aggregate("embed", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"))
 
 
+# --- a corpus, from pages to its graph -------------------------------------------------------------------------------
+
+_ROMANS = "(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX','XXI','XXII','XXIII','XXIV','XXV'])"
+_CORPUS_SQL = f"""l AS (SELECT o_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_partkey % 6 AS form, l_partkey % 50 + 1 AS t,
+      row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    d AS (SELECT DISTINCT k, k % 5 > 0 AS art, 'Chapt' || {_ROMANS}[k % 7 + 1] AS ch, CASE WHEN k % 2 = 0 THEN k % 3 + 1 END AS sec FROM l),
+    par AS (SELECT CASE WHEN k % 5 > 0 THEN 'Art.' || k || '.' || n ELSE 'recital' || k || '_p' || place END AS id, CASE WHEN k % 5 > 0 THEN 'Art.' ELSE 'Rec.' END || k AS parent, n AS pos,
+        n || '. item ' || p || CASE form WHEN 0 THEN ' see Article ' || t || ' (' || n || ')(a), (b) and so on.' WHEN 1 THEN ' see Annex ' || {_ROMANS}[p % 25 + 1] || ' for it.'
+          WHEN 2 THEN ' see Sections 1 and 2 of Chapter ' || {_ROMANS}[p % 7 + 1] || ', all.' WHEN 3 THEN ' see Recital ' || (p % 50 * 5) || '.'
+          WHEN 4 THEN ' see Article ' || t || ' (' || n || ') to (' || (n + 1) || ').' ELSE '' END AS text FROM l
+      UNION ALL SELECT 'Art.' || k || '.a', 'Art.' || k, 0, '(a) letter text' FROM d WHERE art AND k % 3 = 0
+      UNION ALL SELECT 'Art.' || k || '.' || n || '.a', 'Art.' || k || '.' || n, 0, '(a) sub ' || s FROM l WHERE s % 4 = 0 AND k % 5 > 0
+      UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.A.1', 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.A', 0, '1. of ' || n_name || ' more' FROM nation
+      UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.B.1', 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.B', 0, '1. last' FROM nation),
+    nodes AS (SELECT id, 'Paragraph' AS label, text FROM par UNION ALL SELECT CASE WHEN art THEN 'Art.' ELSE 'Rec.' END || k, CASE WHEN art THEN 'Article' ELSE 'Recital' END, NULL FROM d
+      UNION SELECT ch, 'Chapter', NULL FROM d WHERE art UNION SELECT ch || '.Sect-' || sec, 'Chapter_Section', NULL FROM d WHERE art AND sec IS NOT NULL
+      UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1], 'Annex', NULL FROM nation UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.' || x, 'Annex_Section', NULL FROM nation, unnest(['A', 'B']) u(x)),
+    src AS (SELECT l.*, CASE WHEN k % 5 > 0 THEN 'Art.' || k || '.' || n ELSE 'recital' || k || '_p' || place END AS id FROM l),
+    spot AS (SELECT k, n, place + (k % 3 = 0)::INT AS place FROM l WHERE k % 5 > 0),
+    refs AS (SELECT id AS src, 'articles_paragraph_point' AS ref_kind, 'Art.' || t || '.1' AS dst FROM src WHERE form = 0 AND t % 3 = 0 AND t % 5 > 0
+      UNION ALL SELECT id, 'articles_paragraph', 'Art.' || t || '.' || spot.place FROM src JOIN spot ON spot.k = t AND spot.n IN (src.n, src.n + 1) WHERE form = 4
+      UNION ALL SELECT id, 'annexes', 'Annex.' || {_ROMANS}[p % 25 + 1] FROM src WHERE form = 1
+      UNION ALL SELECT id, 'chapter_sections', 'Chapt' || {_ROMANS}[p % 7 + 1] || '.Sect-' || x FROM src, unnest([1, 2]) u(x) WHERE form = 2
+      UNION ALL SELECT id, 'recitals', 'Rec.' || (p % 50 * 5) FROM src WHERE form = 3
+      UNION ALL SELECT 'Art.' || k, 'recitals', 'Rec.' || (p % 50 * 5) FROM src WHERE form = 3 AND k % 5 > 0
+      UNION ALL SELECT unnest(['Art.' || k, 'Art.' || k || '.' || n || '.a']), 'recitals', 'Rec.' || (s % 50 * 5) FROM src WHERE s % 4 = 0 AND k % 5 > 0),
+    pairs AS (SELECT parent AS src, id AS dst FROM par UNION SELECT ch, ch || '.Sect-' || sec FROM d WHERE art AND sec IS NOT NULL UNION SELECT coalesce(ch || '.Sect-' || sec, ch), 'Art.' || k FROM d WHERE art
+      UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1], 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.' || x FROM nation, unnest(['A', 'B']) u(x)),
+    following AS (SELECT id AS src, lead(id) OVER (PARTITION BY parent ORDER BY pos) AS dst FROM par)"""
+
+
+@query(f"""WITH {_CORPUS_SQL} SELECT id, label, text FROM nodes""")
+def w01_corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_graph(B.corpus_pages(spark, sf_dir))[0].select("id", F.get("labels", F.lit(0)).alias("label"), "text")
+
+
+@query(
+    f"""WITH {_CORPUS_SQL} SELECT src, 'CONTAINS' AS type, dst, NULL AS ref_kind FROM pairs UNION ALL SELECT src, 'NEXT', dst, NULL FROM following WHERE dst IS NOT NULL
+    UNION ALL SELECT DISTINCT src, 'REFERENCES', dst, ref_kind FROM refs WHERE dst IN (SELECT id FROM nodes)"""
+)
+def w02_corpus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_graph(B.corpus_pages(spark, sf_dir))[1].select("src", "type", "dst", "ref_kind")
+
+
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = B.table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("embed"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("embed"))
     return queries, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("embed"), "label")
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
     SELECT query_id, id, rank, round(c, 3) AS similarity FROM r WHERE rank <= 12"""
 )
@@ -458,7 +516,7 @@ def v02_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
     SELECT query_id, rank, id, CASE WHEN id % 2 = 0 THEN 'text ' || id ELSE 'name ' || id END AS text, 'L' || label AS label, round(c, 3) AS similarity FROM r WHERE rank <= 10"""
 )
@@ -614,27 +672,30 @@ def p05_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- conversation memory ---------------------------------------------------------------------------------------------
 
 
-@query(
-    f"""WITH {B.MESSAGES_SQL}, r AS (SELECT session_id, turn, role, count(*) FILTER (role IN ('user', 'assistant')) OVER (PARTITION BY session_id ORDER BY turn) AS turns FROM messages)
-    SELECT session_id, turn, turns FROM r WHERE role IN ('user', 'assistant') AND turns % 6 = 0"""
-)
+_FOLD_SQL = f"""{B.MESSAGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY session_id) AS m FROM messages),
+    f AS (SELECT session_id, 0::BIGINT AS i, m, 0::BIGINT AS turn, 0::BIGINT AS size, 0::BIGINT AS turns, 0::BIGINT AS reflections, false AS due FROM o WHERE i = 1
+      UNION ALL SELECT f.session_id, o.i, f.m, o.turn,
+        CASE WHEN o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32) THEN f.size + 1 - greatest(1, (f.size + 1) // 2) ELSE f.size + 1 END,
+        f.turns + (o.role IN ('user', 'assistant'))::BIGINT,
+        f.reflections + (o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32))::BIGINT,
+        o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32)
+      FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_FOLD_SQL} SELECT session_id, turn, turns FROM f WHERE due""")
 def m02_reflection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.reflection_points(B.messages(spark, sf_dir))
 
 
 @query(
-    f"""WITH RECURSIVE {B.MESSAGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY session_id) AS m FROM messages),
-    f AS (SELECT session_id, 0::BIGINT AS i, m, 0::BIGINT AS size, 0::BIGINT AS turns, 0::BIGINT AS reflections FROM o WHERE i = 1
-      UNION ALL SELECT f.session_id, o.i, f.m,
-        CASE WHEN o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32) THEN f.size + 1 - greatest(1, (f.size + 1) // 2) ELSE f.size + 1 END,
-        f.turns + (o.role IN ('user', 'assistant'))::BIGINT,
-        f.reflections + (o.role IN ('user', 'assistant') AND ((f.turns + 1) % 6 = 0 OR f.size + 1 > 32))::BIGINT
-      FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)
-    SELECT session_id, turns, reflections, size AS n_buffer FROM f WHERE i = m"""
+    f"""WITH RECURSIVE {_FOLD_SQL}, e AS (SELECT session_id, m, turns, reflections, size FROM f WHERE i = m)
+    SELECT session_id, e.turns, e.reflections, e.size AS n_buffer, md5(string_agg(o.id || ' ' || o.content, chr(10) ORDER BY o.i)) AS buffered
+    FROM e JOIN o USING (session_id) WHERE o.i > e.m - e.size GROUP BY ALL"""
 )
 def m03_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memory.reflect(B.messages(spark, sf_dir))
-    return rows.select("session_id", "turns", "reflections", F.size("buffer").cast("long").alias("n_buffer"))
+    held = F.md5(F.array_join(F.transform("buffer", lambda m: F.concat(m["id"], F.lit(" "), m["content"])), "\n"))
+    return rows.select("session_id", "turns", "reflections", F.size("buffer").cast("long").alias("n_buffer"), held.alias("buffered"))
 
 
 _DOC_NOW = 3_000_000.0
@@ -742,7 +803,7 @@ def a03_trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 20),
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s)
     SELECT query_id, 'The query returned these nodes ' || string_agg(id::VARCHAR, ', ' ORDER BY rank) || '.' AS summary FROM r WHERE rank <= 5 GROUP BY 1"""
 )
@@ -763,9 +824,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    ORACLE_SQL["m03_reflect"].replace("SELECT session_id, turns, reflections, size AS n_buffer", "SELECT session_id, turns, reflections, size::INT AS n_buffer")
-)
+@query(f"""WITH RECURSIVE {_FOLD_SQL} SELECT session_id, turns, reflections, size::INT AS n_buffer FROM f WHERE i = m""")
 def st01_stream_session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("conv_id") * 100 + F.col("turn")
     seconds = F.lit(1_000_000) + ((F.col("conv_id") % 8) * 10 + F.col("turn")) * 60  # ten minutes between conversations
