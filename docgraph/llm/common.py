@@ -32,23 +32,45 @@ def words(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary one is taken.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset a temporary one is taken, on a local master
+    only, as executors elsewhere would not see it.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", ""):
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_rows: int, row_bytes: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """Hints a broadcast only if ``df`` has at most ``most_rows`` rows; else Spark shuffles.
 
-    Use it for narrow tables that are cheap to count, such as a Parquet file or a checkpoint.
+    Rows that hold arrays or texts are weighed too: ``row_bytes`` is the size of one, and all may have ``most_bytes``. Use it for
+    tables that are cheap to read, such as a Parquet file or a checkpoint.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    small = df.limit(most_rows + 1).count() <= most_rows
+    if small and row_bytes is not None:
+        small = (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= most_bytes
+    return F.broadcast(df) if small else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``groups``, one row a key, without a task that gets all rows of a large group.
+
+    ``size`` names the number of rows of a group. A group of more than ``most`` rows is dealt over several parts by a hash of
+    ``spread``; there are 10,000 such groups at most, whatever the size of the input, so their keys are broadcast. Cut the lineage
+    of ``groups`` before, as it is read three times.
+    """
+    most = max(256, (groups.agg(F.sum(size)).first()[0] or 0) // 10_000)
+    parts = F.ceil(F.col(size) / most).cast("int")
+    large = groups.where(F.col(size) > most).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(large), keys, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

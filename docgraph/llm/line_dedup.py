@@ -9,13 +9,14 @@ what meets is verified on the texts.
 A variant for each character of a corpus would be many times its size, so two filters, which lose no
 pair, come first. Of two lines within one edit, the first or the last h characters agree, where h is the
 power of two up to half of the shorter length m: lines that share neither half with another line are
-done. The others are cut into 16 to 31 steps of equal length from either end; for an edit in some step, the
+done (lines of one or two characters never are). The others are cut into 16 to 31 steps of equal length from either end; for an edit in some step, the
 steps before it and those after it agree but for two. Only lines that share all but two steps with another
 line emit variants, and only for the characters in between.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
-from .shingles import mix64, power, slices
+from .common import broadcast_if_small, cut, join_groups
+from .shingles import mix64, slices
 
-#: Shorter lines are compared exactly only: one edit may change what they say.
-LEAST_CHARS = 20
 #: Hashes that may be broadcast (16 MB); beyond that the lines are shuffled to them.
 _BROADCAST_ROWS = 1_000_000
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_HEAD, _TAIL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SALT = np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
 
 class Lines:
     """The normalised non-blank lines of many texts, and hashes of any of their parts.
 
-    A-Z is lower-cased, white space in a row becomes one space, and lines are trimmed.
+    A-Z is lower-cased, white space in a row becomes one space, and lines are trimmed. The hash of a part is the sum of its
+    characters, each mixed with its place: counted from the start of the line (``head``), from its end (``tail``), or from the
+    start with one character before it taken out (``moved``).
     """
 
     def __init__(self, texts: list[str]):
@@ -61,26 +62,33 @@ class Lines:
         doc = np.searchsorted(np.cumsum(sizes), ends, "right")
         first = np.searchsorted(doc, np.arange(len(texts)))
         number = np.arange(len(ends)) - first[doc] if len(ends) else ends
+        self._lines, self._sums = (start, stop), {}
         full = stop > start
         self.start, self.stop, self.doc, self.number = start[full], stop[full], doc[full], number[full]
-        self._sums: dict[int, np.ndarray] = {}
-
-    def sums(self, base: int) -> np.ndarray:
-        """The hashes of all prefixes, one after the other, for one of the bases."""
-        if base not in self._sums:
-            code = mix64(self.points.astype(np.uint64) + np.uint64(1))
-            code *= power(_BASES[base], len(code))[: len(code)]
-            self._sums[base] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
-        return self._sums[base]
-
-    def hash(self, start: np.ndarray, stop: np.ndarray, base: int = 0) -> np.ndarray:
-        """The hash of the characters from start to stop, wherever they are."""
-        back = power(np.uint64(pow(int(_BASES[base]), -1, 2**64)), len(self.points) + 1)
-        return (self.sums(base)[stop] - self.sums(base)[start]) * back[start]
-
-    def ids(self, base: int = 0) -> np.ndarray:
+
+    def sums(self, kind: str) -> np.ndarray:
+        """The sums of all prefixes of all lines together."""
+        if kind not in self._sums:
+            start, stop = self._lines
+            at = np.arange(len(self.points))
+            place = np.repeat(stop, stop - start + 1) - at if kind == "tail" else at - np.repeat(start, stop - start + 1) - (kind == "moved")
+            code = mix64(self.points.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64) * (_TAIL if kind == "tail" else _HEAD)
+            self._sums[kind] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(code), dtype=np.uint64)))
+        return self._sums[kind]
+
+    def hash(self, kind: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return self.sums(kind)[stop] - self.sums(kind)[start]
+
+    def ids(self) -> np.ndarray:
+        """A hash that tells lines apart."""
         n = (self.stop - self.start).astype(np.uint64)
-        return mix64(self.hash(self.start, self.stop, base) + n * _SALT[base])
+        return mix64(self.hash("head", self.start, self.stop) + n * _SALT[0])
+
+    def digests(self) -> np.ndarray:
+        """BLAKE2b of each line in 128 bits, as two longs: equal digests, equal lines."""
+        cuts = zip(self.start.tolist(), self.stop.tolist(), strict=True)
+        own = b"".join(hashlib.blake2b(self.points[a:b].tobytes(), digest_size=16).digest() for a, b in cuts)
+        return np.frombuffer(own, np.int64).reshape(-1, 2)
 
     def text(self, i: int) -> str:
         return self.points[self.start[i] : self.stop[i]].tobytes().decode("utf-32-le")
@@ -91,15 +99,17 @@ def _log2(n: np.ndarray) -> np.ndarray:
 
 
 def _halves(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the first and last h characters, for the lengths m that a pair may have."""
+    """(line, hash) of the first and last h characters, for the lengths m that a pair may have; h is 0 where m is 1."""
     n = lines.stop - lines.start
     rows, keys = [], []
     for m in (n, n - 1):
-        own = np.flatnonzero((n >= LEAST_CHARS - 1) & ((m == n) | (_log2(m) != _log2(n))))
-        h = np.int64(1) << (_log2(m[own]) - 1)
-        for salt, start in ((2, lines.start[own]), (3, lines.stop[own] - h)):
+        own = np.flatnonzero((m > 0) & ((m == n) | (_log2(m) != _log2(n))))
+        h = (np.int64(1) << _log2(m[own])) // 2
+        first = lines.hash("head", lines.start[own], lines.start[own] + h)
+        last = lines.hash("tail", lines.stop[own] - h, lines.stop[own])
+        for salt, part in ((2, first), (3, last)):
             rows.append(own)
-            keys.append(mix64(lines.hash(start, start + h) + h.astype(np.uint64) * _SALT[salt]))
+            keys.append(mix64(part + h.astype(np.uint64) * _SALT[salt]))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -110,14 +120,14 @@ def _steps(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     parts = []
     for m in (n, n - 1):
         h_n, h = np.int64(1) << np.maximum(_log2(n) - 4, 0), np.int64(1) << np.maximum(_log2(m) - 4, 0)
-        own = np.flatnonzero((m == n) | (h != h_n) | (m // h != n // h))
+        own = np.flatnonzero((m > 0) & ((m == n) | (h != h_n) | (m // h != n // h)))
         count = np.maximum(m[own] // h[own] - 1, 1)
         row = np.repeat(own, count)
         a = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         step = h[row]
         low, high = a * step, n[row] - (np.repeat(count, count) - 1 - a) * step
-        head = lines.hash(lines.start[row], lines.start[row] + low)
-        tail = lines.hash(lines.start[row] + high, lines.stop[row])
+        head = lines.hash("head", lines.start[row], lines.start[row] + low)
+        tail = lines.hash("tail", lines.start[row] + high, lines.stop[row])
         shape = (a + step * 64 + np.repeat(count, count) * (1 << 40)).astype(np.uint64)
         parts.append((row, mix64(mix64(head + shape * _SALT[4]) + tail), low, high))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -141,10 +151,10 @@ def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, lines in _each(batches, "text", 1 << 20):
-        lo, hi = lines.ids(0), lines.ids(1)
+        digest = lines.digests()
         yield _table(
             {
-                "id_lo": pa.array(lo.view(np.int64)), "id_hi": pa.array(hi.view(np.int64)),
+                "id_lo": pa.array(digest[:, 0]), "id_hi": pa.array(digest[:, 1]),
                 "doc_id": batch.column("doc_id").take(pa.array(lines.doc)), "line_no": pa.array(lines.number.astype(np.int32)),
             }
         )
@@ -188,13 +198,11 @@ def _emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         row, spot = np.concatenate(rows), np.concatenate(spots)
         start, stop = lines.start[row], lines.stop[row]
-        n = (stop - start).astype(np.uint64)
-        cut_at = np.where(spot < 0, stop, start + spot)
-        rest = np.where(spot < 0, stop, start + spot + 1)
-        head = lines.hash(start, cut_at)
-        # What follows the character moves one place to the front, behind the head.
-        tail = lines.hash(rest, stop) * power(_BASES[0], int(n.max(initial=1)) + 1)[np.maximum(cut_at - start, 0)]
-        key = mix64(head + tail + (n - (spot >= 0).astype(np.uint64)) * _SALT[5])
+        whole = spot < 0
+        n = (stop - start - ~whole).astype(np.uint64)
+        head = lines.hash("head", start, np.where(whole, stop, start + spot))
+        tail = lines.hash("moved", np.where(whole, stop, start + spot + 1), stop)  # one place to the front
+        key = mix64(head + tail + n * _SALT[5])
         own = pa.array(row)
         yield _table(
             {
@@ -232,8 +240,7 @@ def _partners(docs: DataFrame) -> DataFrame:
     pairs = pairs.select("at.doc_id", "at.line_no", F.col("to.doc_id").alias("to_doc"), F.col("to.line_no").alias("to_line"))
     other = lines.select(F.col("line").alias("to_text"), F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"))
     checked = pairs.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"]).join(other, ["to_doc", "to_line"])
-    enough = F.greatest(F.char_length("line"), F.char_length("to_text")) >= LEAST_CHARS
-    checked = checked.where(enough & (F.levenshtein("line", "to_text", 1) == 1))
+    checked = checked.where(F.levenshtein("line", "to_text", 1) == 1)
     return checked.groupBy("doc_id", "line_no").agg(F.min(F.struct("to_doc", "to_line")).alias("to"))
 
 
@@ -241,9 +248,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """The lines of (doc_id, text, ...) that go, each with the earliest line within the edit bound.
 
     Rows: doc_id, line_no (from 0), keep_doc_id, keep_line_no, distance (0 or 1). A line goes if an earlier
-    line (by doc_id, then line_no) is equal to it, or within one edit where one of the two has 20 characters or
-    more; keep_* is the earliest such line, whether or not that one goes itself. Blank lines never go. Lines are
-    compared after white space is collapsed and A-Z lower-cased; equal means equal in a 128-bit hash. Null text has
+    line (by doc_id, then line_no) is equal to it or within one edit, however short they are; keep_* is the earliest
+    such line, whether or not that one goes itself. Blank lines never go. Lines are compared after white space is
+    collapsed and A-Z lower-cased; equal means equal in the 128 bits of BLAKE2b. Null text has
     no lines; rows with a null doc_id are left alone. Rows that repeat a doc_id stay or go line by line with their like, and
     never on each other's account. Other columns are ignored. An empty table gives an empty result.
     """
@@ -256,11 +263,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     keep = firsts.join(broadcast_if_small(partners, _BROADCAST_ROWS // 4), ["doc_id", "line_no"], "left").where("n > 1 or to is not null")
     keep = keep.select(
         *line_id,
+        "n",
         F.coalesce("to.to_doc", "doc_id").alias("keep_doc_id"),
         F.coalesce("to.to_line", "line_no").alias("keep_line_no"),
         F.when(F.col("to").isNull(), 0).otherwise(1).alias("distance"),
     )
-    dropped = places.join(keep, line_id).where("doc_id <> keep_doc_id or line_no <> keep_line_no")
+    met = join_groups(places, cut(keep), line_id, "n", F.xxhash64("doc_id", "line_no"))
+    dropped = met.where("doc_id <> keep_doc_id or line_no <> keep_line_no")
     return dropped.select(
         "doc_id", F.col("line_no").cast("long"), "keep_doc_id", F.col("keep_line_no").cast("long").alias("keep_line_no"), "distance"
     )

@@ -10,8 +10,11 @@ thousands of copies costs one comparison a member. The number of hubs grows from
 so few rounds remain where a bucket holds many unlike texts; none of their links is lost.
 
 Texts that share a frequent passage can fill a bucket without being alike. After the first round, the
-members of buckets with more than ``SMALL`` texts and several components are sketched anew with longer
-bands, which unlike texts rarely share, and meet in those buckets instead.
+members of buckets with more than ``CROWDED`` texts and several components are sketched anew with longer
+bands, which unlike texts rarely share, and meet in those buckets instead. After that round, too, a parity bitmap of
+each set rides along: each shingle flips one bit, so that the bits in which two bitmaps differ are at most the
+shingles in which the sets differ. A pair with more of them than a link allows is no link for certain and
+never becomes a row.
 """
 
 from __future__ import annotations
@@ -21,15 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, join_groups
 from .shingles import mix64, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
 #: Bands for texts from crowded buckets: a pair at 0.75 is missed with probability (1 - 0.75^10)^160 = 9e-5.
-LONG_BANDS, LONG_ROWS, SMALL = 160, 10, 32
+LONG_BANDS, LONG_ROWS, CROWDED = 160, 10, 1024
+#: A round takes so many times the hubs of the round before.
+SMALL = 32
+#: A bitmap has sixteen bits a shingle, up to so many longs; a wider set keeps its bitmap exact, only less sharp.
+MOST_BITMAP = 64
+#: Members of a bucket that one part of it may hold.
+PART = 1024
 #: Tables of ids with at most so many rows (a few MB) are broadcast; larger ones are shuffled.
 FEW = 200_000
 _BLOCK = 1 << 15
@@ -60,6 +69,30 @@ def signatures(sets: np.ndarray, at: np.ndarray, coordinates: int) -> np.ndarray
     return out
 
 
+def bitmaps(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity bitmaps of the sets, as longs one after the other, and the n + 1 offsets of the sets among them."""
+    size = np.diff(at)
+    longs = np.minimum(MOST_BITMAP, 1 << np.ceil(np.log2(np.maximum(size, 4) / 4)).astype(np.int64))
+    begin = np.concatenate(([0], np.cumsum(longs)))
+    bit = (mix64(sets) & (np.repeat(longs, size) * 64 - 1).astype(np.uint64)).astype(np.int64) + np.repeat(begin[:-1] * 64, size)
+    flips = np.zeros(begin[-1] * 64, np.uint8)
+    np.add.at(flips, bit, np.uint8(1))
+    return np.packbits(flips & 1, bitorder="little").view(np.int64), begin
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
+def _band_keys(sets: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The bucket of each non-empty set in each band."""
+    keys = np.zeros((len(at) - 1, bands), np.uint64)
+    signature = signatures(sets, at, bands * rows).astype(np.uint64)
+    for j in range(rows):
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + signature[:, j::rows])
+    return mix64(keys + np.arange(bands, dtype=np.uint64))
+
+
 def _sketcher(bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -68,35 +101,52 @@ def _sketcher(bands: int, rows: int):
                 size = np.diff(at)
                 full = np.flatnonzero(size)
                 lo, hi = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-                keys = np.zeros((len(full), bands), np.uint64)
+                keys = np.zeros((0, bands), np.uint64)
                 if len(full):
                     starts = at[:-1][full]
                     lo[full] = np.add.reduceat(mix64(sets), starts)
                     hi[full] = np.add.reduceat(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                    signature = signatures(sets, np.append(starts, at[-1]), bands * rows).astype(np.uint64)
-                    for j in range(rows):
-                        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + signature[:, j::rows])
-                    keys = mix64(keys + np.arange(bands, dtype=np.uint64))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)),
-                    pa.array(keys.reshape(-1).view(np.int64)),
-                )
+                    keys = _band_keys(sets, np.append(starts, at[-1]), bands, rows)
+                lists = _lists(keys.reshape(-1).view(np.int64), np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "set_lo", "set_hi", "bands"],
+                    [batch.column("doc_id"), batch.column("t"), pa.array(size), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), lists],
+                    names=["doc_id", "t", "n_shingles", "set_lo", "set_hi", "bands"],
                 )
 
     return sketch
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text): t tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_lo, set_hi, bands) of every row of (doc_id, text).
+    """(doc_id, t, n_shingles, set_lo, set_hi, bands) of every row of (doc_id, text); t is a hash of the text.
 
     ``set_lo`` and ``set_hi`` are a 128-bit hash of the shingle set: equal sets, equal hash.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _sketcher(bands, rows), "doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"
-    )
+    return _keyed(docs).mapInArrow(_sketcher(bands, rows), "doc_id long, t long, n_shingles long, set_lo long, set_hi long, bands array<long>")
+
+
+def _resketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, t, n, bits, long): the bitmap of each text, and the long bands of those that are in crowded buckets."""
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 20):
+            sets, at = shingle_sets(batch.column("text"))
+            bits, begin = bitmaps(sets, at)
+            crowded = np.flatnonzero(batch.column("crowded").to_numpy(zero_copy_only=False))
+            size = np.diff(at)
+            keys = np.zeros((0, LONG_BANDS), np.uint64)
+            if len(crowded):
+                own = np.concatenate([sets[at[i] : at[i + 1]] for i in crowded])
+                keys = _band_keys(own, np.concatenate(([0], np.cumsum(size[crowded]))), LONG_BANDS, LONG_ROWS)
+            many = np.zeros(len(size), np.int64)
+            many[crowded] = LONG_BANDS
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("v"), batch.column("t"), pa.array(size), _lists(bits, begin), _lists(keys.reshape(-1).view(np.int64), np.concatenate(([0], np.cumsum(many))))],
+                names=["v", "t", "n", "bits", "long"],
+            )
 
 
 def _linked(percent: int):
@@ -184,76 +234,104 @@ def _stars(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(roots.join(leaves.select("id"), "id", "left_anti"))
 
 
-def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, v, n, c, weight, size): the members of buckets that hold more than one component.
-
-    c is the member's component and weight the number of texts in it; size is the number of the bucket's members.
-    """
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds c, the member's component, and weight, the number of ids in it."""
     if labels is None:
-        own = members.select("bucket", "v", "n", F.col("v").alias("c"), F.lit(1).cast("long").alias("weight"))
-    else:
-        known = broadcast_if_small(labels.select(F.col("id").alias("v"), "component", "weight"), FEW)
-        own = members.join(known, "v", "left").select("bucket", "v", "n", F.coalesce("component", "v").alias("c"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    open_buckets = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-    return own.join(open_buckets.where("lo <> hi").select("bucket", "size"), "bucket").select("bucket", "v", "n", "c", "weight", "size")
+        return members.withColumns({"c": F.col("v"), "weight": F.lit(1).cast("long")})
+    known = broadcast_if_small(labels.select(F.col("id").alias("v"), "component", "weight"), FEW)
+    own = members.join(known, "v", "left").withColumns({"c": F.coalesce("component", "v"), "weight": F.coalesce("weight", F.lit(1))})
+    return own.drop("component")
 
 
-def _members(sketch: DataFrame) -> DataFrame:
-    """(bucket, v, n): a row for each band of each sketch."""
-    return sketch.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"))
+def _several(members: DataFrame) -> DataFrame:
+    """The labelled members (bucket, v, t, n, bits, c, weight) of buckets that hold more than one component, with size, the
+    number of the bucket's members."""
+    open_buckets = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+    return members.join(open_buckets.where("lo <> hi").select("bucket", "size"), "bucket")
 
 
 def _hubs(members: DataFrame, most: int) -> DataFrame:
-    """(bucket, hub, hub_n, hub_c): the first members of each bucket; those of the largest components come first, so
+    """(bucket, v, t, n, bits, c, size): the first members of each bucket; those of the largest components come first, so
     that stragglers meet what they probably belong to, and not the other way round."""
     if most == 1:
-        least = members.groupBy("bucket").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.min_by("c", "v").alias("hub_c"))
-        return least
-    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "v")
-    ranked = members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
-    return ranked.select("bucket", F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        own = F.min(F.struct("v", "t", "n", "c", "size")).alias("m")
+        return members.groupBy("bucket").agg(own).select("bucket", "m.*", F.lit(None).cast("array<long>").alias("bits"))
+    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "v", "t")
+    return members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("bucket", "v", "t", "n", "c", "size", "bits")
 
 
-def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: hubs and members of their buckets, of other components and of sizes that allow a link."""
-    sizes = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
-    met = members.alias("m").join(hubs.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & (F.col("c") != F.col("hub_c")) & sizes)
-    return met.select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b")).distinct()
+def _differing(a: Column, b: Column) -> Column:
+    """The bits in which two bitmaps differ, where the wider one is folded to the width of the other."""
+    half = lambda x: F.zip_with(
+        F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q)
+    )
+    x = F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
+    y = F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+
+
+def _pairs(members: DataFrame, hubs: DataFrame, percent: int, sharp: bool) -> DataFrame:
+    """(a, at, b, bt), a < b: hubs and members of their buckets, of other components, that sizes and bitmaps allow to be linked.
+
+    The members of a large bucket are dealt over parts, and its hubs go to each part.
+    """
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    members = members.withColumn("part", F.pmod(F.xxhash64("v", "t"), parts).cast("int"))
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    m, h = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"h.{c}"))
+    met = (m("bucket") == h("bucket")) & (m("part") == h("part")) & (m("c") != h("c"))
+    met &= F.lit(100) * F.least(m("n"), h("n")) >= F.lit(percent) * F.greatest(m("n"), h("n"))
+    if sharp:
+        met &= F.lit(100 + percent) * _differing(m("bits"), h("bits")) <= F.lit(100 - percent) * (m("n") + h("n"))
+    low = m("v") < h("v")
+    side = lambda first, c: F.when(first, m(c)).otherwise(h(c))
+    return members.alias("m").join(hubs.alias("h"), met).select(
+        side(low, "v").alias("a"), side(low, "t").alias("at"), side(~low, "v").alias("b"), side(~low, "t").alias("bt")
+    ).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(percent), "a long, b long")
-
-
-def _links(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """(component, id, weight) of all representatives that are linked with others; None if there are none."""
-    members = cut(_several(_members(reps), None))
-    if members.isEmpty():
-        return None
-    needed = members.select(F.col("v").alias("doc_id")).distinct()  # only these texts move
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id").dropDuplicates(["doc_id"]))
-    labels, tried, most = None, None, 1
+    side = lambda s: texts.select(F.col("v").alias(s), F.col("t").alias(f"{s}t"), F.col("text").alias(f"text_{s}"))
+    return pairs.join(side("a"), ["a", "at"]).join(side("b"), ["b", "bt"]).mapInArrow(_linked(percent), "a long, b long")
+
+
+def _links(classes: DataFrame, same_ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """(id, component, weight) of all classes that are linked with others; None if there are none.
+
+    classes: (class_id, t, n_shingles, bands), a row for each set; same_ids: (a, b), classes that one doc_id joins.
+    """
+    members = classes.select(F.explode("bands").alias("bucket"), F.col("class_id").alias("v"), "t", F.col("n_shingles").alias("n"))
+    members = cut(_several(_labelled(members, None)))
+    alone = members.isEmpty()
+    if alone:
+        return None if same_ids.isEmpty() else cut(components(same_ids))
+    needed = members.select("v", "t").distinct()  # only these texts move
+    texts = cut(_keyed(docs).withColumnRenamed("doc_id", "v").join(needed, ["v", "t"]).dropDuplicates(["v", "t"]))
+    labels, most = None, 1
     while not members.isEmpty():
         hubs = cut(_hubs(members, most))
-        pairs = _pairs(members, hubs, percent)
-        pairs = cut(pairs if tried is None else pairs.join(broadcast_if_small(tried, FEW), ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, texts, percent)
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = _verified(cut(_pairs(members, hubs, percent, most > 1)), texts, percent)
+        found = found.unionByName(same_ids if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = cut(components(found))
-        rest = members.join(broadcast_if_small(hubs.select("bucket", F.col("hub").alias("v")), FEW), ["bucket", "v"], "left_anti").select("bucket", "v", "n")
-        members = cut(_several(rest, labels))
-        if most == 1:
-            crowded = members.where(F.col("size") > SMALL)
-            again = texts.join(crowded.select(F.col("v").alias("doc_id")).distinct(), "doc_id")
-            long = _several(_members(sketches(again, LONG_BANDS, LONG_ROWS)), labels)
-            members = cut(members.where(F.col("size") <= SMALL).unionByName(long))
+        met = broadcast_if_small(hubs.select("bucket", "v", "t"), FEW)
+        rest = members.join(met, ["bucket", "v", "t"], "left_anti").drop("c", "weight", "size")
+        if most > 1:
+            members = cut(_several(_labelled(rest, labels)))
+        else:
+            members = cut(_resketched(cut(_several(_labelled(rest, labels))), texts, labels))
         most *= SMALL
     return labels
 
 
+def _resketched(members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with bitmaps; those of crowded buckets in buckets of long bands instead."""
+    left = members.groupBy("v", "t").agg(F.max(F.col("size") > CROWDED).alias("crowded"))
+    again = cut(texts.join(left, ["v", "t"]).select("v", "t", "text", "crowded").mapInArrow(_resketch, "v long, t long, n long, bits array<long>, long array<long>"))
+    few = members.where(F.col("size") <= CROWDED).join(again.select("v", "t", "bits"), ["v", "t"])
+    long = _labelled(again.where(F.size("long") > 0), labels).select(F.explode("long").alias("bucket"), "v", "t", "n", "bits", "c", "weight")
+    return few.unionByName(_several(long))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups documents whose sets of five-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -264,25 +342,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     sets. Sets are held as 64-bit shingle hashes.
 
     Null or blank texts have no shingles and are linked with nothing. A null doc_id keeps its row, with
-    null class and component, and is kept. Rows that repeat a doc_id are one vertex. An empty
-    table gives an empty result.
+    null class and component, and is kept. Rows that repeat a doc_id are one vertex with several sets: what any of them is linked
+    with, all are. An empty table gives an empty result.
     """
     sketch = cut(sketches(docs, bands, rows))
     same = ["n_shingles", "set_lo", "set_hi"]
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    reps = full.join(classes, same).where("doc_id = class_id").dropDuplicates(["doc_id"])
-    labels = _links(reps, docs, percent)
-    out = sketch.select("doc_id", *same).join(classes, same, "left")
+    first = F.min(F.struct("doc_id", "t")).alias("m")
+    classes = cut(full.groupBy(*same).agg(first, F.first("bands").alias("bands"), F.count("*").alias("n")).select(*same, F.col("m.doc_id").alias("class_id"), "m.t", "bands", "n"))
+    labels = _links(classes, _same_ids(full, classes, same), docs, percent)
+    groups = classes.select(*same, "class_id", "n")
     if labels is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+        groups = groups.withColumn("component", F.col("class_id"))
     else:
-        out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+        known = labels.select(F.col("id").alias("class_id"), "component")
+        groups = groups.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    place = F.monotonically_increasing_id()  # texts without shingles belong to no group, and must not gather
+    rows_ = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_lo")).otherwise(place).alias("set_lo"), "set_hi", place.alias("place"))
+    own = F.col("doc_id").isNull()  # without an id or a set a row stands alone
+    out = join_groups(rows_, cut(groups), same, "n", F.col("place"))
+    component = F.when(own, None).otherwise(F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(own, None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def _same_ids(full: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
+    """(a, b): the classes of the sets that rows of one doc_id hold, each with the smallest of them."""
+    one = F.struct(*same)
+    several = cut(full.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id"))
+    of_sets = full.join(broadcast_if_small(several, FEW), "doc_id", "left_semi").select("doc_id", *same).distinct()
+    held = cut(of_sets.join(classes.select(*same, "class_id"), same).select("doc_id", "class_id"))
+    least = held.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    return cut(held.join(least, "doc_id").select("a", F.col("class_id").alias("b")).where("a <> b").distinct())

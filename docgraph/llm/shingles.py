@@ -17,20 +17,9 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[_SPACE] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def power(base: np.uint64, n: int) -> np.ndarray:
-    """The powers 0 to n - 1 of a base, at least, modulo 2^64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        _powers[int(base)] = have = np.multiply.accumulate(have)
-    return have
+#: A letter's place in its word counts by this factor before the two are mixed.
+_AT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,7 +51,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (A-Z lower-cased) and the n + 1 offsets of the rows among the words."""
+    """A hash of each word (A-Z lower-cased) and the n + 1 offsets of the rows among the words.
+
+    Each letter is mixed with its place, and the results are added up: unlike a polynomial, such a sum has no words
+    that collide by their build.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     space = _SPACE[data]
@@ -73,8 +66,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(first & ~space)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    value = _BYTE[data] * power(_BASE, len(data))[: len(data)]
-    hashes = mix64(np.add.reduceat(value, starts) * power(_BASE_INV, len(data))[starts])
+    place = np.arange(starts[0], len(data), dtype=np.uint64)
+    place -= np.repeat(starts, np.diff(starts, append=len(data))).astype(np.uint64)
+    value = mix64(_BYTE[data[starts[0] :]] + place * _AT)
+    value[space[starts[0] :]] = 0
+    hashes = mix64(np.add.reduceat(value, starts - starts[0]))
     return hashes, np.searchsorted(starts, bounds)
 
 
