@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node has a tag path from the root. Per path, the text length and the punctuation of its nodes
-are aggregated to ratios (per node), smoothed over the sequence of nodes in the page, fused by their
-product, and thresholded at a share of the page's mean. The selected nodes name the content element: the
-lowest one that holds them all, or the article or main element around it. All text of that element is
-taken in page order, short paragraphs too; navigation, adverts, forms, comments and the like are no
-candidates and never taken, wherever they are.
+Each text node has a tag path from the root; a class counts as part of the tag. Per path, the text length and the punctuation of
+its nodes are aggregated to ratios (per node), smoothed over the sequence of nodes in the page, and fused by their product.
+A path scores as its own nodes do on average, or as a part of what all nodes below one of the elements around it do, so that a short list
+in an article is carried by the article. Paths that reach a share of the page's mean are content, all their nodes
+with them; what lies between two content nodes of one article or main element is content too.
+
+Elements that are no text by their meaning (navigation, page headers and footers, asides, forms, scripts) are left out before. Elements
+that are only named like adverts, notices or comments count for little: their names do not decide, but their ratios have to be
+so much the higher, and nothing around them carries them.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import slices
+
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math xmp object canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 "
     "h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -37,168 +42,201 @@ IMPLIED_END = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements and name parts that mark what is no article text.
-OTHER_TAGS = frozenset("nav header footer aside form button select menu dialog label input datalist".split())
+#: Elements and roles that are no article text; a header is one only outside of articles.
+OTHER_TAGS = frozenset("nav footer aside form button select menu dialog label input datalist".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-OTHER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs header masthead footer sidebar aside widget notice notices cookie cookies consent gdpr alert popup modal "
-    "newsletter subscribe subscription signup login form search comment comments commentlist disqus respond replies reply share "
-    "sharing social related recommended pagination pager toolbar copyright".split()
+#: Parts of class names and ids that hint at what is no article text, and what the ratios of such elements count.
+HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
+    "masthead footer sidebar notice notices cookie cookies consent gdpr popup newsletter comment comments commentlist disqus".split()
 )
+HINTED = 0.02
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Nodes below this share of the page's mean fused ratio are not selected.
+#: Paths below this share of the page's mean fused ratio are no content.
 SHARE = 0.2
+#: What the mean of an element counts for the paths below it, for each step down, and up to how many steps.
+CARRY, STEPS = 0.5, 4
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)(>|\Z))""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ARTICLES = ("article", "main")
+
 
+class Page:
+    """The text nodes of a page and the tree of its tag paths; all steps take time linear in the page.
 
-class _Element:
-    __slots__ = ("tag", "path", "parent", "other", "depth")
-
-    def __init__(self, tag: str, parent: _Element | None, other: bool):
-        self.tag, self.parent, self.other = tag, parent, other
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
-
-
-def _is_other(tag: str, attributes: str) -> bool:
-    if tag in OTHER_TAGS:
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    for name, *values, bare in _ATTRIBUTE.findall(attributes):
-        name, value = (name or bare).lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name == "role" and value.lower() in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(part.lower() in OTHER_NAMES for part in _NAME_PART.findall(value)):
-                return True
-    return False
-
-
-def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
-    """(element, block number, text) of each text node that has text, references decoded."""
-    root = _Element("#", None, False)
-    here, block, nodes, at, end = root, 0, [], 0, len(page)
-    while at < end:
-        tag = _TAG.search(page, at)
-        stop = tag.start() if tag else end
-        if stop > at and not here.other:
-            text = page[at:stop]
-            if not text.isspace():
-                nodes.append((here, block, html.unescape(text)))
-        if not tag:
-            break
-        at = tag.end()
-        closing, name, attributes = tag[1], tag[2], tag[3]
-        if not name:
-            continue
-        name = name.lower()
-        if name in BLOCK:
-            block += 1
-        if closing:
-            up = here
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                here = up.parent
-            continue
-        if name in RAW:
-            if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            continue
-        if name in VOID:
-            continue
-        ends, within = ({"p"}, {"td", "th", "button", "object"}) if name in CLOSES_P else IMPLIED_END.get(name, (None, None))
-        if ends:
-            up, found = here, None
-            while up is not root and up.tag not in within:
-                if up.tag in ends:
-                    found = up
-                up = up.parent
-            if found is not None:
-                here = found.parent
-        here = _Element(name, here, here.other or _is_other(name, attributes))
-    return nodes
-
-
-def main_text(page: str | None) -> str:
+    nodes: (path, block number, outermost article or main element (0: none), text); paths: for each path, the path it extends
+    (itself at the root), and whether its last element is hinted or ends the climb of what carries it.
+    """
+
+    def __init__(self, page: str):
+        self.nodes: list[tuple[int, int, int, str]] = []
+        self.parent, self.hinted, self.top = [0], [False], [True]
+        self._known: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, path, left out, article
+        self._open: dict[str, list[int]] = {}  # places of the open elements of a tag in the stack
+        self._read(page)
+
+    def _push(self, tag: str, attributes: str, number: int) -> None:
+        _, path, other, article = self._stack[-1]
+        hinted = False
+        label = tag
+        if not other:
+            other, hinted, name = _judged(tag, attributes, bool(article))
+            label = f"{tag}.{name}" if name else tag
+        place = self._known.setdefault((path, label), len(self.parent))
+        if place == len(self.parent):
+            self.parent.append(path)
+            self.hinted.append(hinted)
+            self.top.append(tag in ("html", "body"))
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, place, other, article or (number if tag in _ARTICLES else 0)))
+
+    def _pop_to(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._open[self._stack.pop()[0]].pop()
+
+    def _nearest(self, tags) -> int:
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
+    def _read(self, page: str) -> None:
+        block, at, end = 0, 0, len(page)
+        while at < end:
+            tag = _TAG.search(page, at)
+            stop = tag.start() if tag else end
+            _, path, other, article = self._stack[-1]
+            if stop > at and not other:
+                self.nodes.append((path, block, article, html.unescape(page[at:stop])))
+            if not tag or tag[2] and not tag[4]:  # a tag that never ends swallows the rest
+                break
+            at = tag.end()
+            if not tag[2]:
+                continue
+            name = tag[2].lower()
+            if name in BLOCK:
+                block += 1
+            if tag[1]:
+                if self._open.get(name):
+                    self._pop_to(self._open[name][-1])
+            elif name in RAW:
+                if not tag[3].endswith("/"):
+                    close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                    at = close.end() if close else end
+            elif name not in VOID:
+                ends, within = ({"p"}, {"td", "th", "button", "object"}) if name in CLOSES_P else IMPLIED_END.get(name, ((), ()))
+                place, barrier = self._outermost(ends, self._nearest(within)), 0
+                if place > barrier:
+                    self._pop_to(place)
+                self._push(name, tag[3], tag.start() + 1)
+
+    def _outermost(self, tags, beyond: int) -> int:
+        """The place of the outermost open element of these tags inside the place ``beyond``; 0 if there is none."""
+        found = 0
+        for t in tags:
+            places = self._open.get(t)
+            if places and places[-1] > beyond:
+                k = len(places) - 1
+                while k and places[k - 1] > beyond:
+                    k -= 1
+                found = min(found or places[k], places[k])
+        return found
+
+
+def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is no text by its meaning, whether its names hint at that, and its class."""
+    if tag in OTHER_TAGS or tag == "header" and not in_article:
+        return True, False, ""
+    hinted, name = False, ""
+    if "=" in attributes or "hidden" in attributes:
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), "".join(values)
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
+                return True, False, ""
+            if key == "role" and value.lower() in OTHER_ROLES:
+                return True, False, ""
+            if key in ("class", "id") and tag not in ("html", "body", *_ARTICLES):
+                hinted = hinted or any(part.lower() in HINTS for part in _NAME_PART.findall(value))
+                name = value if key == "class" else name
+    return False, hinted, name
+
+
+def path_scores(page: Page, solid: list[int]) -> tuple[np.ndarray, float]:
+    """The score of each path and the mean of the page, from the nodes ``solid``, which are those that are not blank."""
+    n = len(page.parent)
+    path = np.array([page.nodes[i][0] for i in solid])
+    length = np.array([len(page.nodes[i][3].strip()) for i in solid], float)
+    points = np.array([len(PUNCTUATION.findall(page.nodes[i][3])) for i in solid], float)
+    count = np.bincount(path, minlength=n)
+    per_node = lambda x: np.bincount(path, x, n)[path] / count[path]
+    smooth = lambda x: np.convolve(np.pad(x, 1, "edge"), [0.25, 0.5, 0.25], "valid")
+    hinted = np.zeros(n, bool)
+    for k in range(n):  # a path is younger than the one it extends
+        hinted[k] = page.hinted[k] or hinted[page.parent[k]]
+    fused = smooth(per_node(length)) * smooth(per_node(points) + 1) * np.where(hinted[path], HINTED, 1.0)
+    sums, below = np.bincount(path, fused, n), count.astype(float)
+    own = np.divide(sums, below, out=np.zeros(n), where=below > 0)
+    for k in range(n - 1, 0, -1):
+        if not page.hinted[k]:
+            sums[page.parent[k]] += sums[k]
+            below[page.parent[k]] += below[k]
+    mean_below = np.divide(sums, below, out=np.zeros(n), where=below > 0)
+    for k in np.flatnonzero(count):
+        up, weight = k, 1.0
+        for _ in range(STEPS):
+            if page.top[up]:
+                break
+            own[k] = max(own[k], weight * mean_below[up])
+            if page.hinted[up]:
+                break
+            up, weight = page.parent[up], weight * CARRY
+    return own, float(fused.mean())
+
+
+def main_text(page: str | None, share: float = SHARE) -> str:
     """The main text of a page: blocks joined by one space, white space within them made one space."""
-    nodes = text_nodes(page or "")
-    if not nodes:
+    read = Page(page or "")
+    nodes = read.nodes
+    solid = [i for i, node in enumerate(nodes) if node[3] and not node[3].isspace()]
+    if not solid:
         return ""
-    paths: dict[str, list[int]] = {}
-    for element, _, text in nodes:
-        sums = paths.setdefault(element.path, [0, 0, 0])
-        sums[0] += 1
-        sums[1] += len(text.strip())
-        sums[2] += len(PUNCTUATION.findall(text))
-    ratios = np.array([(paths[e.path][1] / paths[e.path][0], (1 + paths[e.path][2]) / paths[e.path][0]) for e, _, _ in nodes])
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = np.stack([np.convolve(np.pad(r, 1, "edge"), kernel, "valid") for r in ratios.T])
-    fused = smooth[0] * smooth[1]
-    chosen = [nodes[i][0] for i in np.flatnonzero(fused >= SHARE * fused.mean())]
-    inside = [e for e in chosen if _around(e, ("article", "main")) is not None]
-    content = _lowest_common(inside or chosen)
-    content = _around(content, ("article",)) or _around(content, ("main",)) or _container(content)
-    out, last = [], None
-    for element, block, text in nodes:
-        if _within(element, content):
-            out.append(text if block == last else " " + text)
-            last = block
+    score, mean = path_scores(read, solid)
+    chosen = np.array([score[nodes[i][0]] >= share * mean for i in solid])
+    kept = set()
+    article = np.array([nodes[i][2] for i in solid])
+    last = np.maximum.accumulate(np.where(chosen, np.arange(len(solid)), -1))
+    following = np.minimum.accumulate(np.where(chosen, np.arange(len(solid)), len(solid))[::-1])[::-1]
+    for k, i in enumerate(solid):
+        gap = not chosen[k] and last[k] >= 0 and following[k] < len(solid) and article[k] > 0
+        if chosen[k] or gap and article[k] == article[last[k]] == article[following[k]] and not _hinted(read, nodes[i][0]):
+            kept.add(i)
+    out, block = [], None
+    for i, node in enumerate(nodes):
+        if node[1] != block:
+            out.append(" ")
+            block = node[1]
+        if i in kept:
+            out.append(node[3])
+        elif node[3].isspace():
+            out.append(" ")
     return " ".join("".join(out).split())
 
 
-def _around(element: _Element, tags: tuple[str, ...]) -> _Element | None:
-    """The outermost element of these tags that is or holds the given one."""
-    found = None
-    while element is not None:
-        if element.tag in tags:
-            found = element
-        element = element.parent
-    return found
-
-
-def _container(element: _Element) -> _Element:
-    """The element itself, or the one around it if it is a single paragraph, heading or inline element."""
-    while element.parent is not None and element.tag not in ("div", "section", "article", "main", "body", "td", "center", "#"):
-        element = element.parent
-    return element
-
-
-def _lowest_common(elements: list[_Element]) -> _Element:
-    common = elements[0]
-    for other in elements[1:]:
-        while common is not other:
-            if common.depth >= other.depth:
-                common = common.parent
-            else:
-                other = other.parent
-    return common
-
-
-def _within(element: _Element | None, outer: _Element) -> bool:
-    while element is not None and element.depth >= outer.depth:
-        if element is outer:
-            return True
-        element = element.parent
-    return False
+def _hinted(page: Page, path: int) -> bool:
+    while path and not page.hinted[path]:
+        path = page.parent[path]
+    return bool(path)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page) for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            texts = [main_text(page) for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
