@@ -1,10 +1,10 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
 A text is cut where its own content says so (after a sentence end or line break, at 1024 to 16384
-characters), so equal passages give equal chunks wherever they start. A chunk's text moves once:
-chunks are grouped by hash, and a hash counts as an identifier once its smallest and largest text
-are the same; where they are not, the chunk's SHA-256 joins the identifier. Documents are then
-compared by their ordered identifier lists, which are some hundred times shorter than the texts.
+characters), so equal passages give equal chunks wherever they start. Texts never move: a chunk is known
+by a 64-bit hash, and the hash counts as an identifier once all its chunks have one SHA-256; where they
+have several, the chunk's SHA-256 joins the identifier. Documents are then compared by their ordered
+identifier lists, which are some hundred times shorter than the texts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, join_groups, lower_ascii
 
 LEAST, MOST = 1024, 16384
 
@@ -23,14 +23,22 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.regexp_extract_all(text, F.lit(boundary), F.lit(0))
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """(chunk_hash, verified) of every distinct chunk hash: whether all its chunks have one text."""
-    own = docs.select(F.explode(chunks(lower_ascii(F.col("text")))).alias("chunk"))
-    return (
-        own.groupBy(F.xxhash64("chunk").alias("chunk_hash"))
-        .agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-        .select("chunk_hash", (F.col("lo") == F.col("hi")).alias("verified"))
-    )
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256, cuts): the hash and the SHA-256 of every chunk of each row of (doc_id, text), in order."""
+    cutting = F.transform(chunks(F.col("norm")), lambda c: F.struct(F.xxhash64(c).alias("hash"), F.sha2(c, 256).alias("sha")))
+    return docs.select("doc_id", lower_ascii(F.col("text")).alias("norm")).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), cutting.alias("cuts"))
+
+
+def _long(sha: Column, start: int) -> Column:
+    """Sixty bits of a digest in hexadecimal."""
+    return F.conv(F.substring(sha, start, 15), 16, 10).cast("long")
+
+
+def chunk_store(lists: DataFrame) -> DataFrame:
+    """(chunk_hash, verified) of every distinct chunk hash: whether all its chunks have one digest (120 bits of it count)."""
+    own = lists.select(F.explode("cuts").alias("c")).select(F.col("c.hash").alias("chunk_hash"), _long(F.col("c.sha"), 1).alias("x"), _long(F.col("c.sha"), 16).alias("y"))
+    sides = own.groupBy("chunk_hash").agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    return sides.select("chunk_hash", ((F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi"))).alias("verified"))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -38,15 +46,9 @@ def recipes(docs: DataFrame) -> DataFrame:
 
     One row per input row. Null text counts as empty and has an empty recipe.
     """
-    text = lower_ascii(F.col("text"))
-    cutting = F.transform(
-        chunks(F.col("norm")), lambda c: F.struct(F.xxhash64(c).alias("hash"), F.sha2(c, 256).alias("sha"))
-    )
-    rows = docs.select("doc_id", text.alias("norm")).select(
-        "doc_id", F.sha2("norm", 256).alias("text_sha256"), cutting.alias("cuts")
-    )
+    rows = cut(chunk_lists(docs))
     plain = F.transform("cuts", lambda c: c["hash"].cast("string"))
-    clashing = cut(chunk_store(docs).where("not verified").select("chunk_hash"))
+    clashing = cut(chunk_store(rows).where("not verified").select("chunk_hash"))
     if clashing.isEmpty():  # as good as always: 64-bit hashes of unlike chunks rarely meet
         return rows.select("doc_id", "text_sha256", plain.alias("recipe"))
     # Rows are told apart by doc_id and text, which is all that a recipe depends on.
@@ -74,8 +76,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     kept or not together. Other columns are ignored. An empty table gives an empty result.
     """
     lists = cut(recipes(docs))
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return lists.join(groups, "recipe").select(
+    groups = cut(lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    return join_groups(lists, groups, ["recipe"], "group_size", F.monotonically_increasing_id()).select(
         "doc_id",
         "keep_id",
         "group_size",
