@@ -1,26 +1,26 @@
 """Mixes sources to target weights in fixed-length token blocks, in DataFrame functions only.
 
 Each source's documents form one stream of words in a seeded pseudorandom order, cut into blocks of
-``block`` words. A source gets as many slots as its target asks for. Slots fall on output shards by
-a seeded hash, so the source counts of the shards are multinomial draws, conditional on the source
-totals (those stay exact, so targets are met to within one block). Slot i of a source takes the block at
-index ``(a * i + b) mod blocks``, a permutation in each pass over the source, so no block is taken
-more than twice where the target is at most twice the size. Everything is a function of the
-seed and the data: reruns agree.
+``block`` words. A source gets as many slots as its target asks for. Each slot draws an output shard, so
+the counts of a source over the shards are one multinomial draw, conditional on its total (which stays exact, so
+that targets are met to within one block). The counts deal the source's slots to the shards in
+ranges, and slot i takes the block at the place to which a pseudorandom permutation of the source's blocks, keyed by
+source and pass, moves i. So no block is taken more than twice where the target is at most twice the size.
+Everything is a function of the seed and the data: reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, words
 
-BLOCK, SHARD_WORDS, SEED = 128, 1 << 24, 17
+BLOCK, SHARD_WORDS, SEED = 128, 1 << 22, 17
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2
-#: A prime above any number of blocks of a source, so it shares no factor with it.
-_STEP = 2_147_483_647
-#: Slots that one row of the slot generator unfolds.
+#: Rounds of the permutation.
+_ROUNDS = 24
+#: Slots that one row of a generator unfolds.
 _RUN = 4096
 
 
@@ -74,20 +74,46 @@ def positions(sized: DataFrame, docs_per_bucket: int = 4096, seed: int = SEED) -
     )
 
 
-def slots(sizes: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(source, shard, slot, block): the output slots of (source, source_size, target) and their blocks."""
+def permuted(place: Column, n: Column, key: Column) -> Column:
+    """The place in 0 to n - 1 to which a pseudorandom permutation of these numbers moves ``place``.
+
+    A swap-or-not shuffle: each round pairs every x with c - x (modulo n, for a keyed c) and swaps the two or not by a keyed
+    bit of the larger one. Any n will do, and no number exceeds 2n.
+    """
+
+    def swap_or_not(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        swap = F.xxhash64(key, r, F.greatest(x, other)).bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.when(swap, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), place.cast("long"), swap_or_not)
+
+
+def _unfolded(counted: DataFrame, *keys: str) -> DataFrame:
+    """``i`` from 0 to n - 1 for each row of (.., n), spread over tasks in runs."""
+    runs = counted.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_RUN}"))).alias("run")).repartition(*keys, "run")
+    last = F.least(F.col("run") * _RUN + _RUN, F.col("n")) - 1
+    return runs.select(*keys, F.explode(F.sequence(F.col("run") * _RUN, last)).alias("i"))
+
+
+def shard_counts(sizes: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(source, blocks, shard, n, first): how many slots each output shard draws of (source, source_size, target), and how many
+    the shards before it draw. blocks is the number of the source's blocks."""
     shards = sizes.agg(F.ceil(F.sum("target") / shard_words).alias("n")).scalar()
     counted = sizes.where("source_size > 0").select("source", "source_size", "target", F.ceil(F.col("source_size") / block).alias("blocks"))
     n = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
     counted = counted.withColumn("n", F.least(n, MOST_REPEATS * F.col("blocks"))).where("n > 0")
-    runs = counted.select("source", "blocks", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_RUN}"))).alias("run"))
-    runs = runs.repartition(F.col("source"), F.col("run"))  # the unfolding below is spread over tasks
-    last = F.least(F.col("run") * _RUN + _RUN, F.col("n")) - 1
-    unfolded = runs.select("source", "blocks", F.explode(F.sequence(F.col("run") * _RUN, last)).alias("slot"))
-    shift = F.pmod(F.xxhash64("source", F.expr("slot div blocks"), F.lit(seed)), F.col("blocks"))
-    moved = F.pmod(F.pmod(F.col("slot"), F.col("blocks")) * _STEP + shift, F.col("blocks"))
-    shard = F.pmod(F.xxhash64("source", "slot", F.lit(seed + 1)), F.greatest(shards, F.lit(1)))
-    return unfolded.select("source", shard.alias("shard"), "slot", moved.alias("block"))
+    shard = F.pmod(F.xxhash64("source", "i", F.lit(seed + 1)), F.greatest(shards, F.lit(1)))
+    drawn = _unfolded(counted, "source", "blocks").groupBy("source", "blocks", shard.alias("shard")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+
+
+def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, shard, slot, block): the slots that the counts deal to the shards, and the block of each."""
+    rows = _unfolded(counts, "source", "blocks", "shard", "first").withColumn("slot", F.col("first") + F.col("i"))
+    rows = rows.withColumn("key", F.xxhash64("source", F.expr("slot div blocks"), F.lit(seed)))
+    return rows.select("source", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("key")).alias("block"))
 
 
 def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -114,7 +140,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFr
     doc_ids must be unique here. An empty block is not written.
     """
     sized = sized_documents(docs)
-    mix = mixed_segments(positions(sized, seed=seed), slots(source_sizes(sized), block, seed), block).drop("source")
+    mix = mixed_segments(positions(sized, seed=seed), slots(shard_counts(source_sizes(sized), block, seed), seed), block).drop("source")
     own = docs.select("doc_id", "source", words(F.col("text")).alias("words"))
     piece = F.array_join(F.slice("words", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     pieces = mix.join(own, "doc_id").select("shard", "source", "slot", "start", piece.alias("piece"))
@@ -132,7 +158,7 @@ def mix_digest(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
     """
     sized = sized_documents(docs)
     placed, sizes = positions(sized, seed=seed), source_sizes(sized)
-    times = slots(sizes, block, seed).groupBy("source", "block").agg(F.count("*").alias("times"))
+    times = slots(shard_counts(sizes, block, seed), seed).groupBy("source", "block").agg(F.count("*").alias("times"))
     # Spark takes unfolded rows for few; the hints keep it from broadcasting what grows with the corpus.
     cuts = segments(placed, block).select("source", "bucket", "place", "block", "n_words").hint("merge")
     drawn = cuts.alias("s").join(times.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.block") == F.col("t.block")))
