@@ -2,21 +2,23 @@
 
 Everything is DataFrame functions. A document's windows for an item of L words are its runs of L
 words. Similarity is the weighted Jaccard of their five-word shingles (weight: how often a shingle
-occurs). A window that shares no shingle with any item has similarity 0, and moving a window forward to its
-first shared shingle never lowers the similarity, so only windows that start with a shingle of some
-item are fingerprinted; a bit table of item shingles finds those starts inside the row.
+occurs). Moving a window forward to its first shingle of an item never lowers its similarity to it, so only windows that start
+there count. First the places of item shingles in documents are found, by a bit table of all item shingles, and move without
+texts. How many places a window holds bounds its similarity; windows that cannot reach the threshold end here. Of the others the
+most promising one of each document and item is fingerprinted and compared, and then those that may still be better.
 
 Fingerprints are 64 bits. With 8 blocks of 8 bits, two fingerprints within ``RADIUS`` = 23 bits agree to
 within 2 bits in some block; the index lists every item under all 37 such values of each block, so
-the equality join finds all pairs within the radius. At the threshold of 0.75 the expected distance is 11
-bits with a deviation of 3, so the radius lies four deviations beyond. Candidates are confirmed exactly.
+the equality join on item, block and value finds all windows within the radius of their item. At the threshold of 0.75
+the expected distance is 11 bits with a deviation of 3, so the radius lies four deviations beyond. Candidates are confirmed
+exactly.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, lower_ascii, words
@@ -25,7 +27,7 @@ SHINGLE, THRESHOLD = 5, 0.75
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
 #: The bit table holds 2^10 to 2^18 longs (2 MB at most), however large the benchmark.
 _TABLE_CELLS = (10, 18)
-_LANE, _LANES = 0x0001000100010001, 16
+_LANE, _LANES, MOST_IN_LANES = 0x0001000100010001, 16, 32_767
 #: Index rows and shingles of items that may be broadcast.
 _BROADCAST_ROWS = 1_000_000
 
@@ -38,14 +40,22 @@ def shingle_hashes(tokens: Column, width: int) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """The SimHash of up to 32,767 shingles: bit by bit the majority of their hashes.
+    """The SimHash of shingles: bit by bit the majority of their hashes.
 
-    Sixteen longs count four bits each, two bytes a bit.
+    Sixteen longs count four bits each, two bytes a bit; where there are too many shingles for that, each bit is counted apart.
     """
     zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(_LANES)])
     count = lambda a, x, k: (a[f"c{k}"] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANE))).alias(f"c{k}")
     counts = F.aggregate(shingles, zero, lambda a, x: F.struct(*[count(a, x, k) for k in range(_LANES)]))
-    return F.transform(F.array(counts), lambda c: _majority(c, F.size(shingles)))[0]
+    quick = F.transform(F.array(counts), lambda c: _majority(c, F.size(shingles)))[0]
+    return F.when(F.size(shingles) <= MOST_IN_LANES, quick).otherwise(_bitwise_majority(shingles))
+
+
+def _bitwise_majority(shingles: Column) -> Column:
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ones = lambda k: F.aggregate(shingles, none, lambda n, x: n + F.call_function("shiftrightunsigned", x, k).bitwiseAND(one))
+    mask = lambda k: F.when(ones(k) * 2 > F.size(shingles), F.call_function("shiftleft", one, k)).otherwise(none)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda bits, k: bits.bitwiseOR(mask(k)))
 
 
 def _majority(counts: Column, n: Column) -> Column:
@@ -64,13 +74,26 @@ def _signed(x: int) -> int:
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Sum of the smaller weights over sum of the larger, where a weight is a number of occurrences."""
     plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    number = lambda x: F.transform(  # noqa: E731  the k-th occurrence of a shingle becomes (shingle, k)
-        x, lambda v, i: F.struct(v.alias("v"), F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda w: w == v)).alias("k"))
-    )
-    common = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(F.size(F.array_intersect(number(a), number(b))))
+    common = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(_common_weight(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _common_weight(a: Column, b: Column) -> Column:
+    """The sum of the smaller weights: both arrays are sorted as one, and each run of a shingle adds what both have of it."""
+    side = lambda x, k: F.transform(x, lambda v: F.struct(v.alias("v"), F.lit(k).alias("k")))
+    merged = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    state = "struct<v:bigint,a:int,b:int,total:int>"
+    start = F.struct(F.lit(None), F.lit(0), F.lit(0), F.lit(0)).cast(state)
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["v"].eqNullSafe(e["v"])
+        count = lambda name, k: F.when(same, s[name]).otherwise(0) + (e["k"] == k).cast("int")
+        done = F.when(same, s["total"]).otherwise(s["total"] + F.least(s["a"], s["b"]))
+        return F.struct(e["v"], count("a", 0), count("b", 1), done).cast(state)
+
+    return F.aggregate(merged, start, step, lambda s: s["total"] + F.least(s["a"], s["b"]))
+
+
 def _blocks(fingerprint: Column) -> Column:
     """(block, value) of each block of a fingerprint."""
     return F.array(
@@ -107,44 +130,77 @@ def _bit(h: Column, cells: int) -> Column:
     return F.shiftrightunsigned(h, cells).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(doc_id, start, n_words, window): windows of item size that start with a shingle of such an item."""
-    known = cut(items.select("n_words", F.explode("item").alias("h")).distinct())
-    cells = min(max(_TABLE_CELLS[0], (known.count() // 4).bit_length()), _TABLE_CELLS[1])
-    longest = items.agg(F.max("n_words")).first()[0]
-    hashed = docs.select("doc_id", shingle_hashes(F.col("tokens"), width).alias("own"), _bit_table(known, cells).alias("table"))
-    own = lambda i: F.get("own", i)
-    in_table = lambda i: F.call_function("shiftrightunsigned", F.get("table", _cell(own(i), cells)), _bit(own(i), cells)).bitwiseAND(F.lit(1)) == 1
-    starts = F.when(F.size("own") > 0, F.filter(F.sequence(F.lit(0), F.size("own") - 1), in_table))
-    parts = F.transform(
-        starts, lambda i: F.struct(i.alias("start"), own(i).alias("h"), F.slice("own", i + 1, longest - width + 1).alias("rest"))
-    )
-    # The outer form keeps Spark from inferring a filter that would work all of this out twice.
-    hits = hashed.select("doc_id", F.explode_outer(parts).alias("p")).where("p is not null").select("doc_id", "p.*")
-    hits = hits.join(broadcast_if_small(known, _BROADCAST_ROWS), "h")
-    return hits.select("doc_id", "start", "n_words", F.slice("rest", F.lit(1), F.col("n_words") - width + 1).alias("window"))
+def _starts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(row, key, start, most): the windows of (row, tokens) that start with a shingle of an item and may reach the threshold.
+
+    ``most`` bounds the similarity: as if every place in the window with a shingle of the item counted in full.
+    """
+    known = cut(items.select("key", F.size("item").alias("width"), F.explode(F.array_distinct("item")).alias("h")))
+    hashes = known.select("h").distinct()
+    cells = min(max(_TABLE_CELLS[0], (hashes.count() // 4).bit_length()), _TABLE_CELLS[1])
+    h = F.xxhash64(*[F.get("tokens", F.col("start") + k) for k in range(width)])
+    in_table = F.call_function("shiftrightunsigned", F.get(_bit_table(hashes, cells), _cell(h, cells)), _bit(h, cells)).bitwiseAND(F.lit(1)) == 1
+    # The outer form keeps Spark from inferring a filter that would split all texts twice.
+    every = F.when(F.size("tokens") >= width, F.sequence(F.lit(0), F.size("tokens") - width))
+    places = docs.select("row", "tokens", F.explode_outer(every).alias("start")).where(F.col("start").isNotNull())
+    hits = places.where(in_table).select("row", (F.size("tokens") - width + 1).alias("size"), "start", h.alias("h"))
+    hits = hits.join(broadcast_if_small(known, _BROADCAST_ROWS), "h").select("row", "key", "width", "size", "start")
+    hits = hits.repartition("row", "key").distinct()  # one exchange serves all that follows
+    of_item = Window.partitionBy("row", "key")
+    hits = hits.withColumn("n", F.count("*").over(of_item)).where(F.col("n") >= THRESHOLD * F.col("width"))
+    # A window ends as an event of its own; the events of a document and item in order, ends before the places they exclude.
+    own = F.least("width", F.col("size") - F.col("start"))
+    events = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("place")), F.struct((F.col("start") + own).alias("pos"), F.lit(0).alias("place")))
+    events = hits.select("row", "key", "width", own.alias("own"), "start", F.inline(events))
+    so_far = F.sum("place").over(of_item.orderBy("pos", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = events.withColumn("held", F.when(F.col("place") == 1, 1 - so_far).otherwise(so_far)).groupBy("row", "key", "width", "own", "start").agg(F.sum("held").alias("held"))
+    most = F.col("held") / (F.col("width") + F.col("own") - F.col("held"))
+    return counted.select("row", "key", "start", most.alias("most")).where(F.col("most") >= THRESHOLD)
+
+
+def _compared(starts: DataFrame, texts: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, doc_id, key, item_id, start, n_words, hamming, similarity) of the windows at ``starts`` that are like their items."""
+    sizes = items.select("key", F.size("item").alias("width"))
+    windows = starts.join(broadcast_if_small(sizes, _BROADCAST_ROWS), "key").join(texts, "row")
+    windows = windows.select("row", "doc_id", "key", "start", F.slice("own", F.col("start") + 1, F.col("width")).alias("window"))
+    windows = windows.withColumn("print", simhash(F.col("window")))
+    probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    found = probes.join(broadcast_if_small(index, _BROADCAST_ROWS), ["key", "block", "value"])
+    # A window meets its item in each block that agrees; the first of them speaks for all.
+    unlike = F.col("print").bitwiseXOR(F.col("item_print"))
+    agrees = lambda k: F.bit_count(F.shiftrightunsigned(unlike, BLOCK_BITS * k).bitwiseAND(F.lit(255))) <= RADIUS // BLOCKS
+    first = F.coalesce(*[F.when(agrees(k), F.lit(k)) for k in range(BLOCKS)])
+    found = found.withColumn("hamming", F.bit_count(unlike)).where((F.col("block") == first) & (F.col("hamming") <= RADIUS))
+    whole = items.select("key", "item_id", "n_words", "item")
+    found = found.join(broadcast_if_small(whole, _BROADCAST_ROWS, 64 + 8 * F.size("item")), "key")
+    found = found.withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
+    return found.where(F.col("similarity") >= THRESHOLD).select("row", "doc_id", "key", "item_id", "start", "n_words", "hamming", "similarity")
 
 
 def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """Windows of ``docs`` (doc_id, tokens) like ``items`` (item_id, tokens), on shingles of ``width`` words.
+    """The windows of ``docs`` (row, doc_id, tokens) most like ``items`` (item_id, tokens), on shingles of ``width`` words.
 
-    Ids may be null or repeated: items go by a hash of id and words, windows by id, place and a hash of their shingles.
+    Ids may be null or repeated: items go by a hash of id and words, documents by ``row``.
     """
     items = items.select("item_id", F.xxhash64("item_id", "tokens").alias("key"), F.size("tokens").alias("n_words"), shingle_hashes(F.col("tokens"), width).alias("item"))
     items = cut(items.withColumn("item_print", simhash(F.col("item"))))
-    windows = _windows(docs, items, width).withColumn("print", simhash(F.col("window")))
-
     near = F.array(*[F.lit(x) for x in _near_values()])
-    index = items.select("key", "n_words", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
+    index = items.select("key", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
     values = F.transform(near, lambda x: F.col("b.value").bitwiseXOR(x))
-    index = cut(index.select("key", "n_words", "item_print", "b.block", F.explode(values).alias("value")))
-    probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    found = probes.join(broadcast_if_small(index, _BROADCAST_ROWS), ["n_words", "block", "value"])
-    found = found.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
-    found = found.select("doc_id", "start", "key", "hamming", "window", F.xxhash64("window").alias("own")).dropDuplicates(["doc_id", "start", "key", "own"])
-    found = found.join(broadcast_if_small(items.select("key", "item_id", "n_words", "item"), _BROADCAST_ROWS // 16), "key")
-    found = found.withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
-    return found.where(F.col("similarity") >= THRESHOLD).select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
+    index = cut(index.select("key", "item_print", "b.block", F.explode(values).alias("value")))
+
+    starts = cut(_starts(docs, items, width))
+    rows = broadcast_if_small(cut(starts.select("row").distinct()), _BROADCAST_ROWS)
+    texts = cut(docs.join(rows, "row", "left_semi").select("row", "doc_id", shingle_hashes(F.col("tokens"), width).alias("own")).distinct())
+    best = F.max(F.struct("most", (-F.col("start")).alias("back"))).alias("m")
+    first = starts.groupBy("row", "key").agg(best).select("row", "key", (-F.col("m.back")).alias("start"), "m.most")
+    found = cut(_compared(first, texts, items, index))
+    reached = found.groupBy("row", "key").agg(F.max("similarity").alias("similarity"))
+    tried = first.select("row", "key", F.col("start").alias("tried")).join(reached, ["row", "key"], "left")
+    # A window that may be as good and starts earlier counts too.
+    better = (F.col("start") != F.col("tried")) & (F.col("similarity").isNull() | (F.col("most") > F.col("similarity")) | (F.col("most") == F.col("similarity")) & (F.col("start") < F.col("tried")))
+    rest = starts.join(tried, ["row", "key"]).where(better).select("row", "key", "start")
+    return found.unionByName(_compared(rest, texts, items, index))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -156,11 +212,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document windows are cut short. An item of fewer than five words is one shingle: it matches where its
     words occur in order. Null, empty and blank texts and items match nothing. Null ids are
     reported as null; rows that repeat an id are as one. Other columns are ignored. Without
-    documents or items the result is empty. Items may have up to 32,767 words.
+    documents or items the result is empty.
     """
     tokens = words(lower_ascii(F.col("text"))).alias("tokens")
     items = cut(benchmark.select("item_id", tokens).where(F.size("tokens") > 0).distinct())
-    docs = docs.select("doc_id", tokens)
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), tokens)
     widths = sorted(r[0] for r in items.select(F.least(F.size("tokens"), F.lit(SHINGLE))).distinct().collect())  # five at most
     found = docs.select(
         "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"),
@@ -168,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).where(F.lit(False))
     for width in widths:
         of_width = items.where((F.size("tokens") == width) if width < SHINGLE else (F.size("tokens") >= SHINGLE))
-        found = found.unionByName(_matches(docs, of_width, width))
+        found = found.unionByName(_matches(docs, of_width, width).select(*found.columns))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "hamming")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("m.back")).cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"),
