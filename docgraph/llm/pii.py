@@ -5,7 +5,8 @@ candidates of a bounded sample of documents, learn what format and context tell
 its check confirms (positive), and from those that fail a check or stand in a contrary context (negative). All
 others are open: they are no training rows, and they alone are scored. What only patterns have ('+', '@', the
 country code, the separators) is hidden from the trees, so that an open form can look like a confirmed one. A threshold
-calibrated on the labelled candidates of all documents outside the fit selects the spans that are added; pattern spans always stay.
+for each kind, calibrated on the labelled candidates of all documents outside the fit, selects the spans that are added; pattern
+spans always stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .shingles import slices
-from .spans import Span, digest, overlaps, written
+from .spans import Span, Taken, digest, written
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,12 +98,12 @@ def candidates(text: str) -> list[Span]:
     return found
 
 
-def verdict(text: str, span: Span, base: list[Span]) -> bool | None:
+def verdict(text: str, span: Span, base: Taken) -> bool | None:
     """True if a pattern of its kind confirms the candidate, False if a check or the context speaks against it, else None."""
     kind, start, end = span
-    if overlaps(start, end, [s for s in base if s[0] == kind]):
+    if base.meets(start, end, kind):
         return True
-    if overlaps(start, end, base) or kind == "ip":
+    if base.meets(start, end) or kind == "ip":
         return False
     own, before = text[start:end], text[max(0, start - REACH) : start]
     digits = "".join(_DIGITS.findall(own))
@@ -154,8 +155,8 @@ def features(text: str, span: Span, form: str | None = None) -> list[float]:
 class Trees:
     """Boosted trees as arrays, to score many candidates at once."""
 
-    def __init__(self, trees: list[tuple[float, list[tuple[int, float, int, int, float]]]], threshold: float):
-        self.trees, self.threshold = trees, threshold
+    def __init__(self, trees: list[tuple[float, list[tuple[int, float, int, int, float]]]], thresholds: list[float]):
+        self.trees, self.thresholds = trees, np.array(thresholds)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """The chance of each row of being personal data."""
@@ -185,7 +186,7 @@ def _nodes(node, out: list) -> int:
 
 def _examples(text: str) -> Iterator[tuple[list[float], float]]:
     """(features, label) of the candidates that are not open, in every hidden form."""
-    base = base_spans(text)
+    base = Taken(base_spans(text))
     for span in candidates(text):
         label = verdict(text, span, base)
         if label is not None:
@@ -203,17 +204,19 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(shared):
-    """(band, positive, n): the labelled candidates of a batch by their chance in steps of 1/50."""
+    """(kind, band, positive, n): the labelled candidates of a batch by their chance in steps of 1/50."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [x for text in batch.column("text").to_pylist() for x in _examples(text)]
                 if found:
-                    band = np.floor(shared.value.score(np.array([x for x, _ in found])) * 50).astype(np.int64)
-                    n, positive = np.bincount(band), np.bincount(band, [y for _, y in found])
+                    rows = np.array([x for x, _ in found])
+                    place = rows[:, 0].astype(np.int64) * 51 + np.floor(shared.value.score(rows) * 50).astype(np.int64)
+                    n, positive = np.bincount(place), np.bincount(place, [y for _, y in found])
                     some = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(positive[some]), pa.array(n[some], pa.int64())], names=["band", "positive", "n"])
+                    columns = [some // 51, some % 51, positive[some], n[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "band", "positive", "n"])
 
     return count
 
@@ -235,9 +238,10 @@ def train(docs: DataFrame, most_sampled: int = MOST_SAMPLED) -> Trees | None:
     for tree, weight in zip(model.trees, model.treeWeights, strict=True):
         _nodes(tree._java_obj.rootNode(), nodes := [])
         trees.append((float(weight), nodes))
-    shared = docs.sparkSession.sparkContext.broadcast(Trees(trees, 1.0))
-    bands = given.where("not fitted").select("text").mapInArrow(_banded(shared), "band long, positive double, n long").groupBy("band").agg(F.sum("positive"), F.sum("n"))
-    return Trees(trees, _threshold(sorted(map(tuple, bands.collect()), reverse=True)))  # 51 rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(Trees(trees, [1.0] * len(KINDS)))
+    bands = given.where("not fitted").select("text").mapInArrow(_banded(shared), "kind long, band long, positive double, n long")
+    rows = [tuple(r) for r in bands.groupBy("kind", "band").agg(F.sum("positive"), F.sum("n")).collect()]  # 51 a kind at most
+    return Trees(trees, [_threshold(sorted((r[1:] for r in rows if r[0] == k), reverse=True)) for k in range(len(KINDS))])
 
 
 def _threshold(bands: list[tuple[int, float, int]]) -> float:
@@ -273,13 +277,16 @@ def added_spans(texts: list[str], base: list[list[Span]], trees: Trees | None) -
     out: list[list[Span]] = [[] for _ in texts]
     if trees is None:
         return out
-    found = [(i, span) for i, text in enumerate(texts) for span in candidates(text) if verdict(text, span, base[i]) is None]
+    known, taken = [Taken(own) for own in base], [Taken() for _ in texts]
+    found = [(i, span) for i, text in enumerate(texts) for span in candidates(text) if verdict(text, span, known[i]) is None]
     if not found:
         return out
-    chance = trees.score(np.array([features(texts[i], span) for i, span in found]))
-    for k in sorted(np.flatnonzero(chance >= trees.threshold), key=lambda k: (-chance[k], found[k][1][1])):
+    rows = np.array([features(texts[i], span) for i, span in found])
+    chance = trees.score(rows)
+    for k in sorted(np.flatnonzero(chance >= trees.thresholds[rows[:, 0].astype(int)]), key=lambda k: (-chance[k], found[k][1][1])):
         i, (kind, start, end) = found[k]
-        if not overlaps(start, end, out[i]):
+        if not taken[i].meets(start, end):
+            taken[i].add(("any", start, end))
             out[i].append((f"likely_{kind}", start, end))
     return out
 
@@ -290,7 +297,8 @@ def scan_personal_data(docs: DataFrame) -> DataFrame:
     ``spans`` lists all spans as kind:start:end, comma-joined, by kind, then start; the kinds likely_* are those that the
     trees add. Counts and base_sha256 are of the pattern spans alone. Null text counts as empty, and an empty text has
     no spans. A null doc_id is passed through, rows that repeat a doc_id each give a row, other columns are ignored,
-    and an empty table gives an empty result. Where the sample has no candidates of both labels, only patterns count.
+    and an empty table gives an empty result. The trees are fitted on the candidates of at most about ``MOST_SAMPLED`` documents; where
+    those have no candidates of both labels, only patterns count.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))

@@ -2,9 +2,9 @@
 
 A candidate is a long token near a word that announces a secret. Its marginal compressed size is what
 zstandard needs for the text around it with the candidate, less what it needs without it, where the
-compressor is primed with common identifiers of code and with the text around the candidate, without other
-copies of the candidate. Words, paths and names cost next to nothing; keys and hashes cost what their letters hold, however
-often they are repeated.
+compressor is primed with the identifiers that are in most documents of the corpus, with common ones of code, and with the text
+around the candidate, without other copies of the candidate. Words, paths and names cost next to nothing; keys and hashes cost
+what their letters hold, however often they are repeated.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import slices
-from .spans import Span, digest, overlaps, written
+from .spans import Span, Taken, digest, written
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,6 +40,9 @@ _SEPARATORS = re.compile(r"(?:\\[nrt]|[^A-Za-z0-9\\])*+")
 LEAST_COPY, MOST_COPY = 12, 64
 #: Reported from this many marginal bytes for each 10 characters. A random base64 letter holds 7.5 of 10.
 LEAST_PER_10 = 6.0
+#: Bytes of the corpus's own words in the dictionary, how long they may be, and in how many documents they have to be.
+DICTIONARY_BYTES, LONGEST_WORD, LEAST_DOCUMENTS = 16384, 24, 3
+#: Identifiers that any code may hold.
 IDENTIFIERS = (
     b"username password passwd user_password secret client_secret api_key apikey access_key secret_access_key token auth_token "
     b"access_token refresh_token bearer authorization credentials private_key public_key session_id cookie signature encryption "
@@ -77,12 +80,29 @@ def _without_copies(text: str, low: int, high: int, first: int, last: int, own:
     return "".join(out) + text[at:high]
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
+def dictionary(docs: DataFrame, most_bytes: int = DICTIONARY_BYTES) -> bytes:
+    """The words that identifiers and texts of most documents are made of, as they are and with a capital, up to ``most_bytes``; the most
+    common last, where they cost least.
+
+    A word is a run of small letters, so no key is learnt as a name.
+    """
+    parts = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rf"[A-Z]?[a-z]{{3,{LONGEST_WORD - 1}}}(?![a-z0-9])"), F.lit(0)), F.lower))
+    counted = docs.select(F.explode(parts).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    common, size = [], 0
+    for r in counted.orderBy(F.desc("n"), "word").limit(most_bytes // 8).collect():  # each takes eight bytes or more
+        size += 2 * len(r["word"]) + 2
+        if size > most_bytes:
+            break
+        common.append(f"{r['word']} {r['word'].capitalize()}")
+    return " ".join(reversed(common)).encode()
+
+
+def marginal_bytes(text: str, start: int, end: int, known: bytes = b"") -> int:
     """What the span adds to the compressed size of the text just before it, where no other copy of the span is known."""
     own = text[start:end]
     before = _without_copies(text, max(0, start - AROUND), start, 0, start, own)
     after = _without_copies(text, end, min(len(text), end + AROUND), end, len(text), own)
-    primer = IDENTIFIERS + (after + " " + before).encode()
+    primer = IDENTIFIERS + known + b" " + (after + " " + before).encode()
     coder = zstandard.ZstdCompressor(
         level=19, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
         write_content_size=False, write_dict_id=False,
@@ -102,12 +122,12 @@ def _key_blocks(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def novel_spans(text: str, known: list[Span]) -> list[Span]:
-    """Candidates in a sensitive context that do not compress, and that no known span overlaps."""
+def novel_spans(text: str, base: list[Span], known: bytes = b"") -> list[Span]:
+    """Candidates in a sensitive context that do not compress after the dictionary ``known``, and that no base span overlaps."""
     found: list[Span] = []
     if not _SENSITIVE.search(text):
         return found
-    blocks, patterns = _key_blocks(text), sorted((s for s in known if s[0] != "hex"), key=lambda s: s[2])
+    taken, blocks, patterns = Taken(base), _key_blocks(text), sorted((s for s in base if s[0] != "hex"), key=lambda s: s[2])
     block = pattern = 0
     adjacent = secret = -1  # the ends of the last candidate with a sensitive context, and of the last secret
     for m in _CANDIDATE.finditer(text):
@@ -125,33 +145,36 @@ def novel_spans(text: str, known: list[Span]) -> list[Span]:
         if not in_block and not carried and not _SENSITIVE.search(text, max(0, start - REACH), start):
             continue
         adjacent = end
-        if overlaps(start, end, known):
+        if taken.meets(start, end):
             secret = end
             continue
-        if 10 * marginal_bytes(text, start, end) >= LEAST_PER_10 * (end - start):
+        if 10 * marginal_bytes(text, start, end, known) >= LEAST_PER_10 * (end - start):
             found.append(("novel", start, end))
             secret = end
             tail = _KEY_TAIL.match(text, end) if in_block else None
-            if tail and not overlaps(*tail.span(1), known):
+            if tail and not taken.meets(*tail.span(1)):
                 found.append(("novel", *tail.span(1)))
     return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            columns: list[list] = [[], [], [], [], []]
-            for text in batch.column("text").to_pylist():
-                base = base_spans(text or "")
-                both = base + novel_spans(text or "", base)
-                for k, kind in enumerate(KINDS):
-                    columns[k].append(sum(s[0] == kind for s in base))
-                columns[3].append(digest(base))
-                columns[4].append(written(sorted(both, key=lambda s: s[1])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.string()) for c in columns[3:]]],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
+def _scanner(shared):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                columns: list[list] = [[], [], [], [], []]
+                for text in batch.column("text").to_pylist():
+                    base = base_spans(text or "")
+                    both = base + novel_spans(text or "", base, shared.value)
+                    for k, kind in enumerate(KINDS):
+                        columns[k].append(sum(s[0] == kind for s in base))
+                    columns[3].append(digest(base))
+                    columns[4].append(written(sorted(both, key=lambda s: s[1])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.string()) for c in columns[3:]]],
+                    names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                )
+
+    return scan
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -162,26 +185,32 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     has no spans. A null doc_id is passed through, rows that repeat a doc_id each give a row, other columns are
     ignored, and an empty table gives an empty result.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
+    return docs.mapInArrow(
+        _scanner(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span of the text replaced by <SECRET>; null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text in batch.column("text").to_pylist():
-                out, at = [], 0
-                base = base_spans(text or "")
-                for _, start, end in sorted(base + novel_spans(text or "", base), key=lambda s: s[1]):
-                    if start >= at:
-                        out += [text[at:start], "<SECRET>"]
-                    at = max(at, end)
-                texts.append(None if text is None else "".join(out) + text[at:])
-            k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = [None if text is None else _masked(text, shared.value) for text in batch.column("text").to_pylist()]
+                k = batch.schema.get_field_index("text")
+                yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _masked(text: str, known: bytes) -> str:
+    out, at = [], 0
+    base = base_spans(text)
+    for _, start, end in sorted(base + novel_spans(text, base, known), key=lambda s: s[1]):
+        if start >= at:
+            out += [text[at:start], "<SECRET>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]

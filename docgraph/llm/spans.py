@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 
 Span = tuple[str, int, int]
@@ -16,5 +17,24 @@ def digest(spans: Iterable[Span]) -> str:
     return hashlib.sha256(written(spans).encode()).hexdigest()
 
 
-def overlaps(start: int, end: int, spans: Iterable[Span]) -> bool:
-    return any(s < end and start < e for _, s, e in spans)
+class Taken:
+    """Spans in order, to ask in logarithmic time what meets them; those of one kind do not overlap each other."""
+
+    def __init__(self, spans: Iterable[Span] = ()):
+        self._of: dict[str, list[tuple[int, int]]] = {}
+        for span in spans:
+            self.add(span)
+
+    def add(self, span: Span) -> None:
+        own = self._of.setdefault(span[0], [])
+        if own and own[-1] > span[1:]:
+            insort(own, span[1:])
+        else:
+            own.append(span[1:])
+
+    def meets(self, start: int, end: int, kind: str | None = None) -> bool:
+        for own in (self._of.get(kind, ()),) if kind else self._of.values():
+            before = bisect_left(own, (end, end)) - 1
+            if before >= 0 and own[before][1] > start:
+                return True
+        return False
