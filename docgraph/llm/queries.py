@@ -110,15 +110,21 @@ def _record(html: str) -> str:
     )
 
 
-_PLACED = """sum(strlen({0})) OVER (PARTITION BY page_id // 1024 ORDER BY page_id)::BIGINT - strlen({0})"""
+_PLACED = """sum(strlen(r)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id, copy)::BIGINT - strlen(r)"""
 
 ORACLE_SQL["op10_warc_audit"] = f"""
     WITH h AS (
-      SELECT page_id, url, html, CASE left(md5(page_id::VARCHAR), 2)
-        WHEN '00' THEN chr(1) || substr(html, 2) WHEN '01' THEN repeat('0', strlen(html)) ELSE html END AS spoilt FROM pages),
-    r AS (SELECT page_id, {_record("html")} AS a, {_record("spoilt")} AS b FROM h),
-    p AS (SELECT page_id, a, b, {_PLACED.format("a")} AS pa, {_PLACED.format("b")} AS pb FROM r)
-    SELECT page_id, page_id // 1024 AS archive, page_id % 1024 AS slot, 0::BIGINT AS copy,
-           CASE WHEN a <> b THEN 'altered' ELSE 'moved' END AS status,
+      SELECT page_id, url, html, left(md5(page_id::VARCHAR), 2) AS code FROM pages),
+    s AS (
+      SELECT page_id, url, unnest(CASE code WHEN '02' THEN []::BIGINT[] WHEN '04' THEN [0, 1] ELSE [0] END)::BIGINT AS copy,
+        CASE code WHEN '00' THEN chr(1) || substr(html, 2) WHEN '01' THEN repeat('0', strlen(html)) WHEN '03' THEN left(html, length(html) // 2) ELSE html END AS spoilt FROM h),
+    a AS (SELECT page_id, 0::BIGINT AS copy, {_record("html")} AS r FROM h),
+    b AS (SELECT page_id, copy, {_record("spoilt")} AS r FROM s),
+    x AS (SELECT page_id, copy, r, {_PLACED} AS p FROM a),
+    y AS (SELECT page_id, copy, r, {_PLACED} AS p FROM b),
+    f AS (SELECT coalesce(x.page_id, y.page_id) AS page_id, coalesce(x.copy, y.copy) AS copy, x.r AS a, y.r AS b, x.p AS pa, y.p AS pb
+      FROM x FULL JOIN y ON x.page_id = y.page_id AND x.copy = y.copy)
+    SELECT page_id, page_id // 1024 AS archive, page_id % 1024 AS slot, copy,
+           CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' WHEN a <> b THEN 'altered' ELSE 'moved' END AS status,
            pa AS "offset", pb AS replica_offset, strlen(a)::BIGINT AS length, strlen(b)::BIGINT AS replica_length
-    FROM p WHERE a <> b OR pa <> pb"""
+    FROM f WHERE a IS NULL OR b IS NULL OR a <> b OR pa <> pb"""

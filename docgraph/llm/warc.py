@@ -45,21 +45,27 @@ def index_records(pages: DataFrame) -> DataFrame:
         F.sha2(own, 256).alias("sha"),
     )
     in_archive = Window.partitionBy("archive").orderBy("slot", "sha")
-    in_slot = Window.partitionBy("archive", "slot").orderBy("sha")
-    return rows.select(
-        "page_id", "archive", "slot",
-        (F.row_number().over(in_slot) - 1).cast("long").alias("copy"),
-        (F.sum("length").over(in_archive.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).alias("offset"),
-        "length", "sha",
+    in_slot = Window.partitionBy("archive", "slot")
+    rows = rows.withColumns(
+        {
+            "place": F.row_number().over(in_archive),
+            "offset": F.sum("length").over(in_archive.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"),
+        }
     )
+    copy = (F.col("place") - F.min("place").over(in_slot)).cast("long")
+    return rows.select("page_id", "archive", "slot", copy.alias("copy"), "offset", "length", "sha")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(node, hash): a leaf for each slot, over the digests and offset ranges of its records in order."""
-    node = F.col("archive") * SLOTS + F.col("slot")
-    own = F.struct("copy", "offset", "length", "sha")
-    text = F.transform(F.array_sort(F.collect_list(own)), lambda r: F.concat_ws(":", r["offset"], r["length"], r["sha"]))
-    return records.groupBy(node.alias("node")).agg(F.sha2(F.array_join(text, ","), 256).alias("hash"))
+    """(node, hash): a leaf for each slot, over the digests and offset ranges of its records.
+
+    Each record is hashed with its copy number and range, so their exclusive or stands for them in order, and a slot of any number of
+    records is summed up without gathering them.
+    """
+    own = F.sha2(F.concat_ws(":", "copy", "offset", "length", "sha"), 256)
+    part = lambda k: F.bit_xor(F.conv(F.substring(own, 1 + 15 * k, 15), 16, 10).cast("long"))
+    node = (F.col("archive") * SLOTS + F.col("slot")).alias("node")
+    return records.groupBy(node).agg(F.sha2(F.concat_ws(":", F.count("*"), *[part(k) for k in range(4)]), 256).alias("hash"))
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -130,9 +136,11 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:
-    """A copy of the pages as a failing disk may leave it, to audit against: by the MD5 of the page_id, one page
-    in 256 has its first character replaced and one in 256 reads as zeros. Nothing moves."""
+    """A copy of the pages as a failing disk may leave it, to audit against: by the MD5 of the page_id, of 256 pages one each has its
+    first character replaced, reads as zeros, is lost, is cut to half, or is there twice. What follows in an archive moves."""
     code = F.left(F.md5(F.col("page_id").cast("string")), F.lit(2))
     spoilt = F.concat(F.lit("\u0001"), F.substring("html", 2, 2**31 - 1))
-    html = F.when(code == "00", spoilt).when(code == "01", F.repeat(F.lit("0"), F.octet_length("html"))).otherwise(F.col("html"))
-    return pages.select("page_id", "url", html.alias("html"))
+    half = F.substring("html", F.lit(1), F.floor(F.char_length("html") / 2).cast("int"))
+    html = F.when(code == "00", spoilt).when(code == "01", F.repeat(F.lit("0"), F.octet_length("html"))).when(code == "03", half).otherwise(F.col("html"))
+    times = F.when(code == "02", 0).when(code == "04", 2).otherwise(1)
+    return pages.select("page_id", "url", html.alias("html"), F.explode(F.array_repeat(F.lit(0), times)).alias("again")).drop("again")
