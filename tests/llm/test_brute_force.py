@@ -2,14 +2,17 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docgraph.llm import common, decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, pii, quality, secret_scan
+from docgraph.llm.spans import Taken
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(common.UPPER, common.LOWER)
@@ -58,7 +61,10 @@ def test_near_duplicates(docs, texts):
     assert got == near_groups(texts)
 
 
-def test_near_duplicates_of_a_crowded_family(spark):
+@pytest.mark.parametrize("crowded", [minhash.CROWDED, 4])
+def test_near_duplicates_of_a_crowded_family(spark, monkeypatch, crowded):
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    monkeypatch.setattr(minhash, "PART", 16)
     choose = random.Random(2)
     line = "this very frequent opening line is shared by all"
     vocabulary = [f"v{i}" for i in range(400)]
@@ -103,6 +109,27 @@ def test_decontamination(spark, docs, texts):
     assert got == pytest.approx(expected)
 
 
+def test_decontamination_of_a_very_long_item(spark):
+    rng = random.Random(8)
+    words_ = [f"w{rng.randrange(3000)}" for _ in range(40_000)]
+    copy = [w if rng.random() > 0.005 else "other" for w in words_]
+    rows = [(1, "before it " + " ".join(copy) + " after it"), (2, " ".join(words_[:20_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    item = spark.createDataFrame([(5, " ".join(words_))], "item_id long, text string")
+    got = decontaminate.contaminated(docs, item).collect()
+    theirs, own = (Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (words_, copy))
+    best = sum((own & theirs).values())
+    assert [(r.doc_id, r.item_id, r.n_words) for r in got] == [(1, 5, 40_000)] and got[0].similarity >= best / (2 * 39_996 - best) - 1e-3
+
+
+def test_weighted_jaccard_of_repeated_shingles(spark):
+    rng = random.Random(6)
+    rows = [([rng.randrange(9) for _ in range(rng.randint(1, 30))], [rng.randrange(9) for _ in range(rng.randint(1, 30))]) for _ in range(100)]
+    for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select("*", decontaminate.weighted_jaccard(F.col("a"), F.col("b")).alias("x")).collect():
+        a, b = Counter(r.a), Counter(r.b)
+        assert r.x == pytest.approx(sum((a & b).values()) / sum((a | b).values()))
+
+
 def test_simhash_index_reaches_its_radius(spark):
     near = set(decontaminate._near_values())
     assert len(near) == 37 and all(bin(x).count("1") <= 2 for x in near)
@@ -139,12 +166,12 @@ def test_clashing_chunk_hashes_are_told_apart(spark, docs, monkeypatch):
 
 def test_lines(spark):
     choose = random.Random(5)
-    base = ["the quick brown fox jumps over", "aaaaaaaaaaaaaaaaaaaaaaaa", "short", "another line of some length here"]
+    base = ["the quick brown fox jumps over", "aaaaaaaaaaaaaaaaaaaaaaaa", "short", "another line of some length here", "x", "yz", "abc", "nine char"]
     lines = []
     for _ in range(120):
         line = list(choose.choice(base))
         for _ in range(choose.randint(0, 2)):
-            k, how = choose.randrange(len(line)), choose.randrange(3)
+            k, how = choose.randrange(max(1, len(line))), choose.randrange(3)
             line[k : k + (how != 0)] = [] if how == 1 else [choose.choice("ab e")]
         lines.append("".join(line))
     docs = [(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(20)]
@@ -164,7 +191,7 @@ def test_lines(spark):
     expected = set()
     for i, n, x in flat:
         if x:
-            near = [first[y] for y in first if y and (x == y or max(len(x), len(y)) >= line_dedup.LEAST_CHARS and edits(x, y) == 1)]
+            near = [first[y] for y in first if y and (x == y or edits(x, y) == 1)]
             if min(near) != (i, n) and (min(near) < first[x] or first[x] != (i, n)):
                 expected.add((i, n, *min(near)))
     got = {tuple(r)[:4] for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -210,6 +237,36 @@ def test_mix_meets_its_targets(spark, docs, texts):
     assert max(len(r.text.split()) for r in packed) == mixing.BLOCK
 
 
+def test_places_are_permuted(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("x")).collect()
+        assert sorted(r.x for r in rows) == list(range(n))
+    n = 10**11
+    rows = spark.range(0, n, n // 20_000).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("x"), mixing.permuted(F.col("id"), F.lit(n), F.lit(6).cast("long")).alias("y")).collect()
+    for own in ([r.x for r in rows], [r.y for r in rows]):
+        assert len(set(own)) == len(rows) and 0 <= min(own) and max(own) < n
+        parts = Counter(v * 10 // n for v in own)
+        assert all(abs(parts[k] - len(rows) / 10) < 5 * (len(rows) / 10) ** 0.5 for k in range(10))
+    assert sum(r.x == r.y for r in rows) == 0
+
+
+def test_shard_counts_are_multinomial_draws(spark):
+    sizes = spark.createDataFrame([("a", 640_000, 800_000.0), ("b", 64_000, 128_000.0), (None, 6_400, 3_200.0), ("none", 0, 0.0)], "source string, source_size long, target double")
+    rows = mixing.shard_counts(sizes, block=64, shard_words=20_000).collect()
+    shards = 47
+    for source, n in (("a", 12_500), ("b", 2_000), (None, 50)):
+        own = sorted((r.shard, r.n, r.first) for r in rows if r.source == source)
+        assert sum(x[1] for x in own) == n
+        assert [x[2] for x in own] == [sum(y[1] for y in own[:k]) for k in range(len(own))]
+        mean = n / shards
+        chi = sum((x[1] - mean) ** 2 / mean for x in own) + mean * (shards - len(own))
+        assert 15 < chi < 90  # 46 degrees of freedom
+    drawn = mixing.slots(mixing.shard_counts(sizes, block=64, shard_words=20_000)).collect()
+    taken = Counter((r.source, r.block) for r in drawn)
+    assert max(taken.values()) == 2 and Counter(r.source for r in drawn) == {"a": 12_500, "b": 2_000, None: 50}
+    assert {v for (s, _), v in taken.items() if s == "b"} == {2} and all(0 <= b < (10_000 if s == "a" else 1_000) for s, b in taken)
+
+
 def test_spans_of_patterns():
     text = (
         'mail a.b+c@x-y.example.org, @no me@local 1.2.3.4.5 300.1.1.1, 4111 1111 1111 1111; 1234567812345678; +49 (30) 123-4567. '
@@ -263,9 +320,63 @@ def test_repeated_secrets_are_reported_everywhere():
     assert found(f"build {key} of {key} the parser") == []
 
 
+def planted_secrets(rng):
+    """(text, secret): secrets that no base pattern finds, and texts without one (None), near words that announce secrets."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more="": "".join(rng.choices(letters + more, k=n))
+    forms = ["Authorization: Bearer {} was sent.", "the credential {} is rotated weekly", "set auth header to {} please", '"private_key_id" -> "{}"', "api-key header is {} now", "access key {} of staging", "signature {} follows"]
+    words_ = "configuration settings environment production deployment service client handler request response session manager version module package controller".split()
+    name = lambda: rng.choice("/._-").join(rng.choices(words_, k=3))
+    camel = lambda: "".join(w.capitalize() for w in rng.choices(words_, k=3))
+    for _ in range(300):
+        secret = key(rng.randint(24, 64), "+/")
+        yield rng.choice(forms).format(secret), secret
+    for _ in range(300):
+        yield rng.choice(forms).format(rng.choice((f"/etc/{name()}/Settings1", camel() + "Token2", f"{name()}.example.com", f"{camel()}.{camel()}", "0123456789abcdefABCDEFGH", "xxxxxxxx-XXXX-xxxx-xxxxxxxxxxxx"))), None
+
+
+def test_recall_and_precision_of_novel_secrets(spark):
+    rng = random.Random(12)
+    given = list(planted_secrets(rng))
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(given)], "doc_id long, text string")
+    spans = dict(map(tuple, secret_scan.scan_secrets(docs).select("doc_id", "spans").collect()))
+    found = [[text[int(s) : int(e)] for k, s, e in (x.split(":") for x in spans[i].split(",") if x) if k == "novel"] for i, (text, _) in enumerate(given)]
+    right = sum(secret is not None and any(secret in x or x in secret for x in own) for own, (_, secret) in zip(found, given, strict=True))
+    wrong = sum(secret is None and bool(own) for own, (_, secret) in zip(found, given, strict=True))
+    assert right >= 0.97 * 300 and wrong <= 0.03 * 300, (right, wrong)
+
+
+def test_base_of_secrets_equals_plain_regexes():
+    choose = random.Random(10)
+    plain = {
+        "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"),
+        "hex": re.compile(r"[0-9a-f]+"),
+    }
+    fits = {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}
+    parts = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", "'", '"', " ", "AKIA", "ABCDEFGHIJKLMN", "0123456789", "abcdef", "x+/", "\n", "é", "K"]
+    for _ in range(4000):
+        text = "".join(choose.choices(parts, k=12))
+        expected = [(k, *m.span()) for k, p in plain.items() for m in p.finditer(text) if fits[k](m)]
+        assert secret_scan.base_spans(text) == sorted(expected, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def test_spans_taken():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans, at = [], 0
+        for _ in range(rng.randint(0, 8)):
+            at += rng.randint(0, 5)
+            spans.append((rng.choice("ab"), at, at := at + rng.randint(1, 6)))
+        rng.shuffle(spans)
+        start = rng.randint(0, 50)
+        end = start + rng.randint(1, 9)
+        assert Taken(spans).meets(start, end) == any(s < end and start < e for _, s, e in spans)
+        assert Taken(spans).meets(start, end, "a") == any(s < end and start < e for k, s, e in spans if k == "a")
+
+
 def test_trees_score_like_spark(spark, docs):
     trees = pii.train(docs)
-    assert trees is None or 0.5 <= trees.threshold <= 1
+    assert trees is None or all(0.5 <= x <= 1 for x in trees.thresholds)
     if trees is not None:
         text = "call +1 (743) 555-3824 or write to someone@mail.example.com"
         rows = [pii.features(text, s) for s in pii.candidates(text)]
@@ -313,6 +424,43 @@ def test_main_text(outer):
     )
 
 
+def test_ratios_by_plain_arithmetic():
+    page = (
+        "<body><div class=top><a>Home</a> <a>News</a></div><div class=post><h2>Title here</h2><p>One, two. Three, four, five.</p><p>Six; seven, eight! Nine.</p>"
+        "<ul><li>Ten</li></ul></div><div class=comments><p>Well, well. So it is, they say.</p></div></body>"
+    )
+    read = html_extract.Page(page)
+    solid = [i for i, node in enumerate(read.nodes) if node[3].strip()]
+    texts = [read.nodes[i][3].strip() for i in solid]
+    paths = ["top/a", "top/a", "post/h2", "post/p", "post/p", "post/ul/li", "comments/p"]
+    assert texts == ["Home", "News", "Title here", "One, two. Three, four, five.", "Six; seven, eight! Nine.", "Ten", "Well, well. So it is, they say."]
+    mean = lambda f, p: sum(f(t) for t, q in zip(texts, paths, strict=True) if q == p) / paths.count(p)
+    length, points = [mean(len, p) for p in paths], [mean(lambda t: sum(c in ".,;:!?" for c in t), p) + 1 for p in paths]
+    smooth = lambda x, i: 0.25 * x[max(i - 1, 0)] + 0.5 * x[i] + 0.25 * x[min(i + 1, len(x) - 1)]
+    fused = [smooth(length, i) * smooth(points, i) * (html_extract.HINTED if p == "comments/p" else 1) for i, p in enumerate(paths)]
+    over = lambda part: [f for f, p in zip(fused, paths, strict=True) if p.startswith(part)]
+    average = lambda x: sum(x) / len(x)
+    expected = [
+        max(average(over("top/a")), 0.5 * average(over("top"))), max(average(over("post/h2")), 0.5 * average(over("post"))), max(average(over("post/p")), 0.5 * average(over("post"))),
+        max(average(over("post/ul")), 0.25 * average(over("post"))), average(over("comments")),
+    ]
+    score, whole = html_extract.path_scores(read, solid)
+    assert [score[read.nodes[solid[i]][0]] for i in (0, 2, 3, 5, 6)] == pytest.approx(expected) and whole == pytest.approx(average(fused))
+    assert html_extract.main_text(page) == "Title here One, two. Three, four, five. Six; seven, eight! Nine. Ten"
+    assert html_extract.main_text(page, 1.2) == "One, two. Three, four, five. Six; seven, eight! Nine." and html_extract.main_text(page, 9) == ""
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    for junk in ("<a ", "<b>", "<div>", "<!", "<p><b>", "<td><p>", '<a href="x', "<a b='\"", "</x>", "<script", "<li><ul>"):
+        began = time.process_time()
+        assert html_extract.main_text("<article><p>Text, here. It is so.</p>" + junk * (300_000 // len(junk))).startswith("Text, here. It is so.")
+        assert time.process_time() - began < 3
+
+
+def test_white_space_between_inline_elements():
+    assert html_extract.main_text("<article><p><b>Main</b> <i>text</i>, x<b>y</b>.</p>\n<header><h2>Own head</h2></header><p class=related>On <math>a b</math>.</p></article>") == "Main text, xy. Own head On a b."
+
+
 def test_pipeline_stages(spark, docs, texts):
     kept, counts = docs, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -328,3 +476,32 @@ def test_pipeline_stages(spark, docs, texts):
     assert all(n > 0 for _, n in counts)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.collect()}
+
+
+def test_texts_of_one_id_are_one_vertex(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(7, a), (7, b), (9, a + " more"), (11, b + " more"), (3, "c " + b), (20, "alone in the world of words")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 3), (9, 3), (11, 3), (20, 20)]
+
+
+def test_words_and_lines_that_collide_in_polynomials(spark):
+    for n in (9, 10, 13):
+        thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        other = thue.translate(str.maketrans("ab", "ba"))
+        docs = spark.createDataFrame([(1, thue), (2, other)], "doc_id long, text string")
+        assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {1, 2}
+        assert line_dedup.duplicate_lines(docs).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 30, 500, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate((a[: n * 3 // 4], rng.integers(0, 2**63, n // 2 + 1, dtype=np.uint64)))
+        bits, at = minhash.bitmaps(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        x, y = (bits[at[i] : at[i + 1]].view(np.uint8) for i in (0, 1))
+        x, y = sorted((x, y), key=len)
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        differ = int(np.unpackbits(x ^ y).sum())
+        assert differ <= len(set(a) ^ set(b)) and (n > 500 or differ >= 0.5 * len(set(a) ^ set(b)))
