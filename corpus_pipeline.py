@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgraph.llm import decontaminate, exact_dedup, minhash, mixing, quality
-from docgraph.llm.common import cut, lower_ascii, read_table
+from docgraph.llm.common import broadcast_if_small, cut, lower_ascii, read_table
+
+
+#: Ids of dropped documents that may be broadcast (some 16 MB); more of them are joined by a shuffle.
+_FEW = 500_000
+
+
+def _without(docs: DataFrame, lost: DataFrame, same) -> DataFrame:
+    """The documents that no row of ``lost`` is like. Texts stay where they are if the rows of ``lost`` are few."""
+    return docs.join(broadcast_if_small(cut(lost), _FEW), same, "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,19 +28,19 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts, the row with the largest doc_id stays."""
     lost = exact_dedup.exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(lower_ascii(F.col("text")), 256) == F.col("_sha"))
-    return docs.join(lost, same, "left_anti")
+    return _without(docs, lost, same)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    return docs.join(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti")
+    return _without(docs, minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of the benchmark."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # ids may be null or repeated
     found = decontaminate.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    return keyed.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    return _without(keyed, found.select(F.col("doc_id").alias("_row")).distinct(), "_row").drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
