@@ -6,7 +6,7 @@ text before and after it; ``after`` starts with the anchor text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,65 +30,63 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def _cited(links: DataFrame) -> DataFrame:
-    """A row for each citation after a link, and one bare row where there is none."""
-    rows = _trail(links).select("*", F.posexplode_outer(T.citations(F.col("trail"))).alias("sub", "_c"))
-    return rows.select(*links.columns, "number", "sub", "_c.paragraph", "_c.points") if "number" in links.columns else rows
+def parsed_links(links: DataFrame) -> DataFrame:
+    """(src_id, kind, ord, sub, number, paragraph, points, section, text, after): what links to articles, annexes and chapters cite.
 
+    One pass over the links. Of articles and annexes a row for each citation after the link, of chapters for each section that
+    "Section(s) N, N and N" names after the link, else before it; a bare row where there is none. The number of an annex counts only if
+    it is that of the anchor's last word in roman. Of like rows of a block the first stays.
+    """
+    number = {kind: T.url_number(F.col("href"), kind) for kind in ("article", "annex", "chapter")}
+    number["annex"] = F.when(number["annex"] == from_roman(F.element_at(F.split("text", " "), -1)), number["annex"])
+    rows = _trail(links).select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("number")) for k, n in number.items()]))).where("number is not null")
+    after, before = T.section_numbers(F.col("trail")), T.section_numbers(F.col("before"))
+    named = F.transform(F.when(F.size(after) > 0, after).otherwise(before), lambda x: _what(None, None, x))
+    cited = F.transform(T.citations(F.col("trail")), lambda c: _what(c["paragraph"], c["points"], None))
+    rows = rows.select("src_id", "kind", "ord", "number", "text", "after", F.posexplode_outer(F.when(F.col("kind") == "chapter", named).otherwise(cited)).alias("sub", "_w"))
+    rows = rows.select("src_id", "kind", "ord", "sub", "number", "_w.*", "text", "after")
+    return _first(rows, "src_id", "kind", "number", "paragraph", "points", "section")
 
-def article_refs(links: DataFrame) -> DataFrame:
-    """(src_id, ord, sub, number, paragraph, points, text, after): what links to articles cite.
 
-    Repeats of (number, paragraph, points) in a block are dropped, keeping the first.
-    """
-    own = links.withColumn("number", T.url_number(F.col("href"), "article")).where("number is not null")
-    rows = _first(_cited(own), "src_id", "number", "paragraph", "points")
-    return rows.select("src_id", "ord", "sub", "number", "paragraph", "points", "text", "after")
+def _what(paragraph, points, section) -> Column:
+    own = lambda x, kind, name: (F.lit(None) if x is None else x).cast(kind).alias(name)
+    return F.struct(own(paragraph, "int", "paragraph"), own(points, "array<string>", "points"), own(section, "string", "section"))
+
+
+def article_refs(links: DataFrame) -> DataFrame:
+    """(src_id, ord, sub, number, paragraph, points, text, after): what links to articles cite."""
+    return parsed_links(links).where("kind = 'article'").select("src_id", "ord", "sub", "number", "paragraph", "points", "text", "after")
 
 
 def annex_refs(links: DataFrame) -> DataFrame:
-    """The same for annexes, where the number of the link is that of the anchor's last word in roman."""
-    own = links.withColumn("number", T.url_number(F.col("href"), "annex")).where("number is not null")
-    own = own.where(F.col("number") == from_roman(F.element_at(F.split("text", " "), -1)))
-    rows = _first(_cited(own), "src_id", "number", "paragraph", "points")
-    return rows.select("src_id", "ord", "sub", "number", "paragraph", "points", "text", "after")
+    """The same for annexes."""
+    return parsed_links(links).where("kind = 'annex'").select("src_id", "ord", "sub", "number", "paragraph", "points", "text", "after")
 
 
 def chapter_refs(links: DataFrame) -> DataFrame:
-    """(src_id, ord, sub, number, section, is_section, text, after): chapters, and their sections where named.
-
-    "Section(s) N, N and N" after the link, else before it, names sections: a row each.
-    """
-    own = _trail(links.withColumn("number", T.url_number(F.col("href"), "chapter")).where("number is not null"))
-    after, before = T.section_numbers(F.col("trail")), T.section_numbers(F.col("before"))
-    rows = own.select("*", F.posexplode_outer(F.when(F.size(after) > 0, after).otherwise(before)).alias("sub", "section"))
-    rows = _first(rows, "src_id", "number", "section")
+    """(src_id, ord, sub, number, section, is_section, text, after): chapters, and their sections where named."""
+    rows = parsed_links(links).where("kind = 'chapter'")
     return rows.select("src_id", "ord", "sub", "number", "section", F.col("section").isNotNull().alias("is_section"), "text", "after")
 
 
-def match_context_to_link(links: DataFrame, refs: DataFrame, kind: str) -> DataFrame:
-    """Pairs links of a kind with the references of the same block whose context fits the anchor text.
+def match_context_to_link(links: DataFrame, refs: DataFrame) -> DataFrame:
+    """Pairs links with the ``parsed_links`` of the same block and kind whose context fits the anchor text.
 
     article: the context starts with the anchor, or the anchor ends with the context; annex: the context starts
-    or ends with it; chapter: starts with it, or (chapter rows only) ends with it. Joined on the block, so the
-    prefix test only filters within it.
+    or ends with it; chapter: starts with it, or (chapter rows only) ends with it. Joined on block and kind, so the
+    prefix test only filters within them.
     """
-    l, r = links.where(T.link_kind(F.col("href")) == kind).alias("l"), refs.alias("r")
-    starts, ends = F.col("r.after").startswith(F.col("l.text")), F.col("r.after").endswith(F.col("l.text"))
-    fits = {"article": starts | F.col("l.text").endswith(F.col("r.after")), "annex": starts | ends, "chapter": starts | ends}[kind]
-    joined = l.join(r, F.col("l.src_id") == F.col("r.src_id")).where(fits)
-    common = [F.col("l.src_id"), F.col("l.ord"), F.col("r.ord").alias("ref_ord"), F.col("r.sub"), F.col("l.text"), F.col("l.href").alias("url")]
-    if kind != "chapter":
-        return joined.select(*common, F.lit(kind).alias("kind"), F.col("r.number").cast("string").alias("number"), "r.paragraph", "r.points")
-    as_section = starts & F.col("r.is_section")
+    l, r = links.withColumn("kind", T.link_kind(F.col("href"))).alias("l"), refs.alias("r")
+    kind, starts = F.col("l.kind"), F.col("r.after").startswith(F.col("l.text"))
+    ends = F.when(kind == "article", F.col("l.text").endswith(F.col("r.after"))).otherwise(F.col("r.after").endswith(F.col("l.text")))
+    joined = l.join(r, (F.col("l.src_id") == F.col("r.src_id")) & (kind == F.col("r.kind"))).where(starts | ends)
+    as_section = (kind == "chapter") & starts & F.col("r.section").isNotNull()
+    part = F.concat_ws(".", T.url_number(F.col("l.href"), "chapter").cast("string"), "r.section")
     return joined.select(
-        *common[:4],
-        F.when(as_section, F.concat("l.text", F.lit(" Section "), "r.section")).otherwise(F.col("l.text")).alias("text"),
-        common[5],
-        F.when(as_section, "section").otherwise("chapter").alias("kind"),
-        F.when(as_section, F.concat_ws(".", T.url_number(F.col("l.href"), "chapter").cast("string"), "r.section"))
-        .otherwise(F.col("r.number").cast("string")).alias("number"),
-        F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("array<string>").alias("points"),
+        F.col("l.src_id"), F.col("l.ord"), F.col("r.ord").alias("ref_ord"), F.col("r.sub"),
+        F.when(as_section, F.concat("l.text", F.lit(" Section "), "r.section")).otherwise(F.col("l.text")).alias("text"), F.col("l.href").alias("url"),
+        F.when(as_section, "section").otherwise(kind).alias("kind"), F.when(as_section, part).otherwise(F.col("r.number").cast("string")).alias("number"),
+        "r.paragraph", "r.points",
     )
 
 
@@ -122,14 +120,12 @@ def dedupe_refs(refs: DataFrame) -> DataFrame:
 
 def element_references(links: DataFrame) -> DataFrame:
     """All references of blocks: (src_id, kind, number, paragraph, points, text, url, ord), deduplicated."""
-    articles = explode_points(match_context_to_link(links, article_refs(links), "article"))
-    annexes = explode_points(match_context_to_link(links, annex_refs(links), "annex"))
-    chapters = match_context_to_link(links, chapter_refs(links), "chapter").withColumn("point_no", F.lit(0))
+    cited = explode_points(match_context_to_link(links, parsed_links(links)))
     others = section_refs(links).select(
         "*", F.col("ord").alias("ref_ord"), F.lit(0).alias("sub"), F.lit(None).cast("int").alias("paragraph"),
         F.lit(None).cast("array<string>").alias("points"), F.lit(0).alias("point_no"),
     )
-    every = articles.unionByName(annexes).unionByName(chapters).unionByName(others)
+    every = cited.unionByName(others)
     order = Window.partitionBy("src_id").orderBy("ord", "ref_ord", F.coalesce("sub", F.lit(0)), "point_no")
     every = every.withColumn("ord", F.row_number().over(order)).drop("sub")
     return dedupe_refs(every).select("src_id", "kind", "number", "paragraph", "points", "text", "url", "ord")

@@ -94,16 +94,29 @@ def e04_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_BLOCK_PARTS_SQL = """parts AS (SELECT page_id AS doc_id, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<(?:p|h1)>')[2:] AS l FROM pages),
+    cuts AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1)::INT - 1 AS pos FROM parts),
+    blocks AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'h1' ELSE 'p' END AS tag,
+      trim(regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM cuts)"""
+
+
+@query(f"""WITH {_BLOCK_PARTS_SQL} SELECT doc_id, pos, tag, text, 0::INT AS n_links FROM blocks""")
 def e01_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_io.extract_blocks(B.table(spark, sf_dir, "pages")).select("doc_id", "pos", "tag", "text", F.size("links").alias("n_links"))
 
 
-@query("""SELECT page_id AS doc_id, regexp_extract(html, '<title>(.*?)</title>', 1) <> '' AS has_title FROM pages""")
+@query(
+    f"""WITH {_BLOCK_PARTS_SQL} SELECT doc_id, text AS name, NULL::VARCHAR AS summary, NULL::VARCHAR AS chapter, NULL::VARCHAR AS section, NULL::VARCHAR AS entry_into_force FROM blocks WHERE pos = 0
+    UNION ALL SELECT 1000000 + k, 'Article ' || k, 'about ' || k, 'Chapter ' || (['I','II','III','IV','V','VI','VII'])[k % 7 + 1] || ': Part ' || (k % 7 + 1),
+      CASE WHEN k % 2 = 0 THEN 'Section ' || (k % 3 + 1) || ': Piece' END, 'from ' || k FROM (SELECT DISTINCT o_orderkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 > 0)"""
+)
 def e05_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pages_io.read_pages(spark, f"{sf_dir}/pages.parquet")
-    heads = pages_io.page_headers(pages_io.extract_blocks(pages))
-    return pages.join(heads, pages["page_id"] == heads["doc_id"], "left").select(F.col("page_id").alias("doc_id"), F.coalesce(F.col("name") != "", F.lit(False)).alias("has_title"))
+    plain = pages_io.read_pages(spark, f"{sf_dir}/pages.parquet")
+    k = F.col("page_id")
+    extra = F.concat(B.text_id('</h1><p class="aia-summary">about ', k, '</p><p class="aia-eif-value">from ', k, "</p>"))
+    made = B.corpus_pages(spark, sf_dir).where("page_id % 5 > 0").select((k + 1_000_000).alias("page_id"), "url", F.replace("html", F.lit("</h1>"), extra).alias("html"))
+    heads = pages_io.page_headers(pages_io.extract_blocks(plain.unionByName(made)))
+    return heads.select("doc_id", "name", "summary", F.col("chapter.name").alias("chapter"), F.col("section.name").alias("section"), "entry_into_force")
 
 
 @query(
@@ -623,6 +636,16 @@ def t09_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.subgraph(starts, B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))[1]
 
 
+@query(
+    f"""WITH {B.NODES_SQL}, {B.PAIRS_SQL}, {B.REFS_SQL}, s AS (SELECT 'C.' || c_custkey AS start FROM customer),
+    e AS (SELECT start, start AS id FROM s UNION SELECT start, child FROM s JOIN pairs ON parent = start UNION SELECT start, src FROM s JOIN refs ON dst = start)
+    SELECT e.start, e.id, n.label, n.name FROM e JOIN nodes n USING (id)"""
+)
+def t10_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    return traversal.subgraph(starts, B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))[0].select("start", "id", "label", "name")
+
+
 # --- profile --------------------------------------------------------------------------------------------------------
 
 
@@ -719,10 +742,33 @@ def m07_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _session_memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = B.messages(spark, sf_dir)
     queries = rows.groupBy("session_id").agg(F.max_by("content", "turn").alias("query")).withColumn("query_id", F.lit(1))
-    return memory.reflect(rows), queries
-
-
-@query()
+    return traversal.cut(memory.reflect(rows)), queries  # read several times
+
+
+_TOKENS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+#: No two notes of these tables are alike, so the SQL leaves their deduplication out.
+_CONTEXT_SQL = f"""{_FOLD_SQL}, e AS (SELECT session_id, m, size FROM f WHERE i = m),
+    n AS (SELECT session_id, i, due, lag(size) OVER (PARTITION BY session_id ORDER BY i) + 1 AS held FROM f),
+    notes AS (SELECT n.session_id, row_number() OVER (PARTITION BY n.session_id ORDER BY n.i) - 1 AS place, 'note' AS kind, trim(t.text) AS said, trim(t.text) AS text, o.ts, 0.0::DOUBLE AS boost
+      FROM n JOIN o ON o.session_id = n.session_id AND o.i = n.i JOIN (SELECT n.session_id, n.i, string_agg(upper(o.role) || ': ' || o.content, chr(10) ORDER BY o.i) AS text FROM n JOIN o ON o.session_id = n.session_id
+        AND o.i BETWEEN n.i - n.held + 1 AND n.i - n.held + greatest(1, n.held // 2) WHERE n.due GROUP BY ALL) t ON t.session_id = n.session_id AND t.i = n.i WHERE n.due),
+    msgs AS (SELECT o.session_id, (SELECT count(*) FROM notes x WHERE x.session_id = o.session_id) + o.i - e.m + e.size - 1 AS place, 'msg' AS kind, o.content AS said, o.role || ': ' || o.content AS text, o.ts,
+        CASE WHEN o.role IN ('tool', 'system') THEN 0.1 ELSE 0.0 END::DOUBLE AS boost FROM o JOIN e USING (session_id) WHERE o.i > e.m - e.size),
+    q AS (SELECT session_id, {_TOKENS_SQL.format("arg_max(content, turn)")} AS qt FROM messages GROUP BY 1),
+    s AS (SELECT session_id, place, kind, text, greatest(1, len({_TOKENS_SQL.format("text")})) AS tokens, 0.60 * CASE WHEN len(qt) > 0 AND len({_TOKENS_SQL.format("said")}) > 0
+        THEN len(list_intersect(list_distinct(qt), {_TOKENS_SQL.format("said")})) / len(list_distinct(qt)) ELSE 0 END::DOUBLE + 0.35 * exp(-ln(2) * (({_DOC_NOW} - ts) / 1800.0)) + 0.05 * boost AS score
+      FROM (SELECT * FROM notes UNION ALL SELECT * FROM msgs) JOIN q USING (session_id)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, place) AS k FROM s),
+    p AS (SELECT session_id, 0::BIGINT AS k, 0::BIGINT AS used, []::VARCHAR[] AS kinds, []::VARCHAR[] AS texts FROM q
+      UNION ALL SELECT p.session_id, c.k, CASE WHEN p.used + tokens <= 400 THEN p.used + tokens ELSE p.used END, CASE WHEN p.used + tokens <= 400 THEN list_append(p.kinds, kind) ELSE p.kinds END,
+        CASE WHEN p.used + tokens <= 400 THEN list_append(p.texts, text) ELSE p.texts END FROM p JOIN c ON c.session_id = p.session_id AND c.k = p.k + 1),
+    d AS (SELECT session_id, arg_max(used, k) AS used, arg_max(kinds, k) AS kinds, arg_max(texts, k) AS texts FROM p GROUP BY 1),
+    u AS (SELECT o.session_id, arg_max(o.content, o.i) AS said FROM o JOIN e USING (session_id) WHERE o.i > e.m - e.size AND o.role = 'user' GROUP BY 1),
+    z AS (SELECT d.session_id, used, CASE WHEN u.said IS NOT NULL AND NOT list_contains(texts, 'user: ' || u.said) AND used + greatest(1, len({_TOKENS_SQL.format("u.said")})) <= 400 THEN list_append(kinds, 'msg') ELSE kinds END AS kinds
+      FROM d LEFT JOIN u USING (session_id))"""
+
+
+@query(f"""WITH RECURSIVE {_CONTEXT_SQL} SELECT session_id, 1 AS query_id, used::INT AS used, len(kinds)::INT AS n, array_to_string(kinds, ',') AS kinds FROM z""")
 def m09_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, queries = _session_memory(spark, sf_dir)
     scored = memory.score_candidates(state, queries, F.lit(_DOC_NOW))
@@ -745,7 +791,12 @@ def m10_pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.pack_budget(rows, 300).select("session_id", "used", F.size("packed").cast("long").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_FOLD_SQL}, e AS (SELECT session_id, m, reflections, size FROM f WHERE i = m),
+    r AS (SELECT session_id, string_agg(o.role, ',' ORDER BY o.i) AS roles, count(*) AS n FROM e JOIN o USING (session_id) WHERE o.i > e.m - least(e.size, 4) AND o.role <> 'tool' GROUP BY 1)
+    SELECT session_id, (2 + least(3, reflections) + coalesce(n, 0))::INT AS n, 'system,system' || repeat(',system', least(3, reflections)::INT) || coalesce(',' || roles, '') AS roles
+    FROM e LEFT JOIN r USING (session_id)"""
+)
 def m12_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = memory.reflect(B.messages(spark, sf_dir)).withColumn("metadata", F.create_map(F.lit("lang"), F.lit("en")))
     rows = memory.prompt_window(state, "You answer from the graph.", max_turns=4)
@@ -763,14 +814,15 @@ def m13_session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.MESSAGES_SQL}, s AS (SELECT session_id, count(*) AS n FROM messages GROUP BY 1)
-    SELECT session_id, n AS n_buffer FROM s UNION ALL SELECT 'new', 0"""
+    f"""WITH {B.MESSAGES_SQL} SELECT session_id, count(*) AS n_buffer, md5(string_agg(id || ' ' || role || ' ' || content || ' ' || ts::BIGINT, chr(10) ORDER BY turn)) AS buffered FROM messages GROUP BY 1
+    UNION ALL SELECT 'new', 0, md5('')"""
 )
 def s05_session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = memory.reflect(B.messages(spark, sf_dir), buffer_limit=1 << 30, every=1 << 30)
     saved = documents_io.save_sessions(whole)
     wanted = whole.select("session_id").unionByName(spark.range(1).select(F.lit("new").alias("session_id")))
-    return documents_io.load_sessions(wanted, saved).select("session_id", F.size("buffer").cast("long").alias("n_buffer"))
+    told = F.transform("buffer", lambda m: F.concat_ws(" ", m["id"], m["role"], m["content"], m["ts"].cast("long")))
+    return documents_io.load_sessions(wanted, saved).select("session_id", F.size("buffer").cast("long").alias("n_buffer"), F.md5(F.array_join(told, "\n")).alias("buffered"))
 
 
 # --- traces --------------------------------------------------------------------------------------------------------------
@@ -790,7 +842,7 @@ def a01_final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step,
        CASE event_id % 3 WHEN 0 THEN 'node_retrieval' WHEN 1 THEN 'Agent step' ELSE event_type END AS label,
-       CASE WHEN event_id % 2 = 0 THEN len(json_keys(props))::INT ELSE 1 END AS n_arguments, CASE WHEN event_id % 3 = 2 THEN 'Unknown tool ''' || event_type || '''.' END AS error FROM events"""
+       CASE WHEN event_id % 2 = 0 THEN array_to_string(list_sort(list_transform(json_keys(props), lambda k: k || '=' || (props::JSON ->> k))), ';') ELSE 'input=text ' || props END AS arguments, CASE WHEN event_id % 3 = 2 THEN 'Unknown tool ''' || event_type || '''.' END AS error FROM events"""
 )
 def a03_trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -799,7 +851,26 @@ def a03_trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("text "), "props")).alias("arguments"), F.lit("").alias("output"),
     )
     steps = trace.flatten_trace(rows)
-    return steps.select("session_id", F.col("step").cast("long").alias("step"), "label", F.size("arguments").alias("n_arguments"), "error")
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("arguments"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return steps.select("session_id", F.col("step").cast("long").alias("step"), "label", told.alias("arguments"), "error")
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, event_id AS x FROM events)
+    SELECT session_id, step, 'node_retrieval' AS label, 'hit' AS kind, i AS place, 'N.' || (x + i) AS id, printf('%.3f', (x % 8 + i) / 16.0) AS similarity FROM e, unnest([1, 2]) u(i) WHERE x % 3 = 0
+    UNION ALL SELECT session_id, step, 'graph_traversal', 'child', 1, 'N.' || x, NULL FROM e WHERE x % 3 = 1
+    UNION ALL SELECT session_id, step, 'graph_traversal', 'reference', 1, 'N.' || (x + 7), NULL FROM e WHERE x % 3 = 1"""
+)
+def a05_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    hit = lambda i: F.struct(B.text_id("N.", e + i).alias("id"), ((e % 8 + i) / 16.0).alias("similarity"))
+    named = lambda x: F.array(F.struct(B.text_id("N.", x).alias("id")))
+    hits, walked = F.struct(F.array(hit(1), hit(2)).alias("results")), F.struct(named(e).alias("children"), named(e + 7).alias("references"))
+    rows = B.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), e.alias("step"), F.when(e % 3 == 0, "node_retrieval").when(e % 3 == 1, "graph_traversal").alias("name"),
+        F.lit("{}").alias("arguments"), F.when(e % 3 == 0, F.to_json(hits)).when(e % 3 == 1, F.to_json(walked)).otherwise(F.lit("thought")).alias("output"),
+    )
+    return trace.tool_results(trace.flatten_trace(rows)).withColumn("step", F.col("step").cast("long"))
 
 
 @query(

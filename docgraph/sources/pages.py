@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4")
 CHARS_AFTER, CHARS_BEFORE = 300, 150
+#: Characters of pages whose blocks are held at once.
+_HELD = 4 << 20
 LINK = "struct<href:string,text:string,before:string,after:string>"
 BLOCKS = f"doc_id long, pos int, tag string, style string, css string, text string, links array<{LINK}>"
 
@@ -99,9 +101,12 @@ def _context(pieces: list[str], link: dict) -> dict:
 
 
 def _parse(container: str):
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "pos", "tag", "style", "css", "text", "links"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 parser = _Blocks(container)
                 parser.feed(html or "")
@@ -110,7 +115,11 @@ def _parse(container: str):
                 for pos, b in enumerate(parser.blocks):
                     links = [_context(b["pieces"], x) for x in b["links"]]
                     rows.append((doc_id, pos, b["tag"], b["style"], b["css"], _flat("".join(b["pieces"])), links))
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "tag", "style", "css", "text", "links"])
+                held += len(html or "")
+                if held > _HELD:
+                    yield table(rows)
+                    rows, held = [], 0
+            yield table(rows)
 
     return run
 
