@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,36 +41,36 @@ def _append(found: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if found is None else found.unionByName(more)
 
 
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """A row for each list of an Arrow array, filled up with zeros to ``width`` at least."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=1)))))
+    column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), column] = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _block_topk(rows: list, nodes: DataFrame, k: int, id_type: str) -> DataFrame:
-    wide = max((len(r.embed) for r in rows), default=1)
     ids = np.array([r.query_id for r in rows], np.int64)
-    matrix = np.zeros((len(rows), wide))
-    for i, r in enumerate(rows):
-        matrix[i, : len(r.embed)] = r.embed
-    norms = np.linalg.norm(matrix, axis=1)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, matrix, norms))
+    matrix = _matrix(pa.array([r.embed for r in rows], pa.list_(pa.float64())), 1)
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, matrix, np.linalg.norm(matrix, axis=1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, norms = shared.value
         for batch in batches:
-            batch = batch[batch["embed"].map(lambda v: v is not None and len(v) > 0)]
-            if not len(batch) or not len(ids):
+            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column("embed")), 0), False))
+            if not batch.num_rows or not len(ids):
                 continue
-            own = np.zeros((len(batch), max(matrix.shape[1], max(map(len, batch["embed"])))))
-            for i, v in enumerate(batch["embed"]):
-                own[i, : len(v)] = v
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            own = _matrix(batch.column("embed"), matrix.shape[1])
             scale = np.outer(norms, np.linalg.norm(own, axis=1))
             product = matrix @ own[:, : matrix.shape[1]].T
             cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-            names = batch["id"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            cosine, names = cosine[:, order], names[order]
             best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame(
-                {"query_id": np.repeat(ids, best.shape[1]), "id": names[best].reshape(-1), "similarity": np.take_along_axis(cosine, best, 1).reshape(-1)}
-            )
+            columns = [pa.array(np.repeat(ids, best.shape[1])), batch.column("id").take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(cosine, best, 1).reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity"])
 
-    return nodes.select("id", "embed").mapInPandas(run, f"query_id long, id {id_type}, similarity double")
+    return nodes.select("id", "embed").mapInArrow(run, f"query_id long, id {id_type}, similarity double")
 
 
 def project_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:

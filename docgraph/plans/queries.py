@@ -609,18 +609,21 @@ def t06_reference_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TREE_TEXT_SQL}, {B.REFS_SQL}, s AS (SELECT 'C.' || o_custkey || '.' || o_orderkey || '.1' AS id, 'C.' || o_custkey || '.' || o_orderkey AS top, o_orderkey AS k FROM orders
-      WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) UNION ALL SELECT 'C.' || o_custkey || '.' || o_orderkey, 'C.' || o_custkey || '.' || o_orderkey, o_orderkey FROM orders
-      UNION ALL SELECT 'X.' || r_regionkey, NULL, NULL FROM region),
-    n AS (SELECT DISTINCT r.src AS id, r.dst AS ref FROM refs r),
-    q AS (SELECT n.id, string_agg(n.ref || '=' || c.t, ';') AS refs FROM n JOIN customer_text c ON c.id = n.ref GROUP BY 1)
-    SELECT s.id, CASE WHEN s.top IS NULL THEN 'Node not found' END AS error, o.t AS text, CASE WHEN s.top IS NOT NULL THEN coalesce(q.refs, '') END AS refs,
-      CASE WHEN s.top IS NOT NULL THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = s.k) END AS n_children
-    FROM s LEFT JOIN order_text o ON o.id = s.top LEFT JOIN q ON q.id = s.id"""
+    f"""WITH {_TREE_TEXT_SQL}, {B.REFS_SQL}, lines AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+    orders_n AS (SELECT 'C.' || o_custkey || '.' || o_orderkey AS id, 'C.' || o_custkey AS c, coalesce(n, 0) AS n FROM orders LEFT JOIN lines ON k = o_orderkey),
+    tops AS (SELECT o.id, t.t, o.n FROM orders_n o JOIN order_text t USING (id)
+      UNION ALL SELECT t.id, t.t, coalesce(x.n, 0) FROM customer_text t LEFT JOIN (SELECT c, sum(n + 1)::BIGINT AS n FROM orders_n GROUP BY 1) x ON x.c = t.id),
+    s AS (SELECT 'C.' || o_custkey || '.' || o_orderkey || '.' || l_linenumber AS id, 'C.' || o_custkey || '.' || o_orderkey AS top FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      UNION ALL SELECT id, id FROM tops UNION ALL SELECT 'X.' || r_regionkey, NULL FROM region),
+    n AS (SELECT src AS id, dst AS ref FROM refs UNION SELECT dst, src FROM refs),
+    q AS (SELECT n.id, string_agg(n.ref || '=' || c.t, ';' ORDER BY n.ref) AS refs FROM n JOIN tops c ON c.id = n.ref GROUP BY 1)
+    SELECT s.id, CASE WHEN s.top IS NULL THEN 'Node not found' END AS error, o.t AS text, CASE WHEN s.top IS NOT NULL THEN coalesce(q.refs, '') END AS refs, o.n AS n_children
+    FROM s LEFT JOIN tops o ON o.id = s.top LEFT JOIN q ON q.id = s.id AND s.top IS NOT NULL"""
 )
 def t08_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _line_ids(spark, sf_dir).where(F.col("id").endswith(".1"))
-    starts = lines.unionByName(B.order_references(spark, sf_dir).select(F.col("src").alias("id"))).unionByName(B.table(spark, sf_dir, "region").select(B.text_id("X.", F.col("r_regionkey")).alias("id")))
+    unknown = B.table(spark, sf_dir, "region").select(B.text_id("X.", F.col("r_regionkey")).alias("id"))
+    customers = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
+    starts = _line_ids(spark, sf_dir).unionByName(B.order_references(spark, sf_dir).select(F.col("src").alias("id"))).unionByName(customers).unionByName(unknown)
     rows = traversal.traverse(starts, B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
     refs = F.array_join(F.transform("references", lambda r: F.concat(r["id"], F.lit("="), r["text"])), ";")
     return rows.select("id", "error", "text", refs.alias("refs"), F.size("children").cast("long").alias("n_children"))
