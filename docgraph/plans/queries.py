@@ -690,7 +690,26 @@ def p04_property_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.index_summary(B.hierarchy_nodes(spark, sf_dir))
 
 
-@query()
+def _place_sql(column: str, orders: dict[str, tuple[str, ...]]) -> str:
+    return "CASE type " + " ".join(f"WHEN '{kind}' THEN list_position({list(order)}, {column})" for kind, order in orders.items()) + " END"
+
+
+@query(
+    f"""WITH {_PATTERN_SQL}, l AS (SELECT label, name, text, number, sub_level, id FROM nodes UNION ALL SELECT 'EmbeddingNode', name, text, number, sub_level, id FROM nodes),
+    np AS (SELECT label, 'id' AS property, 'str' AS types, count(id) AS n FROM l GROUP BY 1 UNION ALL SELECT label, 'name', 'str', count(name) FROM l GROUP BY 1
+      UNION ALL SELECT label, 'text', 'str', count(text) FROM l GROUP BY 1 UNION ALL SELECT label, 'number', 'str', count(number) FROM l GROUP BY 1
+      UNION ALL SELECT label, 'sub_level', 'int', count(sub_level) FROM l GROUP BY 1),
+    own AS (SELECT label, string_agg(printf('{{''property'': ''%s'', ''type'': ''%s''}}', property, types), ', ' ORDER BY property) AS props FROM np WHERE n > 0 GROUP BY 1),
+    every AS (SELECT 0 AS part, [0, 0, 0] AS place, '' AS name, 'Node properties are the following:' AS line
+      UNION ALL SELECT 1, [list_position({list(profile.NODE_ORDER)}, label), 0, 0], label, 'Node name: ''' || label || ''', Node properties: [' || props || ']' FROM own
+      UNION ALL SELECT 2, [0, 0, 0], '', '' UNION ALL SELECT 3, [0, 0, 0], '', 'Relationship properties are the following:'
+      UNION ALL SELECT 4, [0, 0, 0], 'CONTAINS', 'Relationship name: ''CONTAINS'', Relationship properties: [{{''property'': ''ord'', ''type'': ''int''}}]'
+      UNION ALL SELECT 4, [0, 0, 0], 'REFERENCES', 'Relationship name: ''REFERENCES'', Relationship properties: [{{''property'': ''ref_kind'', ''type'': ''str''}}]'
+      UNION ALL SELECT 5, [0, 0, 0], '', '' UNION ALL SELECT 6, [0, 0, 0], '', 'The relationships are the following:'
+      UNION ALL SELECT 7, [list_position({list(profile.TYPE_ORDER)}, type), {_place_sql("start_label", profile.START_ORDER)}, {_place_sql("end_label", profile.END_ORDER)}],
+        start_label || chr(1) || type || chr(1) || end_label, '(:' || start_label || ')-[:' || type || ']->(:' || end_label || ')' FROM p)
+    SELECT row_number() OVER (ORDER BY part, place, name)::INT AS line_no, line FROM every"""
+)
 def p05_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.render_schema(B.hierarchy_nodes(spark, sf_dir), B.hierarchy_edges(spark, sf_dir))
 
