@@ -97,7 +97,7 @@ def e04_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCK_PARTS_SQL = """parts AS (SELECT page_id AS doc_id, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<(?:p|h1)>')[2:] AS l FROM pages),
     cuts AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1)::INT - 1 AS pos FROM parts),
     blocks AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN 'h1' ELSE 'p' END AS tag,
-      trim(regexp_replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM cuts)"""
+      trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM cuts)"""
 
 
 @query(f"""WITH {_BLOCK_PARTS_SQL} SELECT doc_id, pos, tag, text, 0::INT AS n_links FROM blocks""")
