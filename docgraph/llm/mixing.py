@@ -19,9 +19,9 @@ from .common import cut, words
 BLOCK, SHARD_WORDS, SEED = 128, 1 << 22, 17
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2
 #: Rounds of the permutation.
-_ROUNDS = 24
+_ROUNDS = 16
 #: Slots that one row of a generator unfolds.
-_RUN = 4096
+_RUN = 1024
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
@@ -90,8 +90,12 @@ def permuted(place: Column, n: Column, key: Column) -> Column:
 
 
 def _unfolded(counted: DataFrame, *keys: str) -> DataFrame:
-    """``i`` from 0 to n - 1 for each row of (.., n), spread over tasks in runs."""
-    runs = counted.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_RUN}"))).alias("run")).repartition(*keys, "run")
+    """``i`` from 0 to n - 1 for each row of (.., n), spread over tasks in runs.
+
+    The number of tasks is given, as Spark would put the few rows that name the runs into one.
+    """
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = counted.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_RUN}"))).alias("run")).repartition(tasks, *keys, "run")
     last = F.least(F.col("run") * _RUN + _RUN, F.col("n")) - 1
     return runs.select(*keys, F.explode(F.sequence(F.col("run") * _RUN, last)).alias("i"))
 
