@@ -11,8 +11,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def shared_folder(spark) -> str:
-    """A new folder under the session's spark.checkpoint.dir; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-streams-")
+    """A new folder under the session's spark.checkpoint.dir; a temporary one only on a local master where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
