@@ -3,7 +3,7 @@
 Two bijections of 32-bit words, sigma and pi, give every coordinate: coordinate k of a set is
 ``min pi(sigma(x) + k)``, that is, pi circularly shifted by k. Bands of coordinates name buckets.
 
-Within a bucket no all-pairs list is made. Each round takes a few hubs (the smallest ids of the
+Within a bucket no all-pairs list is made. Each round takes a few hubs (first the smallest id of the
 bucket), compares them exactly with the members of *other* components, links what passes, and
 retires the hubs. A bucket ends as soon as all that is left in it is one component, so a group of
 thousands of copies costs one comparison a member. The number of hubs grows from round to round,
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, join_groups
@@ -235,29 +235,32 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Adds c, the member's component, and weight, the number of ids in it."""
+    """Adds c, the member's component."""
     if labels is None:
-        return members.withColumns({"c": F.col("v"), "weight": F.lit(1).cast("long")})
-    known = broadcast_if_small(labels.select(F.col("id").alias("v"), "component", "weight"), FEW)
-    own = members.join(known, "v", "left").withColumns({"c": F.coalesce("component", "v"), "weight": F.coalesce("weight", F.lit(1))})
-    return own.drop("component")
+        return members.withColumn("c", F.col("v"))
+    known = broadcast_if_small(labels.select(F.col("id").alias("v"), "component"), FEW)
+    return members.join(known, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """The labelled members (bucket, v, t, n, bits, c, weight) of buckets that hold more than one component, with size, the
+    """The labelled members (bucket, v, t, n, bits, c) of buckets that hold more than one component, with size, the
     number of the bucket's members."""
-    open_buckets = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-    return members.join(open_buckets.where("lo <> hi").select("bucket", "size"), "bucket")
+    buckets = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+    buckets = cut(buckets.where("lo <> hi").select("bucket", "size"))
+    return join_groups(members, buckets, ["bucket"], "size", F.xxhash64("v", "t")).where("size is not null")
 
 
 def _hubs(members: DataFrame, most: int) -> DataFrame:
-    """(bucket, v, t, n, bits, c, size): the first members of each bucket; those of the largest components come first, so
-    that stragglers meet what they probably belong to, and not the other way round."""
+    """(bucket, v, t, n, bits, c, size): about ``most`` members of each bucket, all if it has no more.
+
+    They are dealt by a hash, so that no bucket is sorted; most of them are of the bucket's largest components, which stragglers
+    probably belong to. One hub is the least id.
+    """
     if most == 1:
         own = F.min(F.struct("v", "t", "n", "c", "size")).alias("m")
         return members.groupBy("bucket").agg(own).select("bucket", "m.*", F.lit(None).cast("array<long>").alias("bits"))
-    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "v", "t")
-    return members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("bucket", "v", "t", "n", "c", "size", "bits")
+    share = F.pmod(F.xxhash64("v", "t", F.lit(most)), F.ceil(F.col("size") / most)) == 0
+    return members.where(share).select("bucket", "v", "t", "n", "c", "size", "bits")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -314,7 +317,7 @@ def _links(classes: DataFrame, same_ids: DataFrame, docs: DataFrame, percent: in
         found = found.unionByName(same_ids if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = cut(components(found))
         met = broadcast_if_small(hubs.select("bucket", "v", "t"), FEW)
-        rest = members.join(met, ["bucket", "v", "t"], "left_anti").drop("c", "weight", "size")
+        rest = members.join(met, ["bucket", "v", "t"], "left_anti").drop("c", "size")
         if most > 1:
             members = cut(_several(_labelled(rest, labels)))
         else:
@@ -328,7 +331,7 @@ def _resketched(members: DataFrame, texts: DataFrame, labels: DataFrame) -> Data
     left = members.groupBy("v", "t").agg(F.max(F.col("size") > CROWDED).alias("crowded"))
     again = cut(texts.join(left, ["v", "t"]).select("v", "t", "text", "crowded").mapInArrow(_resketch, "v long, t long, n long, bits array<long>, long array<long>"))
     few = members.where(F.col("size") <= CROWDED).join(again.select("v", "t", "bits"), ["v", "t"])
-    long = _labelled(again.where(F.size("long") > 0), labels).select(F.explode("long").alias("bucket"), "v", "t", "n", "bits", "c", "weight")
+    long = _labelled(again.where(F.size("long") > 0), labels).select(F.explode("long").alias("bucket"), "v", "t", "n", "bits", "c")
     return few.unionByName(_several(long))
 
 
