@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..operators import graph, hierarchy, references
-from ..operators.traversal import cut
+from ..operators.checkpoints import cut
 from ..sources import pages as pages_io
 
 _REF = ("kind", "number", "paragraph", "points", "text", "url")

@@ -595,8 +595,8 @@ _TREE_TEXT_SQL = f"""{B.NODES_SQL}, {B.PAIRS_SQL}, o AS (SELECT 'C.' || o_custke
 @query(f"""WITH {_TREE_TEXT_SQL} SELECT id AS root, t AS text FROM customer_text""")
 def t05_assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = B.table(spark, sf_dir, "customer").select(B.text_id("C.", F.col("c_custkey")).alias("id"))
-    paths = traversal.contains_paths(roots, B.hierarchy_edges(spark, sf_dir))
-    return traversal.assemble_text(paths, B.hierarchy_nodes(spark, sf_dir))
+    rows = traversal.subtree_rows(roots, B.hierarchy_edges(spark, sf_dir))
+    return traversal.assemble_text(rows, B.hierarchy_nodes(spark, sf_dir)).select("root", "text")
 
 
 @query(

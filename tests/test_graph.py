@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.operators import graph, hierarchy, references, retrieval, traversal
+from docgraph.operators import graph, hierarchy, references, retrieval, traversal, trees
+from docgraph.operators.checkpoints import cut
 
 NODES = [
     ("root", ["Act"], "Act", None), ("C", ["Chapter"], "Chapter", None), ("A", ["Article"], "Article A", None), ("B", ["Article"], "Article B", None),
@@ -124,3 +125,82 @@ def test_reference_join_has_no_cartesian_product(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def random_tree(n, seed, chain=0):
+    """(parent, id, ord) of a random forest with null, negative and large orders, and a chain below its first node."""
+    choose = random.Random(seed)
+    rows = [(f"n{choose.randrange(max(0, k - 40), k)}", f"n{k}", choose.choice([None, -3, 0, 3, 12, 1_000_000])) for k in range(1, n) if choose.random() > 0.02]
+    return rows + [(f"c{k}" if k else "n0", f"c{k + 1}", 1) for k in range(chain)]
+
+
+def pre_order(rows, root):
+    below = {}
+    for parent, child, place in rows:
+        below.setdefault(parent, []).append((place is None, place or 0, child))
+    out, stack = [], [root]
+    while stack:
+        out.append(stack.pop())
+        stack += [child for _, _, child in sorted(below.get(out[-1], []), reverse=True)]
+    return out
+
+
+def contains(spark, rows):
+    return spark.createDataFrame([(p, "CONTAINS", c, None, o) for p, c, o in rows], ", ".join(f"{c} {k}" for c, k in graph.EDGE_COLUMNS.items()))
+
+
+@pytest.mark.parametrize("most_children", [trees.MOST_CHILDREN, 3])
+def test_trees_are_ranges(spark, most_children):
+    rows = random_tree(300, 1)
+    df = spark.createDataFrame(rows, "parent string, id string, ord int")
+    got = {r.id: r for r in trees.number_trees(df, [F.asc_nulls_last("ord"), F.col("id")], most_children).collect()}
+    assert set(got) == {x for row in rows for x in row[:2]}
+    for i, r in got.items():
+        below = pre_order(rows, i)
+        assert r["size"] == len(below) and [got[x].place for x in below] == list(range(r.place, r.place + r["size"])) and r.tree == got[below[-1]].tree
+
+
+def test_deep_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(trees, "cut", lambda df: rounds.append(1) or cut(df))
+    up = spark.createDataFrame([(f"c{k + 1}", f"c{k}") for k in range(10_000)], "id string, parent string")
+    assert {r.top for r in trees.climb(up).select("top").distinct().collect()} == {"c0"}
+    assert len(rounds) <= 16  # one before the first round
+
+
+def test_climbs_into_cycles(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "x"), ("0", "a"), ("p", "q")]
+    got = {r.id: r.top for r in trees.climb(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert got == {"a": "b", "b": "b", "c": "b", "d": "b", "x": "x", "0": "b", "p": "q"}
+
+
+def test_nulls_sort_behind_all_orders(spark):
+    rows = [("r", "none", None), ("r", "twelve", 12), ("r", "three", 3), ("r", "minus", -7), ("r", "large", 2**31 - 1)]
+    edges, expected = contains(spark, rows), ["r", "minus", "three", "twelve", "large", "none"]
+    assert [r.id for r in traversal.contains_paths(ids_of(spark, "r"), edges).orderBy("key").collect()] == expected
+    assert [r.id for r in traversal.subtree_rows(ids_of(spark, "r"), edges).orderBy("nth").collect()] == expected
+    assert [r.child for r in traversal.children(ids_of(spark, "r"), edges).orderBy("place").collect()] == expected[1:]
+
+
+def test_ranges_equal_paths(spark, small):
+    rows = random_tree(120, 2, chain=9)
+    edges = contains(spark, rows).unionByName(small[1])
+    roots = ids_of(spark, *[f"n{k}" for k in range(120)], "c3", "c9", "root", "A", "B", "X", "Y", "alone")
+    got = sorted((r.root, r.nth, r.id) for r in traversal.subtree_rows(roots, edges).collect())
+    assert got == sorted((r.root, r.nth, r.id) for r in traversal.in_order(traversal.subtrees(roots, edges)).collect())
+    for by in ("ord", "id"):
+        walked = traversal.in_order(traversal.subtrees(ids_of(spark, "n0"), edges, by)).orderBy("nth").collect()
+        assert [r.id for r in traversal.subtree_rows(ids_of(spark, "n0"), edges, by).orderBy("nth").collect()] == [r.id for r in walked]
+
+
+def test_large_subtrees_and_hubs_come_in_parts(spark, small):
+    nodes, edges = small
+    rows = traversal.assemble_text(traversal.subtree_rows(ids_of(spark, "A"), edges), nodes, most=3).orderBy("part").collect()
+    assert "\n".join(r.text for r in rows) == "Article A\none\na\nb\ntwo\nnine\nten" and [r.part for r in rows] == [0, 1, 2]
+    more = spark.createDataFrame([(s, "REFERENCES", "B", None, None) for s in ("A.1", "A.2", "A.9", "A.10", "A")], edges.schema)
+    found = traversal.traverse(ids_of(spark, "B", "nothing"), nodes, edges.unionByName(more), most=2, most_neighbours=2).collect()
+    assert [r.error for r in found if r.id == "nothing"] == ["Node not found"]
+    own = sorted((r for r in found if r.id == "B"), key=lambda r: r.part)
+    assert "\n".join(r.text for r in own if r.text) == "Article B\nb one\nb" and [c for r in own for c in r.children] == ["B.1", "A.1.b"]
+    assert {x.id for r in own for x in r.references} == {"A", "A.1", "A.1.a", "A.2", "A.9", "A.10"}
+    assert "\n".join(x.text for r in own for x in r.references if x.id == "A") == "Article A\none\na\nb\ntwo\nnine\nten"
