@@ -1,7 +1,6 @@
 """From ordered blocks to a hierarchy of paragraphs.
 
-A block is (doc_id, pos, tag, style, text, links); all steps work on many documents at once and share the
-partitioning by doc_id, so a corpus is shuffled once.
+A block is (doc_id, pos, tag, style, text, links); all steps work on many documents at once, each document's blocks in order.
 """
 
 from __future__ import annotations
@@ -10,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-#: Deeper levels are folded into this one.
-MAX_LEVEL = 8
+from .folds import fold_rows
 
 
 def filter_noise(blocks: DataFrame, recital: bool = False) -> DataFrame:
@@ -24,55 +21,56 @@ def _doc() -> Window:
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def with_levels(blocks: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """Adds level (from the indent; 0 without one) and indented."""
+def with_levels(blocks: DataFrame, max_level: int | None = None) -> DataFrame:
+    """Adds level (from the indent; 0 without one) and indented. Where ``max_level`` is given, deeper levels count as that one."""
     indent = T.indent_level(F.col("style"))
-    return blocks.select("*", F.least(F.coalesce(indent, F.lit(0)), F.lit(max_level)).alias("level"), indent.isNotNull().alias("indented"))
-
+    level = F.coalesce(indent, F.lit(0))
+    return blocks.select("*", (level if max_level is None else F.least(level, F.lit(max_level))).alias("level"), indent.isNotNull().alias("indented"))
 
-def with_parents(blocks: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """Adds parent_pos: the nearest block before with a smaller level; null at the top.
 
-    For each level the last position so far is a running maximum; the parent is the largest of those
-    of smaller levels, as positions grow.
-    """
-    before = _doc().rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") <= lv, F.col("pos"))).over(before) for lv in range(max_level)]
-    nearest = F.coalesce(*[F.when(F.col("level") == lv + 1, last[lv]) for lv in range(max_level)])
-    return blocks.withColumn("parent_pos", nearest)
+class _Open:
+    """A block that later ones may hang off: its level, place and id, and the last marker among its children."""
 
+    __slots__ = ("level", "pos", "id", "marker")
 
-def fill_markers(blocks: DataFrame) -> DataFrame:
-    """Adds marker: the block's own, else that of the sibling before, else "0"."""
-    siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = T.paragraph_marker(F.col("text"))
-    return blocks.withColumn("marker", F.coalesce(F.last(own, ignorenulls=True).over(siblings), F.lit("0")))
+    def __init__(self, level: int, pos: int | None, id_: str):
+        self.level, self.pos, self.id, self.marker = level, pos, id_, None
 
 
-def assemble_hierarchy(blocks: DataFrame, root: Column, max_level: int = MAX_LEVEL) -> DataFrame:
-    """(doc_id, pos, level, parent_pos, parent_id, id, text): a block's id is its parent's id, a dot and its marker.
+def _hang(stack: list[_Open], pos: int, level: int, own: str | None, root: str) -> tuple[int | None, str, str, str]:
+    """The parent's place and id, the marker and the id of a block; the stack holds the blocks that it may hang off.
 
-    ``root`` is the id of the document. Between a block and its parent no block is at or above the
-    parent's level, so the last marker of each smaller level that is on the way is the ancestor's.
+    What a block closes is no smaller than itself, so each is closed once, however deep levels go.
     """
-    rows = fill_markers(with_parents(with_levels(blocks, max_level), max_level)).withColumn("_root", root)
-    before = _doc().rowsBetween(Window.unboundedPreceding, -1)
-    # The last block of each level, if no block of a smaller level came after it.
-    last = {lv: F.max(F.when(F.col("level") == lv, F.struct("pos", "marker"))).over(before) for lv in range(max_level)}
-    reset = {lv: F.max(F.when(F.col("level") < lv, F.col("pos"))).over(before) for lv in range(1, max_level)}
-    rows = rows.select("*", *[c.alias(f"_last{lv}") for lv, c in last.items()], *[c.alias(f"_reset{lv}") for lv, c in reset.items()])
-    path = []
-    for lv in range(max_level):
-        live = F.col("level") > lv
-        if lv:
-            live &= F.coalesce(F.col(f"_last{lv}.pos") > F.col(f"_reset{lv}"), F.lit(True))
-        path.append(F.when(live, F.col(f"_last{lv}.marker")))
-    return rows.select(
-        "doc_id", "pos", "level", "parent_pos",
-        F.concat_ws(".", "_root", *path).alias("parent_id"),
-        F.concat_ws(".", "_root", *path, "marker").alias("id"),
-        "text",
-    )
+    if not stack:
+        stack.append(_Open(-1, None, root))
+    while stack[-1].level >= level:
+        stack.pop()
+    parent = stack[-1]
+    if own is not None:
+        parent.marker = own
+    marker = "0" if parent.marker is None else parent.marker
+    stack.append(_Open(level, pos, f"{parent.id}.{marker}" if parent.id else marker))
+    return parent.pos, parent.id, marker, stack[-1].id
+
+
+def with_parents(blocks: DataFrame, root: Column) -> DataFrame:
+    """Adds parent_pos, parent_id, marker and id to blocks with levels.
+
+    The parent is the nearest block before with a smaller level, none at the top; the marker is the block's own, else that of the sibling
+    before, else "0"; the id is the parent's (at the top ``root``; null counts as empty), a dot and the marker. A stack of open blocks goes over each document's blocks in
+    order, so levels may be of any depth and documents of any length.
+    """
+    rows = blocks.withColumns({"_own": T.paragraph_marker(F.col("text")), "_root": F.coalesce(root.cast("string"), F.lit(""))})
+    gives = f"parent_pos {rows.schema['pos'].dataType.simpleString()}, parent_id string, marker string, id string"
+    hung = fold_rows(rows, "doc_id", ["pos"], ["pos", "level", "_own", "_root"], gives, list, _hang)
+    return hung.drop("_own", "_root")
+
+
+def assemble_hierarchy(blocks: DataFrame, root: Column, max_level: int | None = None) -> DataFrame:
+    """(doc_id, pos, level, parent_pos, parent_id, id, text) of the blocks, see ``with_parents``; ``root`` is the id of the document."""
+    rows = with_levels(blocks.select("*", root.alias("_document")), max_level).select("doc_id", "pos", "level", "text", "_document")
+    return with_parents(rows, F.col("_document")).select("doc_id", "pos", "level", "parent_pos", "parent_id", "id", "text")
 
 
 def _islands(paragraphs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made graphs, hierarchies and references."""
 
+import collections
 import random
 
 import pytest
@@ -82,13 +83,14 @@ def test_lookup_and_topk(spark, small):
     assert [(r.query_id, r.id, round(r.similarity, 6)) for r in rows] == [(7, 1, 1.0), (7, 2, 1.0), (7, 3, 0.0)]
 
 
-def test_hierarchy_equals_a_stack(spark):
+@pytest.mark.parametrize("deepest", [3, 40])
+def test_hierarchy_equals_a_stack(spark, deepest):
     choose = random.Random(4)
     blocks, expected = [], {}
     for doc in range(40):
         stack, markers = [], {}
-        for pos in range(choose.randint(1, 14)):
-            level, mark = choose.randint(0, 3), choose.choice(["", "1. ", "(a) ", "(ii) "])
+        for pos in range(choose.randint(1, 14) if deepest == 3 else 90):
+            level, mark = choose.randint(0, deepest), choose.choice(["", "1. ", "(a) ", "(ii) "])
             blocks.append((doc, pos, "p", f"padding-left: {40 * level}px" if level else None, f"{mark}t{pos}"))
             while stack and stack[-1][0] >= level:
                 stack.pop()
@@ -103,6 +105,15 @@ def test_hierarchy_equals_a_stack(spark):
     assert {(r.doc_id, r.pos): (r.parent_pos, r.parent_id, r.id) for r in rows} == expected
 
 
+def test_hierarchy_of_a_staircase_and_a_long_document(spark):
+    stairs = [(1, k, "p", f"padding-left: {40 * k}px", f"{k}. x") for k in range(40)]
+    long = [(2, k, "p", f"padding-left: {40 * (k % 3)}px", "(a) x") for k in range(30_000)]
+    df = spark.createDataFrame(stairs + long, "doc_id long, pos long, tag string, style string, text string")
+    rows = {(r.doc_id, r.pos): r for r in hierarchy.assemble_hierarchy(df, F.lit(None)).collect()}
+    assert rows[1, 39].parent_pos == 38 and rows[1, 39].id == ".".join(map(str, range(40))) and rows[1, 39].level == 39
+    assert len(rows) == 30_040 and rows[2, 29_999].parent_pos == 29_998 and rows[2, 29_999].id == "a.a.a"
+
+
 def test_merge_joins_neighbours_only(spark):
     rows = [(1, 0, "1. a"), (1, 1, "more"), (1, 2, "2. b"), (1, 3, "1. c")]
     df = spark.createDataFrame([(d, p, "p", None, t) for d, p, t in rows], "doc_id long, pos int, tag string, style string, text string")
@@ -178,7 +189,8 @@ def test_nulls_sort_behind_all_orders(spark):
     rows = [("r", "none", None), ("r", "twelve", 12), ("r", "three", 3), ("r", "minus", -7), ("r", "large", 2**31 - 1)]
     edges, expected = contains(spark, rows), ["r", "minus", "three", "twelve", "large", "none"]
     assert [r.id for r in traversal.contains_paths(ids_of(spark, "r"), edges).orderBy("key").collect()] == expected
-    assert [r.id for r in traversal.subtree_rows(ids_of(spark, "r"), edges).orderBy("nth").collect()] == expected
+    for levels in (0, 8):
+        assert [r.id for r in traversal.subtree_rows(ids_of(spark, "r"), edges, levels=levels).orderBy("nth", "key").collect()] == expected
     assert [r.child for r in traversal.children(ids_of(spark, "r"), edges).orderBy("place").collect()] == expected[1:]
 
 
@@ -186,16 +198,19 @@ def test_ranges_equal_paths(spark, small):
     rows = random_tree(120, 2, chain=9)
     edges = contains(spark, rows).unionByName(small[1])
     roots = ids_of(spark, *[f"n{k}" for k in range(120)], "c3", "c9", "root", "A", "B", "X", "Y", "alone")
-    got = sorted((r.root, r.nth, r.id) for r in traversal.subtree_rows(roots, edges).collect())
-    assert got == sorted((r.root, r.nth, r.id) for r in traversal.in_order(traversal.subtrees(roots, edges)).collect())
-    for by in ("ord", "id"):
-        walked = traversal.in_order(traversal.subtrees(ids_of(spark, "n0"), edges, by)).orderBy("nth").collect()
-        assert [r.id for r in traversal.subtree_rows(ids_of(spark, "n0"), edges, by).orderBy("nth").collect()] == [r.id for r in walked]
+    walked = sorted((r.root, r.nth, r.id) for r in traversal.in_order(traversal.subtrees(roots, edges)).collect())
+    for levels, most in ((0, 1000), (2, 1000), (1000, 5), (1000, 1000)):
+        rows = traversal.subtree_rows(roots, edges, levels=levels, most=most).collect()
+        own = collections.defaultdict(list)
+        for r in rows:
+            own[r.root].append((r.nth, r.key, r.id))
+        assert sorted((root, k, x[2]) for root, below in own.items() for k, x in enumerate(sorted(below))) == walked
+        assert most == 5 or levels == 1000 or max(r.nth for r in rows) > 100
 
 
 def test_large_subtrees_and_hubs_come_in_parts(spark, small):
     nodes, edges = small
-    rows = traversal.assemble_text(traversal.subtree_rows(ids_of(spark, "A"), edges), nodes, most=3).orderBy("part").collect()
+    rows = traversal.assemble_text(traversal.subtree_rows(ids_of(spark, "A"), edges, most=3), nodes, most=3).orderBy("part").collect()
     assert "\n".join(r.text for r in rows) == "Article A\none\na\nb\ntwo\nnine\nten" and [r.part for r in rows] == [0, 1, 2]
     more = spark.createDataFrame([(s, "REFERENCES", "B", None, None) for s in ("A.1", "A.2", "A.9", "A.10", "A")], edges.schema)
     found = traversal.traverse(ids_of(spark, "B", "nothing"), nodes, edges.unionByName(more), most=2, most_neighbours=2).collect()
