@@ -161,8 +161,11 @@ def resolve_paragraph_target(refs: DataFrame, paragraphs: DataFrame, strict: boo
     wanted = rows.where("_prefix is not null").select("kind", "number", "_prefix").distinct()
     if strict:
         wanted = wanted.where("kind = 'article'")
-    hits = wanted.join(paragraphs.select("kind", "number", "idx", "text"), ["kind", "number"]).where(F.col("text").startswith(F.col("_prefix")))
-    first = hits.groupBy("kind", "number", "_prefix").agg((F.min("idx") + 1).alias("_place"))
+    # Each paragraph's beginnings of the lengths that are wanted of its document meet them by equality.
+    lengths = wanted.groupBy("kind", "number").agg(F.collect_set(F.char_length("_prefix")).alias("_lengths"))
+    starts = F.transform(F.filter("_lengths", lambda n: n <= F.char_length("text")), lambda n: F.substring("text", F.lit(1), n))
+    cut_up = paragraphs.join(lengths, ["kind", "number"]).select("kind", "number", "idx", F.explode(starts).alias("_prefix"))
+    first = cut_up.groupBy("kind", "number", "_prefix").agg((F.min("idx") + 1).alias("_place"))
     found = first.select("kind", "number", "_prefix", F.concat_ws(".", document_id(F.col("kind"), F.col("number")), F.col("_place").cast("string")).alias("dst"))
     return rows.join(found, ["kind", "number", "_prefix"], "left").drop("_prefix")
 

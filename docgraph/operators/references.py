@@ -13,10 +13,15 @@ from ..functions import text as T
 from ..functions.ids import from_roman
 
 
+def _place(pos: Column, i: Column) -> Column:
+    """A number that orders links by block, then by place in it; a block may have 2^32 of them."""
+    return F.shiftleft(pos.cast("long"), 32) + i
+
+
 def harvest_links(blocks: DataFrame, src_id: str = "doc_id") -> DataFrame:
     """(doc_id, src_id, ord, href, text, before, after): every link of (doc_id, pos, links)."""
     return blocks.select("doc_id", F.col(src_id).alias("src_id"), "pos", F.posexplode("links").alias("_i", "_l")).select(
-        "doc_id", "src_id", (F.col("pos") * 10_000 + F.col("_i")).alias("ord"), "_l.href", "_l.text", "_l.before", "_l.after"
+        "doc_id", "src_id", _place(F.col("pos"), F.col("_i")).alias("ord"), "_l.href", "_l.text", "_l.before", "_l.after"
     )
 
 
@@ -73,23 +78,48 @@ def match_context_to_link(links: DataFrame, refs: DataFrame) -> DataFrame:
     """Pairs links with the ``parsed_links`` of the same block and kind whose context fits the anchor text.
 
     article: the context starts with the anchor, or the anchor ends with the context; annex: the context starts
-    or ends with it; chapter: starts with it, or (chapter rows only) ends with it. Joined on block and kind, so the
-    prefix test only filters within them.
+    or ends with it; chapter: starts with it, or (chapter rows only) ends with it. Of each context the beginnings and ends of the lengths
+    that anchors of its block and kind have are joined with the anchors by equality, so a block with many links is not squared.
     """
-    l, r = links.withColumn("kind", T.link_kind(F.col("href"))).alias("l"), refs.alias("r")
+    l, key = links.withColumn("kind", T.link_kind(F.col("href"))), ["src_id", "kind"]
+    # Beginnings, and but for articles ends, of contexts, as long as an anchor.
+    lengths = l.groupBy(*key).agg(F.collect_set(F.char_length("text")).alias("_lengths"))
+    inside = F.filter("_lengths", lambda n: n <= F.char_length("after"))
+    cuts = F.transform(inside, lambda n: F.substring("after", F.lit(1), n))
+    tails = F.when(F.col("kind") == "article", F.array().cast("array<string>")).otherwise(F.transform(inside, lambda n: F.right("after", n)))
+    pieces = refs.join(lengths, key).select(*refs.columns, F.explode(F.array_distinct(F.concat(cuts, tails))).alias("_piece"))
+    joined = _paired(l, "text", pieces, "_piece")
+    # Ends of the anchors of articles that are longer than a context.
+    articles, contexts = l.where("kind = 'article'"), refs.where("kind = 'article'")
+    shorter = contexts.groupBy("src_id").agg(F.collect_set(F.char_length("after")).alias("_lengths"))
+    ends = F.transform(F.filter("_lengths", lambda n: n < F.char_length("text")), lambda n: F.right("text", n))
+    articles = articles.join(shorter, "src_id").select(*l.columns, F.explode(ends).alias("_piece"))
+    joined = joined.unionByName(_paired(articles, "_piece", contexts, "after"))
     kind, starts = F.col("l.kind"), F.col("r.after").startswith(F.col("l.text"))
-    ends = F.when(kind == "article", F.col("l.text").endswith(F.col("r.after"))).otherwise(F.col("r.after").endswith(F.col("l.text")))
-    joined = l.join(r, (F.col("l.src_id") == F.col("r.src_id")) & (kind == F.col("r.kind"))).where(starts | ends)
     as_section = (kind == "chapter") & starts & F.col("r.section").isNotNull()
     part = F.concat_ws(".", T.url_number(F.col("l.href"), "chapter").cast("string"), "r.section")
     return joined.select(
         F.col("l.src_id"), F.col("l.ord"), F.col("r.ord").alias("ref_ord"), F.col("r.sub"),
-        F.when(as_section, F.concat("l.text", F.lit(" Section "), "r.section")).otherwise(F.col("l.text")).alias("text"), F.col("l.href").alias("url"),
+        F.when(as_section, F.concat(F.col("l.text"), F.lit(" Section "), "r.section")).otherwise(F.col("l.text")).alias("text"), F.col("l.href").alias("url"),
         F.when(as_section, "section").otherwise(kind).alias("kind"), F.when(as_section, part).otherwise(F.col("r.number").cast("string")).alias("number"),
         "r.paragraph", "r.points",
     )
 
 
+def _paired(links: DataFrame, of_link: str, refs: DataFrame, of_ref: str) -> DataFrame:
+    """(l, r): the links and references of one block and kind whose columns ``of_link`` and ``of_ref`` are equal."""
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("src_id", "kind")] + [F.col(f"l.{of_link}") == F.col(f"r.{of_ref}")]
+    own = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in df.columns if c != "_piece"]).alias(side) for side, df in (("l", links), ("r", refs))]
+    return links.alias("l").join(refs.alias("r"), on).select(*own)
+
+
+def first_links(links: DataFrame) -> DataFrame:
+    """Of the links of a block with one anchor text and kind (and chapter) the first: the others give the same references."""
+    kind = T.link_kind(F.col("href"))
+    rows = links.withColumns({"_kind": kind, "_chapter": F.when(kind == "chapter", T.url_number(F.col("href"), "chapter"))})
+    return _first(rows, "src_id", "_kind", "text", "_chapter").drop("_kind", "_chapter")
+
+
 def explode_points(refs: DataFrame) -> DataFrame:
     """References with more than one point become one row each; others stay."""
     several = F.size("points") > 1
@@ -120,7 +150,7 @@ def dedupe_refs(refs: DataFrame) -> DataFrame:
 
 def element_references(links: DataFrame) -> DataFrame:
     """All references of blocks: (src_id, kind, number, paragraph, points, text, url, ord), deduplicated."""
-    cited = explode_points(match_context_to_link(links, parsed_links(links)))
+    cited = explode_points(match_context_to_link(first_links(links), parsed_links(links)))
     others = section_refs(links).select(
         "*", F.col("ord").alias("ref_ord"), F.lit(0).alias("sub"), F.lit(None).cast("int").alias("paragraph"),
         F.lit(None).cast("array<string>").alias("points"), F.lit(0).alias("point_no"),

@@ -10,37 +10,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to all tasks at once; more of them go in several passes.
-MOST_QUERIES = 4096
+#: Queries that are sent to all tasks at once; more of them are dealt into chunks of about so many, and nodes into parts of about PART.
+MOST_QUERIES, PART, ROWS = 4096, 65_536, 8_192
 
 
 def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, id, similarity, rank): the k nodes of largest cosine to each query, ties by id.
 
-    queries: (query_id long, embed), a stated set that is sent to all tasks in blocks of at most 4096; nodes: (id, embed).
-    Each batch of nodes keeps its own best k a query (matrix product), so only those are shuffled. Null or empty
-    vectors of nodes are no hits; the cosine with a zero vector is 0. Vectors of unlike length are compared over the
-    common length.
+    queries: (query_id long, embed), a stated set; nodes: (id, embed). Up to ``MOST_QUERIES`` queries go to all tasks, and nodes stay where they are. More of them
+    form a grid with the nodes: each chunk of queries meets each part of nodes in a group of bounded size, in one plan for any number. Each
+    group or batch keeps its own best k a query (matrix product), so only those are shuffled on. Null or empty vectors are no hits and no queries; the cosine
+    with a zero vector is 0. Vectors of unlike length are compared over the common length.
     """
-    id_type = nodes.schema["id"].dataType.simpleString()
-    found = None
-    rows = queries.select("query_id", "embed").where("embed is not null and size(embed) > 0").orderBy("query_id")
-    held: list = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == MOST_QUERIES:
-            found = _append(found, _block_topk(held, nodes, k, id_type))
-            held = []
-    if held or found is None:
-        found = _append(found, _block_topk(held, nodes, k, id_type))
+    queries = queries.select("query_id", "embed").where("embed is not null and size(embed) > 0")
+    nodes = nodes.select("id", "embed").where("embed is not null and size(embed) > 0")
+    schema = f"query_id long, id {nodes.schema['id'].dataType.simpleString()}, similarity double"
+    held = queries.limit(MOST_QUERIES + 1).collect()
+    found = _sent_topk(held, nodes, k, schema) if len(held) <= MOST_QUERIES else _grid_topk(queries, nodes, k, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _append(found: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if found is None else found.unionByName(more)
-
-
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     """A row for each list of an Arrow array, filled up with zeros to ``width`` at least."""
     sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -50,27 +40,47 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _block_topk(rows: list, nodes: DataFrame, k: int, id_type: str) -> DataFrame:
-    ids = np.array([r.query_id for r in rows], np.int64)
-    matrix = _matrix(pa.array([r.embed for r in rows], pa.list_(pa.float64())), 1)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, matrix, np.linalg.norm(matrix, axis=1)))
+def _best(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, id, similarity): the best ``k`` of ``rows`` (id, embed) for each query, ties by id."""
+    rows = rows.take(pc.sort_indices(rows.column("id")))
+    vectors = rows.column("embed")
+    own = _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, matrix.shape[1])
+    scale = np.outer(np.linalg.norm(matrix, axis=1), np.linalg.norm(own, axis=1))
+    product = matrix @ own[:, : matrix.shape[1]].T
+    cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+    hits = rows.column("id").take(pa.array(best.reshape(-1)))
+    hits = hits.combine_chunks() if isinstance(hits, pa.ChunkedArray) else hits
+    columns = [pa.array(np.repeat(ids, best.shape[1])), hits, pa.array(np.take_along_axis(cosine, best, 1).reshape(-1))]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity"])
+
+
+def _sent_topk(held: list, nodes: DataFrame, k: int, schema: str) -> DataFrame:
+    ids = np.array([r.query_id for r in held], np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, _matrix(pa.array([r.embed for r in held], pa.list_(pa.float64())), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, norms = shared.value
         for batch in batches:
-            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column("embed")), 0), False))
-            if not batch.num_rows or not len(ids):
-                continue
-            batch = batch.take(pc.sort_indices(batch.column("id")))
-            own = _matrix(batch.column("embed"), matrix.shape[1])
-            scale = np.outer(norms, np.linalg.norm(own, axis=1))
-            product = matrix @ own[:, : matrix.shape[1]].T
-            cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-            best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            columns = [pa.array(np.repeat(ids, best.shape[1])), batch.column("id").take(pa.array(best.reshape(-1))), pa.array(np.take_along_axis(cosine, best, 1).reshape(-1))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity"])
-
-    return nodes.select("id", "embed").mapInArrow(run, f"query_id long, id {id_type}, similarity double")
+            if batch.num_rows and len(shared.value[0]):
+                yield _best(batch, *shared.value, k)
+
+    return nodes.mapInArrow(run, schema)
+
+
+def _grid_topk(queries: DataFrame, nodes: DataFrame, k: int, schema: str) -> DataFrame:
+    chunks, parts = max(1, -(-queries.count() // MOST_QUERIES)), max(1, -(-nodes.count() // PART))
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "embed", deal("query_id", chunks).alias("chunk"), every(parts).alias("part"))
+    held = nodes.select("id", "embed", deal("id", parts).alias("part"), every(chunks).alias("chunk"))
+
+    def run(rows: pa.Table, some: pa.Table) -> pa.Table:
+        ids, matrix = some["query_id"].to_numpy(), _matrix(some["embed"].combine_chunks(), 1)
+        found = [_best(rows.slice(at, ROWS), ids, matrix, k) for at in range(0, len(rows) if len(ids) else 0, ROWS)]
+        empty = pa.schema([("query_id", pa.int64()), ("id", rows.schema.field("id").type), ("similarity", pa.float64())])
+        return pa.Table.from_batches(found, found[0].schema if found else empty)
+
+    return held.groupBy("part", "chunk").cogroup(asked.groupBy("part", "chunk")).applyInArrow(run, schema)
 
 
 def project_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..functions.vectors import cosine
-from ..operators import embedding, graph, hierarchy, memory, profile, references, retrieval, trace, traversal
+from ..operators import embedding, graph, hierarchy, memory, profile, references, retrieval, similarity, trace, traversal
 from ..sources import documents as documents_io
 from ..sources import pages as pages_io
 from ..streaming import runs, sessions
 from . import bindings as B
 from .corpus import corpus_graph
+from .questions import question_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -629,6 +630,26 @@ def t08_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "error", "text", refs.alias("refs"), F.size("children").cast("long").alias("n_children"))
 
 
+@query(
+    f"""WITH {_TREE_TEXT_SQL}, {B.REFS_SQL},
+    v AS (SELECT 'C.' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer)),
+    c AS (SELECT q.vec_id AS query_id, v.id, list_cosine_similarity(q.embedding::DOUBLE[], v.v) AS c FROM embeddings q, v WHERE q.vec_id % 50 = 0),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM c QUALIFY rank <= 5),
+    m AS (SELECT 'C.' || o_custkey AS id, count(*) AS n FROM orders GROUP BY 1),
+    k AS (SELECT 'C.' || o_custkey AS id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+    x AS (SELECT dst AS id, string_agg(src || '=' || order_text.t, ';' ORDER BY src) AS refs FROM refs JOIN order_text ON order_text.id = src GROUP BY 1)
+    SELECT query_id, rank, h.id, round(c, 3) AS similarity, t.t AS context, coalesce(x.refs, '') AS refs, coalesce(m.n, 0) + coalesce(k.n, 0) AS n_children
+    FROM h JOIN customer_text t USING (id) LEFT JOIN x USING (id) LEFT JOIN m USING (id) LEFT JOIN k USING (id)"""
+)
+def w03_question_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions to what a reader of their five best nodes needs: the way from vectors through hits and the graph to contexts."""
+    vectors = B.table(spark, sf_dir, "embeddings").select(B.text_id("C.", F.col("vec_id")).alias("id"), F.col("embedding").alias("embed"))
+    nodes = B.hierarchy_nodes(spark, sf_dir).drop("embed").join(vectors, "id", "left")
+    rows = question_contexts(_vectors(spark, sf_dir)[0], nodes, B.hierarchy_edges(spark, sf_dir), 5)
+    refs = F.array_join(F.transform("references", lambda r: F.concat(r["id"], F.lit("="), r["text"])), ";")
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "similarity", "context", refs.alias("refs"), F.size("children").cast("long").alias("n_children"))
+
+
 @query(
     f"""WITH {B.PAIRS_SQL}, {B.REFS_SQL}, s AS (SELECT 'C.' || c_custkey AS start FROM customer)
     SELECT start, start AS src, 'CONTAINS' AS type, child AS dst FROM s JOIN pairs ON parent = start
@@ -847,6 +868,20 @@ def s05_session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_io.load_sessions(wanted, saved).select("session_id", F.size("buffer").cast("long").alias("n_buffer"), F.md5(F.array_join(told, "\n")).alias("buffered"))
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, list_sort(list_distinct({_TOKENS_SQL.format("text")})) AS e FROM documents), r AS (SELECT e, min(doc_id) AS rep FROM t WHERE len(e) > 0 GROUP BY e),
+    p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.e, b.e)) AS c, len(a.e) + len(b.e) AS n FROM r a JOIN r b ON a.rep < b.rep AND len(a.e) >= 0.8 * len(b.e) AND len(b.e) >= 0.8 * len(a.e)),
+    l AS (SELECT a, b FROM p WHERE c / (n - c) >= 0.9), d AS (SELECT a, count(*) AS n FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY 1)
+    SELECT doc_id, rep, coalesce(n, 0) AS n_links FROM t JOIN r USING (e) LEFT JOIN d ON d.a = rep"""
+)
+def m05_alike_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a note: its class of notes of like words, and how many other classes are alike."""
+    notes = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("elements"))
+    classes, pairs = similarity.similar_sets(notes, memory.NOTE_SIMILARITY)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
+    return classes.join(ends, "rep", "left").select(F.col("id").alias("doc_id"), "rep", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 # --- traces --------------------------------------------------------------------------------------------------------------
 
 
