@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import graph, hierarchy, references
+from ..operators import embedding, graph, hierarchy, references
 from ..operators.checkpoints import cut
 from ..sources import pages as pages_io
 
 _REF = ("kind", "number", "paragraph", "points", "text", "url")
+#: Label and id of the node above a whole corpus.
+ACT = "Act"
 
 
 def document_headers(blocks: DataFrame) -> DataFrame:
@@ -42,78 +44,150 @@ def _annex_paragraphs(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sections.withColumnRenamed("under", "id"), tree
 
 
-def corpus_graph(pages: DataFrame, container: str = "article", strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of (page_id, url, html): articles, annexes and recitals with their paragraphs, chapters and references.
+class Corpus:
+    """The parts of the graph of (page_id, url, html), each worked out when it is first asked for: nodes take no references.
 
     Blocks with a class (metadata, summaries) are no paragraphs. Indented "Related:" lines give their recitals to the paragraph before
     them. References come from paragraphs, and from documents for links that their top-level paragraphs do not cite.
     """
-    blocks = cut(pages_io.extract_blocks(pages, container))
-    docs = cut(document_headers(blocks))
-    body = blocks.where("tag <> 'h1' and css is null").join(docs.select("doc_id", "root", "kind", "number"), "doc_id")
-
-    articles, related = hierarchy.attach_related_recitals(hierarchy.filter_noise(body.where("kind = 'article' and tag = 'p'")))
-    sections, annex_tree = _annex_paragraphs(body.where("kind = 'annex'"))
-    tree = cut(hierarchy.assemble_hierarchy(articles, F.col("root")).unionByName(annex_tree))
-    recitals = hierarchy.number_recital_paragraphs(body.where("kind = 'recital'"), F.col("number"))
-    recitals = recitals.join(docs.select("doc_id", F.col("root").alias("parent_id")), "doc_id").withColumn("level", F.lit(0))
-    paragraphs = cut(hierarchy.merge_same_id(tree).select("doc_id", "pos", "id", "parent_id", "level", "text").unionByName(recitals.select("doc_id", "pos", "id", "parent_id", "level", "text")))
-
-    links = cut(references.harvest_links(blocks.join(docs.select("doc_id"), "doc_id").withColumn("place", F.concat_ws(":", "doc_id", "pos")), "place"))
-    refs = cut(_paragraph_references(links, tree, related, recitals, paragraphs))
-
-    nodes = cut(_nodes(docs, sections, paragraphs))
-    kinds = docs.select("doc_id", F.initcap("kind").alias("content_type"))
-    top = refs.where("level = 0").select("doc_id", "kind", "number")
-    of_documents = references.document_references(links, kinds, top).join(docs.select("doc_id", F.col("root").alias("src_id")), "doc_id")
-    bare = [F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("array<string>").alias("points")]
-    cited = refs.select("src_id", *_REF[:5]).unionByName(of_documents.select("src_id", "kind", "number", *bare, "text"))
-    targets = paragraphs.where("level = 0").join(docs.select("doc_id", "kind", F.col("number").cast("string").alias("number"), "root"), "doc_id")
-    targets = targets.where("parent_id = root").select("kind", "number", _place("kind", "number").alias("idx"), "text")
-    edges = graph.contains_edges(_pairs(docs, sections, paragraphs), nodes).unionByName(graph.reference_edges(cited, targets, nodes, strict))
-    following = graph.next_edges_by_position(paragraphs.select(F.col("parent_id").alias("parent"), F.col("pos").alias("idx"), "id"))
-    return nodes, edges.unionByName(graph.existing(following, nodes))
-
-
-def _place(*keys: str):
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "pos")) - 1
-
-
-def _paragraph_references(links: DataFrame, tree: DataFrame, related: DataFrame, recitals: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, src_id, level, kind, ..): the references of each paragraph, of those merged into it and of the "Related:" lines after it."""
-    at = F.split("src_id", ":")
-    found = references.element_references(links).select("*", at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("pos")).drop("src_id")
-    moved = found.where("kind = 'recital'").join(related, ["doc_id", "pos"]).withColumn("pos", F.col("to_pos")).drop("to_pos")
-    found = found.join(related.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").unionByName(moved)
-    in_tree = hierarchy.merge_references(tree, found)
-    of_recitals = recitals.select("doc_id", "pos", "id").join(found, ["doc_id", "pos"]).select("doc_id", "id", *_REF, "ord")
-    own = in_tree.unionByName(of_recitals).join(paragraphs.select("doc_id", "id", "level").distinct(), ["doc_id", "id"])
-    return own.select("doc_id", F.col("id").alias("src_id"), "level", *_REF, "ord")
-
-
-def _nodes(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    seq = F.col("doc_id").alias("load_seq")
-    articles = docs.where("kind = 'article'").withColumn("load_seq", F.col("doc_id"))
-    titled = [graph.titled_nodes(docs.where(f"kind = '{kind.lower()}'").select(F.col("root").alias("id"), "name", "number", seq), kind) for kind in ("Article", "Annex", "Recital")]
-    parts = [graph.chapters(articles), graph.chapter_sections(articles), *titled, graph.titled_nodes(sections.select("id", "name", F.col("key").alias("number"), seq), "Annex_Section")]
-    return reduce(DataFrame.unionByName, [*parts, graph.paragraph_nodes(paragraphs.select("id", "text", "level", F.col("pos").cast("long").alias("load_seq")))])
-
-
-def _pairs(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(parent, child, ord): chapters, their sections, articles; annexes and their sections; paragraphs."""
-    part = F.get("chapter", F.lit(0))
-    chapter, section = ids.chapter_id(part), ids.chapter_section_id(part, F.get("section", F.lit(0)))
-    articles = docs.where("kind = 'article' and chapter is not null")
-    has_section = F.col("section").isNotNull()
-    pair = lambda df, parent, child, order: df.select(parent.alias("parent"), child.alias("child"), order.cast("int").alias("ord"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            pair(articles.where(has_section), chapter, section, F.get("section", F.lit(0))).distinct(),
-            pair(articles, F.when(has_section, section).otherwise(chapter), F.col("root"), F.col("number")),
-            pair(sections.join(docs.select("doc_id", "root"), "doc_id"), F.col("root"), F.col("id"), F.col("idx")),
-            pair(paragraphs, F.col("parent_id"), F.col("id"), F.col("pos")),
-        ],
-    )
+
+    def __init__(self, pages: DataFrame, container: str = "article", strict: bool = True):
+        self.pages, self.container, self.strict = pages, container, strict
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return cut(pages_io.extract_blocks(self.pages, self.container))
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return cut(document_headers(self.blocks))
+
+    @cached_property
+    def body(self) -> DataFrame:
+        own = self.docs.select("doc_id", "root", "kind", "number")
+        return self.blocks.where("tag <> 'h1' and css is null").select("doc_id", "pos", "tag", "style", "text").join(own, "doc_id")
+
+    @cached_property
+    def articles(self) -> tuple[DataFrame, DataFrame]:
+        return hierarchy.attach_related_recitals(hierarchy.filter_noise(self.body.where("kind = 'article' and tag = 'p'")))
+
+    @cached_property
+    def annexes(self) -> tuple[DataFrame, DataFrame]:
+        return _annex_paragraphs(self.body.where("kind = 'annex'"))
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return cut(hierarchy.assemble_hierarchy(self.articles[0], F.col("root")).unionByName(self.annexes[1]))
+
+    @cached_property
+    def recitals(self) -> DataFrame:
+        rows = hierarchy.number_recital_paragraphs(self.body.where("kind = 'recital'"), F.col("number"))
+        return rows.join(self.docs.select("doc_id", F.col("root").alias("parent_id")), "doc_id").withColumn("level", F.lit(0))
+
+    @cached_property
+    def paragraphs(self) -> DataFrame:
+        columns = ["doc_id", "pos", "id", "parent_id", "level", "text"]
+        return cut(hierarchy.merge_same_id(self.tree).select(*columns).unionByName(self.recitals.select(*columns)))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        rows = self.blocks.join(self.docs.select("doc_id"), "doc_id").withColumn("place", F.concat_ws(":", "doc_id", "pos"))
+        return cut(references.harvest_links(rows, "place"))
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        """(doc_id, src_id, level, kind, ..): the references of each paragraph, of those merged into it and of the "Related:" lines after it."""
+        at, related = F.split("src_id", ":"), self.articles[1]
+        found = references.element_references(self.links).select("*", at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("pos")).drop("src_id")
+        moved = found.where("kind = 'recital'").join(related, ["doc_id", "pos"]).withColumn("pos", F.col("to_pos")).drop("to_pos")
+        found = found.join(related.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").unionByName(moved)
+        in_tree = hierarchy.merge_references(self.tree, found)
+        of_recitals = self.recitals.select("doc_id", "pos", "id").join(found, ["doc_id", "pos"]).select("doc_id", "id", *_REF, "ord")
+        own = in_tree.unionByName(of_recitals).join(self.paragraphs.select("doc_id", "id", "level").distinct(), ["doc_id", "id"])
+        return cut(own.select("doc_id", F.col("id").alias("src_id"), "level", *_REF, "ord"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        seq = F.col("doc_id").alias("load_seq")
+        articles = self.docs.where("kind = 'article'").withColumn("load_seq", F.col("doc_id"))
+        titled = [graph.titled_nodes(self.docs.where(f"kind = '{kind.lower()}'").select(F.col("root").alias("id"), "name", "number", seq), kind) for kind in ("Article", "Annex", "Recital")]
+        sections = graph.titled_nodes(self.annexes[0].select("id", "name", F.col("key").alias("number"), seq), "Annex_Section")
+        inner = graph.paragraph_nodes(self.paragraphs.select("id", "text", "level", F.col("pos").cast("long").alias("load_seq")))
+        return cut(reduce(DataFrame.unionByName, [graph.chapters(articles), graph.chapter_sections(articles), *titled, sections, inner]))
+
+    @cached_property
+    def references(self) -> DataFrame:
+        """REFERENCES edges."""
+        kinds = self.docs.select("doc_id", F.initcap("kind").alias("content_type"))
+        top = self.refs.where("level = 0").select("doc_id", "kind", "number")
+        of_documents = references.document_references(self.links, kinds, top).join(self.docs.select("doc_id", F.col("root").alias("src_id")), "doc_id")
+        bare = [F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("array<string>").alias("points")]
+        cited = self.refs.select("src_id", *_REF[:5]).unionByName(of_documents.select("src_id", "kind", "number", *bare, "text"))
+        targets = self.paragraphs.where("level = 0").join(self.docs.select("doc_id", "kind", F.col("number").cast("string").alias("number"), "root"), "doc_id")
+        place = F.row_number().over(Window.partitionBy("kind", "number").orderBy("doc_id", "pos")) - 1
+        targets = targets.where("parent_id = root").select("kind", "number", place.alias("idx"), "text")
+        return graph.reference_edges(cited, targets, self.nodes, self.strict)
+
+    @cached_property
+    def following(self) -> DataFrame:
+        """(src, dst) candidates of NEXT edges between paragraphs of one parent."""
+        return graph.next_edges_by_position(self.paragraphs.select(F.col("parent_id").alias("parent"), F.col("pos").alias("idx"), "id"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        contains = graph.contains_edges(self._pairs(), self.nodes)
+        return contains.unionByName(self.references).unionByName(graph.existing(self.following, self.nodes))
+
+    def _pairs(self) -> DataFrame:
+        """(parent, child, ord): chapters, their sections, articles; annexes and their sections; paragraphs."""
+        part = F.get("chapter", F.lit(0))
+        chapter, section = ids.chapter_id(part), ids.chapter_section_id(part, F.get("section", F.lit(0)))
+        articles = self.docs.where("kind = 'article' and chapter is not null")
+        has_section = F.col("section").isNotNull()
+        parts = [
+            _pair(articles.where(has_section), chapter, section, F.get("section", F.lit(0))).distinct(),
+            _pair(articles, F.when(has_section, section).otherwise(chapter), F.col("root"), F.col("number")),
+            _pair(self.annexes[0].join(self.docs.select("doc_id", "root"), "doc_id"), F.col("root"), F.col("id"), F.col("idx")),
+            _pair(self.paragraphs, F.col("parent_id"), F.col("id"), F.col("pos")),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def whole_edges(self, act: str = ACT) -> DataFrame:
+        """All edges of the graph under one node ``act``: it contains chapters, annexes and recitals; NEXT by number joins chapters, articles, annexes, recitals and
+        the sections of a chapter, NEXT by place annex sections and paragraphs."""
+        above = self.nodes.select("id", F.get("labels", F.lit(0)).alias("label"), "number").where("label in ('Chapter', 'Chapter_Section', 'Article', 'Annex', 'Recital')")
+        number = F.when(F.col("label") == "Chapter", ids.from_roman(F.col("number"))).when(F.col("number").rlike(r"^\d{1,9}$"), F.col("number").cast("int"))
+        above = cut(above.select("id", "label", number.alias("number")))
+        top = _pair(above.where("label in ('Chapter', 'Annex', 'Recital')"), F.lit(act), F.col("id"), F.col("number"))
+        within = F.when(F.col("label") == "Chapter_Section", F.regexp_replace("id", r"\.Sect-[^.]*$", "")).otherwise(F.lit(""))
+        by_number = graph.next_edges_by_number(above.where("number is not null").select(F.concat_ws(" ", "label", within).alias("scope"), "number", "id"))
+        sections = self.annexes[0].join(self.docs.select("doc_id", "root"), "doc_id").select(F.col("root").alias("parent"), "idx", "id")
+        by_place = self.following.unionByName(graph.next_edges_by_position(sections))
+        contains = graph.contains_edges(self._pairs().unionByName(top), self.whole_nodes(act))
+        return reduce(DataFrame.unionByName, [contains, self.references, by_number, graph.existing(by_place, self.nodes)])
+
+    def whole_nodes(self, act: str = ACT, name: str | None = None, embedder: embedding.Embedder | None = None, parent_context: bool = False) -> DataFrame:
+        """All nodes, the one above them too; with an embedder each has the vector of its name or text, of paragraphs of articles and annexes
+        with ``parent_context`` behind the text of the paragraph above. Each distinct text is embedded once."""
+        root = graph.build_nodes(self.nodes.sparkSession.range(1).select(F.lit(act).alias("id"), F.lit(name or act).alias("name"), F.lit(-1).cast("long").alias("load_seq")), "Act")
+        nodes = self.nodes.unionByName(root)
+        if embedder is None:
+            return nodes
+        said = nodes.select("id", "labels", F.coalesce("text", "name").alias("said"))
+        if parent_context:
+            own = self.nodes.where(F.array_contains("labels", "Paragraph")).select("id", "text")
+            parents = self.tree.groupBy("id").agg(F.min("parent_id").alias("parent_id"))  # recitals have none
+            context = graph.embedding_text(own.join(parents, "id", "left")).select("id", F.array("embed_text").alias("_told"))
+            said = said.join(context, "id", "left").select("id", "labels", F.when(F.array_contains("labels", "Paragraph"), F.coalesce(F.get("_told", F.lit(0)), "said")).otherwise(F.col("said")).alias("said"))
+        vectors = embedding.embed_distinct(said, embedder, "said").select("id", "labels", "embed")
+        return nodes.drop("embed").join(vectors, ["id", "labels"], "left").select(*graph.NODE_COLUMNS)
+
+
+def _pair(df: DataFrame, parent: Column, child: Column, order: Column) -> DataFrame:
+    return df.select(parent.alias("parent"), child.alias("child"), order.cast("int").alias("ord"))
+
+
+def corpus_graph(pages: DataFrame, container: str = "article", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of (page_id, url, html): articles, annexes and recitals with their paragraphs, chapters and references; see ``Corpus``."""
+    corpus = Corpus(pages, container, strict)
+    return corpus.nodes, corpus.edges

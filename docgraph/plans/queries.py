@@ -15,7 +15,7 @@ from ..sources import documents as documents_io
 from ..sources import pages as pages_io
 from ..streaming import runs, sessions
 from . import bindings as B
-from .corpus import corpus_graph
+from .corpus import Corpus
 from .questions import question_contexts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,7 +489,7 @@ _CORPUS_SQL = f"""l AS (SELECT o_orderkey AS k, l_linenumber AS n, l_partkey AS
 
 @query(f"""WITH {_CORPUS_SQL} SELECT id, label, text FROM nodes""")
 def w01_corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_graph(B.corpus_pages(spark, sf_dir))[0].select("id", F.get("labels", F.lit(0)).alias("label"), "text")
+    return Corpus(B.corpus_pages(spark, sf_dir)).nodes.select("id", F.get("labels", F.lit(0)).alias("label"), "text")
 
 
 @query(
@@ -497,7 +497,25 @@ def w01_corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT DISTINCT src, 'REFERENCES', dst, ref_kind FROM refs WHERE dst IN (SELECT id FROM nodes)"""
 )
 def w02_corpus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_graph(B.corpus_pages(spark, sf_dir))[1].select("src", "type", "dst", "ref_kind")
+    return Corpus(B.corpus_pages(spark, sf_dir)).edges.select("src", "type", "dst", "ref_kind")
+
+
+@query(
+    f"""WITH {_CORPUS_SQL},
+    art AS (SELECT DISTINCT k FROM d WHERE art), rec AS (SELECT DISTINCT k FROM d WHERE NOT art), chs AS (SELECT DISTINCT k % 7 + 1 AS c, ch FROM d WHERE art), secs AS (SELECT DISTINCT ch, sec FROM d WHERE art AND sec IS NOT NULL)
+    SELECT src, 'CONTAINS' AS type, dst, NULL AS ref_kind FROM pairs UNION ALL SELECT src, 'NEXT', dst, NULL FROM following WHERE dst IS NOT NULL
+    UNION ALL SELECT DISTINCT src, 'REFERENCES', dst, ref_kind FROM refs WHERE dst IN (SELECT id FROM nodes)
+    UNION ALL SELECT 'Act', 'CONTAINS', ch, NULL FROM chs UNION ALL SELECT 'Act', 'CONTAINS', 'Rec.' || k, NULL FROM rec
+    UNION ALL SELECT 'Act', 'CONTAINS', 'Annex.' || {_ROMANS}[n_nationkey + 1], NULL FROM nation
+    UNION ALL SELECT a.ch, 'NEXT', b.ch, NULL FROM chs a JOIN chs b ON b.c = a.c + 1 UNION ALL SELECT 'Art.' || a.k, 'NEXT', 'Art.' || b.k, NULL FROM art a JOIN art b ON b.k = a.k + 1
+    UNION ALL SELECT 'Rec.' || a.k, 'NEXT', 'Rec.' || b.k, NULL FROM rec a JOIN rec b ON b.k = a.k + 1
+    UNION ALL SELECT 'Annex.' || {_ROMANS}[a.n_nationkey + 1], 'NEXT', 'Annex.' || {_ROMANS}[b.n_nationkey + 1], NULL FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1
+    UNION ALL SELECT a.ch || '.Sect-' || a.sec, 'NEXT', b.ch || '.Sect-' || b.sec, NULL FROM secs a JOIN secs b ON a.ch = b.ch AND b.sec = a.sec + 1
+    UNION ALL SELECT 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.A', 'NEXT', 'Annex.' || {_ROMANS}[n_nationkey + 1] || '.Sect.B', NULL FROM nation"""
+)
+def w04_whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge from the act down to the references, with all kinds of NEXT."""
+    return Corpus(B.corpus_pages(spark, sf_dir)).whole_edges().select("src", "type", "dst", "ref_kind")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.operators import embedding, hierarchy, memory, references, trace, traversal
-from docgraph.plans.corpus import corpus_graph
+from docgraph.plans.corpus import Corpus, corpus_graph
 from docgraph.sources import documents, pages
 
 SITE = "https://x.example"
@@ -37,6 +37,22 @@ def test_corpus_graph(graph):
     assert {(r.src, r.dst) for r in edges.where("type = 'CONTAINS'").collect()} >= {("ChaptIII", "Art.1"), ("Art.1", "Art.1.2"), ("Art.1.2", "Art.1.2.a"), ("Annex.II", "Annex.II.Sect.A")}
 
 
+def test_whole_graph_has_an_act_and_vectors(spark):
+    rows = [(i, f"{SITE}/{i}", f"<article><h1>{title}</h1>{body}</article>") for i, title, body in (
+        (1, "Article 1", '<p class="meta"><a href="/chapter/3/">Chapter III: Duties</a></p><p>1. one</p><p style="padding-left: 40px">(a) sub</p>'), (2, "Article 2", "<p>x</p>"),
+        (3, "Annex II", "<h3>Section A first</h3><p>1. x</p><h3>Section B second</h3><p>1. y</p>"), (4, "Recital 7", "<p>whereas</p>"), (5, "Recital 8", "<p>whereas</p>"))]
+    corpus = Corpus(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    edges = {(r.src, r.type, r.dst) for r in corpus.whole_edges().collect()}
+    assert edges >= {("Act", "CONTAINS", x) for x in ("ChaptIII", "Annex.II", "Rec.7", "Rec.8")} and ("Act", "CONTAINS", "Art.1") not in edges
+    assert edges >= {("Art.1", "NEXT", "Art.2"), ("Rec.7", "NEXT", "Rec.8"), ("Annex.II.Sect.A", "NEXT", "Annex.II.Sect.B")}
+    embedder = embedding.hashing_embedder(32)
+    for parent_context, text in ((False, "(a) sub"), (True, "1. one\n\n(a) sub")):
+        nodes = {r.id: r for r in corpus.whole_nodes(name="The act", embedder=embedder, parent_context=parent_context).collect()}
+        assert np.allclose(nodes["Art.1.1.a"].embed, embedder([text])[0]) and np.allclose(nodes["Act"].embed, embedder(["The act"])[0])
+        assert all(r.embed is not None for r in nodes.values()) and len(nodes) == corpus.nodes.count() + 1
+    assert "refs" not in vars(Corpus(corpus.pages)) and {r.id for r in Corpus(corpus.pages).whole_nodes().where("embed is null").collect()} == set(nodes)
+
+
 def test_graph_and_documents_on_disk(spark, graph, tmp_path):
     nodes, edges = graph
     documents.write_graph(nodes, edges, str(tmp_path / "graph"))
