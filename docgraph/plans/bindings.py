@@ -232,7 +232,7 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("<article><h1>Annex "), to_roman(m + 1), F.lit("</h1><h3>Section A first</h3><p>1. of "), "n_name", F.lit("</p><p>more</p><h3>Section B second</h3><p>1. last</p></article>")
         ).alias("html"),
     )
-    return orders.unionByName(annexes)
+    return orders.unionByName(annexes).repartition(spark.sparkContext.defaultParallelism)  # as pages come in many files
 
 
 # --- lines of documents, and sessions ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,14 +100,19 @@ def _context(pieces: list[str], link: dict) -> dict:
     return {"href": link["href"], "text": _flat(text), "before": _flat("".join(before)), "after": _flat("".join(after))}
 
 
+_LINK = pa.struct([(name, pa.string()) for name in ("href", "text", "before", "after")])
+_COLUMNS = {"doc_id": pa.int64(), "pos": pa.int32(), "tag": pa.string(), "style": pa.string(), "css": pa.string(), "text": pa.string(), "links": pa.list_(_LINK)}
+
+
 def _parse(container: str):
-    def table(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "pos", "tag", "style", "css", "text", "links"])
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(_COLUMNS)
+        return pa.RecordBatch.from_arrays([pa.array(list(values), kind) for values, kind in zip(columns, _COLUMNS.values(), strict=True)], names=list(_COLUMNS))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for doc_id, html in zip(batch["page_id"], batch["html"], strict=True):
+            for doc_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 parser = _Blocks(container)
                 parser.feed(html or "")
                 parser.close()
@@ -130,7 +135,7 @@ def extract_blocks(pages: DataFrame, container: str = "article") -> DataFrame:
     container: a tag, "#id" or "tag#id". Scripts and styles are skipped; a page without the container has no
     blocks. Each link has its anchor text and the text around it.
     """
-    return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(_parse(container), BLOCKS)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_parse(container), BLOCKS)
 
 
 def page_headers(blocks: DataFrame) -> DataFrame:
