@@ -4,14 +4,17 @@ Everything is DataFrame functions. A document's windows for an item of L words a
 words. Similarity is the weighted Jaccard of their five-word shingles (weight: how often a shingle
 occurs). Moving a window forward to its first shingle of an item never lowers its similarity to it, so only windows that start
 there count. First the places of item shingles in documents are found, by a bit table of all item shingles, and move without
-texts. How many places a window holds bounds its similarity; windows that cannot reach the threshold end here. Of the others the
-most promising one of each document and item is fingerprinted and compared, and then those that may still be better.
+texts. They are kept by the widths of items, not by the items: a phrase that many items share costs as much as one that
+one item has. A document stays with a width only if it holds one of the rarest shingles of an item of it (any window that reaches the threshold has one of an
+item's n - ceil(0.75 n) + 1 rarest), and a window only if it holds enough places.
 
-Fingerprints are 64 bits. With 8 blocks of 8 bits, two fingerprints within ``RADIUS`` = 23 bits agree to
+Of the windows that are left one in each ``STRIDE``-th of their width is fingerprinted, and one index of the fingerprints of all items finds the
+items that a document may hold. Of such a document and item, the windows that may reach the threshold are compared, the most promising first and then
+those that may still be better. Fingerprints are 64 bits. With 8 blocks of 8 bits, two fingerprints within ``RADIUS`` = 23 bits agree to
 within 2 bits in some block; the index lists every item under all 37 such values of each block, so
-the equality join on item, block and value finds all windows within the radius of their item. At the threshold of 0.75
-the expected distance is 11 bits with a deviation of 3, so the radius lies four deviations beyond. Candidates are confirmed
-exactly.
+the equality join on block and value finds all items within the radius of a window. At the threshold of 0.75
+the expected distance is 11 bits with a deviation of 3, so the radius lies four deviations beyond; a window next to one that reaches
+0.75 reaches 0.74 at least, by the stride. Candidates are confirmed exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import broadcast_if_small, cut, lower_ascii, words
 
 SHINGLE, THRESHOLD = 5, 0.75
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
+#: Windows to an item's width of which one is fingerprinted, where there are so many.
+STRIDE = 64
 #: The bit table holds 2^10 to 2^18 longs (2 MB at most), however large the benchmark.
 _TABLE_CELLS = (10, 18)
 _LANE, _LANES, MOST_IN_LANES = 0x0001000100010001, 16, 32_767
@@ -130,12 +135,17 @@ def _bit(h: Column, cells: int) -> Column:
     return F.shiftrightunsigned(h, cells).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _starts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(row, key, start, most): the windows of (row, tokens) that start with a shingle of an item and may reach the threshold.
+def _known(items: DataFrame) -> DataFrame:
+    """(h, width, rare): the shingles of the items of each width; ``rare`` if one of those items has it among its rarest."""
+    each = items.select("key", F.size("item").alias("width"), F.explode(F.array_distinct("item")).alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    by_rarity = F.row_number().over(Window.partitionBy("key").orderBy("often", "h"))
+    ranked = each.join(often, "h").withColumn("rare", by_rarity <= F.col("width") - F.ceil(F.col("width") * THRESHOLD) + 1)
+    return ranked.groupBy("h", "width").agg(F.max("rare").alias("rare"))
 
-    ``most`` bounds the similarity: as if every place in the window with a shingle of the item counted in full.
-    """
-    known = cut(items.select("key", F.size("item").alias("width"), F.explode(F.array_distinct("item")).alias("h")))
+
+def _hits(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """(row, size, start, h): the places in documents (row, tokens) that hold a shingle of an item; ``size`` is the document's number of places."""
     hashes = known.select("h").distinct()
     cells = min(max(_TABLE_CELLS[0], (hashes.count() // 4).bit_length()), _TABLE_CELLS[1])
     h = F.xxhash64(*[F.get("tokens", F.col("start") + k) for k in range(width)])
@@ -143,38 +153,50 @@ def _starts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     # The outer form keeps Spark from inferring a filter that would split all texts twice.
     every = F.when(F.size("tokens") >= width, F.sequence(F.lit(0), F.size("tokens") - width))
     places = docs.select("row", "tokens", F.explode_outer(every).alias("start")).where(F.col("start").isNotNull())
-    hits = places.where(in_table).select("row", (F.size("tokens") - width + 1).alias("size"), "start", h.alias("h"))
-    hits = hits.join(broadcast_if_small(known, _BROADCAST_ROWS), "h").select("row", "key", "width", "size", "start")
-    hits = hits.repartition("row", "key").distinct()  # one exchange serves all that follows
-    of_item = Window.partitionBy("row", "key")
-    hits = hits.withColumn("n", F.count("*").over(of_item)).where(F.col("n") >= THRESHOLD * F.col("width"))
-    # A window ends as an event of its own; the events of a document and item in order, ends before the places they exclude.
+    return places.where(in_table).select("row", (F.size("tokens") - width + 1).alias("size"), "start", h.alias("h")).distinct()
+
+
+def _windows(places: DataFrame, key: str) -> DataFrame:
+    """(row, key, width, start, most): the windows that start at the ``places`` (row, key, width, size, start) of ``key`` and may reach the threshold.
+
+    ``most`` bounds the similarity, as if every place in the window counted in full. ``places`` are dealt by row and key.
+    """
+    of_key = Window.partitionBy("row", key)
+    hits = places.withColumn("n", F.count("*").over(of_key)).where(F.col("n") >= THRESHOLD * F.col("width"))
+    # A window ends as an event of its own; the events of a document and key in order, ends before the places they exclude.
+    names = list(dict.fromkeys(["row", key, "width", "own", "start"]))
     own = F.least("width", F.col("size") - F.col("start"))
     events = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("place")), F.struct((F.col("start") + own).alias("pos"), F.lit(0).alias("place")))
-    events = hits.select("row", "key", "width", own.alias("own"), "start", F.inline(events))
-    so_far = F.sum("place").over(of_item.orderBy("pos", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = events.withColumn("held", F.when(F.col("place") == 1, 1 - so_far).otherwise(so_far)).groupBy("row", "key", "width", "own", "start").agg(F.sum("held").alias("held"))
+    events = hits.withColumn("own", own).select(*names, F.inline(events))
+    so_far = F.sum("place").over(of_key.orderBy("pos", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = events.withColumn("held", F.when(F.col("place") == 1, 1 - so_far).otherwise(so_far)).groupBy(*names).agg(F.sum("held").alias("held"))
     most = F.col("held") / (F.col("width") + F.col("own") - F.col("held"))
-    return counted.select("row", "key", "start", most.alias("most")).where(F.col("most") >= THRESHOLD)
-
-
-def _compared(starts: DataFrame, texts: DataFrame, items: DataFrame, index: DataFrame) -> DataFrame:
-    """(row, doc_id, key, item_id, start, n_words, hamming, similarity) of the windows at ``starts`` that are like their items."""
-    sizes = items.select("key", F.size("item").alias("width"))
-    windows = starts.join(broadcast_if_small(sizes, _BROADCAST_ROWS), "key").join(texts, "row")
-    windows = windows.select("row", "doc_id", "key", "start", F.slice("own", F.col("start") + 1, F.col("width")).alias("window"))
-    windows = windows.withColumn("print", simhash(F.col("window")))
-    probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    found = probes.join(broadcast_if_small(index, _BROADCAST_ROWS), ["key", "block", "value"])
-    # A window meets its item in each block that agrees; the first of them speaks for all.
-    unlike = F.col("print").bitwiseXOR(F.col("item_print"))
-    agrees = lambda k: F.bit_count(F.shiftrightunsigned(unlike, BLOCK_BITS * k).bitwiseAND(F.lit(255))) <= RADIUS // BLOCKS
-    first = F.coalesce(*[F.when(agrees(k), F.lit(k)) for k in range(BLOCKS)])
-    found = found.withColumn("hamming", F.bit_count(unlike)).where((F.col("block") == first) & (F.col("hamming") <= RADIUS))
-    whole = items.select("key", "item_id", "n_words", "item")
-    found = found.join(broadcast_if_small(whole, _BROADCAST_ROWS, 64 + 8 * F.size("item")), "key")
-    found = found.withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item")))
-    return found.where(F.col("similarity") >= THRESHOLD).select("row", "doc_id", "key", "item_id", "start", "n_words", "hamming", "similarity")
+    return counted.withColumn("most", most).where(F.col("most") >= THRESHOLD).drop("own", "held")
+
+
+def _found(windows: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, key): the items that the fingerprints of the ``windows`` (row, width, start) find in the index of all items."""
+    near = F.array(*[F.lit(x) for x in _near_values()])
+    index = items.select("key", F.size("item").alias("width"), "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
+    values = F.transform(near, lambda x: F.col("b.value").bitwiseXOR(x))
+    index = cut(index.select("key", "width", "item_print", "b.block", F.explode(values).alias("value")))
+    # A document's shingles are met once for each width, and its windows are cut from them there.
+    wanted = windows.groupBy("row", "width").agg(F.collect_list("start").alias("starts"))
+    cuts = F.transform("starts", lambda s: simhash(F.slice("own", s + 1, F.col("width"))))
+    prints = wanted.join(texts, "row").select("row", "width", F.explode(F.array_distinct(cuts)).alias("print"))
+    probes = prints.select("row", "width", "print", F.inline(_blocks(F.col("print"))))
+    met = probes.join(broadcast_if_small(index, _BROADCAST_ROWS), ["width", "block", "value"])
+    return met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("row", "key").distinct()
+
+
+def _compared(starts: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, key, item_id, start, n_words, hamming, similarity) of the windows at ``starts`` (row, key, start) that are like their items."""
+    whole = items.select("key", "item_id", "n_words", "item", "item_print")
+    windows = starts.join(broadcast_if_small(whole, _BROADCAST_ROWS, 64 + 8 * F.size("item")), "key").join(texts, "row")
+    windows = windows.withColumn("window", F.slice("own", F.col("start") + 1, F.size("item")))
+    windows = windows.select("row", "doc_id", "key", "item_id", "start", "n_words", "window", "item_print", weighted_jaccard(F.col("window"), F.col("item")).alias("similarity"))
+    hamming = F.bit_count(simhash(F.col("window")).bitwiseXOR(F.col("item_print"))).alias("hamming")
+    return windows.where(F.col("similarity") >= THRESHOLD).select("row", "doc_id", "key", "item_id", "start", "n_words", hamming, "similarity")
 
 
 def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
@@ -184,23 +206,32 @@ def _matches(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """
     items = items.select("item_id", F.xxhash64("item_id", "tokens").alias("key"), F.size("tokens").alias("n_words"), shingle_hashes(F.col("tokens"), width).alias("item"))
     items = cut(items.withColumn("item_print", simhash(F.col("item"))))
-    near = F.array(*[F.lit(x) for x in _near_values()])
-    index = items.select("key", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
-    values = F.transform(near, lambda x: F.col("b.value").bitwiseXOR(x))
-    index = cut(index.select("key", "item_print", "b.block", F.explode(values).alias("value")))
-
-    starts = cut(_starts(docs, items, width))
-    rows = broadcast_if_small(cut(starts.select("row").distinct()), _BROADCAST_ROWS)
+    known = cut(_known(items))
+    hits = cut(_hits(docs, known, width))
+    # By width: what may hold some item of it.
+    by_width = hits.join(broadcast_if_small(known, _BROADCAST_ROWS), "h").select("row", "width", "size", "start", "rare").repartition("row", "width")
+    by_width = by_width.withColumn("any", F.max("rare").over(Window.partitionBy("row", "width"))).where("any").drop("any", "rare")
+    windows = _windows(by_width, "width")
+    span = F.greatest(F.lit(1), F.floor(F.col("width") / STRIDE)).cast("int")
+    one = F.max(F.struct("most", (-F.col("start")).alias("back"))).alias("m")
+    windows = cut(windows.groupBy("row", "width", F.floor(F.col("start") / span).alias("span")).agg(one).select("row", "width", (-F.col("m.back")).alias("start")))
+    rows = broadcast_if_small(cut(windows.select("row").distinct()), _BROADCAST_ROWS)
     texts = cut(docs.join(rows, "row", "left_semi").select("row", "doc_id", shingle_hashes(F.col("tokens"), width).alias("own")).distinct())
+    pairs = cut(_found(windows, texts, items))
+    # By document and item: the windows that start with a shingle of the item.
+    each = items.select("key", F.size("item").alias("width"), F.explode(F.array_distinct("item")).alias("h"))
+    asked = pairs.join(broadcast_if_small(each.groupBy("key").agg(F.first("width").alias("width"), F.collect_list("h").alias("hs")), _BROADCAST_ROWS, 64 + 8 * F.size("hs")), "key")
+    places = asked.select("row", "key", "width", F.explode("hs").alias("h")).join(hits, ["row", "h"]).select("row", "key", "width", "size", "start").repartition("row", "key")
+    starts = cut(_windows(places, "key").select("row", "key", "start", "most"))
     best = F.max(F.struct("most", (-F.col("start")).alias("back"))).alias("m")
     first = starts.groupBy("row", "key").agg(best).select("row", "key", (-F.col("m.back")).alias("start"), "m.most")
-    found = cut(_compared(first, texts, items, index))
+    found = cut(_compared(first.select("row", "key", "start"), texts, items))
     reached = found.groupBy("row", "key").agg(F.max("similarity").alias("similarity"))
     tried = first.select("row", "key", F.col("start").alias("tried")).join(reached, ["row", "key"], "left")
     # A window that may be as good and starts earlier counts too.
     better = (F.col("start") != F.col("tried")) & (F.col("similarity").isNull() | (F.col("most") > F.col("similarity")) | (F.col("most") == F.col("similarity")) & (F.col("start") < F.col("tried")))
     rest = starts.join(tried, ["row", "key"]).where(better).select("row", "key", "start")
-    return found.unionByName(_compared(rest, texts, items, index))
+    return found.unionByName(_compared(rest, texts, items))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

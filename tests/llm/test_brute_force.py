@@ -109,6 +109,43 @@ def test_decontamination(spark, docs, texts):
     assert got == pytest.approx(expected)
 
 
+def planted(spark, n_items, n_docs, changed, template=()):
+    """(documents, items): items share a template, documents hold an item with a share of its words changed, or the template alone."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(k, say(40 + k % 5) + list(template)) for k in range(n_items)]
+    docs = [(k, " ".join([*say(30), *(("other" if rng.random() < changed else w) for w in items[k % n_items][1]), *say(30)])) for k in range(n_docs)]
+    docs += [(1_000_000 + k, " ".join([*say(40), *template, *say(40)])) for k in range(n_docs)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+
+
+def test_planted_passages_are_found(spark, monkeypatch):
+    docs, items = planted(spark, 200, 200, 0.01)
+    texts, passages = ({r[0]: words(r[1]) for r in df.collect()} for df in (docs, items))
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    expected = set()
+    for k in range(200):
+        theirs, own = grams(passages[k]), texts[k]
+        windows = (grams(own[at : at + len(passages[k])]) for at in range(len(own)))
+        if max(sum((w & theirs).values()) / sum((w | theirs).values()) for w in windows) >= 0.75:
+            expected.add((k, k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == expected and len(got) > 150
+    monkeypatch.setattr(decontaminate, "RADIUS", 0)
+    exact = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert exact < got  # the fingerprints decide what is found
+
+
+def test_a_template_of_many_items_is_no_join_of_all_pairs(spark, monkeypatch):
+    sizes, kept = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: sizes.append(kept(df)) or sizes[-1])
+    docs, items = planted(spark, 200, 300, 0.01, [f"template{k}" for k in range(15)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert {d for d, _ in got} <= set(range(300)) and all(d % 200 == i for d, i in got) and len(got) > 200
+    # 11 shingles of the template x 600 documents x 200 items would be 1,320,000 rows.
+    assert max(df.count() for df in sizes if "value" not in df.columns) < 50_000  # the index has 296 rows for each item
+
+
 def test_decontamination_of_a_very_long_item(spark):
     rng = random.Random(8)
     words_ = [f"w{rng.randrange(3000)}" for _ in range(40_000)]
