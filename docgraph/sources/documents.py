@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import EDGE_COLUMNS, NODE_COLUMNS
+from ..operators.checkpoints import cut
+from ..operators.graph import EDGE_COLUMNS, NODE_COLUMNS, merge_nodes
 from ..operators.memory import MESSAGE, NOTE
 
 _REF = "struct<number:string,identifier:string,paragraph:int,points:array<string>,text:string,url:string>"
@@ -42,6 +44,29 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
 
 
+def merge_graph(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 256) -> None:
+    """Merges nodes and edges into graph tables that are dealt into ``parts`` by document, and rewrites only the parts that they touch.
+
+    A node counts as written after what the tables hold, so its load_seq must be larger; the result is that of ``merge_nodes`` over all loads. Edges are kept once each.
+    The first two parts of an id name its document, so the nodes of one and their edges to others share a part. The first load gives the
+    tables their number of parts; later ones must give the same.
+    """
+    spark = nodes.sparkSession
+    of = lambda c: F.pmod(F.xxhash64(F.substring_index(c, ".", 2)), F.lit(parts)).cast("int")
+    for name, rows, key, merged in (("nodes", nodes.select(*NODE_COLUMNS), "id", merge_nodes), ("edges", edges.select(*EDGE_COLUMNS), "src", lambda df: df.distinct())):
+        rows = cut(rows.where(F.col(key).isNotNull()))
+        touched = [r.part for r in rows.select(of(key).alias("part")).distinct().collect()]  # ``parts`` at most
+        try:
+            old = spark.read.parquet(f"{path}/{name}").where(F.col("part").isin(touched))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = None
+        if old is not None:
+            rows = cut(old.select(*rows.columns).unionByName(rows))  # Spark does not overwrite what it reads
+        merged(rows).withColumn("part", of(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{name}")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS), spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS)
 

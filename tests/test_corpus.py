@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.operators import embedding, hierarchy, memory, references, trace, traversal
+from docgraph.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, merge_nodes
 from docgraph.plans.corpus import Corpus, corpus_graph
 from docgraph.sources import documents, pages
 
@@ -70,6 +71,25 @@ def test_graph_and_documents_on_disk(spark, graph, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_a_second_load_rewrites_only_its_parts(spark, tmp_path):
+    columns = lambda kinds: ", ".join(f"{c} {k}" for c, k in kinds.items())
+    node = lambda doc, par, text, seq: (f"Art.{doc}.{par}", ["Paragraph"], None, text, str(par), seq % 3, None, seq)
+    first = [node(d, p, f"t{d}", d) for d in range(300) for p in range(3)]
+    second = [node(d, p, None if p == 1 else "new", 1000 + d) for d in (7, 300) for p in range(4)]
+    edge = lambda rows: [(r[0], "NEXT", "Art.1.1", None, None) for r in rows]
+    path = tmp_path / "graph"
+    for rows in (first, second):
+        written = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+        nodes, edges = spark.createDataFrame(rows, columns(NODE_COLUMNS)), spark.createDataFrame(edge(rows), columns(EDGE_COLUMNS))
+        documents.merge_graph(nodes, edges, str(path), parts=50)
+    kept = {f for f in path.rglob("*.parquet") if f.stat().st_mtime_ns == written.get(f)}
+    assert len({f.parent for f in written} - {f.parent for f in kept}) <= 4 and len({f.parent for f in kept}) > 80
+    nodes, edges = documents.read_graph(spark, str(path))
+    whole = merge_nodes(spark.createDataFrame(first + second, columns(NODE_COLUMNS)))
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, whole.select(*nodes.columns).collect()))
+    assert sorted(map(tuple, edges.collect()), key=str) == sorted(set(edge(first + second)), key=str)
+
+
 def test_pages_from_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<article><h1>T</h1>\n<p>x</p></article>")
     rows = pages.read_pages(spark, str(tmp_path)).collect()
