@@ -864,6 +864,33 @@ def m12_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
 
 
+#: The fold of a session whose memory was saved after its first four conversations: turns count anew from there.
+_RESUMED_SQL = _CONTEXT_SQL.replace(
+    "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i,",
+    "SELECT *, coalesce(turn // 100 % 8 >= 4 AND lag(turn // 100 % 8) OVER (PARTITION BY session_id ORDER BY turn) < 4, false) AS resumed, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i,",
+).replace("f.turns + ", "CASE WHEN o.resumed THEN 0 ELSE f.turns END + ")
+
+
+@query(
+    f"""WITH RECURSIVE {_RESUMED_SQL}, w AS (
+      SELECT session_id, -1 AS place, 'system' AS role, 'You answer from the graph.' AS content FROM e
+      UNION ALL SELECT session_id, place, 'system', 'Summary of earlier conversation:' || chr(10) || text FROM notes x WHERE place >= (SELECT count(*) FROM notes y WHERE y.session_id = x.session_id) - 3
+      UNION ALL SELECT o.session_id, 1000000 + o.i, role, content FROM o JOIN e USING (session_id) WHERE o.i > e.m - least(e.size, 4) AND o.role <> 'tool')
+    SELECT session_id, count(*)::INT AS n, md5(string_agg(role || ' ' || content, chr(10) ORDER BY place)) AS prompt FROM w GROUP BY 1"""
+)
+def m14_resumed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From conversations with tool rows, over a saved state, to the prompts that go on from it."""
+    rows = B.messages(spark, sf_dir)
+    later = F.floor(F.col("turn") / 100) % 8 >= 4
+    saved = documents_io.save_sessions(memory.reflect(rows.where(~later)))
+    state = documents_io.load_sessions(rows.select("session_id").distinct(), saved)
+    told = rows.where(later).select("session_id", "id", "role", "content", "ts")
+    chat, tools = told.where("role <> 'tool'"), told.where("role = 'tool'").select("session_id", "id", "ts", F.lit("t").alias("name"), F.lit("").alias("arguments"), F.col("content").alias("result"))
+    found = memory.resumed_prompts(chat, tools, state, "You answer from the graph.", max_turns=4, ttl=1 << 30)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(" "), m["content"])), "\n")
+    return found.select("session_id", F.size("messages").alias("n"), F.md5(said).alias("prompt"))
+
+
 @query(
     """WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
     n AS (SELECT user_id, sum(CASE WHEN p IS NULL OR t - p > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS life FROM e)
