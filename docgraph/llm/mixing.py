@@ -1,11 +1,11 @@
 """Mixes sources to target weights in fixed-length token blocks, in DataFrame functions only.
 
 Each source's documents form one stream of words in a seeded pseudorandom order, cut into blocks of
-``block`` words. A source gets as many slots as its target asks for. Each slot draws an output shard, so
-the counts of a source over the shards are one multinomial draw, conditional on its total (which stays exact, so
-that targets are met to within one block). The counts deal the source's slots to the shards in
-ranges, and slot i takes the block at the place to which a pseudorandom permutation of the source's blocks, keyed by
-source and pass, moves i. So no block is taken more than twice where the target is at most twice the size.
+``block`` words. Output shards have a fixed number of slots, and each slot draws its source by weight, so the
+counts of the sources in a shard are one multinomial draw, and what a source gets is what its shards drew. Only where all shards
+together drew more than ``OFF`` too much of a source, its last slots are left out, and what they drew too little (or left out of others) comes
+in further shards. Slot i of a source takes the block at the place to which a pseudorandom permutation of the source's
+blocks, keyed by source and pass, moves i. So no block is taken more than twice where the target is at most twice the size.
 Everything is a function of the seed and the data: reruns agree.
 """
 
@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import broadcast_if_small, cut, words
 
 BLOCK, SHARD_WORDS, SEED = 128, 1 << 22, 17
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2
+#: How far the drawn slots of a source may be off its target: one part in so many.
+OFF = 200
+#: Parts into which the weights are cut, to look up what a slot draws.
+_BINS = 4096
 #: Rounds of the permutation.
 _ROUNDS = 16
 #: Slots that one row of a generator unfolds.
@@ -100,17 +104,53 @@ def _unfolded(counted: DataFrame, *keys: str) -> DataFrame:
     return runs.select(*keys, F.explode(F.sequence(F.col("run") * _RUN, last)).alias("i"))
 
 
+def _drawn(counted: DataFrame, total: int, per_shard: int, seed: int) -> DataFrame:
+    """(source, shard, n): what the ``total`` slots draw, each by its shard and its place there, from (source, n, from).
+
+    ``from`` is where the source's n of the ``total`` numbers begin. The sources of a part of the numbers are one row, so a draw looks at a few sources only.
+    """
+    span = F.sequence(F.expr(f"`from` * {_BINS} div {total}"), F.expr(f"(`from` + n - 1) * {_BINS} div {total}"))
+    bins = counted.select(F.explode(span).alias("bin"), F.struct("from", "source").alias("s")).groupBy("bin").agg(F.collect_list("s").alias("held"))
+    number = F.pmod(F.xxhash64(F.expr(f"id div {per_shard}"), F.expr(f"id % {per_shard}"), F.lit(seed + 1)), F.lit(total))
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counted.sparkSession.range(0, total, 1, tasks).select(F.expr(f"id div {per_shard}").alias("shard"), number.alias("u"))
+    rows = rows.withColumn("bin", F.expr(f"u * {_BINS} div {total}")).join(broadcast_if_small(cut(bins), _BINS, 32 * F.size("held")), "bin")
+    source = F.array_max(F.filter("held", lambda s: s["from"] <= F.col("u")))["source"]
+    return rows.groupBy(source.alias("source"), "shard").agg(F.count("*").alias("n"))
+
+
 def shard_counts(sizes: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(source, blocks, shard, n, first): how many slots each output shard draws of (source, source_size, target), and how many
-    the shards before it draw. blocks is the number of the source's blocks."""
-    shards = sizes.agg(F.ceil(F.sum("target") / shard_words).alias("n")).scalar()
+    the shards before it draw. blocks is the number of the source's blocks.
+
+    The draws of all shards but the further ones are independent; what they sum up to is kept to within one part in ``OFF`` of the target, and
+    to twice the blocks.
+    """
+    per_shard = max(1, shard_words // block)
     counted = sizes.where("source_size > 0").select("source", "source_size", "target", F.ceil(F.col("source_size") / block).alias("blocks"))
-    n = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
-    counted = counted.withColumn("n", F.least(n, MOST_REPEATS * F.col("blocks"))).where("n > 0")
-    shard = F.pmod(F.xxhash64("source", "i", F.lit(seed + 1)), F.greatest(shards, F.lit(1)))
-    drawn = _unfolded(counted, "source", "blocks").groupBy("source", "blocks", shard.alias("shard")).agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return drawn.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    n = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MOST_REPEATS * F.col("blocks"))
+    running = lambda last: Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, last)
+    counted = counted.select("source", "blocks", n.alias("n")).where("n > 0")
+    counted = cut(counted.withColumn("from", F.coalesce(F.sum("n").over(running(-1)), F.lit(0))))
+    total = max(1, counted.agg(F.sum("n")).first()[0] or 0)
+    drawn = cut(_drawn(counted, total, per_shard, seed))
+    sums = drawn.groupBy("source").agg(F.sum("n").alias("drawn"))
+    off = F.expr(f"n div {OFF}")
+    wanted = F.greatest(F.col("n") - off, F.least(F.col("n") + off, MOST_REPEATS * F.col("blocks"), "drawn"))
+    own = counted.alias("c").join(sums.alias("k"), F.col("c.source").eqNullSafe(F.col("k.source")), "left")
+    own = own.select("c.source", "blocks", "n", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    own = cut(own.select("source", "blocks", "drawn", wanted.alias("wanted")))
+    order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = drawn.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).alias("d")
+    kept = ahead.join(own.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source"))).where("first < wanted")
+    kept = kept.select("d.source", "blocks", "shard", F.least("n", F.col("wanted") - F.col("first")).alias("n"), "first")
+    # What is short of its target fills further shards, one source after the other.
+    short = own.where("drawn < wanted").withColumn("missing", F.col("wanted") - F.col("drawn"))
+    short = short.withColumn("low", F.coalesce(F.sum("missing").over(running(-1)), F.lit(0))).withColumn("high", F.col("low") + F.col("missing"))
+    short = short.select("*", F.explode(F.sequence(F.expr(f"low div {per_shard}"), F.expr(f"(high - 1) div {per_shard}"))).alias("k"))
+    begin, end = F.greatest("low", F.col("k") * per_shard), F.least("high", (F.col("k") + 1) * per_shard)
+    shard, first = F.col("k") + -(-total // per_shard), F.col("drawn") + begin - F.col("low")
+    return kept.unionByName(short.select("source", "blocks", shard.alias("shard"), (end - begin).alias("n"), first.alias("first")))
 
 
 def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:

@@ -287,7 +287,7 @@ def test_mix_meets_its_targets(spark, docs, texts):
     for r in rows:
         taken[r.source] += r.taken
         assert r.taken <= 2 * r["size"]
-    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK for s in target)
+    assert all(abs(taken[s] - target[s]) <= target[s] / mixing.OFF + mixing.BLOCK for s in target)
     packed = mixing.mixed_texts(docs).collect()
     assert sum(len(r.text.split()) for r in packed) == sum(taken.values())
     assert max(len(r.text.split()) for r in packed) == mixing.BLOCK
@@ -308,19 +308,47 @@ def test_places_are_permuted(spark):
 
 def test_shard_counts_are_multinomial_draws(spark):
     sizes = spark.createDataFrame([("a", 640_000, 800_000.0), ("b", 64_000, 128_000.0), (None, 6_400, 3_200.0), ("none", 0, 0.0)], "source string, source_size long, target double")
-    rows = mixing.shard_counts(sizes, block=64, shard_words=20_000).collect()
-    shards = 47
-    for source, n in (("a", 12_500), ("b", 2_000), (None, 50)):
-        own = sorted((r.shard, r.n, r.first) for r in rows if r.source == source)
-        assert sum(x[1] for x in own) == n
-        assert [x[2] for x in own] == [sum(y[1] for y in own[:k]) for k in range(len(own))]
-        mean = n / shards
-        chi = sum((x[1] - mean) ** 2 / mean for x in own) + mean * (shards - len(own))
-        assert 15 < chi < 90  # 46 degrees of freedom
-    drawn = mixing.slots(mixing.shard_counts(sizes, block=64, shard_words=20_000)).collect()
-    taken = Counter((r.source, r.block) for r in drawn)
-    assert max(taken.values()) == 2 and Counter(r.source for r in drawn) == {"a": 12_500, "b": 2_000, None: 50}
-    assert {v for (s, _), v in taken.items() if s == "b"} == {2} and all(0 <= b < (10_000 if s == "a" else 1_000) for s, b in taken)
+    wanted, most = {"a": 12_500, "b": 2_000, None: 50}, {"a": 20_000, "b": 2_000, None: 200}
+    total, per_shard = sum(wanted.values()), 312
+    shards, totals = -(-total // per_shard), {}
+    for shard_words in (20_000, 64_000):
+        counts = mixing.shard_counts(sizes, block=64, shard_words=shard_words)
+        rows = counts.collect()
+        for source, n in wanted.items():
+            own = sorted((r.shard, r.n, r.first) for r in rows if r.source == source)
+            totals[source, shard_words] = sum(x[1] for x in own)
+            assert abs(totals[source, shard_words] - n) <= n // mixing.OFF and totals[source, shard_words] <= most[source]
+            assert [x[2] for x in own] == [sum(y[1] for y in own[:k]) for k in range(len(own))]
+        held = Counter()
+        for r in rows:
+            held[r.shard] += r.n
+        assert max(held.values()) <= shard_words // 64
+        drawn = mixing.slots(counts).collect()
+        taken = Counter((r.source, r.block) for r in drawn)
+        assert max(taken.values()) == 2 and {s: totals[s, shard_words] for s in wanted} == Counter(r.source for r in drawn)
+        assert all(0 <= b < most[s] // 2 for s, b in taken)
+    assert any(totals[s, 20_000] != totals[s, 64_000] for s in wanted)  # the draws of the shards decide
+    free = mixing._drawn(spark.createDataFrame([("a", 12_500, 0), ("b", 2_000, 12_500), (None, 50, 14_500)], "source string, n long, `from` long"), total, per_shard, mixing.SEED).collect()
+    assert sum(r.n for r in free) == total
+    whole, chi = total // per_shard, 0.0
+    for source, n in (("a", 12_500), ("b", 2_000)):
+        mean = per_shard * n / total
+        own = {r.shard: r.n for r in free if r.source == source}
+        chi += sum((own.get(k, 0) - mean) ** 2 / mean for k in range(whole))
+    assert 0.5 * whole < chi < 1.7 * whole  # two of three counts, which share one constraint: about one degree of freedom a shard
+    assert {r.shard for r in free} == set(range(shards))
+
+
+def test_many_sources_are_drawn_by_weight(spark):
+    """Sources of less than one part of the weights, and one of half of them."""
+    counted = [("hot", 30_000, 0)] + [(f"s{k:05}", 3, 30_000 + 3 * k) for k in range(10_000)]
+    free = mixing._drawn(spark.createDataFrame(counted, "source string, n long, `from` long"), 60_000, 1_000, 5).collect()
+    drawn = Counter()
+    for r in free:
+        drawn[r.source] += r.n
+    assert sum(drawn.values()) == 60_000 and abs(drawn["hot"] - 30_000) < 5 * 15_000**0.5
+    missed = 10_000 - (len(drawn) - 1)
+    assert abs(missed - 10_000 * 2.718281828**-3) < 150  # Poisson of mean 3
 
 
 def test_spans_of_patterns():
