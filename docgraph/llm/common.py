@@ -61,15 +61,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """``rows`` left-joined with ``groups``, one row a key, without a task that gets all rows of a large group.
 
     ``size`` names the number of rows of a group. A group of more than ``most`` rows is dealt over several parts by a hash of
-    ``spread``; there are 10,000 such groups at most, whatever the size of the input, so their keys are broadcast. Cut the lineage
-    of ``groups`` before, as it is read three times.
+    ``spread``; there are 10,000 such groups at most, whatever the size of the input, and only hashes of their keys are broadcast, so keys may be
+    arrays of any length. Groups whose keys share a hash are dealt alike. Cut the lineage of ``groups`` before, as it is read three times.
     """
     most = max(256, (groups.agg(F.sum(size)).first()[0] or 0) // 10_000)
-    parts = F.ceil(F.col(size) / most).cast("int")
-    large = groups.where(F.col(size) > most).select(*keys, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(large), keys, "left")
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    hashed = F.xxhash64(*keys)
+    large = groups.where(F.col(size) > most).groupBy(hashed.alias("_hash")).agg(F.ceil(F.max(size) / most).cast("int").alias("_parts"))
+    deal = lambda df: df.withColumn("_hash", hashed).join(F.broadcast(large), "_hash", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = deal(rows).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts", "_hash")
+    copies = deal(groups).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_hash")
     return dealt.join(copies, [*keys, "_part"], "left").drop("_part")
 
 
