@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from .endpoints import EndpointJoins
 
 NODE_COLUMNS = {
     "id": "string", "labels": "array<string>", "name": "string", "text": "string", "number": "string", "sub_level": "int",
@@ -106,18 +107,19 @@ def annex_layout(annexes: DataFrame) -> DataFrame:
 
 
 def existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges of which both ends are nodes, each once."""
+    """The edges of which both ends are nodes, each once. Nodes of very many edges hold up no task."""
     known = nodes.select("id").distinct()
-    once = edges.dropDuplicates(["src", "type", "dst", "ref_kind"])
-    return once.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*EDGE_COLUMNS)
+    once = EndpointJoins(edges.dropDuplicates(["src", "type", "dst", "ref_kind"]), "src", "dst")
+    begun = once.join(once.rows, known.withColumnRenamed("id", "src"), "src", "left_semi")
+    return once.join(begun, known.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*EDGE_COLUMNS)
 
 
 def contains_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """CONTAINS edges from (parent, child, ord) where both exist; paragraphs only below PARAGRAPH_PARENTS."""
     labels = nodes.select("id", F.get("labels", F.lit(0)).alias("label")).distinct()
-    rows = pairs.dropDuplicates(["parent", "child"])
-    rows = rows.join(labels.select(F.col("id").alias("parent"), F.col("label").alias("_p")), "parent")
-    rows = rows.join(labels.select(F.col("id").alias("child"), F.col("label").alias("_c")), "child")
+    once = EndpointJoins(pairs.dropDuplicates(["parent", "child"]), "parent", "child")
+    rows = once.join(once.rows, labels.select(F.col("id").alias("parent"), F.col("label").alias("_p")), "parent")
+    rows = once.join(rows, labels.select(F.col("id").alias("child"), F.col("label").alias("_c")), "child")
     rows = rows.where((F.col("_c") != "Paragraph") | F.col("_p").isin(*PARAGRAPH_PARENTS))
     return build_edges(rows.select(F.col("parent").alias("src"), F.col("child").alias("dst"), "ord"), "CONTAINS")
 

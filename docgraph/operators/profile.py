@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .endpoints import EndpointJoins
+
 #: Names of types in the profile.
 TYPE_NAMES = {"string": "str", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "bool"}
 #: Fixed orders of labels and relationships in the text.
@@ -53,15 +55,13 @@ def edge_property_types(edges: DataFrame) -> DataFrame:
 def relationship_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(start_label, type, end_label, n): label patterns of edges, over all labels of both ends.
 
-    Edges are counted by label sets first, so only a handful of rows is unfolded.
+    Edges are counted by label sets first, so only a handful of rows is unfolded. Nodes of very many edges hold up no task.
     """
     labels = nodes.select("id", F.array_sort("labels").alias("l")).distinct()
-    sets = (
-        edges.select("src", "type", "dst")
-        .join(labels.select(F.col("id").alias("src"), F.col("l").alias("ls")), "src")
-        .join(labels.select(F.col("id").alias("dst"), F.col("l").alias("ld")), "dst")
-        .groupBy("ls", "type", "ld").agg(F.count("*").alias("n"))
-    )
+    ends = EndpointJoins(edges.select("src", "type", "dst"), "src", "dst")
+    rows = ends.join(ends.rows, labels.select(F.col("id").alias("src"), F.col("l").alias("ls")), "src")
+    rows = ends.join(rows, labels.select(F.col("id").alias("dst"), F.col("l").alias("ld")), "dst")
+    sets = rows.groupBy("ls", "type", "ld").agg(F.count("*").alias("n"))
     rows = sets.select(F.explode("ls").alias("start_label"), "type", "ld", "n").select("start_label", "type", F.explode("ld").alias("end_label"), "n")
     return rows.groupBy("start_label", "type", "end_label").agg(F.sum("n").alias("n"))
 

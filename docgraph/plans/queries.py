@@ -310,7 +310,7 @@ def g01_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as articles; nation and region as their section and chapter."""
     c = F.col
-    nations = F.broadcast(B.table(spark, sf_dir, "nation").join(B.table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey")))
+    nations = B.table(spark, sf_dir, "nation").join(B.table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
     return B.table(spark, sf_dir, "customer").join(nations, c("c_nationkey") == c("n_nationkey")).select(
         ids.article_id(c("c_custkey")).alias("id"), c("c_name").alias("name"), c("c_custkey").alias("number"), c("c_custkey").alias("load_seq"),
         F.array(ids.to_roman(c("n_regionkey") + 1), c("r_name")).alias("chapter"),
@@ -423,6 +423,20 @@ def g09_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reference_edges(_cited_refs(spark, sf_dir), paragraphs, nodes).select("src", "dst", "ref_kind")
 
 
+@query(
+    """WITH e AS (SELECT DISTINCT 'Ord.' || l_orderkey || '.' || l_linenumber AS src, 'Art.' || CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE l_partkey END AS dst FROM lineitem)
+    SELECT src, dst FROM e WHERE dst IN (SELECT 'Art.' || c_custkey FROM customer)""",
+    items=False,
+)
+def g09_hot_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of which half go to one node, and some to none."""
+    lines = B.table(spark, sf_dir, "lineitem").select(F.concat_ws(".", F.lit("Ord"), "l_orderkey", "l_linenumber").alias("src"), "l_orderkey", "l_partkey")
+    cited = ids.article_id(F.when(F.col("l_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("l_partkey")))
+    articles = B.table(spark, sf_dir, "customer").select(ids.article_id(F.col("c_custkey")).alias("id"))
+    nodes = graph.build_nodes(articles, "Article").unionByName(graph.build_nodes(lines.select(F.col("src").alias("id")), "Paragraph"))
+    return graph.existing(graph.build_edges(lines.select("src", cited.alias("dst")), "REFERENCES"), nodes).select("src", "dst")
+
+
 @query(f"""WITH {B.PAIRS_SQL} SELECT child AS src, 'PART_OF' AS type, parent AS dst FROM pairs""")
 def g10_inverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = B.hierarchy_edges(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as T
 from docgraph.operators import embedding, graph, references, retrieval, similarity
+from docgraph.operators.endpoints import EndpointJoins
 from docgraph.plans.questions import question_contexts
 
 LINK = "doc_id long, src_id string, ord long, href string, text string, before string, after string"
@@ -108,3 +109,27 @@ def test_questions_to_contexts(spark):
     got = {r.query_id: r for r in question_contexts(questions, nodes, edges, 1, embedding.hashing_embedder()).collect()}
     assert {q: (r.id, r.context) for q, r in got.items()} == {1: ("A.1", "red apples grow\non trees"), 2: ("A.2", "blue fish swim"), 3: ("A.1.a", "red apples grow\non trees")}
     assert [(x.id, x.directions, x.text) for x in got[2].references] == [("A.1", ["outgoing"], "red apples grow\non trees")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_heavy_endpoints_hold_up_no_task(spark, how):
+    rows = spark.range(40_000).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 101 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7001)).alias("dst")
+    )
+    table = spark.range(6_000).select(F.concat(F.lit("k"), "id").alias("dst")).unionByName(spark.createDataFrame([("hot",), ("idle",)], "dst string")).withColumn("label", F.length("dst"))
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        ends = EndpointJoins(rows, "dst", least_rows=1)
+        assert [k for k, _ in ends.heavy["dst"]] == ["hot"]
+        found = ends.join(ends.rows, table, "dst", how)
+        dealt = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+        assert len(dealt) == 16 and dealt[-1] <= 3 * dealt[8]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = rows.join(table, "dst", how)
+    assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert EndpointJoins(rows, "dst").heavy == {"dst": []} and EndpointJoins(rows.limit(0), "dst", least_rows=0).heavy == {"dst": []}
