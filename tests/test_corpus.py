@@ -178,3 +178,9 @@ def test_references_without_semicolon_stand_as_they_are(spark):
     html = f'<article><h1>A &amp; B&amp</h1><p>x &lt; y &ltz &#65; &#65 <a href="{SITE}/article/2/?a=1&copy=2">R&D &amp;amp</a></p></article>'
     rows = pages.extract_blocks(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).orderBy("pos").collect()
     assert [r.text for r in rows] == ["A & B&amp", "x < y &ltz A &#65 R&D &amp"] and rows[1].links[0].href.endswith("?a=1&copy=2")
+
+
+def test_headers_of_titles_that_were_cut_off(spark):
+    html = f'<article><h1>Article 1: A&ampnd</h1><p class="aia-summary">x&amp</p><a href="{SITE}/chapter/1/">no block</a></article>'
+    head = pages.page_headers(pages.extract_blocks(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).first()
+    assert (head.name, head.summary) == ("Article 1: A&ampnd", "x&amp")
