@@ -14,14 +14,20 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_embedder(dims: int = 64) -> Embedder:
-    """A deterministic embedder that needs no model: signed counts of hashed words, scaled to unit length."""
+    """A deterministic embedder that needs no model: signed counts of hashed words, scaled to unit length.
+
+    Where the words of a text cancel out they are counted without signs, so that every text with words has a direction.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                code = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            codes = [int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") for word in text.lower().split()]
+            for code in codes:
                 out[i, code % dims] += 1.0 if code >> 63 else -1.0
+            if not out[i].any():
+                for code in codes:
+                    out[i, code % dims] += 1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

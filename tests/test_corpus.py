@@ -184,3 +184,11 @@ def test_headers_of_titles_that_were_cut_off(spark):
     html = f'<article><h1>Article 1: A&ampnd</h1><p class="aia-summary">x&amp</p><a href="{SITE}/chapter/1/">no block</a></article>'
     head = pages.page_headers(pages.extract_blocks(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).first()
     assert (head.name, head.summary) == ("Article 1: A&ampnd", "x&amp")
+
+
+def test_texts_whose_words_cancel_out_have_a_direction(spark):
+    embedder = embedding.hashing_embedder(16)
+    words = [f"w{i}" for i in range(200)]
+    alone = {w: embedder([w])[0] for w in words}
+    a, b = next((x, y) for x in words for y in words if not (alone[x] + alone[y]).any())
+    assert np.isclose(np.linalg.norm(embedder([f"{a} {b}"])[0]), 1) and not embedder([" "]).any()
