@@ -19,3 +19,7 @@ def test_cut_rows_are_compressed_columns(spark):
     rows = cut(spark.range(20_000).select("id", F.lit("a text that is like all others " * 10).alias("text")))
     folder = os.path.dirname(rows.inputFiles()[0].removeprefix("file:"))
     assert rows.count() == 20_000 and sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder)) < 20_000 * 310 // 10
+
+
+def test_corpus_pages_are_not_moved_whole(spark):
+    assert "Repartition" not in _plan(bindings.corpus_pages(spark, SMALL)).split("Aggregate")[0]
