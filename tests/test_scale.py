@@ -23,3 +23,19 @@ def test_cut_rows_are_compressed_columns(spark):
 
 def test_corpus_pages_are_not_moved_whole(spark):
     assert "Repartition" not in _plan(bindings.corpus_pages(spark, SMALL)).split("Aggregate")[0]
+
+
+
+class _Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["t08_traverse", "w03_question_contexts"])
+def test_nodes_of_many_neighbours_come_in_one_row(spark, monkeypatch, name):
+    def asked(*args, most_neighbours=traversal.MOST_NEIGHBOURS, **more):
+        raise _Asked(most_neighbours)
+
+    monkeypatch.setattr(traversal, "traverse", asked)
+    with pytest.raises(_Asked) as told:
+        queries.QUERIES[name](spark, SMALL)
+    assert told.value.args[0] > 1 << 31
