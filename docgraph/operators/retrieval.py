@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that are sent to all tasks at once; more of them are dealt into chunks of about so many, and nodes into parts of about PART.
-MOST_QUERIES, PART, ROWS = 4096, 65_536, 8_192
+MOST_QUERIES, PART = 4096, 65_536
+#: Queries and nodes whose products are held at once.
+TILE_QUERIES, TILE_ROWS = 256, 2_048
 
 
 def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 12) -> DataFrame:
@@ -19,7 +21,7 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 12) -> DataFrame:
 
     queries: (query_id long, embed), a stated set; nodes: (id, embed). Up to ``MOST_QUERIES`` queries go to all tasks, and nodes stay where they are. More of them
     form a grid with the nodes: each chunk of queries meets each part of nodes in a group of bounded size, in one plan for any number. Each
-    group or batch keeps its own best k a query (matrix product), so only those are shuffled on. Null or empty vectors are no hits and no queries; the cosine
+    group or batch keeps its own best k a query (matrix product, in tiles of ``TILE_QUERIES`` by ``TILE_ROWS``, so memory does not grow with either), so only those are shuffled on. Null or empty vectors are no hits and no queries; the cosine
     with a zero vector is 0. Vectors of unlike length are compared over the common length.
     """
     queries = queries.select("query_id", "embed").where("embed is not null and size(embed) > 0")
@@ -40,19 +42,28 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _best(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
-    """(query_id, id, similarity): the best ``k`` of ``rows`` (id, embed) for each query, ties by id."""
+def _best(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, id, similarity): the best ``k`` of ``rows`` (id, embed) for each query, ties by id; a batch for each tile of queries."""
     rows = rows.take(pc.sort_indices(rows.column("id")))
     vectors = rows.column("embed")
     own = _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, matrix.shape[1])
-    scale = np.outer(np.linalg.norm(matrix, axis=1), np.linalg.norm(own, axis=1))
-    product = matrix @ own[:, : matrix.shape[1]].T
-    cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-    hits = rows.column("id").take(pa.array(best.reshape(-1)))
-    hits = hits.combine_chunks() if isinstance(hits, pa.ChunkedArray) else hits
-    columns = [pa.array(np.repeat(ids, best.shape[1])), hits, pa.array(np.take_along_axis(cosine, best, 1).reshape(-1))]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity"])
+    lengths, own = np.linalg.norm(own, axis=1), own[:, : matrix.shape[1]]
+    for at in range(0, len(ids), TILE_QUERIES):
+        some = matrix[at : at + TILE_QUERIES]
+        norms = np.linalg.norm(some, axis=1)
+        places, values = np.zeros((len(some), 0), np.int64), np.zeros((len(some), 0))
+        for begin in range(0, len(own), TILE_ROWS):
+            tile = own[begin : begin + TILE_ROWS]
+            product, scale = some @ tile.T, np.outer(norms, lengths[begin : begin + TILE_ROWS])
+            cosine = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+            # Those kept so far come first, as their ids are smaller; a stable sort leaves ties in order of id.
+            values = np.hstack([values, cosine])
+            places = np.hstack([places, np.broadcast_to(np.arange(begin, begin + len(tile)), cosine.shape)])
+            best = np.argsort(-values, axis=1, kind="stable")[:, :k]
+            values, places = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+        hits = rows.column("id").take(pa.array(places.reshape(-1)))
+        hits = hits.combine_chunks() if isinstance(hits, pa.ChunkedArray) else hits
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + TILE_QUERIES], places.shape[1])), hits, pa.array(values.reshape(-1))], names=["query_id", "id", "similarity"])
 
 
 def _sent_topk(held: list, nodes: DataFrame, k: int, schema: str) -> DataFrame:
@@ -62,7 +73,7 @@ def _sent_topk(held: list, nodes: DataFrame, k: int, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and len(shared.value[0]):
-                yield _best(batch, *shared.value, k)
+                yield from _best(batch, *shared.value, k)
 
     return nodes.mapInArrow(run, schema)
 
@@ -76,7 +87,7 @@ def _grid_topk(queries: DataFrame, nodes: DataFrame, k: int, schema: str) -> Dat
 
     def run(rows: pa.Table, some: pa.Table) -> pa.Table:
         ids, matrix = some["query_id"].to_numpy(), _matrix(some["embed"].combine_chunks(), 1)
-        found = [_best(rows.slice(at, ROWS), ids, matrix, k) for at in range(0, len(rows) if len(ids) else 0, ROWS)]
+        found = list(_best(rows, ids, matrix, k)) if len(rows) and len(ids) else []
         empty = pa.schema([("query_id", pa.int64()), ("id", rows.schema.field("id").type), ("similarity", pa.float64())])
         return pa.Table.from_batches(found, found[0].schema if found else empty)
 

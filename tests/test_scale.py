@@ -26,6 +26,24 @@ def test_corpus_pages_are_not_moved_whole(spark):
 
 
 
+def test_best_hits_are_found_in_tiles():
+    rng = np.random.default_rng(3)
+    own, asked = rng.normal(size=(12_000, 8)), rng.normal(size=(1_500, 8))
+    own[5_000:5_400] = own[0]  # ties across tiles
+    rows = pa.RecordBatch.from_arrays([pa.array(rng.permutation(12_000)), pa.array(own.tolist(), pa.list_(pa.float32()))], names=["id", "embed"])
+    tracemalloc.start()
+    found = [b for b in retrieval._best(rows, np.arange(1_500), asked, 7)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    got = pa.Table.from_batches(found).to_pandas().groupby("query_id")["id"].apply(list)
+    near = own.astype(np.float32).astype(float)
+    ids = rows.column("id").to_numpy()
+    for q in (0, 299, 1_499):
+        cosine = near @ asked[q] / np.linalg.norm(near, axis=1)
+        assert got[q] == [int(ids[i]) for i in np.lexsort((ids, -np.round(cosine, 9)))[:7]]
+
+
 class _Asked(Exception):
     pass
 
