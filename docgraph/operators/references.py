@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ids import from_roman
+from .checkpoints import cut
 
 
 def _place(pos: Column, i: Column) -> Column:
@@ -150,7 +151,8 @@ def dedupe_refs(refs: DataFrame) -> DataFrame:
 
 def element_references(links: DataFrame) -> DataFrame:
     """All references of blocks: (src_id, kind, number, paragraph, points, text, url, ord), deduplicated."""
-    cited = explode_points(match_context_to_link(first_links(links), parsed_links(links)))
+    # Both are read several times; links are parsed, and their contexts searched, only once.
+    cited = explode_points(match_context_to_link(cut(first_links(links)), cut(parsed_links(links))))
     others = section_refs(links).select(
         "*", F.col("ord").alias("ref_ord"), F.lit(0).alias("sub"), F.lit(None).cast("int").alias("paragraph"),
         F.lit(None).cast("array<string>").alias("points"), F.lit(0).alias("point_no"),
