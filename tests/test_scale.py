@@ -44,6 +44,12 @@ def test_best_hits_are_found_in_tiles():
         assert got[q] == [int(ids[i]) for i in np.lexsort((ids, -np.round(cosine, 9)))[:7]]
 
 
+def test_citations_are_searched_once(spark):
+    assert _plan(queries.QUERIES["r06_citations"](spark, SMALL)).count("regexp_extract_all") == 3
+    links = bindings.links(spark, SMALL).limit(50)
+    assert "regexp_extract_all" not in _plan(references.element_references(links))
+
+
 class _Asked(Exception):
     pass
 
