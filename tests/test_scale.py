@@ -50,6 +50,10 @@ def test_citations_are_searched_once(spark):
     assert "regexp_extract_all" not in _plan(references.element_references(links))
 
 
+def test_edges_are_not_made_distinct_before_a_start_meets_them(spark):
+    assert "Aggregate [src#" not in _plan(queries.QUERIES["t09_subgraph_edges"](spark, SMALL))
+
+
 class _Asked(Exception):
     pass
 
