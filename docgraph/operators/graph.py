@@ -185,7 +185,10 @@ def document_id(kind: Column, number: Column, corpus: Column | None = None) -> C
 
 def reference_edges(refs: DataFrame, paragraphs: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame:
     """REFERENCES edges from (src_id, kind, number, paragraph, points, text): resolved, both ends existing, each once."""
+    # Only the first point counts, and texts only for the kind: like references are one before they are joined.
+    points = F.when(F.size("points") > 0, F.slice("points", F.lit(1), F.lit(1)))
     rows = refs.withColumn("ref_kind", reference_kind(F.col("kind"), F.col("paragraph"), F.col("points"), F.col("text"))).where("ref_kind is not null")
+    rows = rows.select("src_id", "kind", "number", "paragraph", points.alias("points"), "ref_kind").distinct()
     inner = rows.where("paragraph is not null or size(points) > 0")
     whole = rows.where("paragraph is null and not coalesce(size(points) > 0, false)").withColumn("dst", document_id(F.col("kind"), F.col("number")))
     resolved = resolve_paragraph_target(inner, paragraphs, strict).select("src_id", "dst", "ref_kind").unionByName(whole.select("src_id", "dst", "ref_kind"))

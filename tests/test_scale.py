@@ -50,6 +50,13 @@ def test_citations_are_searched_once(spark):
     assert "regexp_extract_all" not in _plan(references.element_references(links))
 
 
+def test_like_references_are_one_before_they_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(graph, "existing", lambda edges, nodes: edges)
+    refs = spark.range(500).select(F.lit("Art.1").alias("src_id"), F.lit("article").alias("kind"), F.lit("2").alias("number"), F.lit(3).alias("paragraph"), F.lit(None).cast("array<string>").alias("points"), F.col("id").cast("string").alias("text"))
+    told = spark.createDataFrame([("article", "2", 0, "1. a"), ("article", "2", 1, "3. b")], "kind string, number string, idx int, text string")
+    assert [(r.src, r.dst, r.ref_kind) for r in graph.reference_edges(refs, told, None).collect()] == [("Art.1", "Art.2.2", "articles_paragraph")]
+
+
 def test_edges_are_not_made_distinct_before_a_start_meets_them(spark):
     assert "Aggregate [src#" not in _plan(queries.QUERIES["t09_subgraph_edges"](spark, SMALL))
 
