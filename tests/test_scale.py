@@ -8,13 +8,17 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.operators import graph, references, retrieval, traversal
+from docgraph.operators import graph, references, retrieval, similarity, traversal
 from docgraph.operators.checkpoints import cut
 from docgraph.plans import bindings, queries
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cut_rows_are_compressed_columns(spark):
     rows = cut(spark.range(20_000).select("id", F.lit("a text that is like all others " * 10).alias("text")))
     folder = os.path.dirname(rows.inputFiles()[0].removeprefix("file:"))
@@ -74,3 +78,12 @@ def test_nodes_of_many_neighbours_come_in_one_row(spark, monkeypatch, name):
     with pytest.raises(_Asked) as told:
         queries.QUERIES[name](spark, SMALL)
     assert told.value.args[0] > 1 << 31
+
+
+def test_sets_are_not_shuffled_to_find_equal_ones(spark, monkeypatch):
+    plans, real = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: plans.append(_plan(df)) or real(df))
+    rows = [(3, ["x"]), (5, ["x"]), (5, ["y", "z"]), (7, ["z", "y", "y"]), (8, None), (9, [])]
+    classes, pairs = similarity.similar_sets(spark.createDataFrame(rows, "id long, elements array<string>"), 0.9)
+    assert sorted((r.id, r.rep) for r in classes.collect()) == [(3, 3), (5, 3), (5, 5), (7, 5)] and pairs.isEmpty()
+    assert not any("Aggregate [elements" in plan for plan in plans)
