@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .shingles import mix64, slices
 
 #: Hashes that may be broadcast (16 MB); beyond that the lines are shuffled to them.
 _BROADCAST_ROWS = 1_000_000
+#: Bytes of text that are hashed at once: few enough that the arrays of their characters stay in the processor's cache.
+_SLICE = 1 << 18
 _HEAD, _TAIL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SALT = np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
@@ -42,26 +45,21 @@ class Lines:
     """
 
     def __init__(self, texts: list[str]):
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
         points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le"), np.uint32).copy()
-        upper = (points >= 65) & (points <= 90)
-        points[upper] += np.uint32(32)
-        ends = np.flatnonzero(points == 10)
+        points += ((points >= 65) & (points <= 90)) * np.uint32(32)
         space = (points == 32) | ((points >= 9) & (points <= 13) & (points != 10))
         points[space] = 32
-        solid = np.flatnonzero(~space)
-        before = np.concatenate(([10], points[:-1])) if len(points) else points
+        # The first space of a run stays, unless the line begins or ends with it.
         keep = ~space
-        run = np.flatnonzero(space & (before != 32) & (before != 10))
-        if len(run):
-            keep[run[points[solid[np.searchsorted(solid, run)]] != 10]] = True
-        self.points = points[keep]
-        place = np.cumsum(keep)
-        stop = place[ends] - 1 if len(ends) else ends
-        start = np.concatenate(([0], stop[:-1] + 1)) if len(ends) else ends
-        doc = np.searchsorted(np.cumsum(sizes), ends, "right")
-        first = np.searchsorted(doc, np.arange(len(texts)))
-        number = np.arange(len(ends)) - first[doc] if len(ends) else ends
+        keep[1:] |= ~space[:-1] & (points[:-1] != 10)
+        points = points[keep]
+        last = np.flatnonzero((points[:-1] == 32) & (points[1:] == 10))
+        self.points = np.delete(points, last) if len(last) else points
+        stop = np.flatnonzero(self.points == 10)
+        start = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else stop
+        n_lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        doc = np.repeat(np.arange(len(texts)), n_lines)
+        number = np.arange(len(stop)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
         self._lines, self._sums = (start, stop), {}
         full = stop > start
         self.start, self.stop, self.doc, self.number = start[full], stop[full], doc[full], number[full]
@@ -70,10 +68,14 @@ class Lines:
         """The sums of all prefixes of all lines together."""
         if kind not in self._sums:
             start, stop = self._lines
-            at = np.arange(len(self.points))
-            place = np.repeat(stop, stop - start + 1) - at if kind == "tail" else at - np.repeat(start, stop - start + 1) - (kind == "moved")
-            code = mix64(self.points.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64) * (_TAIL if kind == "tail" else _HEAD)
-            self._sums[kind] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(code), dtype=np.uint64)))
+            from_end, at = kind == "tail", np.arange(len(self.points))
+            line = np.repeat(stop if from_end else start + (kind == "moved"), stop - start + 1)
+            code = np.subtract(line, at, out=at) if from_end else np.subtract(at, line, out=at)
+            code = code.view(np.uint64)
+            code *= _TAIL if from_end else _HEAD
+            code += _codes()[self.points]
+            sums = self._sums[kind] = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(mix64(code), out=sums[1:])
         return self._sums[kind]
 
     def hash(self, kind: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -90,8 +92,20 @@ class Lines:
         own = b"".join(hashlib.blake2b(self.points[a:b].tobytes(), digest_size=16).digest() for a, b in cuts)
         return np.frombuffer(own, np.int64).reshape(-1, 2)
 
-    def text(self, i: int) -> str:
-        return self.points[self.start[i] : self.stop[i]].tobytes().decode("utf-32-le")
+    def texts(self) -> pa.Array:
+        body = self.points[self.points != 10]
+        size = np.ones(len(body), np.int64)
+        for more in (0x80, 0x800, 0x10000):
+            size += body >= more
+        at = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(self.stop - self.start)))]
+        data = body.tobytes().decode("utf-32-le").encode()
+        return pa.StringArray.from_buffers(len(self.start), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
+
+@cache
+def _codes() -> np.ndarray:
+    """All code points, mixed."""
+    return mix64(np.arange(1, 0x110001, dtype=np.uint64))
 
 
 def _log2(n: np.ndarray) -> np.ndarray:
@@ -144,13 +158,13 @@ def _each(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator
 
 
 def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, lines in _each(batches, "text", 1 << 20):
+    for _, lines in _each(batches, "text", _SLICE):
         row, key = _halves(lines)
         yield _table({"half": pa.array(key.view(np.int64)), "id_lo": pa.array(lines.ids()[row].view(np.int64))})
 
 
 def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lines in _each(batches, "text", 1 << 20):
+    for batch, lines in _each(batches, "text", _SLICE):
         digest = lines.digests()
         yield _table(
             {
@@ -161,21 +175,20 @@ def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lines in _each(batches, "text", 1 << 20):
+    for batch, lines in _each(batches, "text", _SLICE):
         row, key = _halves(lines)
         lo = lines.ids()
-        texts = pa.array([lines.text(i) for i in range(len(lo))], pa.string())
         own = pa.array(row)
         yield _table(
             {
-                "half": pa.array(key.view(np.int64)), "id_lo": pa.array(lo[row].view(np.int64)), "line": texts.take(own),
+                "half": pa.array(key.view(np.int64)), "id_lo": pa.array(lo[row].view(np.int64)), "line": lines.texts().take(own),
                 "doc_id": batch.column("doc_id").take(pa.array(lines.doc[row])), "line_no": pa.array(lines.number[row].astype(np.int32)),
             }
         )
 
 
 def _emit_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lines in _each(batches, "line", 1 << 18):
+    for batch, lines in _each(batches, "line", _SLICE):
         row, key, low, high = _steps(lines)
         own = pa.array(lines.doc[row])
         yield _table(

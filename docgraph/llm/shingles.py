@@ -24,9 +24,13 @@ _AT = np.uint64(0x9E3779B97F4A7C15)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words with good avalanche (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +237,36 @@ def test_lines(spark):
     assert got == expected
 
 
+def test_lines_and_their_texts_against_plain_python():
+    rng = random.Random(3)
+    alphabet = "aAbZ \t\r\x0b\x0c\n\n[`@{\x00\x85\xa0éß中\U0001f600"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(500)] + ["", " ", "\n", " \n ", "\na\n"]
+    lines = line_dedup.Lines(texts)
+    expected = []
+    for i, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            line = re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(r"[ \t\r\x0b\x0c]+", " ", line).strip(" "))
+            expected += [(i, n, line)] if line else []
+    assert list(zip(lines.doc.tolist(), lines.number.tolist(), lines.texts().to_pylist(), strict=True)) == expected
+
+
+def test_lines_are_hashed_in_slices_that_fit_the_cache():
+    words = np.random.default_rng(1).integers(97, 123, (1 << 19, 8), dtype=np.uint8)
+    words[:, 7] = 32
+    words[::10, 7] = 10
+    text = words.tobytes().decode()
+    texts = [text[i : i + 4096] for i in range(0, len(text), 4096)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    line_dedup.Lines(["once"]).ids()  # what is made once a process
+    for emit in (line_dedup._emit_halves, line_dedup._emit_lines, line_dedup._emit_places):
+        tracemalloc.start()
+        for _ in emit(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 32 << 20, (emit.__name__, most)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
