@@ -9,7 +9,8 @@ out of that fit. Scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,11 +90,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The sorted features of one text in some two bytes each: their gaps, compressed."""
+    return zlib.compress(np.diff(own, prepend=np.int32(0)).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int32), dtype=np.int32)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             own, at = features(batch.column("text"))
-            data = [own[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)]
+            data = [packed(own[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("order"), batch.column("label"), pa.array(data, pa.binary())], names=["order", "label", "features"]
             )
@@ -114,12 +124,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.level, -30, 30)))
 
 
+class _Scaled(Sequence):
+    """The ratios of each row's features, scaled to unit length; worked out when asked for, as all of them would take twice the rows' memory."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.rows, self.ratio = rows, ratio
+        self.norms = [max(1e-6, float(np.sqrt(np.sum(ratio[x] ** 2)))) for x in rows]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] / self.norms[i]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is never trained on: the CRC of its doc_id as text is a multiple of five."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dims: int, cost: float, passes: int, seed: int):
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, dims: int, cost: float, passes: int, seed: int):
     """(weights, bias) of the linear model with hinge loss, by coordinate steps in the dual.
 
     One more coordinate of value 1 stands for the bias.
@@ -130,11 +154,12 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     for _ in range(passes):
         most = 0.0
         for i in order.permutation(len(rows)):
-            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            own = values[i]
+            gradient = y[i] * (float(w[rows[i]] @ own) + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * own
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
@@ -171,11 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_fitte
     counted = rows.select("text", "label").mapInArrow(_count, "place long, zeros long, ones long")
     counts = np.zeros((2, DIMS))
     texts = np.zeros(2)
-    for place, zeros, ones in counted.groupBy("place").agg(F.sum("zeros"), F.sum("ones")).toArrow().to_pandas().itertuples(index=False):
-        if place < 0:
-            texts[:] = zeros, ones
-        else:
-            counts[:, place] = zeros, ones
+    for batch in counted.groupBy("place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow().to_batches():
+        place, *found = (batch.column(k).to_numpy() for k in range(3))
+        counts[:, place[place >= 0]] = np.stack(found)[:, place >= 0]
+        texts += np.stack(found)[:, place < 0].sum(axis=1)
     if not texts.all():
         level = 0.0 if not texts.any() else float(np.log((texts[1] + 1) / (texts[0] + 1)))
         return Model(np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0, level)
@@ -186,15 +210,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_fitte
     share = min(1.0, most_fitted / texts.sum())
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select(order.alias("order"), "label", "text").where(F.col("order") < share)
-    sample = sample.mapInArrow(_rows, "order double, label int, features binary").toPandas().sort_values(["order", "label"])
-    own = [np.frombuffer(x, np.int32) for x in sample["features"]]
-    y = np.where(sample["label"].to_numpy() > 0, 1.0, -1.0)
-    values = [ratio[x] / max(1e-6, float(np.sqrt(np.sum(ratio[x] ** 2)))) for x in own]
-    fit = np.arange(len(own)) % 4 != 0 if len(own) >= 40 else np.ones(len(own), bool)
+    sample = sample.mapInArrow(_rows, "order double, label int, features binary").toArrow()
+    ordered = np.lexsort((sample["label"].to_numpy(), sample["order"].to_numpy()))
+    y = np.where(sample["label"].to_numpy()[ordered] > 0, 1.0, -1.0)
     pick = lambda xs, m: [x for x, k in zip(xs, m, strict=True) if k]
-    w, bias = dual_coordinate_descent(pick(own, fit), pick(values, fit), y[fit], DIMS, cost, 30, 1)
+    sent = sample["features"]
+    own = [unpacked(sent[int(i)].as_buffer()) for i in ordered]
+    del sample, sent
+    fit = np.arange(len(own)) % 4 != 0 if len(own) >= 40 else np.ones(len(own), bool)
+    fitted = pick(own, fit)
+    w, bias = dual_coordinate_descent(fitted, _Scaled(fitted, ratio), y[fit], DIMS, cost, 30, 1)
     rest = ~fit if not fit.all() else fit
-    margin = np.array([float(w[x] @ v) + bias for x, v in zip(pick(own, rest), pick(values, rest), strict=True)])
+    others = pick(own, rest)
+    margin = np.array([float(w[x] @ v) + bias for x, v in zip(others, _Scaled(others, ratio), strict=True)])
     slope, level = _calibrate(margin, y[rest])
     return Model(ratio * w, ratio**2, bias, slope, level)
 

@@ -276,6 +276,24 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted for r in rows if r.quality) >= 0.98 * len(good)
 
 
+def test_fitting_holds_the_features_once_on_the_driver(spark):
+    word = "substring(conv(abs(xxhash64(id, i)), 10, 36), 1, 4)"
+    docs = spark.range(600).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, 3000), i -> {word})) AS text").cache()
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality").cache()
+    own, at = quality.features(pa.array([r.text for r in docs.orderBy("doc_id").limit(20).collect()]))
+    sent = 0
+    for i in range(20):
+        row = own[at[i] : at[i + 1]]
+        assert np.array_equal(quality.unpacked(quality.packed(row)), row)
+        sent += len(quality.packed(row))
+    assert sent < 0.6 * own.nbytes
+    tracemalloc.start()
+    quality.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 << 20, most  # 600 rows have 13 MB of features, and the ratios of all features take some 10
+
+
 def test_solver_reaches_the_optimum_of_the_dual():
     rng = np.random.default_rng(7)
     rows = [np.sort(rng.choice(20, 6, replace=False)) for _ in range(60)]
