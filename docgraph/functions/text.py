@@ -93,7 +93,7 @@ def link_kind(href: Column) -> Column:
 def url_number(href: Column, kind: str) -> Column:
     """The number after /kind/ in a link."""
     pattern = r"(?i)\barticle/(\d+)\b" if kind == "article" else rf"(?i)/{kind}/(\d+)/?"
-    return extracted(href, pattern).cast("int")
+    return F.regexp_extract(href, pattern, 1).try_cast("int")  # no match gives an empty text, so null
 
 
 def _tokens(context: Column) -> Column:

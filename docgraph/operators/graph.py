@@ -190,7 +190,9 @@ def reference_edges(refs: DataFrame, paragraphs: DataFrame, nodes: DataFrame, st
     rows = refs.withColumn("ref_kind", reference_kind(F.col("kind"), F.col("paragraph"), F.col("points"), F.col("text"))).where("ref_kind is not null")
     rows = rows.select("src_id", "kind", "number", "paragraph", points.alias("points"), "ref_kind").distinct()
     inner = rows.where("paragraph is not null or size(points) > 0")
-    whole = rows.where("paragraph is null and not coalesce(size(points) > 0, false)").withColumn("dst", document_id(F.col("kind"), F.col("number")))
+    whole = rows.where("paragraph is null and not coalesce(size(points) > 0, false)")
+    # A generated column is worked out once, and not again for the filter on it.
+    whole = whole.select("*", F.explode(F.array(document_id(F.col("kind"), F.col("number")))).alias("dst"))
     resolved = resolve_paragraph_target(inner, paragraphs, strict).select("src_id", "dst", "ref_kind").unionByName(whole.select("src_id", "dst", "ref_kind"))
     return existing(build_edges(resolved.withColumnRenamed("src_id", "src"), "REFERENCES"), nodes)
 

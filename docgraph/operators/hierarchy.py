@@ -12,6 +12,10 @@ from ..functions import text as T
 from .folds import fold_rows
 
 
+#: Runs of several blocks that are sent to all tasks, at most.
+MOST_RUNS = 1 << 18
+
+
 def filter_noise(blocks: DataFrame, recital: bool = False) -> DataFrame:
     """The blocks without empty ones and foot-note marks."""
     return blocks.where(~T.is_noise(F.col("text"), recital))
@@ -29,16 +33,17 @@ def with_levels(blocks: DataFrame, max_level: int | None = None) -> DataFrame:
 
 
 class _Open:
-    """A block that later ones may hang off: its level, place and id, and the last marker among its children."""
+    """A block that later ones may hang off: its level, place and id, the last marker among its children, and the last child's marker with the first place of its run."""
 
-    __slots__ = ("level", "pos", "id", "marker")
+    __slots__ = ("level", "pos", "id", "marker", "last", "run")
 
     def __init__(self, level: int, pos: int | None, id_: str):
         self.level, self.pos, self.id, self.marker = level, pos, id_, None
+        self.last, self.run = None, None
 
 
-def _hang(stack: list[_Open], pos: int, level: int, own: str | None, root: str) -> tuple[int | None, str, str, str]:
-    """The parent's place and id, the marker and the id of a block; the stack holds the blocks that it may hang off.
+def _hang(stack: list[_Open], pos: int, level: int, own: str | None, root: str) -> tuple[int | None, str, str, str, int]:
+    """The parent's place and id, the marker, the id and the run of a block; the stack holds the blocks that it may hang off.
 
     What a block closes is no smaller than itself, so each is closed once, however deep levels go.
     """
@@ -50,27 +55,31 @@ def _hang(stack: list[_Open], pos: int, level: int, own: str | None, root: str)
     if own is not None:
         parent.marker = own
     marker = "0" if parent.marker is None else parent.marker
+    if parent.last != marker:
+        parent.last, parent.run = marker, pos
     stack.append(_Open(level, pos, f"{parent.id}.{marker}" if parent.id else marker))
-    return parent.pos, parent.id, marker, stack[-1].id
+    return parent.pos, parent.id, marker, stack[-1].id, parent.run
 
 
 def with_parents(blocks: DataFrame, root: Column) -> DataFrame:
-    """Adds parent_pos, parent_id, marker and id to blocks with levels.
+    """Adds parent_pos, parent_id, marker, id and run to blocks with levels.
 
     The parent is the nearest block before with a smaller level, none at the top; the marker is the block's own, else that of the sibling
-    before, else "0"; the id is the parent's (at the top ``root``; null counts as empty), a dot and the marker. A stack of open blocks goes over each document's blocks in
+    before, else "0"; the id is the parent's (at the top ``root``; null counts as empty), a dot and the marker. Adjacent siblings with one id are a run,
+    named by the place of its first. A stack of open blocks goes over each document's blocks in
     order, so levels may be of any depth and documents of any length.
     """
     rows = blocks.withColumns({"_own": T.paragraph_marker(F.col("text")), "_root": F.coalesce(root.cast("string"), F.lit(""))})
-    gives = f"parent_pos {rows.schema['pos'].dataType.simpleString()}, parent_id string, marker string, id string"
+    place = rows.schema["pos"].dataType.simpleString()
+    gives = f"parent_pos {place}, parent_id string, marker string, id string, run {place}"
     hung = fold_rows(rows, "doc_id", ["pos"], ["pos", "level", "_own", "_root"], gives, list, _hang)
     return hung.drop("_own", "_root")
 
 
 def assemble_hierarchy(blocks: DataFrame, root: Column, max_level: int | None = None) -> DataFrame:
-    """(doc_id, pos, level, parent_pos, parent_id, id, text) of the blocks, see ``with_parents``; ``root`` is the id of the document."""
+    """(doc_id, pos, level, parent_pos, parent_id, id, run, text) of the blocks, see ``with_parents``; ``root`` is the id of the document."""
     rows = with_levels(blocks.select("*", root.alias("_document")), max_level).select("doc_id", "pos", "level", "text", "_document")
-    return with_parents(rows, F.col("_document")).select("doc_id", "pos", "level", "parent_pos", "parent_id", "id", "text")
+    return with_parents(rows, F.col("_document")).select("doc_id", "pos", "level", "parent_pos", "parent_id", "id", "run", "text")
 
 
 def _islands(paragraphs: DataFrame) -> DataFrame:
@@ -85,11 +94,25 @@ def merge_same_id(paragraphs: DataFrame) -> DataFrame:
 
     Their children are joined by that already, as those carry the id as parent_id.
     """
+    return _joined(_islands(paragraphs), "doc_id", "parent_pos", "_island").drop("parent_pos", "_island")
+
+
+def _joined(paragraphs: DataFrame, *keys: str) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return _islands(paragraphs).groupBy("doc_id", "parent_pos", "_island").agg(
+    return paragraphs.groupBy(*keys).agg(
         F.min("id").alias("id"), F.min("parent_id").alias("parent_id"), F.min("level").alias("level"),
         F.min("pos").alias("pos"), joined.alias("text"), F.count("*").alias("n_merged"),
-    ).drop("parent_pos", "_island")
+    )
+
+
+def merge_runs(paragraphs: DataFrame) -> DataFrame:
+    """``merge_same_id`` of paragraphs that are cheap to read, such as those of a cut: their runs are known, and most are of one block, which is left as it is."""
+    runs = paragraphs.where("run <> pos").select("doc_id", "run").distinct()
+    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        return _joined(paragraphs, "doc_id", "run").drop("run")
+    one = paragraphs.join(F.broadcast(runs), ["doc_id", "run"], "left_anti").withColumn("n_merged", F.lit(1).cast("long"))
+    more = _joined(paragraphs.join(F.broadcast(runs), ["doc_id", "run"], "left_semi"), "doc_id", "run")
+    return one.select(*[c for c in more.columns if c != "run"]).unionByName(more.drop("run"))
 
 
 def merge_references(paragraphs: DataFrame, refs: DataFrame) -> DataFrame:

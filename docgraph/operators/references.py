@@ -19,10 +19,10 @@ def _place(pos: Column, i: Column) -> Column:
     return F.shiftleft(pos.cast("long"), 32) + i
 
 
-def harvest_links(blocks: DataFrame, src_id: str = "doc_id") -> DataFrame:
-    """(doc_id, src_id, ord, href, text, before, after): every link of (doc_id, pos, links)."""
-    return blocks.select("doc_id", F.col(src_id).alias("src_id"), "pos", F.posexplode("links").alias("_i", "_l")).select(
-        "doc_id", "src_id", _place(F.col("pos"), F.col("_i")).alias("ord"), "_l.href", "_l.text", "_l.before", "_l.after"
+def harvest_links(blocks: DataFrame, src_id: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, src_id, ord, href, text, before, after): every link of (doc_id, pos, links), with the columns ``also`` of its block."""
+    return blocks.select("doc_id", F.col(src_id).alias("src_id"), "pos", *also, F.posexplode("links").alias("_i", "_l")).select(
+        "doc_id", "src_id", _place(F.col("pos"), F.col("_i")).alias("ord"), "_l.href", "_l.text", "_l.before", "_l.after", *also
     )
 
 
@@ -150,7 +150,14 @@ def dedupe_refs(refs: DataFrame) -> DataFrame:
 
 
 def element_references(links: DataFrame) -> DataFrame:
-    """All references of blocks: (src_id, kind, number, paragraph, points, text, url, ord), deduplicated."""
+    """All references of blocks: (src_id, kind, number, paragraph, points, text, url, ord), deduplicated; ord is their order in a block.
+
+    Links of which a column ``alone`` says that their block has no other are not joined, see ``lone_references``.
+    """
+    if "alone" in links.columns:
+        several = links.where("not alone").drop("alone")
+        lone = lone_references(links.where("alone"))
+        return lone if several.isEmpty() else lone.unionByName(element_references(several))
     # Both are read several times; links are parsed, and their contexts searched, only once.
     cited = explode_points(match_context_to_link(cut(first_links(links)), cut(parsed_links(links))))
     others = section_refs(links).select(
@@ -163,22 +170,91 @@ def element_references(links: DataFrame) -> DataFrame:
     return dedupe_refs(every).select("src_id", "kind", "number", "paragraph", "points", "text", "url", "ord")
 
 
+def lone_references(links: DataFrame) -> DataFrame:
+    """``element_references`` of links that are the only ones of their blocks.
+
+    Such a link meets its own context and no other, so its references are told from its row alone, without a shuffle.
+    """
+    kind, text, after = F.col("kind"), F.col("text"), F.col("after")
+    rows = links.select("src_id", "href", "text", "before", "after", T.link_kind(F.col("href")).alias("kind"))
+    last_word = F.element_at(F.split(text, " "), -1)
+    annex, section = T.url_number(F.col("href"), "annex"), T.url_number(F.col("href"), "section")
+    number = (
+        F.when(kind == "article", T.url_number(F.col("href"), "article").cast("string")).when(kind == "annex", F.when(annex == from_roman(last_word), annex).cast("string"))
+        .when(kind == "section", F.when(section.isNotNull(), F.concat_ws(".", section.cast("string"), last_word)))
+        .when(kind.isin("chapter", "recital"), F.coalesce(*[F.when(kind == k, T.url_number(F.col("href"), k)) for k in ("chapter", "recital")]).cast("string"))
+    )
+    starts = after.startswith(text)
+    fits = (
+        F.when(kind == "article", starts | (F.char_length(after) < F.char_length(text)) & text.endswith(after))
+        .when(kind.isin("annex", "chapter"), starts | after.endswith(text)).otherwise(F.lit(True))
+    )
+    trail = F.substring("after", F.char_length("text") + 1, F.lit(2**31 - 1))
+    rows = rows.select("*", F.when(fits, number).alias("number"), starts.alias("_starts"), trail.alias("_trail"))
+    rows = rows.select("*", F.when(_numbered(kind, "article", "annex"), _cited_keys(F.col("_trail"))).alias("_cited"), F.when(_numbered(kind, "chapter"), _named(F.col("_trail"), F.col("before"))).alias("_named"))
+    whole = F.array(F.lit(_WHOLE))
+    # What is listed here is a block's references in order, alike ones once; of an annex, and of a chapter without its sections, there is one.
+    listed = (
+        F.when(F.col("number").isNull(), F.array().cast("array<string>")).when((kind == "article") & (F.size("_cited") > 0), F.array_distinct("_cited"))
+        .when((kind == "annex") & (F.size("_cited") > 0), F.slice("_cited", 1, 1)).when((kind == "chapter") & F.col("_starts") & (F.size("_named") > 0), F.array_distinct("_named")).otherwise(whole)
+    )
+    rows = rows.select("src_id", "kind", "number", "text", "href", F.posexplode(listed).alias("_i", "_what"))
+    own = lambda place: F.when(kind.isin("article", "annex"), F.nullif(F.substring_index("_what", _PARTS, place), F.lit("")))
+    as_section = (kind == "chapter") & (F.col("_what") != _WHOLE)
+    return rows.select(
+        "src_id", F.when(as_section, "section").otherwise(kind).alias("kind"), F.when(as_section, F.concat_ws(".", "number", "_what")).otherwise(F.col("number")).alias("number"),
+        own(1).cast("int").alias("paragraph"), F.when(own(-1).isNotNull(), F.array(own(-1))).alias("points"),
+        F.when(as_section, F.concat(text, F.lit(" Section "), "_what")).otherwise(text).alias("text"), F.col("href").alias("url"), (F.col("_i") + 1).alias("ord"),
+    )
+
+
+#: Between a paragraph and a point of it; alone, it stands for the whole of a document.
+_PARTS = "_"
+_WHOLE = _PARTS
+
+
+def _numbered(kind: Column, *kinds: str) -> Column:
+    return F.col("number").isNotNull() & kind.isin(*kinds)
+
+
+def _cited_keys(trail: Column) -> Column:
+    """The citations after a link, a point each, as "paragraph_point"; what is not named is empty."""
+    points = lambda c: F.when(F.size(c["points"]) > 0, c["points"]).otherwise(F.array(F.lit("")))
+    return F.flatten(F.transform(T.citations(trail), lambda c: F.transform(points(c), lambda p: F.concat(F.coalesce(c["paragraph"].cast("string"), F.lit("")), F.lit(_PARTS), p))))
+
+
+def _named(trail: Column, before: Column) -> Column:
+    """The numbers of the sections of a chapter that a link names: after it, else before it."""
+    after = T.section_numbers(trail)
+    return F.when(F.size(after) > 0, after).otherwise(T.section_numbers(before))
+
+
 def document_references(links: DataFrame, content_type: DataFrame, paragraph_refs: DataFrame) -> DataFrame:
     """(doc_id, kind, number, text, url, ord): a page's links that its top-level paragraphs do not cite.
 
     Articles, annexes (by arabic or roman number in the link) and recitals; not "Next" and "Previous" links of articles;
     pages of recitals keep articles only. content_type: (doc_id, content_type); paragraph_refs: (doc_id, kind, number).
     """
-    rows = links.withColumn("kind", T.link_kind(F.col("href"))).join(content_type, "doc_id")
+    rows = uncited_links(links.join(content_type, "doc_id"), paragraph_refs)
+    return _first(rows, "doc_id", "kind", "number")
+
+
+def uncited_links(links: DataFrame, paragraph_refs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The same of links with their page's content_type, each as often as it occurs, with the columns ``also`` of ``links``."""
     named = T.extracted(F.col("href"), r"(?i)/annex/([ivx\d]+)/?$")
     annex = F.when(named.rlike(r"^\d+$"), named.cast("int")).otherwise(from_roman(named))
+    kind = F.col("kind")
     number = (
-        F.when(F.col("kind") == "article", T.extracted(F.col("href"), r"(?i)/article/(\d+)/?").cast("int"))
-        .when(F.col("kind") == "annex", annex).when(F.col("kind") == "recital", T.url_number(F.col("href"), "recital"))
+        F.when(kind == "article", T.extracted(F.col("href"), r"(?i)/article/(\d+)/?").cast("int"))
+        .when(kind == "annex", annex).when(kind == "recital", T.url_number(F.col("href"), "recital"))
     )
-    steps = (F.col("kind") == "article") & F.col("text").rlike("Next|Previous")
-    text = F.when(F.col("kind") == "recital", F.concat(F.lit("Recital "), number.cast("string"))).otherwise(F.col("text"))
-    rows = rows.select("doc_id", "kind", number.cast("string").alias("number"), text.alias("text"), F.col("href").alias("url"), "ord", "content_type", steps.alias("_step"))
-    rows = rows.where("number is not null and not _step and (kind = 'article' or content_type <> 'Recital')").drop("content_type", "_step")
+    step = (kind == "article") & F.col("text").rlike("Next|Previous")
+    taken = kind.isin("article", "annex", "recital") & ((kind == "article") | (F.col("content_type") != "Recital"))
+    rows = links.select("doc_id", T.link_kind(F.col("href")).alias("kind"), "text", "href", "ord", "content_type", *also)
+    # A generated column is worked out once, and not again for the filter on it.
+    rows = rows.select("*", F.inline(F.when(F.coalesce(taken, F.lit(False)), F.array(F.struct(number.alias("_n"))))))
+    rows = rows.where("_n is not null").where(~F.coalesce(step, F.lit(False)))
+    text = F.when(kind == "recital", F.concat(F.lit("Recital "), F.col("_n").cast("string"))).otherwise(F.col("text"))
+    rows = rows.select("doc_id", "kind", F.col("_n").cast("string").alias("number"), text.alias("text"), F.col("href").alias("url"), "ord", *also)
     cited = paragraph_refs.where("kind in ('article', 'annex')").select("doc_id", "kind", "number").distinct()
-    return _first(rows.join(cited, ["doc_id", "kind", "number"], "left_anti"), "doc_id", "kind", "number")
+    return rows.join(cited, ["doc_id", "kind", "number"], "left_anti")

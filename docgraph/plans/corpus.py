@@ -87,24 +87,28 @@ class Corpus:
     @cached_property
     def paragraphs(self) -> DataFrame:
         columns = ["doc_id", "pos", "id", "parent_id", "level", "text"]
-        return cut(hierarchy.merge_same_id(self.tree).select(*columns).unionByName(self.recitals.select(*columns)))
+        return cut(hierarchy.merge_runs(self.tree).select(*columns).unionByName(self.recitals.select(*columns)))
 
     @cached_property
     def links(self) -> DataFrame:
-        rows = self.blocks.join(self.docs.select("doc_id"), "doc_id").withColumn("place", F.concat_ws(":", "doc_id", "pos"))
-        return cut(references.harvest_links(rows, "place"))
+        """The links of all blocks, with whether they are alone in their block, whether this is one of the body, and what their page is."""
+        own = self.docs.select("doc_id", "root", F.initcap("kind").alias("content_type"))
+        rows = self.blocks.where(F.size("links") > 0).join(own, "doc_id").withColumns({
+            "place": F.concat_ws(":", "doc_id", "pos"), "alone": F.size("links") == 1, "inner": F.expr("tag <> 'h1' and css is null"),
+        })
+        return cut(references.harvest_links(rows, "place", ("alone", "inner", "root", "content_type")))
 
     @cached_property
     def refs(self) -> DataFrame:
-        """(doc_id, src_id, level, kind, ..): the references of each paragraph, of those merged into it and of the "Related:" lines after it."""
-        at, related = F.split("src_id", ":"), self.articles[1]
-        found = references.element_references(self.links).select("*", at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("pos")).drop("src_id")
-        moved = found.where("kind = 'recital'").join(related, ["doc_id", "pos"]).withColumn("pos", F.col("to_pos")).drop("to_pos")
-        found = found.join(related.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").unionByName(moved)
-        in_tree = hierarchy.merge_references(self.tree, found)
-        of_recitals = self.recitals.select("doc_id", "pos", "id").join(found, ["doc_id", "pos"]).select("doc_id", "id", *_REF, "ord")
-        own = in_tree.unionByName(of_recitals).join(self.paragraphs.select("doc_id", "id", "level").distinct(), ["doc_id", "id"])
-        return cut(own.select("doc_id", F.col("id").alias("src_id"), "level", *_REF, "ord"))
+        """(doc_id, src_id, level, kind, ..): the references of each paragraph's blocks, and of the "Related:" lines after them; level is that of the block."""
+        at, related = F.split("src_id", ":"), cut(self.articles[1])
+        cited = references.element_references(self.links.where("inner").drop("inner", "root", "content_type"))
+        found = cited.select(at[0].cast("long").alias("doc_id"), at[1].cast("int").alias("pos"), *_REF[:5])
+        # Of a "Related:" line the recitals go to the paragraph before it, and nothing else counts.
+        found = found.join(related, ["doc_id", "pos"], "left").where("to_pos is null or kind = 'recital'")
+        found = found.withColumn("pos", F.coalesce("to_pos", "pos")).drop("to_pos")
+        spots = self.tree.select("doc_id", "pos", "id", "level").unionByName(self.recitals.select("doc_id", "pos", "id", "level"))
+        return cut(found.join(spots, ["doc_id", "pos"]).select("doc_id", F.col("id").alias("src_id"), "level", *_REF[:5]))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -118,9 +122,13 @@ class Corpus:
     @cached_property
     def references(self) -> DataFrame:
         """REFERENCES edges."""
-        kinds = self.docs.select("doc_id", F.initcap("kind").alias("content_type"))
         top = self.refs.where("level = 0").select("doc_id", "kind", "number")
-        of_documents = references.document_references(self.links, kinds, top).join(self.docs.select("doc_id", F.col("root").alias("src_id")), "doc_id")
+        # A deeper block counts as top-level too where a block of its page with the same id is.
+        deeper = self.refs.where("level > 0 and kind in ('article', 'annex')").select("doc_id", "src_id", "kind", "number").distinct()
+        if not deeper.isEmpty():
+            tops = self.paragraphs.where("level = 0").select("doc_id", F.col("id").alias("src_id"))
+            top = top.unionByName(deeper.join(tops, ["doc_id", "src_id"], "left_semi").drop("src_id"))
+        of_documents = references.uncited_links(self.links, top, ("root",)).withColumnRenamed("root", "src_id")
         bare = [F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("array<string>").alias("points")]
         cited = self.refs.select("src_id", *_REF[:5]).unionByName(of_documents.select("src_id", "kind", "number", *bare, "text"))
         targets = self.paragraphs.where("level = 0").join(self.docs.select("doc_id", "kind", F.col("number").cast("string").alias("number"), "root"), "doc_id")

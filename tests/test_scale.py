@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docgraph.operators import graph, references, retrieval, similarity, traversal
+from docgraph.operators import graph, hierarchy, references, retrieval, similarity, traversal
 from docgraph.operators.checkpoints import cut
 from docgraph.plans import bindings, queries
 
@@ -87,3 +87,34 @@ def test_sets_are_not_shuffled_to_find_equal_ones(spark, monkeypatch):
     classes, pairs = similarity.similar_sets(spark.createDataFrame(rows, "id long, elements array<string>"), 0.9)
     assert sorted((r.id, r.rep) for r in classes.collect()) == [(3, 3), (5, 3), (5, 5), (7, 5)] and pairs.isEmpty()
     assert not any("Aggregate [elements" in plan for plan in plans)
+
+
+def test_lone_links_have_the_references_of_joined_ones_without_a_shuffle(spark):
+    heads = ["/article/3/", "/annex/2/", "/annex/3/", "/chapter/4/", "/section/2/", "/recital/7/", "/article/x/", "/chapter/3/article/5/", "/other/"]
+    words = ["Article 3", "Annex II", "Chapter IV", "Section 2", "", "see Annex III"]
+    trails = ["", " (1)(a), (b) and so on", " (1) to (3), (2) and points (a) and (b)", ", Sections 1, 2 and 1", " points 2 to 4; point 3", " (1)(a), (1)(b), (1)"]
+    rows = [(f"b{i}", i, h, w, before, w + t if k % 5 else t.strip()) for i, (k, h, w, t, before) in enumerate(
+        (k, h, w, t, before) for h in heads for w in words for k, t in enumerate(trails) for before in ("of", "Sections 5 and 6 of"))]
+    rows += [("null", len(rows), "/article/3/", None, None, None)]
+    links = spark.createDataFrame(rows, "src_id string, ord long, href string, text string, before string, after string")
+    lone = references.lone_references(links)
+    assert "Exchange" not in _plan(lone)
+    told = lambda df: sorted(
+        ((r.src_id, r.ord, r.kind, r.number, r.paragraph, r.points, r.text, r.url) for r in df.collect()), key=lambda r: (r[0], r[1])
+    )
+    in_order = lambda df: [(r[0], *r[2:]) for r in told(df)]
+    assert in_order(lone) == in_order(references.element_references(links)) and len(in_order(lone)) > 300
+    mixed = links.withColumn("alone", F.col("ord") % 2 == 0)
+    assert in_order(references.element_references(mixed)) == in_order(lone)
+
+
+def test_runs_are_the_islands_of_siblings(spark, monkeypatch):
+    texts = ["1. a", "b", "c", "2. d", "(a) e", "f", "1. g", "h", "1. i"]
+    levels = [0, 0, 1, 0, 1, 1, 0, 2, 0]
+    rows = [(d, i, f"padding-left: {40 * x}px" if x else None, t) for d in (1, 2) for i, (t, x) in enumerate(zip(texts[d:], levels[d:]))]
+    tree = cut(hierarchy.assemble_hierarchy(spark.createDataFrame(rows, "doc_id long, pos int, style string, text string"), F.lit("D")))
+    told = lambda df: sorted((r.doc_id, r.pos, r.id, r.parent_id, r.level, r.text, r.n_merged) for r in df.collect())
+    assert "Window" not in _plan(hierarchy.merge_runs(tree))
+    assert told(hierarchy.merge_runs(tree)) == told(hierarchy.merge_same_id(tree))
+    monkeypatch.setattr(hierarchy, "MOST_RUNS", 0)
+    assert told(hierarchy.merge_runs(tree)) == told(hierarchy.merge_same_id(tree)) and any(r[-1] > 1 for r in told(hierarchy.merge_runs(tree)))
