@@ -23,7 +23,9 @@ def document_headers(blocks: DataFrame) -> DataFrame:
 
     root is the id of the document; chapter and section are [number, name] or null.
     """
-    heads = pages_io.page_headers(blocks)
+    # Titles, and links to chapters and sections, stand in a part of the blocks; nothing of the others is grouped.
+    above = F.exists("links", lambda x: x["href"].contains("/chapter/") | x["href"].contains("/section/"))
+    heads = pages_io.page_headers(blocks.where((F.col("tag") == "h1") | above))
     rows = heads.select(
         "doc_id", "name", F.lower(T.content_type(F.col("name"))).alias("kind"), T.title_number(F.col("name")).alias("number"),
         T.chapter_meta(F.col("chapter.name")).alias("chapter"), T.section_meta(F.col("section.name")).alias("section"),
