@@ -134,3 +134,18 @@ def test_plain_pages_are_cut_up_as_the_html_parser_does(monkeypatch):
     assert sum(pages._plain_tags(t) is not None for t in texts) > 700
     monkeypatch.setattr(pages, "_plain_tags", lambda html: None)
     assert quick == told()
+
+
+def test_starts_of_one_top_meet_its_text_once_and_last(spark):
+    nodes = spark.createDataFrame([("A", ["Article"], "a")] + [(f"A.{i}", ["Paragraph"], f"t{i}") for i in range(9)] + [(f"A.0.{i}", ["Paragraph"], f"s{i}") for i in range(40)], "id string, labels array<string>, text string")
+    nodes = nodes.withColumns({"name": F.lit(None).cast("string"), "number": F.lit(None).cast("string"), "embed": F.lit(None).cast("array<float>")})
+    rows = [("A", "CONTAINS", f"A.{i}", i) for i in range(9)] + [("A.0", "CONTAINS", f"A.0.{i}", i) for i in range(40)] + [("A.1", "REFERENCES", f"A.0.{i}", None) for i in range(9)]
+    edges = spark.createDataFrame(rows, "src string, type string, dst string, ord int")
+    found = traversal.traverse(nodes.select("id").unionByName(spark.createDataFrame([("X",)], "id string")), nodes, edges, most=16, most_neighbours=4)
+    whole = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "descendants" in line and "Relation" in line]
+    assert whole and all("top#" in line and "Relation [id#" not in line for line in whole)  # texts are kept by top, not by start
+    told = sorted((r.id, r.part, r.error, r.text, len(r.references or ()), len(r.children or ())) for r in found.collect())
+    text = ["t0", *[f"s{i}" for i in range(40)]]
+    parts = [("\n".join(text[16 * k : 16 * k + 16]), len(text[16 * k : 16 * k + 16]) - (k == 0)) for k in range(3)]
+    assert [r[3::2] for r in told if r[0] == "A.0.20"] == [p for p in parts] and ("X", 0, "Node not found", None, 0, 0) in told
+    assert sum(r[4] for r in told if r[0] == "A.1") == 9 * 3 and {r[3] for r in told if r[0] == "A.1"} <= {"t1", ""}
