@@ -149,3 +149,33 @@ def test_starts_of_one_top_meet_its_text_once_and_last(spark):
     parts = [("\n".join(text[16 * k : 16 * k + 16]), len(text[16 * k : 16 * k + 16]) - (k == 0)) for k in range(3)]
     assert [r[3::2] for r in told if r[0] == "A.0.20"] == [p for p in parts] and ("X", 0, "Node not found", None, 0, 0) in told
     assert sum(r[4] for r in told if r[0] == "A.1") == 9 * 3 and {r[3] for r in told if r[0] == "A.1"} <= {"t1", ""}
+
+
+def test_alike_sets_move_only_what_is_compared(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = [sorted({f"w{x}" for x in rng.integers(0, 60, 14)}) for _ in range(12)]
+    rows = [(i, [w for w in base[i % 12] if rng.random() > 0.05] + ([f"own{i}"] if i % 3 else [])) for i in range(90)]
+    rows += [(200 + i, base[i]) for i in range(12)] + [(300 + i, base[i]) for i in range(6)] + [(400, []), (401, None)]
+    exact = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+
+    def check(rows):
+        df = spark.createDataFrame(rows, "id long, elements array<string>")
+        classes, pairs = similarity.similar_sets(df, 0.8)
+        smallest = {}
+        for i, e in rows:
+            if e and i is not None:
+                smallest[tuple(sorted(set(e)))] = min(i, smallest.get(tuple(sorted(set(e))), i))
+        assert sorted((r.id or -1, r.rep) for r in classes.collect()) == sorted((i or -1, smallest[tuple(sorted(set(e)))]) for i, e in rows if e)
+        reps = sorted((i, e) for e, i in smallest.items())
+        wanted = {(i, j): exact(a, b) for k, (i, a) in enumerate(reps) for j, b in reps[k + 1 :] if exact(a, b) >= 0.8}
+        got = {(r.a, r.b): r.similarity for r in pairs.collect()}
+        assert len(got) == pairs.count() and got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in got) and len(got) > 20
+
+    check(rows)
+    check(rows + [rows[0], rows[95], (None, base[0])])
+    spelt = cut(spark.createDataFrame(rows, "id long, elements array<string>").where("size(elements) > 0").withColumn("digest", F.array_join("elements", " ")))
+    known = cut(spelt.groupBy("digest").agg(F.min("id").alias("rep")).join(spelt.select("id", "digest"), "digest").withColumn("rows", F.lit(1)))
+    assert "hashpartitioning" not in _plan(similarity._representatives(spelt, known))
+    monkeypatch.setattr(similarity, "MOST_SENT", 0)
+    monkeypatch.setattr(similarity, "_HASHED", 15)  # unlike elements of one hash
+    check(rows)
